@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import jaccard_join, language, line_dedup
+from lodeweave.llm import decontaminate, jaccard_join, language, line_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op7_language_id": language.op7_language_id,
+        "op9_decontamination": decontaminate.op9_decontamination,
     }
 
 
