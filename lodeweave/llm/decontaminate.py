@@ -10,7 +10,6 @@ larger multiplicities of the shingles (weighted Jaccard) must reach ``SIMILARITY
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,21 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.text import WORDS, WordHashes, mix, shingles
+from lodeweave.llm.text import ALPHANUMERIC, WORDS, distinct, mix, shingles
 
 SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS = 4
 #: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes.
 BLOCK_BYTES = 4 << 20
-_TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BITS = np.arange(64, dtype=np.uint64)
 _BALL = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), r)], np.uint16)
 _FILTER_BITS = 20
 
 
-def words(text: str) -> list[bytes]:
-    return _TOKEN.findall(text.lower().encode("utf-8", "replace"))
+def words(text: str) -> np.ndarray:
+    """Hashes of the words of a text."""
+    return ALPHANUMERIC(text.lower().encode("utf-8", "replace"))
 
 
 def fingerprints(found: np.ndarray, size: int) -> np.ndarray:
@@ -62,33 +61,45 @@ class Index:
     def __post_init__(self) -> None:
         self.sizes = np.array([len(s) for _, s in self.items], np.int64)
         self.prints = np.array([fingerprints(s, len(s))[0] for _, s in self.items], np.uint64)
-        self.known = np.unique(np.concatenate([s for _, s in self.items])) if self.items else np.zeros(0, np.uint64)
+        self.known = distinct(np.concatenate([s for _, s in self.items])) if self.items else np.zeros(0, np.uint64)
+        owned = sorted((x, len(s)) for _, s in self.items for x in s.tolist())
+        self.owned = np.array([x for x, _ in owned], np.uint64)
+        self.owner_size = np.array([size for _, size in owned], np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - _FILTER_BITS)] = True
         self.largest = int(self.sizes.max()) if self.items else 0
-        self.lists = []
-        for block in range(BLOCKS):
-            own = ((self.prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.uint16)
-            near = (own[:, None] ^ _BALL[None, :]).ravel()
-            order = np.argsort(near, kind="stable")
-            self.lists.append((np.searchsorted(near[order], np.arange((1 << 16) + 1)), (np.repeat(np.arange(len(own)), len(_BALL)))[order]))
+        #: By size: by block, the values within the ball of an item's block, sorted, and whose they are.
+        self.balls: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size in sorted(set(self.sizes.tolist())):
+            own = np.flatnonzero(self.sizes == size)
+            self.balls[size] = []
+            for block in range(BLOCKS):
+                near = (self._block(self.prints[own], block)[:, None] ^ _BALL[None, :]).ravel()
+                order = np.argsort(near, kind="stable")
+                self.balls[size].append((near[order], np.repeat(own, len(_BALL))[order]))
+
+    @staticmethod
+    def _block(prints: np.ndarray, block: int) -> np.ndarray:
+        return ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.uint16)
 
     def shared(self, found: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item has."""
         at = np.flatnonzero(self.filter[found >> np.uint64(64 - _FILTER_BITS)])
-        return at[np.isin(found[at], self.known)]
+        place = np.minimum(np.searchsorted(self.known, found[at]), len(self.known) - 1)
+        return at[self.known[place] == found[at]]
 
-    def near(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    def near(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
         """(position, item) of all fingerprints within the radius of an item of that size."""
-        seen: set[tuple[int, int]] = set()
-        for block, (starts, lists) in enumerate(self.lists):
-            own = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            for at in np.flatnonzero(starts[own + 1] > starts[own]):
-                for item in lists[starts[own[at]] : starts[own[at] + 1]].tolist():
-                    if self.sizes[item] == size and (at, item) not in seen:
-                        seen.add((at, item))
-                        if int(prints[at] ^ self.prints[item]).bit_count() <= RADIUS:
-                            yield int(at), item
+        pairs = []
+        for block, (values, items) in enumerate(self.balls[size]):
+            own = self._block(prints, block)
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            count = high - low
+            at = np.repeat(np.arange(len(own)), count)
+            item = items[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+            close = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
+            pairs.append(np.stack([at[close], item[close]], 1))
+        return sorted(set(map(tuple, np.concatenate(pairs).tolist())))
 
     def matches(self, found: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """The best similarity, and the first window (words from, to) that has it, by item."""
@@ -100,7 +111,9 @@ class Index:
         for part in np.split(hits, breaks):
             low, high = max(0, int(part[0]) - self.largest + 1), min(len(found), int(part[-1]) + self.largest)
             region = found[low:high]
-            for size in np.unique(self.sizes).tolist():
+            own = distinct(found[part])  # a window can only match an item of its size that has one of these
+            ends = zip(np.searchsorted(self.owned, own, "left"), np.searchsorted(self.owned, own, "right"), strict=True)
+            for size in sorted({size for a, b in ends for size in self.owner_size[a:b].tolist()}):
                 width = min(size, len(region))  # a document shorter than the item is one window
                 if width < size and len(region) < len(found):
                     continue
@@ -116,10 +129,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // BLOCK_BYTES)
-    hashes = WordHashes()
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], shingles(hashes.of(w))) for r in own if len(w := words(r["text"])) >= WORDS])
+        yield Index([(r["item_id"], shingles(w)) for r in own if len(w := words(r["text"])) >= WORDS])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -133,12 +145,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index, hashes = shipped.value, WordHashes()
+            index = shipped.value
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if text and index.items and len(w := words(text)) >= WORDS:
-                        rows += [(doc, index.items[i][0], *x) for i, x in sorted(index.matches(shingles(hashes.of(w))).items())]
+                        rows += [(doc, index.items[i][0], *x) for i, x in sorted(index.matches(shingles(w)).items())]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
@@ -156,12 +168,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index, hashes = shipped.value, WordHashes()
+            index = shipped.value
             for batch in batches:
                 clean = []
                 for text in batch.column(at).to_pylist():
-                    w = words(text) if text else []
-                    clean.append(not (len(w) >= WORDS and index.items and index.matches(shingles(hashes.of(w)))))
+                    w = words(text or '')
+                    clean.append(not (len(w) >= WORDS and index.items and index.matches(shingles(w))))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.text import WordHashes, shingles
+from lodeweave.llm.text import SPACED, distinct, shingles
 from lodeweave.operators.components import connected_components
 from lodeweave.operators.materialize import materialize
 
@@ -36,9 +36,9 @@ SLOT_BITS, LOW_BITS, FLUSH = 12, 20, 1 << 22
 FILTER_WORDS = 1 << 16
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; A-Z count as a-z, and words end at ASCII white space."""
-    return np.unique(shingles(hashes.of(text.lower().split())))
+    return distinct(shingles(SPACED(text)))
 
 
 def _binary(texts: pa.Array) -> list[bytes | None]:
@@ -50,7 +50,6 @@ def _binary(texts: pa.Array) -> list[bytes | None]:
 
 def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counters hit by the shingles of a task, as one row for each slot: how many in each sixteenth of it, then 16 bits of each."""
-    hashes = WordHashes()
     held: list[np.ndarray] = []
     size = 0
 
@@ -66,7 +65,7 @@ def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in _binary(batch.column(0)):
             if text:
-                found = (shingle_set(text, hashes) >> np.uint64(32)).astype(np.uint32)
+                found = (shingle_set(text) >> np.uint64(32)).astype(np.uint32)
                 held.append(found)
                 size += len(found)
                 if size >= FLUSH:
@@ -129,11 +128,10 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts = shipped.value
-        hashes = WordHashes()
         for batch in batches:
             n, sid, gid, prefixes = [], [], [], []
             for text in _binary(batch.column(1)):
-                own = shingle_set(text or b"", hashes)
+                own = shingle_set(text or b"")
                 n.append(len(own))
                 if not len(own):
                     sid.append(None)
@@ -192,7 +190,6 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = with_a.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             keep = []
@@ -201,7 +198,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     known.clear()
                 for key, text in ((a, ta), (b, tb)):
                     if key not in known:
-                        own = shingle_set(text, hashes)
+                        own = shingle_set(text)
                         known[key] = own if np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))) == key else own[:0]
                 x, y = known[a], known[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
