@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import decontaminate, jaccard_join, language, line_dedup
+from lodeweave.llm import bpe, decontaminate, jaccard_join, language, line_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op6_bpe": bpe.op6_bpe,
         "op7_language_id": language.op7_language_id,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
