@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, decontaminate, jaccard_join, language, line_dedup, token_files
+from lodeweave.llm import bpe, decontaminate, jaccard_join, language, line_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": bpe.op6_bpe,
         "op7_language_id": language.op7_language_id,
         "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
