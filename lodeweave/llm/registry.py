@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, decontaminate, fingerprint, jaccard_join, language, line_dedup, suffix_dedup, token_files
+from lodeweave.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language, line_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_fingerprint": fingerprint.op3_fingerprint,
+        "op4_html_extraction": html_text.op4_html_extraction,
         "op5_token_files": token_files.op5_token_files,
         "op6_bpe": bpe.op6_bpe,
         "op7_language_id": language.op7_language_id,
