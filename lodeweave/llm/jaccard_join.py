@@ -78,9 +78,16 @@ def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counters of at least ``FREQUENT``; rows come sorted by slot and one slot's counters are held at a time."""
     counts = np.zeros(1 << LOW_BITS, np.int64)
-    at = None
+    at, held, size = None, [], 0
+
+    def add() -> None:
+        nonlocal held, size
+        if held:
+            counts[:] += np.bincount(np.concatenate(held), minlength=1 << LOW_BITS)
+        held, size = [], 0
 
     def found() -> pa.RecordBatch:
+        add()
         ids = np.flatnonzero(counts >= FREQUENT)
         return pa.RecordBatch.from_arrays([pa.array(ids + (at << LOW_BITS), pa.int64()), pa.array(counts[ids], pa.int64())], names=["counter", "n"])
 
@@ -93,7 +100,10 @@ def _count_reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 at = slot
             part = np.frombuffer(blob, np.uint32, 16)
             low = np.frombuffer(blob, np.uint16, offset=64)
-            counts += np.bincount(low.astype(np.int64) + (np.repeat(np.arange(16), part) << 16), minlength=1 << LOW_BITS)
+            held.append(low.astype(np.int64) + (np.repeat(np.arange(16), part) << 16))
+            size += len(low)
+            if size >= FLUSH:
+                add()
     if at is not None:
         yield found()
 
