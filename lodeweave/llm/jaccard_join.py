@@ -6,8 +6,8 @@ shingle among their first n - ceil(0.8 n) + 1 ones, their prefixes. Sets with th
 the join works on groups: each shingle lists the groups with it in their prefix, pairs of groups are filtered by size
 and position, then the pairs are expanded into sets and the sets compared in full.
 
-Not all pairs inside a large class of near copies are compared. Round one compares the neighbours in each shingle's list
-(ordered by size), and the sets of one group as a chain; components of those links follow. Round two compares every
+Not all pairs inside a large class of near copies are compared. Round one compares the first set of each size class in a
+shingle's list with the others of the class, and the sets of one group as a chain; components of those links follow. Round two compares every
 remaining pair of a list whose two sets are in different components. A pair that is never compared is thus one whose
 two sets are linked already, so the components are those of the full join.
 """
@@ -230,9 +230,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = full.groupBy("gid").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min("sid").alias("sid"))
 
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    order = Window.partitionBy("token").orderBy("n", "gid")
-    before = F.lag(F.struct("gid", "n", "pos")).over(order)
-    listed = postings.withColumns({"p": before, "more": F.lead("gid").over(order).isNotNull()}).where("p IS NOT NULL OR more")
+    # of the sets of one size class the first is compared with the others, and with one of the class below
+    postings = postings.withColumn("size_class", F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR))))
+    order = Window.partitionBy("token").orderBy("size_class", "gid")
+    posting = F.struct("gid", "n", "pos")
+    pivot = F.first(posting).over(Window.partitionBy("token", "size_class").orderBy("gid"))
+    listed = postings.withColumns({"before": F.lag(posting).over(order), "more": F.lead("gid").over(order).isNotNull()}).where("before IS NOT NULL OR more")
+    listed = listed.withColumn("pivot", pivot).withColumn("p", F.when(F.col("pivot.gid") == F.col("gid"), F.col("before")).otherwise(F.col("pivot")))
     listed = listed.withColumns({"pn": F.col("p.n"), "pp": F.col("p.pos")})
     listed = materialize(listed.select("token", "gid", "n", "pos", F.when(_fits("n", "pos", "pn", "pp"), F.col("p.gid")).alias("prev")), "postings")
 
