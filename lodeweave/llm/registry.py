@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language, line_dedup, suffix_dedup, token_files
+from lodeweave.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language, line_dedup, suffix_dedup, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": token_files.op5_token_files,
         "op6_bpe": bpe.op6_bpe,
         "op7_language_id": language.op7_language_id,
+        "op8_url_filter": url_filter.op8_url_filter,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
@@ -26,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_url_filter": url_filter.ORACLE_SQL,
     }
