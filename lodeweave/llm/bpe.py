@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are encoded in pieces of about so many characters, and so many words are remembered, in each task.
-PIECE, REMEMBERED = 2_000_000, 200_000
+PIECE, REMEMBERED = 2_000_000, 400_000
 #: How the vocabulary's texts are cut into words (fixed by its published format).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -52,6 +52,9 @@ class Vocabulary:
             self.left.append(ids[a])
             self.right.append(ids[b])
             self.made.append(ids[a + b])
+        keys = np.array([(a << 32) | b for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {c: b for b, c in chars.items()}
         self.bytes: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in ids.items() if all(c in back for c in t)}
@@ -64,6 +67,17 @@ class Vocabulary:
             return WORD.findall(text)
         return [w for part in self.split.split(text) for w in ([part] if part in self.special else WORD.findall(part))]
 
+    def _first_places(self, symbols: np.ndarray, following: np.ndarray) -> dict[int, list[int]]:
+        """Positions of each mergeable pair, by rank."""
+        at = np.flatnonzero(following >= 0)
+        key = (symbols[at] << 32) | symbols[following[at]]
+        near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[near] == key
+        at, ranks = at[hit], self.key_ranks[near[hit]]
+        order = np.argsort(ranks, kind="stable")
+        found, starts = np.unique(ranks[order], return_index=True)
+        return {r: own.tolist() for r, own in zip(found.tolist(), np.split(at[order], starts[1:]), strict=True)} if len(found) else {}
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, merged over all of them at once."""
         raw = [w.encode() for w in words]
@@ -79,10 +93,7 @@ class Vocabulary:
             following[start - 1] = -1
 
         rank = self.rank
-        places: dict[int, list[int]] = {}
-        for i in range(size):
-            if (j := following[i]) >= 0 and (r := rank.get((symbols[i], symbols[j]))) is not None:
-                places.setdefault(r, []).append(i)
+        places = self._first_places(np.array(symbols, np.int64), np.array(following, np.int64))
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -150,15 +161,26 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _decoded(ids: pa.ListScalar, table: list[bytes]) -> str:
+    if not ids.is_valid:
+        return ""
+    found = np.asarray(ids.values)
+    found = found[(found >= 0) & (found < len(table))]
+    return b"".join(map(table.__getitem__, found.tolist())).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, text`` for each row of ``encoded``; ids that the vocabulary lacks give nothing, broken characters U+FFFD."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path).bytes
+        known = vocabulary(path).bytes
+        table = [known.get(i, b"") for i in range(max(known) + 1)]
         for batch in batches:
-            texts = [b"".join([table.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            for at in range(0, batch.num_rows, 200):  # the ids of a few texts at a time become Python's
+                part = batch.slice(at, 200)
+                texts = [_decoded(ids, table) for ids in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
