@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from lodeweave.plans import pools
+
+MODULES = [pools]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
