@@ -12,6 +12,7 @@ can lie in any store that Spark reaches.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -29,14 +30,13 @@ from lodeweave.operators.materialize import scratch_path
 
 END = 2
 #: Text that goes into one file, in bytes; a reader holds one file at a time.
-FILE_BYTES = 48 << 20
+FILE_BYTES = 24 << 20
 #: Distinct pieces of text whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 _HEAD, _BODY = struct.Struct("<Q"), struct.Struct("<BBq")
 _CRC = struct.Struct("<I")
-_GAPS = re.compile("[ \n]")
-#: Letters that Unicode normalisation leaves alone, then marks: the tokenizer always cuts between the two.
-_WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&]+)")
+#: Letters that Unicode normalisation leaves alone, then marks: the tokenizer always cuts between the two, and nowhere in the letters.
+_WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&]*)")
 
 
 def masked(data: bytes) -> int:
@@ -68,30 +68,47 @@ class Encoder:
     """The tokenizer over pieces of text between blanks, each piece once; the tokenizer never joins text across a blank."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: many in one text, each up to its token that ends a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, f"<u{self.width}")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces not met before: of a word with marks behind it, the lower-cased word and the marks."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = [p for p in pieces if p not in known]
-        split = {p: (m[1].lower(), m[2]) for p in new if (m := _WORD_MARKS.fullmatch(p))}
-        base = list({x for p in new for x in split.get(p, (p,)) if x not in known})
-        known.update(zip(base, self._encode(base), strict=True))
-        for p, (word, marks) in split.items():
-            known[p] = known[word] + known[marks]
+        new = list(pieces.difference(known))
+        parts = [m.groups() if (m := _WORD_MARKS.fullmatch(p)) else None for p in new]
+        lower = {m[0]: m[0].lower() for m in parts if m}
+        words = list(set(lower.values()).difference(known))
+        known.update(zip(words, self._encode_words(words), strict=True))
+        others = list({m[1] if m else p for p, m in zip(new, parts, strict=True)}.difference(known))
+        known.update(zip(others, self._encode(others), strict=True))
+        known.update((p, known[lower[m[0]]] + known[m[1]]) for p, m in zip(new, parts, strict=True) if m)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes, without the end id."""
-        pieces = [_GAPS.split(t) for t in texts]
-        self.learn({p for own in pieces for p in own})
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*pieces))
         return [b"".join(map(self.known.__getitem__, own)) for own in pieces]
 
 
