@@ -147,10 +147,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         known: dict[str, bytes] = dict(special)
         for doc_ids, texts in _pieces(batches):
             words = [vocab.words(t) for t in texts]
-            new = list({w for own in words for w in own if w not in known})
+            new = list(set().union(*words).difference(known))
             if len(known) + len(new) > REMEMBERED:
                 known = dict(special)
-                new = list({w for own in words for w in own if w not in known})
+                new = list(set().union(*words).difference(known))
             for w, ids in zip(new, vocab.encode_words(new), strict=True):
                 known[w] = np.array(ids, np.int32).tobytes()
             found = [b"".join(map(known.__getitem__, own)) for own in words]
