@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import pools
+from lodeweave.plans import pools, reuse
 
-MODULES = [pools]
+MODULES = [pools, reuse]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
