@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import pools, reuse
+from lodeweave.plans import graph, pools, reuse
 
-MODULES = [pools, reuse]
+MODULES = [pools, reuse, graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
