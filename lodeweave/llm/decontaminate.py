@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm.text import ALPHANUMERIC, WORDS, distinct, mix, shingles
+from lodeweave.llm.text import ALPHANUMERIC, WORDS, distinct, mix, shingles, slices
 
 SIMILARITY = 0.8
 RADIUS = 15
@@ -146,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = shipped.value
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if text and index.items and len(w := words(text)) >= WORDS:
@@ -169,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = shipped.value
-            for batch in batches:
+            for batch in slices(batches):
                 clean = []
                 for text in batch.column(at).to_pylist():
                     w = words(text or '')

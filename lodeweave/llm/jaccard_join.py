@@ -7,8 +7,9 @@ the join works on groups: each shingle lists the groups with it in their prefix,
 and position, then the pairs are expanded into sets and the sets compared in full.
 
 Not all pairs inside a large class of near copies are compared. Round one compares the first set of each size class in a
-shingle's list with the others of the class, and the sets of one group as a chain; components of those links follow. Round two compares every
-remaining pair of a list whose two sets are in different components. A pair that is never compared is thus one whose
+shingle's list with the others of the class, and the sets of one group as a chain; components of those links follow. Further rounds
+compare the sets outside a list's main component with a few members of it, as long as many pairs are open; the last one
+compares every remaining pair of a list whose two sets are in different components. A pair that is never compared is thus one whose
 two sets are linked already, so the components are those of the full join.
 """
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm.text import SPACED, distinct, shingles
+from lodeweave.llm.text import SPACED, distinct, shingles, slices
 from lodeweave.operators.components import connected_components
 from lodeweave.operators.materialize import materialize
 
@@ -31,7 +32,10 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Shingles in fewer documents count as rare; at most so many frequent ones are told apart, which bounds their broadcast to 4 MB.
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Document frequencies are counted in 2**32 counters, 2**20 of them in one slot.
-SLOT_BITS, LOW_BITS, FLUSH = 12, 20, 1 << 22
+LOW_BITS, FLUSH = 20, 1 << 21
+#: While more than ``FEW`` pairs for each set are open, the sets outside a list's main component are compared with 4, 16, 64
+#: and 256 delegates of it in turn, as long as that settles some; then all pairs that are still open are compared.
+FEW, DELEGATES, MOST_ROUNDS = 2, 4, 4
 #: Bits of the id filter that texts pass before they are shuffled.
 FILTER_WORDS = 1 << 16
 
@@ -62,7 +66,7 @@ def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [part[s].tobytes() + low[ends[s] - part[s].sum() : ends[s]].tobytes() for s in slots]
         return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(blobs, pa.binary())], names=["slot", "ids"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for text in _binary(batch.column(0)):
             if text:
                 found = (shingle_set(text) >> np.uint64(32)).astype(np.uint32)
@@ -138,7 +142,7 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             n, sid, gid, prefixes = [], [], [], []
             for text in _binary(batch.column(1)):
                 own = shingle_set(text or b"")
@@ -191,7 +195,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(bits.value, bitorder="little").astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc", "text"]).filter(pa.array(bitmap[np.asarray(batch.column(2))]))
 
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_WORDS * 64))
@@ -201,7 +205,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns[:2]), *(_binary(c) for c in batch.columns[2:]), strict=True):
                 if len(known) > 256:
@@ -251,20 +255,54 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = sets.select("sid", "doc", F.lag("sid").over(chain).alias("a"), F.lag("doc").over(chain).alias("doc_a")).where("a IS NOT NULL")
     round_one = materialize(compare(docs, between.unionByName(within.select("a", F.col("sid").alias("b"), "doc_a", F.col("doc").alias("doc_b")))), "links")
 
-    member = connected_components(round_one, "a", "b")
-    placed = sets.join(member.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc", "n", "gid", F.coalesce("component", "sid").alias("c"))
-    placed = materialize(placed, "placed")
-    crowded = placed.join(firsts.where("members > 1").select("gid"), "gid", "left_semi").select(F.col("gid").alias("token"), "sid", "doc", "n", F.lit(0).alias("pos"), "c")
-    lists = listed.select("token", "gid", "pos").join(placed, "gid").select("token", "sid", "doc", "n", "pos", "c").unionByName(crowded)
-    shares = lists.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    open_lists = shares.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    unsettled = materialize(lists.join(open_lists, "token"), "unsettled")
-    minor = unsettled.where("c <> main").select("token", F.col("sid").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
-    other = unsettled.select("token", F.col("sid").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), "main")
-    rest = minor.join(other, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("na", "pa", "nb", "pb"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("doc_a")).otherwise(F.col("doc_b")).alias("doc_a"), F.when(F.col("a") < F.col("b"), F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc_b"))
-    round_two = compare(docs, rest.distinct())
-    return sketch, materialize(round_one.unionByName(round_two), "links")
+    crowded = sets.join(firsts.where("members > 1").select("gid"), "gid", "left_semi").select(F.col("gid").alias("token"), "sid", F.lit(0).alias("pos"))
+    lists = listed.select("token", "gid", "pos").join(sets.select("sid", "gid"), "gid").select("token", "sid", "pos").unionByName(crowded)
+    found, size, before = round_one, sets.count(), None
+    for salt in range(MOST_ROUNDS):
+        unsettled, pairs = _unsettled(lists, sets, found)
+        if pairs <= FEW * size or (before is not None and pairs > 0.98 * before):
+            break
+        before = pairs
+        found = materialize(found.unionByName(compare(docs, _with_delegates(unsettled, salt, DELEGATES ** (salt + 1)))), "links")
+    else:
+        unsettled, _ = _unsettled(lists, sets, found)
+    return sketch, materialize(found.unionByName(compare(docs, _remaining(unsettled))), "links")
+
+
+def _unsettled(lists: DataFrame, sets: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """Members of lists that hold several components, with the list's largest one as ``main``; and how many pairs those make at most."""
+    member = connected_components(found, "a", "b").withColumnRenamed("node", "sid")
+    placed = sets.join(member, "sid", "left").select("sid", "doc", "n", F.coalesce("component", "sid").alias("c"))
+    rows = lists.join(placed, "sid")
+    shares = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    several = shares.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = materialize(several, "lists")
+    pairs = several.agg(F.sum(F.col("total") * (F.col("total") - F.col("most")))).first()[0] or 0
+    return materialize(rows.join(several.select("token", "main"), "token"), "unsettled"), pairs
+
+
+def _sides(minor: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs of members of one list in different components that pass the filters, each once."""
+    x = minor.select("token", F.col("sid").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
+    y = other.select("token", F.col("sid").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"), "main")
+    pairs = x.join(y, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("na", "pa", "nb", "pb"))
+    ordered = F.col("a") < F.col("b")
+    return pairs.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(ordered, F.col("doc_a")).otherwise(F.col("doc_b")).alias("doc_a"), F.when(ordered, F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc_b"),
+    ).distinct()
+
+
+def _with_delegates(unsettled: DataFrame, salt: int, delegates: int) -> DataFrame:
+    """Pairs of the members outside a list's main component with a few members of it, the same few wherever they are listed."""
+    order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(salt), "sid"))
+    main = unsettled.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= delegates).drop("k")
+    return _sides(unsettled.where("c <> main"), main)
+
+
+def _remaining(unsettled: DataFrame) -> DataFrame:
+    """All pairs of members of one list that are in different components: one of each pair is outside the main one."""
+    return _sides(unsettled.where("c <> main"), unsettled)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

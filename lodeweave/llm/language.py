@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.text import slices
+
 DIM = 1 << 15
 SIZES = (1, 2, 3, 4)
 PER_LANGUAGE = 300
@@ -131,7 +133,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             found = model.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
@@ -150,7 +152,7 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             kept = pa.array([x[0] != UNKNOWN for x in model.score(batch.column(at).to_pylist())], pa.bool_())
             yield batch.filter(kept)
 
