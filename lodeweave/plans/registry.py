@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import graph, pools, reuse
+from lodeweave.plans import graph, pools, reuse, serving
 
-MODULES = [pools, reuse, graph]
+MODULES = [pools, reuse, graph, serving]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
