@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import graph, pools, reuse, serving
+from lodeweave.plans import graph, increments, pools, reuse, serving
 
-MODULES = [pools, reuse, graph, serving]
+MODULES = [pools, reuse, graph, serving, increments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
