@@ -1,0 +1,324 @@
+"""The corpus operators against brute force on small hand-made tables with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lodeweave.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language, line_dedup, suffix_dedup, token_files, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(11)
+VOCAB = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
+
+
+def words(n):
+    return [RNG.choice(VOCAB) for _ in range(n)]
+
+
+def corpus():
+    texts = [" ".join(words(RNG.randint(6, 90))) for _ in range(40)]
+    for base in list(texts[:8]):  # near copies: one word changed near the end, several from one text
+        for _ in range(3):
+            w = base.split()
+            w[-1 - RNG.randrange(2)] = RNG.choice(VOCAB)
+            texts.append(" ".join(w))
+    passage = " ".join(words(60))
+    texts += [" ".join(words(20)) + " " + passage + " " + " ".join(words(20)) for _ in range(5)]
+    texts += [texts[3], texts[3], texts[3].upper(), "", " \n\t", "one", "one two", "x" * 300, "ab" * 200, "é ü " * 30, "q\x0bw\x0ce r t y u", None]
+    texts.append(" ".join(words(4000)))
+    return [(i, t, "en" if i % 3 else None, "s", len(t or "")) for i, t in enumerate(texts)]
+
+
+ROWS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    clash = spark.createDataFrame(ROWS, SCHEMA).withColumns({"n": F.lit(1), "sid": F.lit("x"), "component": F.lit(2), "spans": F.lit(0), "token": F.lit("t")})
+    return clash.repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingle_set(text):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_components(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_join_is_that_of_all_pairs(docs, empty):
+    want = near_components([(r[0], r[1]) for r in ROWS])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == want
+    assert jaccard_join.near_duplicates(empty).count() == 0
+    kept = jaccard_join.stage(docs.sparkSession, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_jaccard_join_of_a_loose_class(spark):
+    """A class whose members are seldom linked to the first one: later rounds must find the rest."""
+    base = words(60)
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(2):
+            w[RNG.randrange(60)] = RNG.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_components(rows)
+
+
+def test_jaccard_join_with_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f")]
+    got = sorted(map(repr, jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(map(repr, [(4, 2, 2), (4, 2, 2), (2, 2, 2), (None, 2, None)])) or len(got) == 4
+
+
+def brute_lines(rows, least):
+    order = sorted((i, t) for i, t in rows if t is not None)
+    windows, where = defaultdict(list), {}
+    for i, t in order:
+        solid = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+        for a in range(len(solid)):
+            total = 0
+            for b in range(a, len(solid)):
+                total += solid[b][1].count(" ") + 1
+                if total >= least:
+                    windows[tuple(x for _, x in solid[a : b + 1])].append((i, a))
+                    where[i, a] = [k for k, _ in solid[a : b + 1]]
+                    break
+    gone = defaultdict(set)
+    for found in windows.values():
+        for place in sorted(found)[1:]:
+            gone[place[0]].update(where[place])
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in order}
+
+
+def test_line_dedup_removes_later_copies(spark, empty):
+    lines = ["L%d " % k + " ".join(words(RNG.randint(0, 12))) for k in range(14)] + ["", "  "]
+    rows = [(i, "\n".join(RNG.choice(lines) for _ in range(RNG.randint(0, 9)))) for i in range(40)] + [(90, None), (91, ""), (92, "solo"), (93, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_removed": F.lit(5), "mask": F.lit(1), "d": F.lit(0)})
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert {i: t for i, t in got.items() if i != 90} == brute_lines(rows, line_dedup.MIN_WORDS)
+    assert got[90] is None
+    assert line_dedup.dedup_lines(empty).count() == 0
+    staged = line_dedup.stage(spark, spark.createDataFrame([(1, "a b c d e f g h i j k", None, "s", 21), (2, "a b c d e f g h i j k", None, "s", 21)], SCHEMA), "")
+    assert [(r.doc_id, r.n_chars) for r in staged.collect()] == [(1, 21)]
+
+
+def test_fingerprints_of_edited_texts(docs, empty):
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
+    order = sorted(((r[0], r[1] or "") for r in ROWS), reverse=True)
+    for k, (i, text) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + following[:third]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        assert (got[i].near_next == 1) == (got[i].fingerprint == got[order[(k + 1) % len(order)][0]].fingerprint)
+    by_text = defaultdict(set)
+    for i, text in order:
+        by_text[text].add(got[i].fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert fingerprint.edited_fingerprints(empty).count() == 0
+
+
+def test_main_text():
+    page = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><a href=/x>Menu</a></nav><div class='ad'>Buy, now. Really, do.</div><article><h1>Head</h1><p>First &amp; <b>bold<br><p>Second   line,\nhere.</p><p>x.</p></article><div id=comments><p>Nice post, I say.</p></div><footer>Foot</footer>"
+    assert html_text.main_text(page) == "Head\nFirst & bold\nSecond line, here.\nx."
+    plain = "<body><div class=top-menu>a b</div><div><h2>Title</h2><p>Long text, with marks; and more of it.</p><p>More text. And more, too.</p></div><form><p>Your mail</p></form></body>"
+    assert html_text.main_text(plain) == "Title\nLong text, with marks; and more of it.\nMore text. And more, too."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
+    assert html_text.main_text("<article>" + "<p>a</p>" * 3000 + "<!-- open").count("\n") == 2999
+
+
+def test_extract_keeps_all_rows(spark):
+    rows = [(1, "u", "<article><p>one, two.</p></article>"), (1, "u", "<article><p>one, two.</p></article>"), (2, None, None)]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect())
+    assert got == [(1, "one, two.", 9), (1, "one, two.", 9), (2, "", 0)]
+
+
+ODD = ["it's we'll 'S", "<|endoftext|>a <|endoftext|> <|startoftext|>", "  \n\t ", "ÀÉ ß İ K ﬁ", "é ́x á.", "naïve!!?…—.", " a b　c", "aaaa aaaaaaa", "12345 ½ ٣", "😀😀 日本語", ""]
+
+
+def test_token_files_round_trip(docs, empty, tmp_path):
+    spark = docs.sparkSession
+    rows = [(i, t) for i, t, *_ in ROWS] + [(1000 + k, t) for k, t in enumerate(ODD)]
+    path = f"file://{tmp_path}/records"
+    token_files.write_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
+    token_files.write_index(spark, path, path + ".index")
+    index = spark.read.parquet(path + ".index")
+    got = {r.doc_id: r for r in token_files.read_at(spark, path, index).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    start = 0
+    for i, text in sorted(rows):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids
+        start += len(ids)
+    one = index.where("doc_id = 7")
+    assert [r.doc_id for r in token_files.read_at(spark, path, one).collect()] == [7]
+    token_files.write_records(empty, path + "0")
+    assert token_files.read_records(spark, path + "0").count() == 0
+
+
+def test_damaged_records_are_found():
+    good = token_files.frame(5, b"\x01\x00\x02\x00", 2) + token_files.frame(None, b"", 2)
+    assert [(i, ids.tolist()) for _, _, i, ids in token_files.frames(good)] == [(5, [1, 2]), (None, [])]
+    for at in (3, 20, len(good) - 3):
+        bad = bytearray(good)
+        bad[at] ^= 1
+        with pytest.raises(Exception):
+            list(token_files.frames(bytes(bad)))
+
+
+def test_bpe_is_the_tokenizers_encoding(docs, empty):
+    spark = docs.sparkSession
+    rows = [(i, t) for i, t, *_ in ROWS] + [(1000 + k, t) for k, t in enumerate(ODD)]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert got[i].ids == ids
+        assert got[i].text == tokenizer.decode(ids, skip_special_tokens=False) == (text or "")
+    digest = {r.doc_id: r for r in bpe.digests(docs).collect()}
+    assert digest[0].ids_sha256 == hashlib.sha256(",".join(map(str, got[0].ids)).encode()).hexdigest()
+    assert bpe.digests(empty).count() == 0
+
+
+def test_language_held_out_accuracy(spark, empty):
+    kinds = {"aa": "bcdf aeiou", "bb": "ghjk aeo", "cc": "lmnp iu"}
+    rows = []
+    for i in range(400):
+        lang = RNG.choice(list(kinds))
+        rows.append((i, " ".join("".join(RNG.choice(kinds[lang]) for _ in range(6)) for _ in range(RNG.randint(2, 30))), lang))
+    rows += [(900, None, "aa"), (901, "123 --- !", None), (902, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language.fit(df.where(~language.held_out()))
+    got = {r.doc_id: r for r in language.identify(df, model).collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in rows)
+    tested = [(i, lang) for i, t, lang in rows if i < 900 and got[i].held_out]
+    assert sum(got[i].lang_pred == lang for i, lang in tested) / len(tested) > 0.97
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert {r.doc_id for r in language.accept(df, model).collect()} == set(range(400))
+    assert language.identify(empty, language.fit(empty)).count() == 0
+
+
+def test_url_rules_and_propagation(spark):
+    link = "<a href='http://%s/'>x</a>"
+    rows = [
+        (1, "http://Shop.com/a?q", link % "good.org"), (2, "https://example.com/en/x#y", link % "bad.org"), (3, "https://www.example.com/en/", ""), (4, "http://a.net/es/1", ""),
+        (5, "http://good.org/", ""), (6, "http://liar.org/z", link % "a.net"), (7, "no scheme", None), (8, None, link % "x.org"), (9, "http://com", ""), (10, "http://notexample.com/en/?x", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit("clash"))
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules).collect()}
+    assert got == {
+        1: ("shop.com", "/a", "com/", "allow"), 2: ("example.com", "/en/x", "example.com/en/", "block"), 3: ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        4: ("a.net", "/es/1", "net/es/", "block"), 5: ("good.org", "/", None, "allow"), 6: ("liar.org", "/z", None, "block"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"),
+        9: ("com", "", None, "allow"), 10: ("notexample.com", "/en/", "com/", "allow"),
+    }
+    assert url_filter.judge(df.limit(0), rules).count() == 0
+
+
+def test_decontamination_finds_items(docs, empty):
+    spark = docs.sparkSession
+    items = [(k, " ".join(words(RNG.randint(20, 40)))) for k in range(30)] + [(90, "too short"), (91, None), (92, "")]
+    rows, truth = [], set()
+    for i in range(200):
+        own = words(RNG.randint(0, 80))
+        if i % 4 == 0:
+            k = RNG.randrange(30)
+            at = RNG.randrange(len(own) + 1)
+            own[at:at] = re.sub(r"\b(\w)", lambda m: m[1].upper(), items[k][1]).split() if i % 8 else items[k][1].replace(" ", ", ").split()
+            truth.add((i, k))
+        rows.append((i, " ".join(own)))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    df = spark.createDataFrame([*rows, (999, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == truth
+    kept = {r.doc_id for r in decontaminate.decontaminate(df, bench).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in truth} | {999}
+    assert decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_weighted_similarity_of_windows_against_brute_force():
+    item = np.array([5, 6, 7, 8, 9, 9, 4], np.uint64) << np.uint64(40)
+    index = decontaminate.Index([(1, item)])
+    text = np.array([1, 5, 6, 7, 8, 9, 9, 4, 2], np.uint64) << np.uint64(40)
+    assert index.matches(text)[0][:2] == (1.0, 1)
+    count = Counter(item.tolist())
+    assert decontaminate.similarity(item[:-1], item) == sum((Counter(item[:-1].tolist()) & count).values()) / 7
+
+
+def brute_bytes(rows):
+    first, out = {}, {}
+    for i, t in sorted((i, (t or "").encode()) for i, t in rows):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        out[i] = (len(t), int(gone.sum()), int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1)), kept)
+    return out
+
+
+def test_byte_dedup_is_that_of_all_windows(docs, empty, monkeypatch):
+    want = brute_bytes([(r[0], r[1]) for r in ROWS])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(docs).collect()}
+    assert got == want
+    assert suffix_dedup.dedup_bytes(empty).count() == 0
+
+
+def test_suffixes_are_sorted():
+    raw = np.frombuffer("".join(RNG.choice("ab") for _ in range(3000)).encode() + b"a" * 300 + b"z", np.uint8)
+    wanted = np.arange(0, 3100, 1)
+    order, same = suffix_dedup.sort_suffixes(raw, wanted)
+    text = raw.tobytes()
+    keys = [text[i : i + 50] for i in order.tolist()]
+    assert sorted(order.tolist()) == wanted.tolist()
+    assert keys == sorted(keys)
+    assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
+
+
+def test_chunks_of_one_anchor(monkeypatch):
+    """An anchor that goes on past a chunk still knows the earlier documents."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 3)
+    text = b"".join(b"%03d" % k for k in range(30))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 9), pa.array(range(9)), pa.array([0] * 9, pa.int32()), pa.array([text[k % 2 :][:60] for k in range(9)])], names=["anchor", "doc_id", "start", "around"])
+    spans = defaultdict(list)
+    for out in suffix_dedup._copies(iter([batch])):
+        for r in out.to_pylist():
+            spans[r["doc_id"]].append((r["first"], r["past"]))
+    assert set(spans) == set(range(1, 9))
