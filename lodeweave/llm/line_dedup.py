@@ -83,12 +83,18 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFra
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs``, all columns, with the later copies of repeated runs taken out of ``text``; plus ``n_lines, n_removed``.
+    """``docs`` with the later copies of repeated runs taken out of ``text``; plus ``n_lines, n_removed``, which replace columns of these names.
 
     Order is by id, then by a hash of the text, then by line; the first occurrence stays. Blank lines are never
     removed and don't break a run; rows with equal id and text are one document and are changed alike; null and empty
     texts stay as they are. A document shorter than ``min_words`` words is left alone.
     """
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _without_copies(docs.select(*own), min_words).withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+
+
+def _without_copies(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs``, all columns, changed as above; plus ``__n_lines, __n_removed``."""
     lines, copies = repeated_lines(docs, min_words)
     flagged = lines.join(copies.withColumn("gone", F.lit(True)), ["d", "t", "j"], "left")
     masks = (
@@ -115,11 +121,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = F.array_join(F.filter(split, lambda x, i: ~F.coalesce(F.get(F.col("__mask"), i), F.lit(False))), "\n")
     return joined.withColumns(
         {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"),
-            "n_removed": F.coalesce("__n_removed", F.lit(0)).cast("long"),
+            "__n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"),
+            "__removed": F.coalesce("__n_removed", F.lit(0)).cast("long"),
             "text": F.when(F.col("__n_removed").isNull(), F.col("text")).otherwise(kept),
         }
-    ).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    ).select(*docs.columns, "__n_lines", F.col("__removed").alias("__n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +136,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated runs go; a document goes if all that it holds are such copies."""
-    out = dedup_lines(docs).where("n_removed = 0 OR trim(translate(text, chr(10), '')) <> ''")
+    out = _without_copies(docs, MIN_WORDS).where("__n_removed = 0 OR trim(translate(text, chr(10), '')) <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns) if {"n_lines", "n_removed"}.isdisjoint(docs.columns) else out.drop("n_lines", "n_removed")
+    return out.select(*docs.columns)
 
 
 ORACLE_SQL = f"""

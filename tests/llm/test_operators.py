@@ -133,6 +133,8 @@ def test_line_dedup_removes_later_copies(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
     staged = line_dedup.stage(spark, spark.createDataFrame([(1, "a b c d e f g h i j k", None, "s", 21), (2, "a b c d e f g h i j k", None, "s", 21)], SCHEMA), "")
     assert [(r.doc_id, r.n_chars) for r in staged.collect()] == [(1, 21)]
+    clash = line_dedup.stage(spark, df, "")
+    assert clash.columns == df.columns and {r.n_removed for r in clash.collect()} == {5}
 
 
 def test_fingerprints_of_edited_texts(docs, empty):
