@@ -45,14 +45,14 @@ class Vocabulary:
         chars = byte_characters()
         self.first = [ids[chars[b]] for b in range(256)]
         self.left, self.right, self.made = [], [], []
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # by left id * 2**32 + right id
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.rank[ids[a], ids[b]] = rank
+            self.rank[(ids[a] << 32) | ids[b]] = rank
             self.left.append(ids[a])
             self.right.append(ids[b])
             self.made.append(ids[a + b])
-        keys = np.array([(a << 32) | b for a, b in self.rank], np.int64)
+        keys = np.array(list(self.rank), np.int64)
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -78,8 +78,8 @@ class Vocabulary:
         found, starts = np.unique(ranks[order], return_index=True)
         return {r: own.tolist() for r, own in zip(found.tolist(), np.split(at[order], starts[1:]), strict=True)} if len(found) else {}
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, merged over all of them at once."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as 32-bit integers, merged over all of them at once."""
         raw = [w.encode() for w in words]
         symbols = [self.first[b] for w in raw for b in w]
         size = len(symbols)
@@ -92,31 +92,37 @@ class Vocabulary:
             start += len(w)
             following[start - 1] = -1
 
-        rank = self.rank
+        rank = self.rank.get
         places = self._first_places(np.array(symbols, np.int64), np.array(following, np.int64))
         active = list(places)
         heapq.heapify(active)
         while active:
             now = heapq.heappop(active)
             left, right, made = self.left[now], self.right[now], self.made[now]
-            for i in sorted(places.pop(now)):
+            pair_of_one, own = made << 32, places.pop(now)
+            if left == right:
+                own.sort()  # of overlapping pairs the first counts
+            for i in own:
                 if symbols[i] != left or (j := following[i]) < 0 or symbols[j] != right:
                     continue  # merged into another symbol meanwhile
                 symbols[i], symbols[j] = made, -1
                 k = following[i] = following[j]
                 if k >= 0:
                     before[k] = i
-                    if (r := rank.get((made, symbols[k]))) is not None:
+                    if (r := rank(pair_of_one | symbols[k])) is not None:
                         if r not in places:
                             places[r] = []
                             heapq.heappush(active, r)
                         places[r].append(i)
-                if (h := before[i]) >= 0 and (r := rank.get((symbols[h], made))) is not None:
+                if (h := before[i]) >= 0 and (r := rank(symbols[h] << 32 | made)) is not None:
                     if r not in places:
                         places[r] = []
                         heapq.heappush(active, r)
                     places[r].append(h)
-        return [[s for s in symbols[a : a + len(w)] if s >= 0] for a, w in zip(starts, raw, strict=True)]
+        found = np.array(symbols, np.int32)
+        ends = np.cumsum(np.concatenate([[0], found >= 0]))[[*starts, size]] * 4
+        ids = found[found >= 0].tobytes()
+        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -151,8 +157,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             if len(known) + len(new) > REMEMBERED:
                 known = dict(special)
                 new = list(set().union(*words).difference(known))
-            for w, ids in zip(new, vocab.encode_words(new), strict=True):
-                known[w] = np.array(ids, np.int32).tobytes()
+            known.update(zip(new, vocab.encode_words(new), strict=True))
             found = [b"".join(map(known.__getitem__, own)) for own in words]
             offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
