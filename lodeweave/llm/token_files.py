@@ -16,8 +16,9 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -26,17 +27,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeweave.operators.materialize import scratch_path
+from lodeweave.operators.materialize import materialize, scratch_path
 
 END = 2
 #: Text that goes into one file, in bytes; a reader holds one file at a time.
 FILE_BYTES = 24 << 20
 #: Distinct pieces of text whose ids a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _HEAD, _BODY = struct.Struct("<Q"), struct.Struct("<BBq")
 _CRC = struct.Struct("<I")
-#: Letters that Unicode normalisation leaves alone, then marks: the tokenizer always cuts between the two, and nowhere in the letters.
-_WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&]*)")
+#: Letters that Unicode normalisation leaves alone: the tokenizer never cuts between them.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks behind such a letter up to a blank: the tokenizer always cuts before them.
+_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*#$%&]+(?:[ \n]|\Z))")
 
 
 def masked(data: bytes) -> int:
@@ -64,6 +67,18 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at += size + 17
 
 
+def heads(content: bytes) -> Iterator[tuple[int, int, int | None, int]]:
+    """(offset, length, doc_id, number of ids) of each record, from the frames alone."""
+    at = 0
+    while at < len(content):
+        (size,) = _HEAD.unpack_from(content, at)
+        if content[at + 8 : at + 12] != _CRC.pack(masked(content[at : at + 8])):
+            raise ValueError(f"damaged record at byte {at}")
+        missing, width, doc_id = _BODY.unpack_from(content, at + 12)
+        yield at, size + 17, None if missing else doc_id, (size - _BODY.size) // width
+        at += size + 17
+
+
 class Encoder:
     """The tokenizer over pieces of text between blanks, each piece once; the tokenizer never joins text across a blank."""
 
@@ -92,22 +107,21 @@ class Encoder:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pieces not met before: of a word with marks behind it, the lower-cased word and the marks."""
+        """Encode pieces not met before; words of plain letters together, lower-cased."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list(pieces.difference(known))
-        parts = [m.groups() if (m := _WORD_MARKS.fullmatch(p)) else None for p in new]
-        lower = {m[0]: m[0].lower() for m in parts if m}
-        words = list(set(lower.values()).difference(known))
-        known.update(zip(words, self._encode_words(words), strict=True))
-        others = list({m[1] if m else p for p, m in zip(new, parts, strict=True)}.difference(known))
+        new = pieces.difference(known)
+        words = {p: p.lower() for p in new if _WORD.fullmatch(p)}
+        lower = list(set(words.values()).difference(known))
+        known.update(zip(lower, self._encode_words(lower), strict=True))
+        known.update((p, known[w]) for p, w in words.items())
+        others = list(new.difference(words))
         known.update(zip(others, self._encode(others), strict=True))
-        known.update((p, known[lower[m[0]]] + known[m[1]]) for p, m in zip(new, parts, strict=True) if m)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes, without the end id."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [_MARKS.sub(r"\1 \2", t).replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*pieces))
         return [b"".join(map(self.known.__getitem__, own)) for own in pieces]
 
@@ -137,32 +151,32 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``file, offset, length, doc_id, n_tokens, before, ids_crc32, ids`` of all records; ``before``: tokens before it in its file."""
-    schema = "file string, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long, ids binary"
+def _scan(spark: SparkSession, path: str, schema: str, rows_of: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """``file`` and what ``rows_of`` finds in its bytes; one file at a time is in a task's memory."""
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, before = [], 0
-                for offset, length, doc_id, ids in frames(content.as_buffer().to_pybytes()):
-                    wide = ids.astype("<u4").tobytes()
-                    rows.append((file, offset, length, doc_id, len(ids), before, zlib.crc32(wide), wide))
-                    before += len(ids)
-                    if len(rows) == 2000:
-                        yield _batch(rows, names)
-                        rows = []
-                if rows:
-                    yield _batch(rows, names)
+                rows = ((file, *r) for r in rows_of(content.as_buffer().to_pybytes()))
+                while part := list(islice(rows, 2000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), types, strict=True)], names=names)
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content").mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), *[pa.int64()] * 6, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """``file, offset, doc_id, ids_crc32`` and ``ids`` (binary, 32 bits each) of all records, their checksums verified."""
+
+    def rows_of(content: bytes) -> Iterator[tuple]:
+        for offset, _, doc_id, ids in frames(content):
+            wide = ids.astype("<u4").tobytes()
+            yield (offset, doc_id, zlib.crc32(wide), wide) if with_ids else (offset, doc_id, zlib.crc32(wide))
+
+    return _scan(spark, path, "file string, offset long, doc_id long, ids_crc32 long" + ", ids binary" * with_ids, rows_of)
 
 
 def with_start(records: DataFrame) -> DataFrame:
@@ -175,13 +189,20 @@ def with_start(records: DataFrame) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
     """Write the offset index of the records in ``path``, as Parquet."""
-    rows = read_records(spark, path).drop("ids", "ids_crc32")
+
+    def rows_of(content: bytes) -> Iterator[tuple]:
+        before = 0
+        for offset, length, doc_id, count in heads(content):
+            yield offset, length, doc_id, count, before
+            before += count
+
+    rows = materialize(_scan(spark, path, "file string, offset long, length long, doc_id long, n_tokens long, before long", rows_of), "heads")
     with_start(rows).select("file", "offset", "length", "doc_id", "n_tokens", "start").write.parquet(index_path)
 
 
-def read_at(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+def read_at(spark: SparkSession, path: str, index: DataFrame, with_ids: bool = True) -> DataFrame:
     """The records that the rows of ``index`` name, in whatever order a shuffled reader wants them."""
-    return index.join(read_records(spark, path).select("file", "offset", "ids", "ids_crc32"), ["file", "offset"])
+    return index.join(read_records(spark, path, with_ids).drop("doc_id"), ["file", "offset"])
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,4 +210,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     write_index(spark, path, f"{path}.index")
-    return read_at(spark, path, spark.read.parquet(f"{path}.index")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_at(spark, path, spark.read.parquet(f"{path}.index"), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
