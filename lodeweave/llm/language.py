@@ -83,18 +83,22 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ri
     names = sorted({y for _, y in pairs})
     if not names:
         return Model([], np.zeros((DIM, 0), np.float32))
-    x = np.zeros((len(pairs), DIM), np.float32)
-    for i, (g, _) in enumerate(pairs):
-        x[i, g] = 1 / np.sqrt(len(g))
+    def dense(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), DIM), np.float32)
+        for k, i in enumerate(rows):
+            out[k, pairs[i][0]] = 1 / np.sqrt(len(pairs[i][0]))
+        return out
+
     y = np.array([[name == lang for name in names] for _, lang in pairs], float)
     by_name = [np.flatnonzero(y[:, k]) for k in range(len(names))]
     share = max(1, landmarks // len(names))
     chosen = np.concatenate([rows[:share] for rows in by_name])
-    base = x[chosen]
+    base = dense(chosen)
     values, vectors = np.linalg.eigh((base @ base.T).astype(float))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    z = (x @ base.T) @ whiten
+    blocks = [dense(np.arange(at, min(at + BLOCK, len(pairs)))) @ base.T for at in range(0, len(pairs), BLOCK)]  # never all texts at once
+    z = np.concatenate(blocks) @ whiten
     weight = 1 / np.array([len(by_name[k]) for k in y.argmax(1)])  # each language counts the same
     zw = z * weight[:, None]
     beta = np.linalg.solve(z.T @ zw + ridge * np.eye(z.shape[1]), zw.T @ y)
