@@ -124,9 +124,13 @@ def _anchor_slots(slots: int) -> Callable:
     return run
 
 
-def _shared(records: Records, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which records another document shares, and which must stay to tell it of later ones: two documents for each key at most."""
-    shared, stays = np.zeros(len(fresh), bool), np.zeros(len(fresh), bool)
+def _shared(records: Records, told: np.ndarray, final: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which records to emit and which must stay to tell of later ones: two for each key at most, of two documents if there are.
+
+    Records another document shares are emitted once (``told`` marks those that were). Before the ``final`` chunk, those that
+    can't stay are emitted too, as a later document may share them.
+    """
+    shared, stays = np.zeros(len(told), bool), np.zeros(len(told), bool)
     for side in ("left", "right"):
         valid = np.flatnonzero(records[side])
         if not len(valid):
@@ -139,19 +143,23 @@ def _shared(records: Records, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray
         several = records["doc"][which[first]] != records["doc"][which[last]]
         shared[which[np.repeat(several, last - first + 1)]] = True
         stays[which[first]] = stays[which[last]] = True
-    return shared & fresh, stays
+    if not final:
+        shared |= ~stays & ((records["left"] | records["right"]) > 0)
+    return shared & ~told, stays
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, at`` (binary positions) of shared anchors; rows come by slot, and of a slot only distinct anchors are held."""
     slot, kept, new, size = None, None, [], 0
+    known = np.zeros(0, bool)  # which of those kept are emitted
 
-    def settled() -> pa.RecordBatch | None:
-        nonlocal kept, new, size
+    def settled(final: bool) -> pa.RecordBatch | None:
+        nonlocal kept, known, new, size
         records = _joined(([kept] if kept else []) + new)
-        fresh = np.arange(len(records["doc"])) >= (len(kept["doc"]) if kept else 0)
-        shared, stays = _shared(records, fresh)
-        kept, new, size = _taken(records, stays), [], 0
+        told = np.zeros(len(records["doc"]), bool)
+        told[: len(known)] = known
+        shared, stays = _shared(records, told, final)
+        kept, known, new, size = _taken(records, stays), (told | shared)[stays], [], 0
         if not shared.any():
             return None
         docs, at = records["doc"][shared], records["at"][shared]
@@ -162,14 +170,14 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if own != slot or size >= HELD:
-                if size and (out := settled()):
+                if size and (out := settled(own != slot)):
                     yield out
                 if own != slot:
-                    slot, kept = own, None
+                    slot, kept, known = own, None, known[:0]
             records = _from_blob(blob)
             new.append(records)
             size += len(records["doc"])
-    if size and (out := settled()):
+    if size and (out := settled(True)):
         yield out
 
 

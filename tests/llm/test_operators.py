@@ -324,3 +324,30 @@ def test_chunks_of_one_anchor(monkeypatch):
         for r in out.to_pylist():
             spans[r["doc_id"]].append((r["first"], r["past"]))
     assert set(spans) == set(range(1, 9))
+
+
+def test_chunks_of_one_slot(monkeypatch):
+    """Anchors alone in their chunk are found when a later chunk brings the next document, wherever the smallest id comes."""
+    import pyarrow as pa
+
+    passage = "".join(RNG.choice(VOCAB) for _ in range(40))
+    texts = ["".join(words(20)) + passage + "".join(words(20)) for _ in range(4)]
+    texts += ["".join(words(9)) + passage[:60] + "".join(words(30)) + passage[:60] + "".join(words(30)) + passage[:60], "ab" * 150, "c" + "ab" * 90, "".join(words(50))]
+    names = ["slot", "records"]
+    for order in (range(8), range(7, -1, -1), (4, 6, 1, 0, 5, 7, 2, 3)):
+        docs = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([texts[i]])], names=["doc_id", "text"]) for i in order]
+        packed = [r for d in docs for b in suffix_dedup._anchor_slots(3)(iter([d])) for r in b.to_pylist()]
+        packed = [pa.RecordBatch.from_pylist([r], pa.schema([("slot", pa.int64()), ("records", pa.binary())])).select(names) for r in sorted(packed, key=lambda r: r["slot"])]
+        for held in (1, 5, 40, 1 << 20):
+            monkeypatch.setattr(suffix_dedup, "HELD", held)
+            at = defaultdict(list)
+            for b in suffix_dedup._shared_anchors(iter(packed)):
+                for r in b.to_pylist():
+                    at[r["doc_id"]].append(r["at"])
+            rows = pa.RecordBatch.from_arrays([pa.array(list(at)), pa.array([texts[i] for i in at]), pa.array(list(at.values()), pa.list_(pa.binary()))], names=["doc_id", "text", "at"])
+            around = pa.Table.from_batches(suffix_dedup._surroundings(iter([rows]))).sort_by([("anchor", "ascending"), ("doc_id", "ascending")])
+            gone = {i: np.zeros(len(t), bool) for i, t in enumerate(texts)}
+            for b in suffix_dedup._copies(iter(around.combine_chunks().to_batches())):
+                for r in b.to_pylist():
+                    gone[r["doc_id"]][r["first"] : r["past"]] = True
+            assert {i: int(g.sum()) for i, g in gone.items()} == {i: w[1] for i, w in brute_bytes(list(enumerate(texts))).items()}
