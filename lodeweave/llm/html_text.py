@@ -3,8 +3,8 @@
 A page is a sequence of text blocks, each with the path of block-level elements from the root to it. For every path
 the length of its text and its punctuation are added up over the page and divided by its number of blocks. Both ratios
 are smoothed along the page with a Gaussian window, multiplied (fused) and compared with a threshold, their standard
-deviation; paths over it are content. The element that holds most of their text is the article, and all its blocks are
-returned, so short paragraphs stay. What the page itself names as something else (menus, footers, forms, adverts, ...)
+deviation; paths over it are content and all returned. The innermost element that holds nearly all of their text (an
+``<article>`` or ``<main>`` before others that do) is the article, whose short paragraphs stay too. What the page itself names as something else (menus, footers, forms, adverts, ...)
 takes no part, wherever it stands.
 """
 
@@ -176,15 +176,10 @@ def main_text(page: str | None) -> str:
             for k, element in enumerate(b.path):
                 score[element] += len(b.text)
                 depth[element] = k
-    named = {e for b in found for e in b.path if e[0] in ("article", "main")}
-    named = {e for e in named if score.get(e, 0)} or {e for e in named}
-    if named:  # the page says where its article is
-        best = max(named, key=lambda e: (e[0] == "article", score.get(e, 0), -e[1]))
-        chosen = [b for b in found if best in b.path]
-    else:  # the innermost element with nearly all content text; a paragraph counts as part of its parent
-        rich = [e for e, n in score.items() if n >= 0.8 * whole and e[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
-        best = max(rich, key=lambda e: depth[e], default=None)
-        chosen = [b for b, yes in zip(found, content.tolist(), strict=True) if (best in b.path if best else yes)]
+    # of the elements with nearly all content text the innermost article or main, else the innermost; a paragraph counts as part of its parent
+    rich = [e for e, n in score.items() if n >= 0.8 * whole and e[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
+    best = max(rich, key=lambda e: (e[0] in ("article", "main"), depth[e]), default=None)
+    chosen = [b for b, yes in zip(found, content.tolist(), strict=True) if yes or best in b.path]
     return "\n".join(b.text for b in chosen)
 
 

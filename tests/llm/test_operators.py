@@ -163,6 +163,20 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<p>a</p>" * 3000 + "<!-- open").count("\n") == 2999
 
 
+def test_ratios_decide_beside_article_tags():
+    long = ["Long text %d, with marks; and more of it, so that it counts. More text, and more, too." % k for k in range(6)]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    teaser = "<section><ul><li>a<li>b<li>c<li>d</ul></section><article><h2>Teaser</h2></article>"
+    for tag in ("main", "div"):
+        assert html_text.main_text(f"<body><{tag}>{body}<p>x.</p></{tag}>{teaser}</body>") == "\n".join([*long, "x."])
+    several = "".join(f"<article><p>{t}</p></article>" for t in long)
+    assert html_text.main_text(f"<body>{several}</body>") == "\n".join(long)
+    apart = f"<body><article>{body}</article><section><p>{long[0]}</p></section></body>"
+    assert html_text.main_text(apart) == "\n".join([*long, long[0]])
+    apart = f"<body><div>{body}</div><section><p>{long[0]}</p></section></body>"
+    assert html_text.main_text(apart) == "\n".join([*long, long[0]])
+
+
 def test_extract_keeps_all_rows(spark):
     rows = [(1, "u", "<article><p>one, two.</p></article>"), (1, "u", "<article><p>one, two.</p></article>"), (2, None, None)]
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect())
