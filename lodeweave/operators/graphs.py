@@ -185,27 +185,39 @@ def principal_components(vectors: DataFrame, k: int = 3) -> DataFrame:
     return out.select("vec_id", *[F.get("p", F.lit(i)).alias(f"c{i + 1}") for i in range(k)])
 
 
-def density(points: DataFrame, columns: list[str], grid: int = 16) -> DataFrame:
-    """``vec_id, density``: Gaussian kernel density (Scott's bandwidth, diagonal) at each point, over the means of grid cells.
+def density(points: DataFrame, columns: list[str], block_rows: int = 1 << 18) -> DataFrame:
+    """``vec_id, density``: Gaussian kernel density (Scott's factor times the full covariance) at each point, over all points.
 
-    Points of one cell act as one weighted point, so a task holds ``grid ** len(columns)`` of them at most.
+    Points are collected in chunks of about ``block_rows`` and sent to all rows chunk by chunk; a row's sums meet by its number.
     """
     spark = points.sparkSession
-    stats = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev))]).first()
-    cell = F.concat_ws("-", *[F.floor((F.col(c) - stats[f"lo_{c}"]) / max((stats[f"hi_{c}"] - stats[f"lo_{c}"]) / grid, 1e-12)).cast("string") for c in columns])
-    cells = points.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("w"), *[F.avg(c).alias(c) for c in columns]).toPandas()
-    scale = np.array([max(stats[f"sd_{c}"] or 0.0, 1e-12) for c in columns]) * stats["n"] ** (-1 / (len(columns) + 4))
-    norm = stats["n"] * np.prod(scale) * (2 * np.pi) ** (len(columns) / 2)
-    shipped = spark.sparkContext.broadcast((cells[columns].to_numpy() / scale, cells["w"].to_numpy(), norm))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre, weight, norm = shipped.value
-        for batch in batches:
-            x = batch[columns].to_numpy() / scale
-            out = np.concatenate([np.exp(-0.5 * ((x[a : a + 256, None, :] - centre) ** 2).sum(2)) @ weight for a in range(0, len(x), 256)] or [np.zeros(0)])
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "density": out / norm})
+    own = materialize(points.select("vec_id", *columns).withColumn("row", F.monotonically_increasing_id()), "points")
+    pairs = [(a, b) for a in columns for b in columns]
+    n, *covariance = own.agg(F.count(F.lit(1)), *[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()
+    covariance = np.array([c or 0.0 for c in covariance]).reshape(len(columns), -1) * max(n, 1) ** (-2 / (len(columns) + 4))
+    variance, axes = np.linalg.eigh(covariance)
+    scale = np.sqrt(np.maximum(variance, 1e-24))
+    norm = max(n, 1) * np.prod(scale) * (2 * np.pi) ** (len(columns) / 2)
+    chunks = max(1, -(-n // block_rows))
+    found = None
+    for c in range(chunks):
+        centres = own.where(F.pmod(F.xxhash64("row"), F.lit(chunks)) == c).select(*columns).toPandas().to_numpy(np.float64)
+        shipped = spark.sparkContext.broadcast(np.ascontiguousarray((centres @ axes / scale).T))
 
-    return points.select("vec_id", *columns).mapInPandas(run, "vec_id long, density double")
+        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            centre = shipped.value
+            for batch in batches:
+                x = batch[columns].to_numpy(np.float64) @ axes / scale
+                out = np.zeros(len(x))
+                for a in range(0, len(x), 256):
+                    for b in range(0, centre.shape[1], 4096):
+                        apart = sum((x[a : a + 256, i, None] - centre[i, b : b + 4096]) ** 2 for i in range(len(columns)))
+                        out[a : a + 256] += np.exp(-0.5 * apart).sum(1)
+                yield pd.DataFrame({"row": batch["row"], "vec_id": batch["vec_id"], "density": out / norm})
+
+        part = own.mapInPandas(run, "row long, vec_id long, density double")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("row").agg(F.first("vec_id").alias("vec_id"), F.sum("density").alias("density")).drop("row")
 
 
 def vocabulary_counts(walks: DataFrame, least: int = 5) -> DataFrame:

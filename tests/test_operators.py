@@ -90,6 +90,20 @@ def test_walks_stay_on_edges(spark):
     assert all(b in near[a] for r in rows for a, b in zip(r.walk, r.walk[1:]))
 
 
+def test_density_is_the_sum_over_all_points(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 3)) @ np.array([[1, 0.9, 0], [0, 0.3, 0], [0, 0, 2]]), [[1000.0, 0, 0]]])
+    inverse = np.linalg.inv(covariance := np.cov(x.T) * len(x) ** (-2 / 7))
+    apart = x[:, None, :] - x[None, :, :]
+    want = np.exp(-0.5 * np.einsum("abi,ij,abj->ab", apart, inverse, apart)).sum(1) / (len(x) * np.sqrt(np.linalg.det(2 * np.pi * covariance)))
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)]
+    for block_rows in (1 << 18, 50):
+        got = {r.vec_id: r.density for r in graphs.density(spark.createDataFrame(rows, "vec_id long, a double, b double, c double"), ["a", "b", "c"], block_rows=block_rows).collect()}
+        assert np.allclose([got[i] for i in range(len(x))], want, rtol=1e-9, atol=0)
+
+
 def test_rounding_and_names(spark):
     row = spark.range(1).select(S.round_half_even(F.lit(0.25), 1), S.name_of(F.lit(2), S.ENTITIES), S.number_of(F.lit("dex"), S.ENTITIES), S.is_address(F.lit("0x" + "a" * 40))).first()
     assert tuple(row) == (0.2, "exchange", 3, True)
