@@ -137,7 +137,7 @@ def least_overlap(a: Column, b: Column) -> Column:
 
 
 def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, n, sid`` (id of the set), ``gid`` (of its prefix and size), ``prefix``; the last three are null for an empty set."""
+    """``doc_id, h`` (hash of the text), ``n, sid`` (id of the set), ``gid`` (of its prefix and size), ``prefix``; the last three are null for an empty set."""
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +162,9 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 gid.append(xxhash.xxh3_64_intdigest(prefix.tobytes(), len(own)))
                 prefixes.append(prefix.view(np.int64))
             signed = lambda x: pa.array(x, pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), signed(sid), signed(gid), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "sid", "gid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), signed(sid), signed(gid), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "sid", "gid", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, sid long, gid long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n int, sid long, gid long, prefix array<long>")
 
 
 def _fits(na: str, pa_: str, nb: str, pb: str) -> Column:
@@ -212,8 +212,12 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     known.clear()
                 for key, text in ((a, ta), (b, tb)):
                     if key not in known:
-                        own = shingle_set(text)
-                        known[key] = own if np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))) == key else own[:0]
+                        own = shingle_set(text or b"")
+                        if np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))) == key:
+                            known[key] = own
+                if a not in known or b not in known:  # another text under the same id; the right one has its own row
+                    keep.append(False)
+                    continue
                 x, y = known[a], known[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
@@ -305,6 +309,16 @@ def _remaining(unsettled: DataFrame) -> DataFrame:
     return _sides(unsettled.where("c <> main"), unsettled)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, n_shingles, component_id`` for each row of ``docs``."""
+    sketch, found = links(docs)
+    member = connected_components(found, "a", "b").withColumnRenamed("node", "sid")
+    rows = sketch.select("doc_id", "h", "n", "sid").join(member, "sid", "left").select("doc_id", "h", "n", F.coalesce("component", "sid").alias("c"))
+    least = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
+    return rows.join(least, "c", "left").select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), component)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
@@ -312,11 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and are alone; copies are linked to each other; repeated rows give repeated results; a row without id is alone
     under a null component. Of rows with one id and different texts, each is placed by its own text.
     """
-    sketch, found = links(docs)
-    member = connected_components(found, "a", "b").withColumnRenamed("node", "sid")
-    rows = sketch.select("doc_id", "n", "sid").join(member, "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("c"))
-    least = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return _placed(docs).drop("h")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,6 +335,6 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; rows without id stay."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each component the document with the smallest id stays; rows without id stay. Rows go by id and text."""
+    found = _placed(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"), "h").distinct()
+    return docs.join(found, (docs["doc_id"] == found["gone"]) & (F.xxhash64(docs["text"]) == found["h"]), "left_anti").select(*docs.columns)

@@ -103,6 +103,22 @@ def test_jaccard_join_with_null_ids_and_repeated_rows(spark):
     assert got == sorted(map(repr, [(4, 2, 2), (4, 2, 2), (2, 2, 2), (None, 2, None)])) or len(got) == 4
 
 
+def test_jaccard_join_with_different_texts_of_one_id(spark):
+    rows, want = [], []
+    for i in range(20):
+        base = words(60)
+        texts = [(i, base, i), (i, words(50), i), (100 + i, [*base[:-1], "other"], i), (100 + i, words(40), 100 + i)]
+        RNG.shuffle(texts)
+        rows += [(d, " ".join(w)) for d, w, _ in texts]
+        want += [(d, len(w) - 4, c) for d, w, c in texts]
+    want += [(4, 2, 4), (4, 2, 4), (200, 2, 4), (None, 2, None)]
+    rows += [(4, "a b c d e f"), (4, "a b c d e f"), (200, "A b c d e f"), (None, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
+    assert Counter(tuple(r) for r in jaccard_join.near_duplicates(df).collect()) == Counter(want)
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.stage(spark, df, "").select("doc_id", "text").collect())
+    assert kept == Counter(row for row, (d, _, c) in zip(rows, want, strict=True) if d == c)
+
+
 def brute_lines(rows, least):
     order = sorted((i, t) for i, t in rows if t is not None)
     windows, where = defaultdict(list), {}
