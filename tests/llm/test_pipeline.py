@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
-from test_operators import SCHEMA, brute_lines, near_components
+from test_corpus_operators import SCHEMA, brute_lines, near_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
