@@ -27,19 +27,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodeweave.llm.pieces import Remembered, after_letter, batched, cut, gather, raw_bytes
 from lodeweave.operators.materialize import materialize, scratch_path
 
 END = 2
 #: Text that goes into one file, in bytes; a reader holds one file at a time.
 FILE_BYTES = 24 << 20
-#: Distinct pieces of text whose ids a task remembers.
-REMEMBERED = 400_000
+#: Files whose token counts are summed up in one task.
+FILES = 4096
 _HEAD, _BODY = struct.Struct("<Q"), struct.Struct("<BBq")
 _CRC = struct.Struct("<I")
 #: Letters that Unicode normalisation leaves alone: the tokenizer never cuts between them.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Marks behind such a letter up to a blank: the tokenizer always cuts before them.
-_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*#$%&]+(?:[ \n]|\Z))")
+#: Marks before which the tokenizer always cuts if such a letter precedes.
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?*#$%&")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \n")] = True
 
 
 def masked(data: bytes) -> int:
@@ -80,50 +84,50 @@ def heads(content: bytes) -> Iterator[tuple[int, int, int | None, int]]:
 
 
 class Encoder:
-    """The tokenizer over pieces of text between blanks, each piece once; the tokenizer never joins text across a blank."""
+    """The tokenizer over pieces of text, each distinct one once; it never joins text across a blank, nor a letter and a mark."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only: many in one text, each up to its token that ends a word."""
-        out: list[bytes] = []
+        self.remembered = Remembered(self._encode)
+
+    def _encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and how many each has: words of letters many in one text, each up to its token that ends a word."""
+        pieces = [p.decode() for p in found]
+        words = [i for i, p in enumerate(pieces) if _WORD.fullmatch(p)]
+        length = np.zeros(len(pieces), np.int64)
+        own: list[np.ndarray] = [np.zeros(0, self.kind)]
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, f"<u{self.width}")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces not met before; words of plain letters together, lower-cased."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = pieces.difference(known)
-        words = {p: p.lower() for p in new if _WORD.fullmatch(p)}
-        lower = list(set(words.values()).difference(known))
-        known.update(zip(lower, self._encode_words(lower), strict=True))
-        known.update((p, known[w]) for p, w in words.items())
-        others = list(new.difference(words))
-        known.update(zip(others, self._encode(others), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes, without the end id."""
-        pieces = [_MARKS.sub(r"\1 \2", t).replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*pieces))
-        return [b"".join(map(self.known.__getitem__, own)) for own in pieces]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids, self.kind)
+            length[part] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            own.append(ids)
+        order = np.array(words, np.int64)
+        others = np.setdiff1d(np.arange(len(pieces)), order, assume_unique=True)
+        for at in range(0, len(others), 1000):
+            part = others[at : at + 1000].tolist()
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)]
+            length[part] = [len(ids) for ids in encoded]
+            own.append(np.array([i for ids in encoded for i in ids], self.kind))
+        order = np.concatenate([order, others])
+        start = np.zeros(len(pieces), np.int64)
+        start[order] = np.cumsum(length[order]) - length[order]
+        return gather(np.concatenate(own), start, length, np.arange(len(pieces)))[0], length
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
+        """Ids of the texts of each slice as bytes, without the end id."""
+        for rows in batched(texts):
+            raw, bounds = raw_bytes(texts[rows])
+            pieces, which, first = cut(raw, bounds, _MARK[raw] & after_letter(raw), _BLANK[raw])
+            ids, ends = self.remembered.values(pieces, which)
+            ends = np.concatenate([[0], ends])[first] * self.width
+            data = ids.astype(self.kind).tobytes()
+            yield rows, [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -141,10 +145,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end:
         encode = encoder(tokenizer)
         tail = b"" if end is None else np.array([end], f"<u{encode.width}").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = encode([t or "" for t in part.column(1).to_pylist()])
-                out = [frame(i, ids + tail, encode.width)[:-1] for i, ids in zip(part.column(0).to_pylist(), found, strict=True)]
+            for rows, found in encode(batch.column(1)):
+                out = [frame(i, ids + tail, encode.width)[:-1] for i, ids in zip(batch.column(0)[rows].to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -180,10 +182,16 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
 
 
 def with_start(records: DataFrame) -> DataFrame:
-    """``records`` with ``start``: a file's name tells its place, so one row for each file is summed up in order."""
-    totals = records.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("file", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))
+    """``records`` with ``start``: the number in a file's name tells its place, so one row for each file is summed up in order.
+
+    Sums run within blocks of ``FILES`` files and over one row for each block.
+    """
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    totals = records.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("number", number).withColumn("block", F.floor(F.col("number") / FILES))
+    before = lambda window, value: F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = totals.groupBy("block").agg(F.sum("total").alias("total")).select("block", before(Window.orderBy("block"), "total").alias("sum_before"))
+    within = totals.select("file", "block", before(Window.partitionBy("block").orderBy("number"), "total").alias("within"))
+    base = within.join(blocks, "block").select("file", (F.col("within") + F.col("sum_before")).alias("base"))
     return records.join(base, "file").withColumn("start", F.col("base") + F.col("before"))
 
 
