@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,11 +23,34 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are encoded in pieces of about so many characters, and so many words are remembered, in each task.
-PIECE, REMEMBERED = 2_000_000, 400_000
+from lodeweave.llm.pieces import LATIN, LATIN_LETTER, LETTER, Remembered, after_letter, batched, cut, gather, raw_bytes
+from lodeweave.llm.text import slices
+
 #: How the vocabulary's texts are cut into words (fixed by its published format).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: Pieces that are one word for certain.
+_ONE_WORD = re.compile("(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]|\n)")
+#: Lists of fewer positions are walked through, longer ones are merged as arrays.
+SHORT = 24
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_PRINTED = np.zeros(256, bool)
+_PRINTED[33:127] = True
+
+
+def word_starts(raw: np.ndarray) -> np.ndarray:
+    """Bytes where a word begins for certain: at a blank before a letter, at a mark behind one, around a single line feed."""
+    letter = LETTER[raw]
+    letter[:-1] |= (raw[:-1] == LATIN) & LATIN_LETTER[raw[1:]]
+    out = _MARK[raw] & after_letter(raw)
+    out[:-1] |= (raw[:-1] == ord(" ")) & letter[1:]
+    broken = np.zeros(len(raw), bool)
+    broken[1:] = (raw[1:] == ord("\n")) & _PRINTED[raw[:-1]]
+    out |= broken
+    out[1:] |= broken[:-1] & letter[1:]
+    return out
+
 
 def byte_characters() -> dict[int, str]:
     """The character by which the vocabulary writes each byte: printable ones as they are, the others from U+0100 on."""
@@ -43,7 +67,7 @@ class Vocabulary:
             spec = json.load(file)
         ids: dict[str, int] = spec["model"]["vocab"]
         chars = byte_characters()
-        self.first = [ids[chars[b]] for b in range(256)]
+        self.first = np.array([ids[chars[b]] for b in range(256)], np.int64)
         self.left, self.right, self.made = [], [], []
         self.rank: dict[int, int] = {}  # by left id * 2**32 + right id
         for rank, merge in enumerate(spec["model"]["merges"]):
@@ -67,77 +91,148 @@ class Vocabulary:
             return WORD.findall(text)
         return [w for part in self.split.split(text) for w in ([part] if part in self.special else WORD.findall(part))]
 
-    def _first_places(self, symbols: np.ndarray, following: np.ndarray) -> dict[int, list[int]]:
-        """Positions of each mergeable pair, by rank."""
-        at = np.flatnonzero(following >= 0)
-        key = (symbols[at] << 32) | symbols[following[at]]
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, -1 for those that are never merged."""
+        key = (left << 32) | right
         near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[near] == key
-        at, ranks = at[hit], self.key_ranks[near[hit]]
-        order = np.argsort(ranks, kind="stable")
-        found, starts = np.unique(ranks[order], return_index=True)
-        return {r: own.tolist() for r, own in zip(found.tolist(), np.split(at[order], starts[1:]), strict=True)} if len(found) else {}
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as 32-bit integers, merged over all of them at once."""
-        raw = [w.encode() for w in words]
-        symbols = [self.first[b] for w in raw for b in w]
-        size = len(symbols)
-        following, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        start = 0
-        starts = []
-        for w in raw:
-            starts.append(start)
-            before[start] = -1
-            start += len(w)
-            following[start - 1] = -1
-
-        rank = self.rank.get
-        places = self._first_places(np.array(symbols, np.int64), np.array(following, np.int64))
-        active = list(places)
-        heapq.heapify(active)
+        return np.where(self.keys[near] == key, self.key_ranks[near], -1)
+
+    def merge(self, symbols: np.ndarray, following: np.ndarray, before: np.ndarray) -> None:
+        """Apply all merges, in place, to words whose symbols are linked both ways; a symbol that is merged into one before it becomes -1."""
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def add(ranks: np.ndarray, at: np.ndarray) -> None:
+            hit = np.flatnonzero(ranks >= 0)
+            if not len(hit):
+                return
+            order = hit[np.argsort(ranks[hit], kind="stable")]
+            ranks, at = ranks[order], at[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for r, a, b in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(active, r)
+                places[r].append(at[a:b])
+
+        paired = np.flatnonzero(following >= 0)
+        add(self._ranks(symbols[paired], symbols[following[paired]]), paired)
+        symbol, after, prior, rank = memoryview(symbols), memoryview(following), memoryview(before), self.rank.get
         while active:
             now = heapq.heappop(active)
             left, right, made = self.left[now], self.right[now], self.made[now]
-            pair_of_one, own = made << 32, places.pop(now)
-            if left == right:
-                own.sort()  # of overlapping pairs the first counts
-            for i in own:
-                if symbols[i] != left or (j := following[i]) < 0 or symbols[j] != right:
-                    continue  # merged into another symbol meanwhile
-                symbols[i], symbols[j] = made, -1
-                k = following[i] = following[j]
-                if k >= 0:
-                    before[k] = i
-                    if (r := rank(pair_of_one | symbols[k])) is not None:
-                        if r not in places:
-                            places[r] = []
-                            heapq.heappush(active, r)
-                        places[r].append(i)
-                if (h := before[i]) >= 0 and (r := rank(symbols[h] << 32 | made)) is not None:
-                    if r not in places:
-                        places[r] = []
-                        heapq.heappush(active, r)
-                    places[r].append(h)
-        found = np.array(symbols, np.int32)
-        ends = np.cumsum(np.concatenate([[0], found >= 0]))[[*starts, size]] * 4
-        ids = found[found >= 0].tobytes()
-        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-
-
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    for batch in batches:
-        texts = batch.column(1)
-        lengths = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
-        cuts = [0, *np.flatnonzero(np.diff(lengths // PIECE) > 0) + 1, len(texts)] if len(texts) else []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                yield batch.column(0).slice(a, b - a), [t or "" for t in texts.slice(a, b - a).to_pylist()]
+            lists = places.pop(now)
+            own = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
+            if len(own) < SHORT:
+                for i in own.tolist():
+                    if symbol[i] != left or (j := after[i]) < 0 or symbol[j] != right:
+                        continue  # merged into another symbol meanwhile
+                    symbol[i], symbol[j] = made, -1
+                    k = after[i] = after[j]
+                    near = [(i, made << 32 | symbol[k])] if k >= 0 else []
+                    if k >= 0:
+                        prior[k] = i
+                    if (h := prior[i]) >= 0:
+                        near.append((h, symbol[h] << 32 | made))
+                    for at, pair in near:
+                        if (r := rank(pair)) is not None:
+                            if r not in places:
+                                places[r] = []
+                                heapq.heappush(active, r)
+                            places[r].append(np.array([at]))
+                continue
+            own = own[symbols[own] == left]
+            second = following[own]
+            good = (second >= 0) & (symbols[second] == right)
+            own, second = own[good], second[good]
+            if left == right and len(own):  # of overlapping pairs the first counts
+                number = np.arange(len(own))
+                chained = np.concatenate([[False], own[1:] == second[:-1]])
+                good = (number - np.maximum.accumulate(np.where(chained, 0, number))) % 2 == 0
+                own, second = own[good], second[good]
+            symbols[own], symbols[second] = made, -1
+            third = following[own] = following[second]
+            some = third >= 0
+            before[third[some]] = own[some]
+            add(self._ranks(np.full(some.sum(), made), symbols[third[some]]), own[some])
+            first = before[own]
+            first = first[first >= 0]
+            add(self._ranks(symbols[first], np.full(len(first), made)), first)
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, merged over all of them at once, and how many each has."""
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size)
+        symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        following, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        following[ends - 1] = -1
+        before[ends - size] = -1
+        self.merge(symbols, following, before)
+        kept = np.concatenate([[0], np.cumsum(symbols >= 0)])
+        return symbols[symbols >= 0].astype(np.int32), kept[ends] - kept[ends - size]
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of text, each of whole words, end to end, and how many each has."""
+        own = [[p] if _ONE_WORD.fullmatch(t := p.decode()) else [w.encode() for w in self.words(t)] for p in pieces]
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(w, len(number)) for words in own for w in words], np.int64)
+        plain = [w for w in number if w.decode() not in self.special] if self.special else list(number)
+        flat, length = self.encode_words(plain)
+        if len(plain) < len(number):
+            flat = np.concatenate([flat, np.array(list(self.special.values()), np.int32)])
+            sizes = dict(zip(plain, length.tolist(), strict=True))
+            starts = dict(zip(plain, (np.cumsum(length) - length).tolist(), strict=True))
+            first = len(flat) - len(self.special)
+            for k, text in enumerate(self.special):
+                sizes[text.encode()], starts[text.encode()] = 1, first + k
+            start, length = np.array([starts[w] for w in number], np.int64), np.array([sizes[w] for w in number], np.int64)
+        else:
+            start = np.cumsum(length) - length
+        ids, ends = gather(flat, start, length, which)
+        ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, own)])]
+        return ids, np.diff(ends)
+
+
+class Encoder:
+    """Ids of texts, each distinct piece encoded once, and texts of ids."""
+
+    def __init__(self, path: str) -> None:
+        self.vocabulary = Vocabulary(path)
+        self.remembered = Remembered(self.vocabulary.encode_pieces)
+        known = self.vocabulary.bytes
+        table = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.length = np.array([len(x) for x in table] + [0], np.int64)  # the last stands for ids that the vocabulary lacks
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[slice, pa.ListArray]]:
+        """Ids of the texts of each slice."""
+        for rows in batched(texts):
+            part = texts[rows]
+            raw, bounds = raw_bytes(part)
+            starts = word_starts(raw)
+            for special in self.vocabulary.special:  # a text that holds one is a piece of its own
+                for k in np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring(part, special), False))).tolist():
+                    starts[bounds[k] : bounds[k + 1]] = False
+            pieces, which, first = cut(raw, bounds, starts)
+            ids, ends = self.remembered.values(pieces, which)
+            ends = np.concatenate([[0], ends])[first]
+            yield rows, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list of ids; a null list is empty."""
+        lists = pc.fill_null(lists, [])
+        ids = np.asarray(pc.fill_null(lists.flatten(), -1))
+        none = len(self.length) - 1
+        data, ends = gather(self.flat, self.start, self.length, np.where((ids >= 0) & (ids < none), ids, none))
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))])].tolist()
+        data = data.tobytes()
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -148,48 +243,39 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        special = {s: np.array([i], np.int32).tobytes() for s, i in vocab.special.items()}
-        known: dict[str, bytes] = dict(special)
-        for doc_ids, texts in _pieces(batches):
-            words = [vocab.words(t) for t in texts]
-            new = list(set().union(*words).difference(known))
-            if len(known) + len(new) > REMEMBERED:
-                known = dict(special)
-                new = list(set().union(*words).difference(known))
-            known.update(zip(new, vocab.encode_words(new), strict=True))
-            found = [b"".join(map(known.__getitem__, own)) for own in words]
-            offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([doc_ids, lists], names=["doc_id", "ids"])
+        own = encoder(path)
+        for batch in batches:
+            for rows, ids in own.encode(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _decoded(ids: pa.ListScalar, table: list[bytes]) -> str:
-    if not ids.is_valid:
-        return ""
-    found = np.asarray(ids.values)
-    found = found[(found >= 0) & (found < len(table))]
-    return b"".join(map(table.__getitem__, found.tolist())).decode("utf-8", "replace")
-
-
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, text`` for each row of ``encoded``; ids that the vocabulary lacks give nothing, broken characters U+FFFD."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path).bytes
-        table = [known.get(i, b"") for i in range(max(known) + 1)]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):  # the ids of a few texts at a time become Python's
-                part = batch.slice(at, 200)
-                texts = [_decoded(ids, table) for ids in part.column(1)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+        own = encoder(path)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.decode(batch.column(1))], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, ids, text``: ``decode`` of ``encode``, in one pass and one Python worker."""
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            for rows, ids in own.encode(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], ids, own.decode(ids)], names=["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -197,7 +283,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
-    return decode(encode(docs)).select(
+    return round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),

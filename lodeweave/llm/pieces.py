@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut at once; a longer text is a batch of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Distinct pieces, and bytes of them, that a task remembers.
 REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
 
@@ -22,12 +22,12 @@ LATIN_LETTER[0x80:0xC0] = True
 LATIN_LETTER[[0x97, 0xB7]] = False
 
 
-def batched(texts: pa.Array) -> Iterator[slice]:
-    """Rows whose texts have about ``PIECE_BYTES`` together, as slices in order."""
+def batched(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[slice]:
+    """Rows whose texts have about ``size`` bytes together, as slices in order."""
     total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
         yield slice(at, end)
         at = end
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeweave.llm.pieces import Remembered, after_letter, batched, cut, gather, raw_bytes
+from lodeweave.llm.pieces import PIECE_BYTES, Remembered, after_letter, batched, cut, gather, raw_bytes
 from lodeweave.operators.materialize import materialize, scratch_path
 
 END = 2
@@ -121,7 +121,7 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
         """Ids of the texts of each slice as bytes, without the end id."""
-        for rows in batched(texts):
+        for rows in batched(texts, 2 * PIECE_BYTES):
             raw, bounds = raw_bytes(texts[rows])
             pieces, which, first = cut(raw, bounds, _MARK[raw] & after_letter(raw), _BLANK[raw])
             ids, ends = self.remembered.values(pieces, which)
