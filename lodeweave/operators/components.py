@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.operators.materialize import materialize
+from lodeweave.operators.materialize import discard, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _fingerprint(edges)
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        discard(last)
         now = _fingerprint(edges)
         if now == before:
             break
@@ -46,6 +47,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        roots.select("node", F.col("node").alias("component"))
-    )
+    found = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")
+    discard(edges)
+    return found

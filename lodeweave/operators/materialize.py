@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset in local mode, an error where it is unset on a cluster."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-lodeweave-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,4 +32,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lost executors never recompute it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and nothing reads any more; other frames are passed over."""
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
