@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are cut at once; a longer text is a batch of its own.
 PIECE_BYTES = 2 << 20
 #: Distinct pieces, and bytes of them, that a task remembers.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 500_000, 16 << 20
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -61,7 +61,7 @@ def cut(raw: np.ndarray, bounds: np.ndarray, starts: np.ndarray, dropped: np.nda
         starts[1:] |= dropped[:-1]
         starts &= ~dropped
         at = np.flatnonzero(starts)
-        place = np.cumsum(~dropped)
+        place = np.cumsum(~dropped, dtype=np.int32)
         offsets = np.append(place[at] - 1, place[-1] if len(place) else 0)
         raw = raw[~dropped]
     else:
@@ -75,10 +75,10 @@ def cut(raw: np.ndarray, bounds: np.ndarray, starts: np.ndarray, dropped: np.nda
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of ``which`` runs of ``flat`` end to end, and where each ends."""
     n = length[which]
-    ends = np.cumsum(n)
+    ends = np.cumsum(n, dtype=np.int64)
     if not len(ends) or not ends[-1]:
         return flat[:0], ends
-    return flat[np.arange(ends[-1]) + np.repeat(start[which] - ends + n, n)], ends
+    return flat[np.arange(ends[-1], dtype=np.int32) + np.repeat((start[which] - ends + n).astype(np.int32), n)], ends
 
 
 class Remembered:
@@ -92,7 +92,7 @@ class Remembered:
     def forget(self) -> None:
         self.known: pa.Array = pa.array([], pa.binary())
         self.flat = None
-        self.start = self.length = np.zeros(0, np.int64)
+        self.start = self.length = np.zeros(0, np.int32)
 
     def __call__(self, pieces: pa.Array) -> np.ndarray:
         """The number of each of these distinct pieces, by which ``start`` and ``length`` tell its values in ``flat``."""
@@ -109,8 +109,8 @@ class Remembered:
             place = place.copy()
             place[new] = len(self.known) + np.arange(len(new))
             self.known = pa.concat_arrays([self.known, added])
-            self.start = np.concatenate([self.start, before + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
+            self.start = np.concatenate([self.start, (before + np.cumsum(length) - length).astype(np.int32)])
+            self.length = np.concatenate([self.length, length.astype(np.int32)])
             self.flat = flat if self.flat is None else np.concatenate([self.flat, flat])
         return place
 
