@@ -11,6 +11,9 @@ shingle's list with the others of the class, and the sets of one group as a chai
 compare the sets outside a list's main component with a few members of it, as long as many pairs are open; the last one
 compares every remaining pair of a list whose two sets are in different components. A pair that is never compared is thus one whose
 two sets are linked already, so the components are those of the full join.
+
+Before texts are fetched, each pair passes a bound: a set has a bitmap, in which each shingle turns one bit over, and two
+bitmaps differ in no more bits than the sets differ in shingles. Only pairs near enough by that bound are compared in full.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm.text import SPACED, distinct, shingles, slices
 from lodeweave.operators.components import connected_components
-from lodeweave.operators.materialize import materialize
+from lodeweave.operators.materialize import discard, materialize
 
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 80, 100
@@ -36,8 +39,8 @@ LOW_BITS, FLUSH = 20, 1 << 21
 #: While more than ``FEW`` pairs for each set are open, the sets outside a list's main component are compared with 4, 16, 64
 #: and 256 delegates of it in turn, as long as that settles some; then all pairs that are still open are compared.
 FEW, DELEGATES, MOST_ROUNDS = 2, 4, 4
-#: Bits of the id filter that texts pass before they are shuffled.
-FILTER_WORDS = 1 << 16
+#: 64-bit words of the id filter that texts pass before they are shuffled: a bit in sixteen is set, up to 8 MB of them.
+LEAST_FILTER, MOST_FILTER = 1 << 10, 1 << 20
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -137,13 +140,13 @@ def least_overlap(a: Column, b: Column) -> Column:
 
 
 def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, h`` (hash of the text), ``n, sid`` (id of the set), ``gid`` (of its prefix and size), ``prefix``; the last three are null for an empty set."""
+    """``doc_id, h`` (hash of the text), ``n, sid`` (id of the set), ``gid`` (of its prefix and size), ``prefix, bits``; the last four are null for an empty set."""
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts = shipped.value
         for batch in slices(batches):
-            n, sid, gid, prefixes = [], [], [], []
+            n, sid, gid, prefixes, bits = [], [], [], [], []
             for text in _binary(batch.column(1)):
                 own = shingle_set(text or b"")
                 n.append(len(own))
@@ -151,6 +154,7 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                     sid.append(None)
                     gid.append(None)
                     prefixes.append(None)
+                    bits.append(None)
                     continue
                 weight = np.zeros(len(own), np.uint64)
                 if len(ids):
@@ -161,10 +165,11 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 sid.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 gid.append(xxhash.xxh3_64_intdigest(prefix.tobytes(), len(own)))
                 prefixes.append(prefix.view(np.int64))
+                bits.append(bitmap(own))
             signed = lambda x: pa.array(x, pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), signed(sid), signed(gid), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "sid", "gid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int32()), signed(sid), signed(gid), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, bits))], names=["doc_id", "h", "n", "sid", "gid", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n int, sid long, gid long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n int, sid long, gid long, prefix array<long>, bits array<long>")
 
 
 def _fits(na: str, pa_: str, nb: str, pb: str) -> Column:
@@ -177,28 +182,53 @@ def _fits(na: str, pa_: str, nb: str, pb: str) -> Column:
 # comparison of whole sets
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """One bit at least for each shingle of a set, a power of two and 64 or more: whether an odd number of shingles falls on it."""
+    size = max(64, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _halved(bits: Column) -> Column:
+    """The bitmap of half the size."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _may_link(a: Column, na: Column, b: Column, nb: Column) -> Column:
+    """Whether two bitmaps, of one size or one twice the other, leave room for a link."""
+    x, y = F.when(F.size(a) > F.size(b), _halved(a)).otherwise(a), F.when(F.size(b) > F.size(a), _halved(b)).otherwise(b)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    return (F.size(x) != F.size(y)) | (apart * (NUMERATOR + DENOMINATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR))
+
+
 def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each id's hash; ``FILTER_WORDS`` 64-bit words however many ids there are."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_WORDS * 64))
-    rows = ids.select((slot / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(pmod(xxhash64(doc), 64)))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    words = np.zeros(FILTER_WORDS, np.int64)
-    for r in rows.collect():
-        words[r["w"]] = r["b"]
-    return words.view(np.uint8)
-
-
-def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those ``pairs`` (``a, b``: set ids; ``doc_a, doc_b``: a document of each) that reach the threshold."""
-    pairs = materialize(pairs, "pairs")
+    """Bits of the hashes of ids, about sixteen for each id within the limits above."""
+    words = min(MOST_FILTER, max(LEAST_FILTER, 1 << (ids.count() // 4).bit_length()))
+    slot = F.pmod(F.xxhash64("doc"), F.lit(words * 64))
+    rows = ids.select((slot / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(pmod(xxhash64(doc), 64)))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[np.asarray(rows.column("w"))] = np.asarray(rows.column("b"))
+    return out.view(np.uint8)
+
+
+def compare(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those ``pairs`` (``a, b``: set ids; ``doc_a, doc_b``: a document of each) that reach the threshold, as a written table."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(F.col("bits_a"), F.col("na"), F.col("bits_b"), F.col("nb")))
+    pairs = materialize(near.select("a", "b", "doc_a", "doc_b"), "pairs")
     wanted = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+    kept = _id_filter(wanted)
+    size = len(kept) * 8
+    bits = docs.sparkSession.sparkContext.broadcast(kept)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(bits.value, bitorder="little").astype(bool)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc", "text"]).filter(pa.array(bitmap[np.asarray(batch.column(2))]))
+            place = np.asarray(batch.column(2))
+            hit = (bits.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["doc", "text"]).filter(pa.array(hit.astype(bool)))
 
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_WORDS * 64))
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(size))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", slot.alias("slot")).mapInArrow(pick, "doc long, text string")
     with_a = pairs.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
     both = with_a.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b").select("a", "b", "text_a", "text_b")
@@ -223,7 +253,9 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    found = materialize(both.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs)
+    return found
 
 
 # the join
@@ -234,7 +266,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     sketch = materialize(sketches(docs, frequent_shingles(docs)), "sketches")
     full = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    sets = materialize(full.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("gid").alias("gid")), "sets")
+    sets = materialize(full.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.first("bits").alias("bits")), "sets")
     groups = full.groupBy("gid").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min("sid").alias("sid"))
 
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -257,32 +289,36 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     chain = Window.partitionBy("gid").orderBy("sid")
     within = sets.select("sid", "doc", F.lag("sid").over(chain).alias("a"), F.lag("doc").over(chain).alias("doc_a")).where("a IS NOT NULL")
-    round_one = materialize(compare(docs, between.unionByName(within.select("a", F.col("sid").alias("b"), "doc_a", F.col("doc").alias("doc_b")))), "links")
+    found = compare(docs, sets, between.unionByName(within.select("a", F.col("sid").alias("b"), "doc_a", F.col("doc").alias("doc_b"))))
 
     crowded = sets.join(firsts.where("members > 1").select("gid"), "gid", "left_semi").select(F.col("gid").alias("token"), "sid", F.lit(0).alias("pos"))
     lists = listed.select("token", "gid", "pos").join(sets.select("sid", "gid"), "gid").select("token", "sid", "pos").unionByName(crowded)
-    found, size, before = round_one, sets.count(), None
-    for salt in range(MOST_ROUNDS):
+    size, before = sets.count(), None
+    for salt in range(MOST_ROUNDS + 1):
         unsettled, pairs = _unsettled(lists, sets, found)
-        if pairs <= FEW * size or (before is not None and pairs > 0.98 * before):
-            break
+        last = salt == MOST_ROUNDS or pairs <= FEW * size or (before is not None and pairs > 0.98 * before)
         before = pairs
-        found = materialize(found.unionByName(compare(docs, _with_delegates(unsettled, salt, DELEGATES ** (salt + 1)))), "links")
-    else:
-        unsettled, _ = _unsettled(lists, sets, found)
-    return sketch, materialize(found.unionByName(compare(docs, _remaining(unsettled))), "links")
+        more = compare(docs, sets, _remaining(unsettled) if last else _with_delegates(unsettled, salt, DELEGATES ** (salt + 1)))
+        known, found = found, materialize(found.unionByName(more), "links")
+        discard(unsettled, more, known)
+        if last:
+            break
+    discard(listed, sets)
+    return sketch, found
 
 
 def _unsettled(lists: DataFrame, sets: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
     """Members of lists that hold several components, with the list's largest one as ``main``; and how many pairs those make at most."""
-    member = connected_components(found, "a", "b").withColumnRenamed("node", "sid")
-    placed = sets.join(member, "sid", "left").select("sid", "doc", "n", F.coalesce("component", "sid").alias("c"))
+    member = connected_components(found, "a", "b")
+    placed = sets.join(member.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc", "n", F.coalesce("component", "sid").alias("c"))
     rows = lists.join(placed, "sid")
     shares = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
     several = shares.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     several = materialize(several, "lists")
     pairs = several.agg(F.sum(F.col("total") * (F.col("total") - F.col("most")))).first()[0] or 0
-    return materialize(rows.join(several.select("token", "main"), "token"), "unsettled"), pairs
+    unsettled = materialize(rows.join(several.select("token", "main"), "token"), "unsettled")
+    discard(member, several)
+    return unsettled, pairs
 
 
 def _sides(minor: DataFrame, other: DataFrame) -> DataFrame:
