@@ -15,9 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.pieces import gather, raw_bytes
 from lodeweave.llm.text import _BASE, _INVERSE, _powers, mix, slices
 from lodeweave.operators.materialize import materialize
 
@@ -61,6 +63,11 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return at, grams[at], side(at - SIDE), side(at + GRAM)
 
 
+def anchor_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashes of the anchors at these positions."""
+    return mix((_VALUES[raw[at[:, None] + np.arange(GRAM)]] * _powers(_BASE, GRAM)).sum(1, dtype=np.uint64))
+
+
 # shared anchors
 
 _COLUMNS = (("hash", np.uint32), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("at", np.uint32))
@@ -185,16 +192,43 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``anchor, doc_id, start, around``: up to ``REACH`` bytes before each shared anchor and as many behind it."""
-    names = ["anchor", "doc_id", "start", "around"]
+    """``anchor, around, docs, starts``: up to ``REACH`` bytes before each shared anchor and as many behind it, and where they stand.
+
+    Equal surroundings of the texts of one piece of a task are one row.
+    """
+    parts: list[tuple[np.ndarray, ...]] = []
+    texts: list[bytes] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        anchor, doc, start, first, past = (np.concatenate(x) for x in zip(*parts, strict=True))
+        raw, base = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
+        first = first + np.repeat(base, [len(x[0]) for x in parts])
+        around = _binary(*gather(raw, first, past, np.arange(len(first)))).dictionary_encode()
+        order = np.lexsort((np.asarray(around.indices), anchor))
+        code, anchor = np.asarray(around.indices)[order], anchor[order]
+        heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (code[1:] != code[:-1])]))
+        ends = pa.array(np.append(heads, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (doc, start.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(anchor[heads]), around.dictionary.take(pa.array(code[heads])), *lists], names=["anchor", "around", "docs", "starts"])
+
     for batch in slices(batches):
         for doc, text, lists in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64)
-            at, hashes, _, _ = anchors(np.frombuffer(text, np.uint8))
-            hashes = hashes[np.searchsorted(at, wanted)].view(np.int64)
             start = np.maximum(wanted - REACH, 0)
-            around = [text[a:b] for a, b in zip(start.tolist(), (wanted + SPAN).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(wanted), doc)), pa.array(start, pa.int32()), pa.array(around, pa.binary())], names=names)
+            parts.append((anchor_hashes(np.frombuffer(text, np.uint8), wanted).view(np.int64), np.full(len(wanted), doc), start, start, np.minimum(wanted + SPAN, len(text)) - start))
+            texts.append(text)
+            size += len(wanted)
+            if size >= CHUNK:
+                yield packed()
+                parts, texts, size = [], [], 0
+    if size:
+        yield packed()
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte strings that lie end to end."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def sort_suffixes(raw: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,77 +280,128 @@ def sort_suffixes(raw: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return order, same
 
 
-def _settled(rows: list[tuple]) -> tuple[list[tuple[int, int, int]], list[tuple]]:
-    """Spans ``(doc_id, first, past)`` that an earlier row's document has, and the rows with a string that none has."""
-    lengths = np.array([len(r[3]) for r in rows])
-    base = np.cumsum(lengths) - lengths
-    counts = np.maximum(lengths - SPAN + 1, 0)
-    row = np.repeat(np.arange(len(rows)), counts)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    if not len(row):
-        return [], rows
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    docs, starts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    order, same = sort_suffixes(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), base[row] + offset)
+class Rows:
+    """Surroundings (``around``, by number in ``row``) of anchors, with the document and the place of each."""
+
+    def __init__(self, anchor: np.ndarray, around: pa.Array, row: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        self.anchor, self.around, self.row, self.doc, self.start = anchor, around, row, doc, start
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Rows:
+        docs, starts = batch.column(2), batch.column(3)
+        row = np.repeat(np.arange(len(docs)), np.asarray(pc.list_value_length(docs)))
+        return Rows(np.asarray(batch.column(0)), batch.column(1), row, np.asarray(docs.flatten()), np.asarray(starts.flatten()))
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        base = np.cumsum([0, *(len(p.around) for p in parts)])
+        row = np.concatenate([p.row + n for p, n in zip(parts, base.tolist(), strict=False)])
+        anchor, doc, start = (np.concatenate([getattr(p, c) for p in parts]) for c in ("anchor", "doc", "start"))
+        return Rows(anchor, pa.concat_arrays([p.around for p in parts]), row, doc, start)
+
+    def split(self, at: int) -> tuple[Rows, Rows]:
+        """The first ``at`` surroundings and the others."""
+        cut = int(np.searchsorted(self.row, at))
+        return (
+            Rows(self.anchor[:at], self.around[:at], self.row[:cut], self.doc[:cut], self.start[:cut]),
+            Rows(self.anchor[at:], self.around[at:], self.row[cut:] - at, self.doc[cut:], self.start[cut:]),
+        )
+
+    def settled(self) -> tuple[list[np.ndarray], Rows]:
+        """``doc_id, first, past`` of spans that a smaller document has, and the rows with a string that none has.
+
+        Equal surroundings under one anchor are of one kind: those of its smallest document stand for it, the others are
+        copies. An anchor with one kind needs no sort.
+        """
+        coded = self.around.dictionary_encode()
+        code = np.asarray(coded.indices)
+        order = np.lexsort((code, self.anchor))
+        new_anchor = np.concatenate([[True], np.diff(self.anchor[order]) != 0])
+        new_kind = new_anchor | np.concatenate([[True], np.diff(code[order]) != 0])
+        kind_of_row = np.empty(len(order), np.int64)
+        kind_of_row[order] = np.cumsum(new_kind) - 1
+        rows = order[new_kind]  # one of each kind
+        anchor = (np.cumsum(new_anchor) - 1)[new_kind]
+        length = np.asarray(pc.binary_length(coded.dictionary), np.int64)[code[rows]]
+
+        kind = kind_of_row[self.row]
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, self.doc)
+        long = length[kind] >= SPAN
+        copy = (self.doc > least[kind]) & long
+        spans = [self.doc[copy], self.start[copy], self.start[copy] + length[kind[copy]]]
+
+        own = np.flatnonzero((self.doc == least[kind]) & long)
+        sorted_kinds = np.flatnonzero((np.bincount(anchor)[anchor] > 1) & (length >= SPAN))
+        new = np.ones(len(rows), bool)
+        which, first, past, new[sorted_kinds] = _own_copies(self.around.take(pa.array(rows[sorted_kinds])), least[sorted_kinds])
+        count = np.bincount(sorted_kinds[which], minlength=len(rows))
+        begin = np.cumsum(count) - count
+        first, _ = gather(first, begin, count, kind[own])
+        past, _ = gather(past, begin, count, kind[own])
+        where = np.repeat(own, count[kind[own]])
+        spans = [np.concatenate(x) for x in zip(spans, [self.doc[where], self.start[where] + first, self.start[where] + past], strict=True)]
+
+        own = own[new[kind[own]]]
+        stays, row = np.unique(kind[own], return_inverse=True)
+        by = np.argsort(row, kind="stable")
+        return spans, Rows(self.anchor[rows[stays]], self.around.take(pa.array(rows[stays])), row[by], self.doc[own][by], self.start[own][by])
+
+
+def _own_copies(around: pa.Array, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of surroundings (their number, first and past byte) that those of a smaller document hold too, by sorting the suffixes
+    of all; and which hold a string that none does."""
+    raw, bounds = raw_bytes(around)
+    base, counts = bounds[:-1], np.diff(bounds) - SPAN + 1
+    new, none = np.zeros(len(base), bool), np.zeros(0, np.int64)
+    if not len(base):
+        return none, none, none, new
+    owner = np.repeat(np.arange(len(base)), np.diff(bounds))
+    row = np.repeat(np.arange(len(base)), counts)
+    order, same = sort_suffixes(raw, base[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
     heads = np.flatnonzero(~same)
     own = docs[owner[order]]
     least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(own))))
-    first = np.sort(order[own > least])
-    new = np.zeros(len(rows), bool)
     new[owner[order[own == least]]] = True
-    kept = [r for r, keep in zip(rows, new.tolist(), strict=True) if keep]
+    first = np.sort(order[own > least])
     if not len(first):
-        return [], kept
+        return none, none, none, new
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(first) > 1) | (np.diff(owner[first]) > 0)]))
     begin, end = first[cut], first[np.append(cut[1:], len(first)) - 1]
     at = owner[begin]
-    shift = starts[at] - base[at]
-    return list(zip(docs[at].tolist(), (begin + shift).tolist(), (end + shift + SPAN).tolist(), strict=True)), kept
+    return at, begin - base[at], end - base[at] + SPAN, new
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc_id, first, past`` for bytes that an earlier document has; rows come by anchor, then id.
+    """``doc_id, first, past`` for bytes that an earlier document has; rows come by anchor.
 
-    Of equal surroundings the first is enough, and an anchor with one kind of them needs no sort. A chunk holds whole
-    anchors as far as ``CHUNK`` allows; of an anchor that goes on, surroundings with a string not seen in an earlier
-    document are carried over.
+    A chunk holds whole anchors as far as ``CHUNK`` allows; of an anchor that goes on, surroundings with a string not seen
+    in an earlier document are carried over.
     """
-    names = ["doc_id", "first", "past"]
-    spans: list[tuple[int, int, int]] = []
-    chunk: list[tuple] = []  # of anchors that are complete
-    own: list[tuple] = []  # of the one that comes in
-    seen: dict[bytes, int] = {}
 
-    def packed() -> pa.RecordBatch:
-        columns = list(zip(*spans, strict=True)) or [[]] * 3
-        spans.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+    def packed(spans: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(spans, (np.int64, np.int32, np.int32), strict=True)], names=["doc_id", "first", "past"])
 
-    for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own and own[0][0] != r[0]:
-                chunk += own if len(own) > 1 else []
-                own, seen = [], {}
-                if len(chunk) >= CHUNK:
-                    spans += _settled(chunk)[0]
-                    chunk = []
-            known = seen.setdefault(r[3], r[1])
-            if known < r[1]:
-                if len(r[3]) >= SPAN:
-                    spans.append((r[1], r[2], r[2] + len(r[3])))
-                continue
-            own.append(r)
-            if len(own) >= 2 * CHUNK and len(own) % CHUNK == 0:
-                found, own = _settled(own)
-                spans += found
-                seen = {x[3]: x[1] for x in reversed(own)}
-        if len(spans) > 20_000:
-            yield packed()
-    if len(own) > 1:
-        chunk += own
-    if chunk:
-        spans += _settled(chunk)[0]
-    yield packed()
+    held: Rows | None = None
+    limit = CHUNK
+    for batch in slices(batches, CHUNK):
+        if not batch.num_rows:
+            continue
+        held = Rows.joined([held, Rows.of(batch)]) if held else Rows.of(batch)
+        if len(held.doc) < limit:
+            continue
+        last = int(np.searchsorted(held.anchor, held.anchor[-1]))
+        if last:  # the anchors that are complete
+            done, held = held.split(last)
+            yield packed(done.settled()[0])
+            limit = CHUNK + len(held.doc)
+        else:
+            spans, held = held.settled()
+            yield packed(spans)
+            limit = 2 * max(CHUNK, len(held.doc)) if len(held.doc) else CHUNK
+        held = held if len(held.doc) else None
+    if held:
+        yield packed(held.settled()[0])
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,8 +444,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     slots = max(16, -(-total // SLOT_BYTES))
     packed = named.mapInArrow(_anchor_slots(slots), "slot long, records binary").repartition("slot").sortWithinPartitions("slot")
     shared = packed.mapInArrow(_shared_anchors, "doc_id long, at binary").join(whole, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    around = base.join(shared, "doc_id").select("doc_id", "text", "at").mapInArrow(_surroundings, "anchor long, doc_id long, start int, around binary")
-    copies = around.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_copies, "doc_id long, first int, past int")
+    around = base.join(shared, "doc_id").select("doc_id", "text", "at").mapInArrow(_surroundings, "anchor long, around binary, docs array<long>, starts array<int>")
+    copies = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_copies, "doc_id long, first int, past int")
     spans = copies.groupBy("doc_id").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
     judged = base.join(spans, "doc_id", "left").join(whole.withColumn("copy", F.lit(True)), "doc_id", "left")
     judged = judged.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")

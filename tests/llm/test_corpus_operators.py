@@ -356,18 +356,31 @@ def test_suffixes_are_sorted():
     assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
 
 
-def test_chunks_of_one_anchor(monkeypatch):
-    """An anchor that goes on past a chunk still knows the earlier documents."""
+def around_table(rows):
     import pyarrow as pa
 
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 3)
+    anchor, around, docs, starts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(around, pa.binary()), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))], names=["anchor", "around", "docs", "starts"])
+
+
+def test_chunks_of_one_anchor(monkeypatch):
+    """An anchor that goes on past a chunk still knows the earlier documents, in whatever order they come."""
     text = b"".join(b"%03d" % k for k in range(30))
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * 9), pa.array(range(9)), pa.array([0] * 9, pa.int32()), pa.array([text[k % 2 :][:60] for k in range(9)])], names=["anchor", "doc_id", "start", "around"])
-    spans = defaultdict(list)
-    for out in suffix_dedup._copies(iter([batch])):
-        for r in out.to_pylist():
-            spans[r["doc_id"]].append((r["first"], r["past"]))
-    assert set(spans) == set(range(1, 9))
+    for chunk in (1, 2, 3, 100):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        for _ in range(6):
+            rows = [(i, text[k : k + n], i * 1000) for i in range(12) for k, n in [(RNG.randrange(4), RNG.choice([40, 50, 55, 60]))] for _ in range(RNG.choice([1, 1, 2]))]
+            rows += [(i, b"z" * 60, i * 1000 + 500) for i in range(3)]
+            seen = {}
+            for i, t, _ in rows:
+                for p in range(len(t) - 49):
+                    seen[t[p : p + 50]] = min(i, seen.get(t[p : p + 50], i))
+            want = {(i, at + p + q) for i, t, at in rows for p in range(len(t) - 49) if seen[t[p : p + 50]] < i for q in range(50)}
+            RNG.shuffle(rows)
+            got = set()
+            for out in suffix_dedup._copies(iter([around_table([(0, b"q" * 70, [1, 2], [0, 0])] + [(1, t, [i], [at]) for i, t, at in rows] + [(2, b"r" * 70, [4], [0])])])):
+                got |= {(r["doc_id"], x) for r in out.to_pylist() for x in range(r["first"], r["past"])}
+            assert got == want | {(2, x) for x in range(70)}
 
 
 def test_chunks_of_one_slot(monkeypatch):
@@ -389,7 +402,7 @@ def test_chunks_of_one_slot(monkeypatch):
                 for r in b.to_pylist():
                     at[r["doc_id"]].append(r["at"])
             rows = pa.RecordBatch.from_arrays([pa.array(list(at)), pa.array([texts[i] for i in at]), pa.array(list(at.values()), pa.list_(pa.binary()))], names=["doc_id", "text", "at"])
-            around = pa.Table.from_batches(suffix_dedup._surroundings(iter([rows]))).sort_by([("anchor", "ascending"), ("doc_id", "ascending")])
+            around = pa.Table.from_batches(suffix_dedup._surroundings(iter([rows]))).sort_by([("anchor", "ascending")])
             gone = {i: np.zeros(len(t), bool) for i, t in enumerate(texts)}
             for b in suffix_dedup._copies(iter(around.combine_chunks().to_batches())):
                 for r in b.to_pylist():
