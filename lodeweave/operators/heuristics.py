@@ -62,10 +62,13 @@ def multi_denomination_matches(deposits: DataFrame, withdrawals: DataFrame) -> D
     return w.join(d, "key").select("withdraw_hash", "deposit_hash")
 
 
-def multi_denomination_clusters(matches: DataFrame, deposits: DataFrame, withdrawals: DataFrame, days: int) -> DataFrame:
+def multi_denomination_clusters(deposits: DataFrame, withdrawals: DataFrame, every: DataFrame, days: int) -> DataFrame:
     """``transaction, cluster``: members of both windows of each match; a transaction keeps its last cluster.
 
-    The window members are found by bucketing time into window lengths, so the theta part is an equi-join on two buckets.
+    ``deposits`` and ``withdrawals`` are portfolios; ``every`` has all withdrawals with the times of their windows. Of the
+    withdrawals with equal portfolios only the last one can name the cluster of a deposit's window, so portfolios are
+    compared as groups and no pairs are listed. Members are found by bucketing time into window lengths, so the theta
+    part is an equi-join on two buckets.
     """
     length = days * 86_400_000_000
 
@@ -75,9 +78,11 @@ def multi_denomination_clusters(matches: DataFrame, deposits: DataFrame, withdra
         joined = spread.join(own, ["address", "b"])
         return joined.where((F.col("t") <= F.col("ts")) & (F.col("t") >= F.col("ts") - length)).select("transaction", "cluster")
 
-    withdraw_anchor = matches.select(F.col("withdraw_hash").alias("hash")).distinct().join(withdrawals, "hash").select("address", "ts", F.col("hash").alias("cluster"))
-    deposit_anchor = matches.join(deposits.withColumnRenamed("hash", "deposit_hash"), "deposit_hash").select("address", "ts", F.col("withdraw_hash").alias("cluster"))
-    found = members(withdrawals, withdraw_anchor).unionByName(members(deposits, deposit_anchor))
+    d, w = (rows.select("hash", "address", "ts", F.to_json("portfolio").alias("key")) for rows in (deposits, withdrawals))
+    last = w.groupBy("key").agg(F.max("hash").alias("cluster"))
+    deposit_anchor = d.join(last, "key").select("address", "ts", "cluster")
+    withdraw_anchor = w.join(d.select("key").distinct(), "key", "left_semi").select("address", "ts", F.col("hash").alias("cluster"))
+    found = members(every, withdraw_anchor).unionByName(members(deposits, deposit_anchor))
     return found.groupBy("transaction").agg(F.max("cluster").alias("cluster"))
 
 
@@ -94,18 +99,28 @@ def linked_address_links(pairs: DataFrame, deposits: DataFrame, withdrawals: Dat
     return found.join(d, "a").join(w, ["b", "pool"]).where("d_ts < w_ts").select("withdraw_hash", "deposit_hash", F.col("a").alias("deposit_address"), F.col("b").alias("withdraw_address"))
 
 
-def reward_claim_links(claims: DataFrame, deposits: DataFrame, withdrawals: DataFrame, rates: DataFrame) -> DataFrame:
-    """Deposits whose claimant's points say after how many blocks a withdrawal of the same pool followed.
+def reward_claim_links(claims: DataFrame, deposits: DataFrame, withdrawals: DataFrame, rates: DataFrame, last_claim_only: bool = False) -> DataFrame:
+    """Deposits and withdrawals of one pool that are as many blocks apart as a claim's points say: ``claim_hash, deposit_hash, withdraw_hash, pool``.
 
-    The points are blocks times the pool's rate, so a claim gives one block number for each pool it divides, in whole
-    numbers; the rest is an equi-join on pool and block.
+    The claimant made the deposit or received the withdrawal; one who did both is followed from both sides, and a link
+    found twice counts once. The points are blocks times the pool's rate, so a claim gives one block number for each pool
+    it divides, in whole numbers; the rest is an equi-join on pool and block. With ``last_claim_only`` the links of a
+    claimant's last claim (by hash) that has any replace those of earlier ones, for each side by itself.
     """
-    d = deposits.select(F.col("from_address").alias("recipient"), "pool", F.col("block_number").alias("d_block"), F.col("hash").alias("deposit_hash"))
     rates = F.broadcast(rates.where("rate IS NOT NULL").select("pool", "rate"))  # one row for each pool
-    due = claims.select(F.col("hash").alias("claim_hash"), "recipient", "points").join(d, "recipient").join(rates, "pool").where("points % rate = 0")
-    due = due.withColumn("block_number", F.col("d_block") + F.expr("points div rate"))
-    w = withdrawals.select("pool", "block_number", F.col("hash").alias("withdraw_hash"))
-    return due.join(w, ["pool", "block_number"]).select("claim_hash", "deposit_hash", "withdraw_hash", "pool")
+    d = deposits.select("pool", F.col("block_number").alias("d_block"), F.col("hash").alias("deposit_hash"), F.col("from_address").alias("recipient"))
+    w = withdrawals.select("pool", F.col("block_number").alias("w_block"), F.col("hash").alias("withdraw_hash"), F.col("recipient_address").alias("recipient"))
+    own = claims.select(F.col("hash").alias("claim_hash"), "recipient", "points")
+    blocks = F.expr("points div rate")
+
+    def side(mine: DataFrame, other: DataFrame, block: str, due: Column, name: str) -> DataFrame:
+        asked = own.join(mine, "recipient").join(rates, "pool").where("points % rate = 0").withColumn(block, due)
+        return asked.join(other.drop("recipient"), ["pool", block]).select("claim_hash", "recipient", "deposit_hash", "withdraw_hash", "pool", F.lit(name).alias("side"))
+
+    found = side(d, w, "w_block", F.col("d_block") + blocks, "deposit").unionByName(side(w, d, "d_block", F.col("w_block") - blocks, "withdraw"))
+    if last_claim_only:
+        found = found.withColumn("last", F.max("claim_hash").over(Window.partitionBy("side", "recipient"))).where("claim_hash = last")
+    return found.select("claim_hash", "deposit_hash", "withdraw_hash", "pool").distinct()
 
 
 def heuristic_output(links: DataFrame, transactions: DataFrame, cluster: str) -> DataFrame:
@@ -151,8 +166,26 @@ def reuse_confidence(t_diff: Column, a_diff: Column, a_max: float = 0.01, t_max:
 
 def reuse_metadata(matches: DataFrame) -> DataFrame:
     """``address, entity, conf``: mean confidence of each user (0), deposit (1) and exchange (2)."""
-    parts = [matches.groupBy(F.col(c).alias("address")).agg(F.avg("conf").alias("conf")).select("address", F.lit(e).alias("entity"), "conf") for c, e in (("user_address", 0), ("deposit", 1), ("exchange", 2))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    roles = F.array(*[F.struct(F.col(c).alias("address"), F.lit(e).alias("entity")) for c, e in (("user_address", 0), ("deposit", 1), ("exchange", 2))])
+    return matches.select(F.explode(roles).alias("r"), "conf").groupBy("r.address", "r.entity").agg(F.avg("conf").alias("conf"))
+
+
+def reuse_attributes(matches: DataFrame, names: DataFrame) -> DataFrame:
+    """``address, entity, meta_data`` (JSON): nothing for users, an exchange's ``name`` (null if unknown), and for a deposit the exchange
+    of its first forward, with that one's name. ``names`` is ``address, name``; of several exchanges in the first forward the smallest counts."""
+    named = names.select(F.col("address").alias("exchange"), "name")
+    keep = {"ignoreNullFields": "false"}
+    users = matches.select(F.col("user_address").alias("address")).distinct().select("address", F.lit(0).alias("entity"), F.lit("{}").alias("meta_data"))
+    exchanges = matches.select("exchange").distinct().join(named, "exchange", "left").select(F.col("exchange").alias("address"), F.lit(2).alias("entity"), F.to_json(F.struct("name"), keep).alias("meta_data"))
+    first = matches.groupBy("deposit").agg(F.min(F.struct("forward_tx", "exchange"))["exchange"].alias("exchange")).join(named, "exchange", "left")
+    shown = F.struct(F.col("exchange").alias("exchange_address"), F.col("name").alias("exchange_name"), F.concat(F.lit("Deposit for "), "name").alias("name"))
+    return users.unionByName(exchanges).unionByName(first.select(F.col("deposit").alias("address"), F.lit(1).alias("entity"), F.to_json(shown, keep).alias("meta_data")))
+
+
+def split_known(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exchanges, and all other known addresses, which are neither users nor deposits; a missing type or entity is another one."""
+    exchange = F.col("account_type").eqNullSafe("eoa") & F.col("entity").eqNullSafe("exchange")
+    return known.where(exchange).select("address"), known.where(~exchange).select("address")
 
 
 def prune_matches(matches: DataFrame) -> DataFrame:

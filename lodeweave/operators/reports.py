@@ -104,10 +104,10 @@ def address_filter(df: DataFrame, min_conf: float | None = None, max_conf: float
     return df
 
 
-def cluster_members(table: DataFrame, address: Column, cluster: str = "cluster") -> DataFrame:
-    """All rows of the clusters that an address is in."""
-    own = table.where(address).select(cluster).where(F.col(cluster).isNotNull()).distinct()
-    return table.join(own, cluster, "left_semi")
+def cluster_members(table: DataFrame, addresses: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """All rows of the clusters that one of the ``addresses`` is in."""
+    own = table.join(addresses.select("address"), "address", "left_semi").select(cluster).where(F.col(cluster).isNotNull()).distinct()
+    return table.join(own, cluster, "left_semi").select(*table.columns)
 
 
 def labelled(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodeweave.operators import heuristics as H
 from lodeweave.plans import reuse as U
 from lodeweave.sources import fixtures as X
 from lodeweave.sources.fixtures import sql
@@ -11,21 +12,10 @@ from lodeweave.streaming import reuse as S
 
 
 def stream_dar_equals_batch(spark, d):
-    """The stream's matches over lineitem, file by file; the oracle is the batch form."""
-    path = f"{d}/lineitem.parquet"
-
-    def transfers(rows):
-        back = F.col("l_returnflag") == "R"
-        supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-        return rows.select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("transaction"),
-            F.when(back, supplier).otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("from_address"),
-            F.when(back, F.concat(F.lit("x"), (F.col("l_suppkey") % 25).cast("string"))).otherwise(supplier).alias("to_address"),
-            (F.col("l_quantity") + F.col("l_discount") / 10).alias("value"),
-            F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long").alias("block"),
-        )
-
-    return S.stream_matches(spark, path, spark.read.parquet(path).schema, transfers, U.T_MAX, U.A_MAX)
+    """The stream's matches over transfers that arrive in six loads; the oracle is the batch form."""
+    transfers, known = X.transfers(spark, d), X.known(spark, d)
+    path, span = S.in_order_of_arrival(transfers, 6)
+    return S.stream_matches(spark, path, transfers.schema, H.split_known(known)[0], known, X.miners(spark, d), U.T_MAX, U.A_MAX, span)
 
 
 def above_high_water_mark(spark, d):

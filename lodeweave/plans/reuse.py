@@ -9,18 +9,32 @@ from lodeweave.operators import clusters as C
 from lodeweave.operators import heuristics as H
 from lodeweave.operators import joins as J
 from lodeweave.operators.components import connected_components
+from lodeweave.operators.materialize import materialize
+from lodeweave.plans import pools as P
 from lodeweave.sources import fixtures as X
 from lodeweave.sources.fixtures import sql
 
 T_MAX, A_MAX = 100, 0.01
+#: Matches of less confidence take no part in clusters over time.
+LEAST_CONF = 0.5
 
 
 def _matches(spark, d) -> DataFrame:
-    nobody = spark.createDataFrame([], "address string")
-    found = H.reuse_matches(X.transfers(spark, d), X.exchanges(spark), X.exchanges(spark), nobody, A_MAX, T_MAX)
+    known = X.known(spark, d)
+    exchanges, _ = H.split_known(known)
+    found = H.reuse_matches(X.transfers(spark, d), exchanges, known, X.miners(spark, d), A_MAX, T_MAX)
     return found.withColumn("conf", H.reuse_confidence(F.col("t_diff"), F.col("a_diff"), A_MAX, T_MAX))
 
 
+def _pruned(spark, d) -> DataFrame:
+    return H.prune_matches(materialize(_matches(spark, d), "matches"))
+
+
+def clusters_of(pruned: DataFrame) -> DataFrame:
+    """``node, component`` of users and the deposit addresses that they share."""
+    return connected_components(pruned, "user_address", "deposit")
+
+
 def dar_matches(spark, d):
     return _matches(spark, d).select("user_address", "deposit", "exchange", "forward_tx", "receipt_tx", "t_diff")
 
@@ -38,8 +52,17 @@ def dar_metadata(spark, d):
     return H.reuse_metadata(_matches(spark, d)).select("address", "entity", F.round("conf", 6).alias("conf"))
 
 
+def dar_attributes(spark, d):
+    return H.reuse_attributes(_matches(spark, d), X.known(spark, d).select("address", "name"))
+
+
+def known_split(spark, d):
+    exchanges, others = H.split_known(X.known(spark, d))
+    return exchanges.withColumn("exchange", F.lit(True)).unionByName(others.withColumn("exchange", F.lit(False)))
+
+
 def dar_pruned(spark, d):
-    return H.prune_matches(_matches(spark, d)).select("user_address", "deposit", "exchange", "forward_tx")
+    return _pruned(spark, d).select("user_address", "deposit", "exchange", "forward_tx")
 
 
 def metadata_argmax(spark, d):
@@ -51,7 +74,7 @@ def metadata_argmax(spark, d):
 
 
 def _edges(spark, d) -> DataFrame:
-    found = H.prune_matches(_matches(spark, d))
+    found = _pruned(spark, d)
     return found.select(F.col("user_address").alias("a"), F.col("deposit").alias("b")).distinct()
 
 
@@ -60,16 +83,20 @@ def components_dar(spark, d):
 
 
 def exchange_components(spark, d):
-    found = H.prune_matches(_matches(spark, d)).where(F.col("exchange").isin("x0", "x1", "x2"))
-    return connected_components(found.select("deposit", "exchange"), "deposit", "exchange")
+    return connected_components(_pruned(spark, d), "deposit", "exchange")
+
+
+def components_users(spark, d):
+    """Users by shared deposit addresses and by the pool heuristics' pairs of addresses (user n of the pools is ``p`` n here)."""
+    pairs = P.cluster_address_pairs(spark, d).select(*[F.concat(F.lit("p"), F.col(c).cast("string")).alias(c2) for c, c2 in (("x", "a"), ("y", "b"))])
+    return connected_components(_edges(spark, d).unionByName(pairs), "a", "b")
 
 
 def cluster_merge(spark, d):
-    """Components of today merged into those of the first half of the blocks."""
-    found = H.prune_matches(_matches(spark, d))
-    old = connected_components(found.where("receipt_block < 400"), "user_address", "deposit").select(F.col("node").alias("address"), F.col("component").alias("cluster"))
-    new = components_dar(spark, d).select(F.col("node").alias("address"), F.col("component").alias("cluster"))
-    return C.merge_clusters(new, old)
+    """Components of today merged into those of the first half of the blocks; both from confident matches only."""
+    found = materialize(_pruned(spark, d).where(F.col("conf") >= LEAST_CONF), "confident")
+    named = lambda rows: clusters_of(rows).select(F.col("node").alias("address"), F.col("component").alias("cluster"))
+    return C.merge_clusters(named(found), named(found.where("receipt_block < 400")))
 
 
 def upsert_address(spark, d):
@@ -95,14 +122,14 @@ def known_address_precedence(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    dar_matches, dar_confidence, dar_transactions, dar_metadata, dar_pruned, metadata_argmax, components_dar, exchange_components, cluster_merge,
+    dar_matches, dar_confidence, dar_transactions, dar_metadata, dar_attributes, known_split, dar_pruned, metadata_argmax, components_dar, components_users, exchange_components, cluster_merge,
     upsert_address, append_new_pools, known_address_precedence,
 )}
 
 _VIEWS = {
-    "tx": "SELECT *, round_even(value * 10, 0) / 10 AS rv FROM transfers",
-    "fw": "SELECT * FROM tx WHERE to_address LIKE 'x%'",
-    "rc": "SELECT * FROM tx WHERE to_address IN (SELECT from_address FROM fw WHERE from_address NOT LIKE 'x%') AND from_address NOT LIKE 'x%'",
+    "tx": "SELECT *, round_even(value * 10, 0) / 10 AS rv FROM transfers WHERE from_address NOT IN (SELECT address FROM miners)",
+    "fw": "SELECT * FROM tx WHERE to_address IN (SELECT address FROM known WHERE account_type = 'eoa' AND entity = 'exchange')",
+    "rc": "SELECT * FROM tx WHERE to_address IN (SELECT from_address FROM fw WHERE from_address NOT IN (SELECT address FROM known)) AND from_address NOT IN (SELECT address FROM known)",
     "sq": "SELECT from_address AS deposit, rv, block, 1 AS side, transaction, value, to_address AS exchange, NULL::VARCHAR AS r FROM fw UNION ALL SELECT to_address, rv, block, 0, transaction, value, NULL, transaction || '|' || from_address || '|' || value || '|' || block FROM rc",
     "af": "SELECT *, split_part(l, '|', 1) AS lt, split_part(l, '|', 2) AS lu, split_part(l, '|', 3)::DOUBLE AS lv, split_part(l, '|', 4)::BIGINT AS lb FROM (SELECT *, last_value(r IGNORE NULLS) OVER (PARTITION BY deposit, rv ORDER BY block, side, transaction ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM sq) WHERE l IS NOT NULL",
     "m": f"SELECT lu AS user_address, deposit, exchange, transaction AS forward_tx, lt AS receipt_tx, lb AS receipt_block, block - lb AS t_diff, lv - value AS a_diff, "
@@ -115,13 +142,20 @@ _VIEWS = {
 
 
 def _sql(body: str, **more: str) -> str:
-    return sql(body, "transfers", **_VIEWS, **more)
+    return sql(body, "transfers", "known", "miners", **_VIEWS, **more)
 
 
 def _reach(name: str, pairs: str) -> dict[str, str]:
     return {f"{name}_e": f"{pairs}", f"{name}_s": f"SELECT a, b FROM {name}_e UNION SELECT b, a FROM {name}_e", f"{name}_r": f"SELECT a, a AS b FROM {name}_s UNION SELECT r.a, e.b FROM {name}_r r JOIN {name}_s e ON e.a = r.b", name: f"SELECT a AS node, min(b) AS component FROM {name}_r GROUP BY a"}
 
 
+USER_CLUSTERS = {
+    **_reach("du", "SELECT DISTINCT user_address AS a, deposit AS b FROM p2"), **_reach("dx", "SELECT DISTINCT deposit AS a, exchange AS b FROM p2"),
+    "us": "SELECT user_address AS node, avg(conf) AS conf FROM p2 GROUP BY user_address",
+    "ue": "SELECT component, count(*) AS eoas FROM du JOIN us USING (node) GROUP BY component",
+    "ux": "SELECT du.component, count(DISTINCT dx.component) AS exchanges FROM du JOIN (SELECT DISTINCT deposit AS node FROM p2) d ON d.node = du.node JOIN dx ON dx.node = du.node GROUP BY du.component",
+    "uc": "SELECT us.node AS address, conf, eoas, coalesce(exchanges, 0) AS exchanges FROM us JOIN du USING (node) JOIN ue USING (component) LEFT JOIN ux USING (component)",
+}
 ORACLE_SQL = {
     "dar_matches": _sql("SELECT user_address, deposit, exchange, forward_tx, receipt_tx, t_diff FROM m"),
     "dar_confidence": _sql("SELECT DISTINCT user_address, deposit, exchange, t_diff, round(a_diff, 6) AS a_diff, round(conf, 6) AS conf FROM m"),
@@ -132,10 +166,18 @@ ORACLE_SQL = {
         "SELECT address, entity, conf, source FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY conf DESC NULLS LAST, source, entity) AS k FROM "
         "(SELECT address, entity, round(conf, 6) AS conf, 0 AS source FROM meta UNION ALL SELECT from_address, 0, round(avg(value) / 100, 6), 1 FROM transfers GROUP BY from_address)) WHERE k = 1"),
     "components_dar": _sql("SELECT * FROM c", **_reach("c", "SELECT DISTINCT user_address AS a, deposit AS b FROM p2")),
-    "exchange_components": _sql("SELECT * FROM c", **_reach("c", "SELECT DISTINCT deposit AS a, exchange AS b FROM p2 WHERE exchange IN ('x0', 'x1', 'x2')")),
+    "exchange_components": _sql("SELECT * FROM c", **_reach("c", "SELECT DISTINCT deposit AS a, exchange AS b FROM p2")),
+    "components_users": sql("SELECT * FROM c", "transfers", "known", "miners", "deposits", "withdrawals", "external_txs", **_VIEWS, pairs=P._PAIRS.format(least=3), typed=P._TYPED, linked=P._LINKED,
+        cap="SELECT cluster, address AS x, lead(address) OVER (PARTITION BY cluster ORDER BY address) AS y FROM (SELECT DISTINCT deposit_hash AS cluster, deposit_address AS address FROM linked UNION SELECT deposit_hash, withdraw_address FROM linked)",
+        **_reach("c", "SELECT DISTINCT user_address AS a, deposit AS b FROM p2 UNION SELECT 'p' || x, 'p' || y FROM cap WHERE y IS NOT NULL")),
+    "dar_attributes": _sql(
+        "SELECT DISTINCT user_address AS address, 0 AS entity, '{}' AS meta_data FROM m UNION ALL SELECT DISTINCT exchange, 2, '{\"name\":' || coalesce('\"' || name || '\"', 'null') || '}' FROM m LEFT JOIN known k ON k.address = exchange "
+        "UNION ALL SELECT deposit, 1, '{\"exchange_address\":\"' || exchange || '\",\"exchange_name\":' || coalesce('\"' || name || '\"', 'null') || ',\"name\":' || coalesce('\"Deposit for ' || name || '\"', 'null') || '}' "
+        "FROM (SELECT deposit, arg_min(exchange, (forward_tx, exchange)) AS exchange FROM m GROUP BY deposit) f LEFT JOIN known k ON k.address = exchange"),
+    "known_split": sql("SELECT address, coalesce(account_type = 'eoa', false) AND coalesce(entity = 'exchange', false) AS exchange FROM known", "known"),
     "cluster_merge": _sql(
         "SELECT address, cluster FROM merged",
-        **_reach("n", "SELECT DISTINCT user_address AS a, deposit AS b FROM p2"), **_reach("o", "SELECT DISTINCT user_address AS a, deposit AS b FROM p2 WHERE receipt_block < 400"),
+        **_reach("n", f"SELECT DISTINCT user_address AS a, deposit AS b FROM p2 WHERE conf >= {LEAST_CONF}"), **_reach("o", f"SELECT DISTINCT user_address AS a, deposit AS b FROM p2 WHERE conf >= {LEAST_CONF} AND receipt_block < 400"),
         votes="SELECT n.component AS new, o.component AS old, count(*) AS k FROM n JOIN o ON o.node = n.node GROUP BY ALL",
         chosen="SELECT new, old FROM (SELECT *, row_number() OVER (PARTITION BY new ORDER BY k DESC, old) AS r FROM votes) WHERE r = 1",
         merged="SELECT n.node AS address, coalesce(c.old, n.component) AS cluster FROM n LEFT JOIN chosen c ON c.new = n.component"),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodeweave.functions import scalars as S
 from lodeweave.operators import joins as J
 from lodeweave.operators import reports as R
+from lodeweave.operators.components import connected_components
+from lodeweave.operators.materialize import materialize
 from lodeweave.plans import pools as P
 from lodeweave.plans import reuse as U
 from lodeweave.sources import fixtures as X
@@ -17,13 +19,13 @@ START, END = "2024-01-05 00:00:00", "2024-02-03 00:00:00"
 
 
 def _reveals(spark, d) -> DataFrame:
-    """``heuristic, transaction`` of address matches (1), unique gas prices (2) and linked addresses (4)."""
-    parts = [(1, P.exact_match_links(spark, d)), (2, P.unique_gas_global(spark, d)), (4, P.linked_address_links(spark, d))]
-    out = None
-    for h, links in parts:
-        own = links.select(F.explode(F.array("withdraw_hash", "deposit_hash")).alias("transaction")).distinct().select(F.lit(h).alias("heuristic"), "transaction")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """``heuristic, transaction`` of all five heuristics: address matches (1), unique gas prices (2), equal portfolios (3), linked addresses (4)
+    and reward claims (5); written once, as the reports read it several times."""
+    pairs = [(1, P.exact_match_links(spark, d)), (2, P.unique_gas_global(spark, d)), (4, P.linked_address_links(spark, d)), (5, P.reward_claim_links(spark, d))]
+    out = P.multi_denom_clusters(spark, d).select(F.lit(3).alias("heuristic"), "transaction")
+    for h, links in pairs:
+        out = out.unionByName(links.select(F.explode(F.array("withdraw_hash", "deposit_hash")).alias("transaction")).distinct().select(F.lit(h).alias("heuristic"), "transaction"))
+    return materialize(out, "reveals")
 
 
 def _transactions(spark, d) -> DataFrame:
@@ -52,21 +54,58 @@ def weekly_counts(spark, d):
     return R.weekly_counts(_transactions(spark, d), "ts", "2024-01-01", "2024-03-04")
 
 
+HEURISTICS = [1, 2, 3, 4, 5]
+#: How sure each heuristic is (fixed values of the score).
+CONFIDENCE = {1: 1.0, 2: 1.0, 3: 0.5, 4: 0.25, 5: 0.25}
+
+
 def _counts(spark, d) -> DataFrame:
     return _reveals(spark, d).join(_transactions(spark, d), "transaction").groupBy("address", "heuristic").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reveal_distribution(spark, d):
-    return R.reveal_distribution(_transactions(spark, d).select("address"), _counts(spark, d), [1, 2, 4])
+    return R.reveal_distribution(_transactions(spark, d).select("address"), _counts(spark, d), HEURISTICS)
 
 
 def reveal_rank(spark, d):
-    return R.reveal_rank(_counts(spark, d), reveal_distribution(spark, d))
+    counts = materialize(_counts(spark, d), "counts")
+    return R.reveal_rank(counts, R.reveal_distribution(_transactions(spark, d).select("address"), counts, HEURISTICS))
+
+
+def overall_rank(spark, d):
+    """The mean over all heuristics of each address's rank; without a reveal it has rank 0."""
+    ranks = reveal_rank(spark, d).groupBy("address").agg((F.sum("rank") / len(HEURISTICS)).alias("mean"))
+    every = _transactions(spark, d).select("address").distinct().join(ranks, "address", "left")
+    mean = F.coalesce("mean", F.lit(0.0))
+    return every.select("address", F.round(mean, 5).alias("rank"), F.floor(F.round(mean, 5) * 100).cast("int").alias("percent"))
+
+
+def _user_clusters(spark, d) -> DataFrame:
+    """``address, conf, eoas, exchanges`` of users that reuse deposit addresses: the users of a user's cluster and the exchange clusters of its deposits."""
+    pruned = materialize(U._pruned(spark, d), "pruned")
+    cluster = U.clusters_of(pruned)
+    users = pruned.groupBy(F.col("user_address").alias("node")).agg(F.avg("conf").alias("conf"))
+    deposits = pruned.select(F.col("deposit").alias("node")).distinct()
+    reached = connected_components(pruned, "deposit", "exchange").select("node", F.col("component").alias("exchange_cluster"))
+    eoas = cluster.join(users, "node").groupBy("component").agg(F.count(F.lit(1)).alias("eoas"))
+    exchanges = cluster.join(deposits, "node").join(reached, "node").groupBy("component").agg(F.count_distinct("exchange_cluster").alias("exchanges"))
+    return users.join(cluster, "node").join(eoas, "component").join(exchanges, "component", "left").select(F.col("node").alias("address"), "conf", "eoas", F.coalesce("exchanges", F.lit(0)).alias("exchanges"))
+
+
+def exchange_reach(spark, d):
+    """Users, the size of their cluster and how many exchange clusters it reaches through its deposits."""
+    return _user_clusters(spark, d).select("address", "eoas", "exchanges")
 
 
 def anonymity_score(spark, d):
-    wide = _counts(spark, d).groupBy("address").agg(*[F.coalesce(F.max(F.when(F.col("heuristic") == h, F.col("n"))), F.lit(0)).alias(f"n{h}") for h in (1, 2, 4)])
-    return wide.select("address", R.anonymity_score([(F.lit(1.0), R.capped(F.col("n1"))), (F.lit(1.0), R.capped(F.col("n2"))), (F.lit(0.25), R.capped(F.col("n4")))]).alias("score"))
+    """Reveals by heuristic, each with its confidence, and a user cluster's size and exchanges where the address has one (number n is ``p`` n there)."""
+    wide = _counts(spark, d).groupBy("address").agg(*[F.coalesce(F.max(F.when(F.col("heuristic") == h, F.col("n"))), F.lit(0)).alias(f"n{h}") for h in HEURISTICS])
+    users = _user_clusters(spark, d).withColumnRenamed("address", "user")
+    rows = wide.join(users, F.concat(F.lit("p"), wide["address"].cast("string")) == F.col("user"), "left")
+    conf = F.coalesce("conf", F.lit(0.0))
+    parts = [(F.lit(c), F.col(f"n{h}")) for h, c in CONFIDENCE.items()]
+    parts += [(conf, R.capped(F.coalesce("eoas", F.lit(0)))), (conf * 0.1, F.coalesce("exchanges", F.lit(0)))]
+    return rows.select("address", R.anonymity_score(parts).alias("score"))
 
 
 def cluster_page(spark, d):
@@ -81,7 +120,8 @@ def page_count(spark, d):
 
 def cluster_expansion(spark, d):
     table = P.linked_address_links(spark, d).select(F.col("deposit_hash").alias("cluster"), F.col("withdraw_address").alias("address"), F.col("withdraw_hash").alias("transaction"))
-    return R.cluster_members(table, F.col("address") % 10 == 3)
+    asked = X.claims(spark, d).select(F.col("recipient").alias("address")).distinct()
+    return R.cluster_members(table, asked)
 
 
 def time_slice(spark, d):
@@ -150,25 +190,27 @@ def portfolio_key_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pool_audit, address_stats, compromised_by_pool, timeline, weekly_counts, reveal_distribution, reveal_rank, anonymity_score, cluster_page, page_count,
+    pool_audit, address_stats, compromised_by_pool, timeline, weekly_counts, reveal_distribution, reveal_rank, overall_rank, exchange_reach, anonymity_score, cluster_page, page_count,
     cluster_expansion, time_slice, block_slice, entity_labels, pool_helpers, set_operations, anonymity_entropy, rounding, abi_decode, unique_senders, portfolio_key_counts,
 )}
 
 _REVEALS = {
     "xm": P._EXACT, "ug": P._GAS.format(keys="gas_price", pool=""), "pairs": P._PAIRS.format(least=3), "typed": P._TYPED, "linked": P._LINKED,
-    "reveals": " UNION ALL ".join(f"SELECT {h} AS heuristic, transaction FROM (SELECT withdraw_hash AS transaction FROM {t} UNION SELECT deposit_hash FROM {t})" for h, t in ((1, "xm"), (2, "ug"), (4, "linked"))),
+    **P._PORTFOLIOS, "mc": P.MULTI_CLUSTERS, "rl": P._REWARD,
+    "reveals": " UNION ALL ".join(f"SELECT {h} AS heuristic, transaction FROM (SELECT withdraw_hash AS transaction FROM {t} UNION SELECT deposit_hash FROM {t})" for h, t in ((1, "xm"), (2, "ug"), (4, "linked"), (5, "rl"))) + " UNION ALL SELECT 3, transaction FROM mc",
     "txs": "SELECT hash AS transaction, from_address AS address, block_timestamp AS ts FROM deposits UNION ALL SELECT hash, recipient_address, block_timestamp FROM withdrawals",
     "cnt": "SELECT address, heuristic, count(*) AS n FROM reveals JOIN txs USING (transaction) GROUP BY ALL",
-    "dist": "SELECT heuristic, reveals, count(*) AS frequency FROM (SELECT h.heuristic, coalesce(c.n, 0) AS reveals FROM (SELECT DISTINCT address FROM txs) a CROSS JOIN (VALUES (1), (2), (4)) h(heuristic) LEFT JOIN cnt c ON c.address = a.address AND c.heuristic = h.heuristic) GROUP BY ALL",
+    "dist": "SELECT heuristic, reveals, count(*) AS frequency FROM (SELECT h.heuristic, coalesce(c.n, 0) AS reveals FROM (SELECT DISTINCT address FROM txs) a CROSS JOIN (VALUES (1), (2), (3), (4), (5)) h(heuristic) LEFT JOIN cnt c ON c.address = a.address AND c.heuristic = h.heuristic) GROUP BY ALL",
     "audit": "SELECT d.pool, count(*) AS total, count(f.transaction) AS compromised, count(*) - count(f.transaction) AS uncompromised, " + ", ".join(f"coalesce(sum(f.h{h}), 0)::BIGINT AS by_{h}" for h in range(1, 6))
              + " FROM deposits d LEFT JOIN (SELECT transaction, " + ", ".join(f"max((heuristic = {h})::INT) AS h{h}" for h in range(1, 6)) + " FROM reveals GROUP BY transaction) f ON f.transaction = d.hash GROUP BY d.pool",
 }
 
 
 def _sql(body: str) -> str:
-    return sql(body, "deposits", "withdrawals", "external_txs", **_REVEALS)
+    return sql(body, "deposits", "withdrawals", "external_txs", "claims", "pools", **_REVEALS)
 
 
+_RANKS = "SELECT c.address, c.heuristic, c.n, round(b.below / b.total, 6) AS rank, floor(b.below / b.total * 100)::INT AS percent FROM cnt c JOIN (SELECT heuristic, reveals, coalesce(sum(frequency) OVER (PARTITION BY heuristic ORDER BY reveals ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below, sum(frequency) OVER (PARTITION BY heuristic)::DOUBLE AS total FROM dist) b ON b.heuristic = c.heuristic AND b.reveals = c.n"
 _META = "SELECT address, entity, round(conf, 6) AS conf FROM meta"
 ORACLE_SQL = {
     "pool_audit": _sql("SELECT * FROM audit"),
@@ -177,11 +219,15 @@ ORACLE_SQL = {
     "timeline": _sql(f"SELECT ts, heuristic, address, transaction FROM reveals JOIN txs USING (transaction) WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'"),
     "weekly_counts": _sql("SELECT w.week::INT AS week, count(t.ts) AS n FROM range(9) w(week) LEFT JOIN txs t ON t.ts::DATE >= DATE '2024-01-01' AND t.ts::DATE < DATE '2024-03-04' AND date_diff('day', DATE '2024-01-01', t.ts::DATE) // 7 = w.week GROUP BY w.week"),
     "reveal_distribution": _sql("SELECT * FROM dist"),
-    "reveal_rank": _sql("SELECT c.address, c.heuristic, c.n, round(b.below / b.total, 6) AS rank, floor(b.below / b.total * 100)::INT AS percent FROM cnt c JOIN (SELECT heuristic, reveals, coalesce(sum(frequency) OVER (PARTITION BY heuristic ORDER BY reveals ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below, sum(frequency) OVER (PARTITION BY heuristic)::DOUBLE AS total FROM dist) b ON b.heuristic = c.heuristic AND b.reveals = c.n"),
-    "anonymity_score": _sql("SELECT address, round(1 - tanh(0.1 * (least(n1, 1000) + least(n2, 1000) + 0.25 * least(n4, 1000))), 3) AS score FROM (SELECT address, " + ", ".join(f"coalesce(max(n) FILTER (WHERE heuristic = {h}), 0)::DOUBLE AS n{h}" for h in (1, 2, 4)) + " FROM cnt GROUP BY address)"),
+    "reveal_rank": _sql(_RANKS),
+    "overall_rank": _sql("SELECT address, round(r, 5) AS rank, floor(round(r, 5) * 100)::INT AS percent FROM (SELECT a.address, coalesce(sum(k.rank), 0) / 5 AS r FROM (SELECT DISTINCT address FROM txs) a LEFT JOIN (" + _RANKS + ") k ON k.address = a.address GROUP BY a.address)"),
+    "exchange_reach": U._sql("SELECT address, eoas, exchanges FROM uc", **U.USER_CLUSTERS),
+    "anonymity_score": sql(
+        "SELECT address, round(1 - tanh(0.1 * (n1 + n2 + 0.5 * n3 + 0.25 * n4 + 0.25 * n5 + coalesce(conf * least(eoas, 1000) + 0.1 * conf * exchanges, 0))), 3) AS score FROM (SELECT address, " + ", ".join(f"coalesce(max(n) FILTER (WHERE heuristic = {h}), 0)::DOUBLE AS n{h}" for h in HEURISTICS) + " FROM cnt GROUP BY address) s LEFT JOIN (SELECT address AS u, conf, eoas, exchanges FROM uc) ON u = 'p' || address",
+        "deposits", "withdrawals", "external_txs", "claims", "pools", "transfers", "known", "miners", **_REVEALS, **U._VIEWS, **U.USER_CLUSTERS),
     "cluster_page": U._sql(f"SELECT address, entity, conf, CASE WHEN conf > 0.98 THEN 'high' WHEN conf > 0.95 THEN 'medium' ELSE 'low' END AS label FROM ({_META}) WHERE conf >= 0.5 AND entity = 0 ORDER BY conf DESC, address LIMIT 20 OFFSET 20"),
     "page_count": U._sql("SELECT entity, ceil(count(*) / 20)::BIGINT AS pages FROM meta GROUP BY entity"),
-    "cluster_expansion": _sql("SELECT deposit_hash AS cluster, withdraw_address AS address, withdraw_hash AS transaction FROM linked WHERE deposit_hash IN (SELECT deposit_hash FROM linked WHERE withdraw_address % 10 = 3)"),
+    "cluster_expansion": _sql("SELECT deposit_hash AS cluster, withdraw_address AS address, withdraw_hash AS transaction FROM linked WHERE deposit_hash IN (SELECT deposit_hash FROM linked WHERE withdraw_address IN (SELECT recipient FROM claims))"),
     "time_slice": "SELECT event_id, user_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-17'",
     "block_slice": sql("SELECT transaction, block FROM transfers WHERE block BETWEEN 100 AND 130", "transfers"),
     "entity_labels": U._sql(f"SELECT address, (['eoa', 'deposit', 'exchange'])[entity + 1] AS entity, CASE WHEN conf > 0.98 THEN 'high' WHEN conf > 0.95 THEN 'medium' ELSE 'low' END AS label FROM ({_META})"),

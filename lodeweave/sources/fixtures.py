@@ -83,8 +83,17 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def exchanges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"x{i}",) for i in range(25)], "address string")
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known addresses: the nations are exchanges, parts of size 1 are something else, of some of which type or entity is missing."""
+    nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("x"), "n_nationkey").alias("address"), F.col("n_name").alias("name"), F.lit("eoa").alias("account_type"), F.lit("exchange").alias("entity"))
+    kind, entity = F.when(F.col("p_partkey") % 2 == 0, "eoa"), F.when(F.col("p_partkey") % 3 > 0, "dex")
+    part = table(spark, sf_dir, "part").where("p_size = 1").select(F.concat(F.lit("p"), "p_partkey").alias("address"), F.col("p_name").alias("name"), kind.alias("account_type"), entity.alias("entity"))
+    return nation.unionByName(part)
+
+
+def miners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that mined a block: the parts of one brand."""
+    return table(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select(F.concat(F.lit("p"), "p_partkey").alias("address")).distinct()
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +113,8 @@ VIEWS = {
     "external_txs": "SELECT event_id AS hash, user_id AS from_address, k::BIGINT AS to_address, ts FROM ev WHERE user_id <> k",
     "claims": f"SELECT event_id AS hash, user_id AS recipient, (k % 15)::INT AS pool, (k * ([{_RATE_LIST}])[k % 15 + 1])::BIGINT AS points FROM ev WHERE event_type = 'error'",
     "transfers": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction, CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS from_address, CASE WHEN l_returnflag = 'R' THEN 'x' || (l_suppkey % 25) ELSE 's' || l_suppkey END AS to_address, l_quantity + l_discount / 10 AS value, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) AS block FROM lineitem",
+    "known": "SELECT 'x' || n_nationkey AS address, n_name AS name, 'eoa' AS account_type, 'exchange' AS entity FROM nation UNION ALL SELECT 'p' || p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN 'eoa' END, CASE WHEN p_partkey % 3 > 0 THEN 'dex' END FROM part WHERE p_size = 1",
+    "miners": "SELECT DISTINCT 'p' || p_partkey AS address FROM part WHERE p_brand = 'Brand#11'",
     "edges": "SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem",
 }
 

@@ -16,33 +16,46 @@ def above_mark(df: DataFrame, loaded: DataFrame, column: str) -> DataFrame:
     return df if mark is None else df.where(F.col(column) > mark)
 
 
-def stream_candidates(transfers: DataFrame, t_max: int, delay: str = "0 seconds") -> DataFrame:
-    """Forward and receipt pairs of a stream of transfers, as a stream-stream join.
+def stream_candidates(transfers: DataFrame, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, delay: str = "0 seconds") -> DataFrame:
+    """Forward and receipt pairs of a stream of transfers, as a stream-stream join; the address tables are static.
 
     Both sides carry a watermark on event time (one day for each block), and the range condition bounds the state: a
     receipt is kept until no forward within ``t_max`` can come.
     """
-    tx = transfers.withColumn("round_value", round_half_even(F.col("value"), 1)).withColumn("at", F.timestamp_seconds(F.col("block") * 86_400))
-    exchange = F.col("to_address").startswith("x")
-    forwards = tx.where(exchange).select(F.col("from_address").alias("deposit"), "round_value", F.col("to_address").alias("exchange"), F.col("value").alias("f_value"), F.col("block").alias("f_block"), F.col("transaction").alias("forward_tx"), F.col("at").alias("f_at")).withWatermark("f_at", delay)
-    receipts = tx.where(~exchange & ~F.col("from_address").startswith("x")).select(F.col("to_address").alias("r_deposit"), F.col("round_value").alias("r_round"), F.col("from_address").alias("user_address"), F.col("value").alias("r_value"), F.col("block").alias("r_block"), F.col("transaction").alias("receipt_tx"), F.col("at").alias("r_at")).withWatermark("r_at", delay)
+    at = F.timestamp_seconds(F.col("block") * 86_400)
+    tx = transfers.join(miners.select(F.col("address").alias("from_address")), "from_address", "left_anti").withColumns({"round_value": round_half_even(F.col("value"), 1), "at": at})
+    own = tx.join(known.select(F.col("address").alias("from_address")), "from_address", "left_anti")
+    forwards = own.join(exchanges.select(F.col("address").alias("to_address")), "to_address", "left_semi").select(F.col("from_address").alias("deposit"), "round_value", F.col("to_address").alias("exchange"), F.col("value").alias("f_value"), F.col("block").alias("f_block"), F.col("transaction").alias("forward_tx"), F.col("at").alias("f_at")).withWatermark("f_at", delay)
+    receipts = own.select(F.col("to_address").alias("r_deposit"), F.col("round_value").alias("r_round"), F.col("from_address").alias("user_address"), F.col("value").alias("r_value"), F.col("block").alias("r_block"), F.col("transaction").alias("receipt_tx"), F.col("at").alias("r_at")).withWatermark("r_at", delay)
     span = F.expr(f"INTERVAL {t_max} DAYS")
     condition = (F.col("deposit") == F.col("r_deposit")) & (F.col("round_value") == F.col("r_round")) & (F.col("r_at") <= F.col("f_at")) & (F.col("r_at") >= F.col("f_at") - span)
     return forwards.join(receipts, condition)
 
 
-def stream_matches(spark: SparkSession, source: str, schema, transform, t_max: int, a_max: float) -> DataFrame:
-    """Run the stream over all files of ``source`` and return its matches, those of the batch operator.
+def in_order_of_arrival(transfers: DataFrame, pieces: int) -> tuple[str, int]:
+    """Write ``transfers`` to a folder as ``pieces`` loads in order of block; the folder, and the blocks that one load spans."""
+    path = scratch_path(transfers.sparkSession, "loads")
+    low, high = transfers.agg(F.min("block"), F.max("block")).first()
+    span = max(1, -(-((high or 0) - (low or 0) + 1) // pieces))
+    for k in range(pieces):
+        own = transfers.where(F.col("block").between((low or 0) + k * span, (low or 0) + (k + 1) * span - 1))
+        own.write.mode("append").parquet(path)
+    return path, span
 
-    Candidates go to a table, by micro-batch; the last receipt of each forward is picked from them afterwards, and the
-    amount is judged after that, as in the batch form.
+
+def stream_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int) -> DataFrame:
+    """Run the stream over all files of ``source``, one in a micro-batch, and return its matches, those of the batch operator.
+
+    ``lateness`` is by how many blocks a file may come late; what the join remembers covers that and ``t_max``. Candidates
+    go to a table, by micro-batch; the last receipt of each forward is picked from them afterwards, and the amount is
+    judged after that, as in the batch form.
     """
     out, state = scratch_path(spark, "candidates"), scratch_path(spark, "state")
-    pattern = f"{source[:-1]}[{source[-1]}]"  # a pattern may be a file as well as a folder
-    rows = transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(pattern))
-    query = stream_candidates(rows, t_max, "3650 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    candidates = stream_candidates(rows, exchanges, known, miners, t_max, f"{lateness} days")
+    query = candidates.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.parquet(out)
+    found = spark.read.schema(candidates.schema).parquet(out)
     last = first_per_key(found, ["forward_tx", "exchange", "deposit", "f_block", "f_value"], F.col("r_block").desc(), F.col("receipt_tx").desc())
     a_diff = round_half_even(F.col("r_value") - F.col("f_value"), 3)
     return last.where((a_diff >= 0) & (a_diff <= a_max)).select("user_address", "deposit", "exchange", "forward_tx", "receipt_tx", (F.col("f_block") - F.col("r_block")).alias("t_diff"))
