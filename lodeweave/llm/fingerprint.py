@@ -2,9 +2,9 @@
 
 The lexicon holds the terms whose share of documents lies in a band: neither so rare that an edit makes them up, nor so
 common that they say nothing. The fingerprint has one hash for the whole lexicon and one for each random part of it, each
-over the document's sorted distinct terms in that part. Parts come in halving sizes, so that texts of any length have
-parts with a few of their terms. The likeness of two fingerprints is the share of hashes that agree among the parts that
-are not empty in both.
+over the document's sorted distinct terms in that part. Parts come in halving sizes, more of the small ones, so that texts
+of any length have parts with one or a few of their terms, which an edit elsewhere leaves alone. The likeness of two
+fingerprints is the share of hashes that agree among the parts that are not empty in both.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from lodeweave.operators.materialize import materialize
 #: Band of document frequency, as shares of all documents. A term has at least the lower share, so there are at most
 #: (mean distinct terms of a document) / LOW_SHARE of them: the bound of the broadcast lexicon.
 LOW_SHARE, HIGH_SHARE = 0.002, 0.1
-#: Part k of level b holds 1 / 2**b of the lexicon.
-LEVELS, PARTS = tuple(range(4, 10)), 6
-_EMPTY = "-" * 8
+#: How many parts hold 1 / 2**level of the lexicon each.
+PARTS = {4: 2, 5: 4, 6: 8, 7: 8, 8: 16, 9: 16}
+#: Quantiles of the ids between which ranges are cut evenly.
+KNOTS = 128
 
 
 def terms(text: Column) -> Column:
@@ -28,51 +29,79 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE) -> DataFrame:
-    """``term`` (32-bit hash; terms of equal hash are one term) of every term in the band, counted over all rows with a text."""
+    """``term`` (32-bit hash; terms of equal hash are one term) of every term in the band, counted over all rows with a text, and its
+    ``slots``: 0 for the whole lexicon and the numbers of the parts that it is in."""
     solid = docs.where("text IS NOT NULL")
     total = solid.count()
     counts = solid.select(F.explode(terms(F.col("text"))).alias("t")).select(F.hash("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return materialize(counts.where((F.col("n") >= low * total) & (F.col("n") <= high * total)).select("term"), "lexicon")
+    slots, number = [F.lit(0)], 1
+    for level, parts in PARTS.items():
+        for part in range(parts):
+            slots.append(F.when(F.xxhash64("term", F.lit(1000 * level + part)).bitwiseAND((1 << level) - 1) == 0, number))
+            number += 1
+    kept = counts.where((F.col("n") >= low * total) & (F.col("n") <= high * total))
+    return materialize(kept.select("term", F.array_compact(F.array(*slots)).alias("slots")), "lexicon")
 
 
-def _part(terms: Column, level: int, part: int) -> Column:
-    """Hash of the terms of one part of the lexicon, or the mark of an empty one."""
-    own = F.filter(terms, lambda t: F.xxhash64(t, F.lit(1000 * level + part)).bitwiseAND((1 << level) - 1) == 0)
-    return F.when(F.size(own) == 0, _EMPTY).otherwise(F.lpad(F.lower(F.hex(F.crc32(F.array_join(own, ",").cast("binary")))), 8, "0"))
+def part_hashes(codes: Column) -> Column:
+    """Slot and 32-bit hash, packed into one number, of each part that is not empty; ``codes`` are slot and term, packed and sorted."""
+    low = (1 << 32) - 1
+    none = F.array().cast("array<bigint>")
+    packed = lambda acc: F.shiftleft(acc["slot"], 32).bitwiseOR(acc["h"].bitwiseAND(low))
+    state = lambda done, slot, h: F.struct(done.alias("done"), slot.alias("slot"), h.alias("h"))
 
+    def add(acc: Column, code: Column) -> Column:
+        slot = F.shiftright(code, 32)
+        grown = F.when(acc["slot"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(packed(acc))))
+        return F.when(acc["slot"] == slot, state(acc["done"], slot, F.xxhash64(acc["h"], code))).otherwise(state(grown, slot, F.xxhash64(code)))
 
-def fingerprint(found: Column, text_hash: Column) -> Column:
-    """From a document's sorted terms of the lexicon; where it has none, from a hash of its text."""
-    slots = [_part(found, 0, 0), *(_part(found, level, part) for level in LEVELS for part in range(PARTS))]
-    return F.when(F.size(found) > 0, F.concat(*slots)).otherwise(F.concat(F.lit("t"), F.hex(text_hash)))
+    start = state(none, F.lit(-1).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.when(F.size(codes) > 0, F.aggregate(codes, start, add, lambda acc: F.concat(acc["done"], F.array(packed(acc))))).otherwise(none)
 
 
-def likeness(a: Column, b: Column) -> Column:
+def fingerprint(parts: Column, text_hash: Column) -> Column:
+    """Ten digits for each part that is not empty; where all are, from a hash of the text."""
+    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda p: F.lower(F.lpad(F.hex(p), 10, "0"))), "")).otherwise(F.concat(F.lit("t"), F.hex(text_hash)))
+
+
+def likeness(a: Column, a_parts: Column, b: Column, b_parts: Column) -> Column:
     """Share of agreeing parts among those that are not empty in both; 1 for equal fingerprints, 0 for unlike kinds."""
-    slots = 1 + len(LEVELS) * PARTS
-    agree, either = F.lit(0), F.lit(0)
-    for k in range(slots):
-        x, y = F.substring(a, 8 * k + 1, 8), F.substring(b, 8 * k + 1, 8)
-        agree = agree + F.when((x == y) & (x != _EMPTY), 1).otherwise(0)
-        either = either + F.when((x != _EMPTY) | (y != _EMPTY), 1).otherwise(0)
-    same_kind = (F.length(a) == 8 * slots) & (F.length(b) == 8 * slots)
-    return F.when(a == b, 1.0).when(same_kind & (either > 0), agree / either).otherwise(0.0)
+    slots = lambda parts: F.transform(parts, lambda p: F.shiftright(p, 32))
+    either = F.size(F.array_union(slots(a_parts), slots(b_parts)))
+    both = (F.size(a_parts) > 0) & (F.size(b_parts) > 0)
+    return F.when(a == b, 1.0).when(both, F.size(F.array_intersect(a_parts, b_parts)) / either).otherwise(0.0)
+
+
+def _range_of(rows: DataFrame, buckets: int) -> Column:
+    """A number that grows with the id: between neighbouring quantiles of the ids (``KNOTS``) equal widths; -1 for a null id."""
+    parts = min(KNOTS, buckets)
+    knots = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / parts for k in range(parts + 1)], 0.2 / parts)})
+    if not knots:
+        return F.lit(-1).cast("long")
+    each = max(1, buckets // parts)
+
+    def within(k: int) -> Column:
+        width = max(1, (knots[k + 1] - knots[k]) // each if k + 1 < len(knots) else 1)
+        place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(str(knots[k])).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)"))
+        return F.lit(k * (each + 1)) + F.least(F.greatest(place, F.lit(0)), F.lit(each)).cast("long")
+
+    def search(low: int, high: int) -> Column:
+        if high - low == 1:
+            return within(low)
+        middle = (low + high) // 2
+        return F.when(F.col("doc_id") >= F.lit(knots[middle]), search(middle, high)).otherwise(search(low, middle))
+
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(search(0, len(knots))).cast("long")
 
 
 def with_next(rows: DataFrame, value: str, bucket_rows: int = 2000, most_buckets: int = 1 << 16) -> DataFrame:
     """``rows`` (``doc_id, tie`` and others) with ``next``: ``value`` of the next row in descending order of id, after the last the first.
 
-    Ranges of ids are windows of their own; each also gets a copy of the first row of the range below, found through a
+    Ranges of ids, cut by quantiles, are windows of their own; each also gets a copy of the first row of the range below, found through a
     table with one row for each range (``most_buckets`` at most). A null id comes last, equal ids in order of ``tie``.
     """
-    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    bucket = F.lit(-1).cast("long")
-    if ends["low"] is not None:
-        buckets = max(1, min(most_buckets, ends["n"] // bucket_rows))
-        width = (ends["high"] - ends["low"]) // buckets + 1
-        place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(ends["low"])) / F.lit(width)).cast("long")
-        bucket = F.coalesce(place, bucket)
-    keyed = rows.withColumn("bucket", bucket)
+    buckets = max(1, min(most_buckets, rows.count() // bucket_rows))
+    keyed = rows.withColumn("bucket", _range_of(rows, buckets))
     order = Window.orderBy(F.desc("bucket"))
     tops = keyed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     goes_to = F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy()))  # the lowest range is followed by the highest
@@ -105,16 +134,23 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spread = sided.select("key", "s.edit", F.posexplode_outer(terms(F.col("s.text"))).alias("at", "t"))
     spread = spread.select("key", "edit", F.hash("t").alias("term"), F.coalesce(F.col("at") == 0, F.lit(True)).alias("head"))
     # one row for each side stays even if no term is in the lexicon
-    found = spread.join(F.broadcast(known.withColumn("known", F.lit(True))), "term", "left").where("known OR head")
-    own = F.array_sort(F.collect_set(F.when(F.col("known") & ~F.col("edit"), F.col("term"))))
-    edited = F.array_sort(F.collect_set(F.when(F.col("known") & F.col("edit"), F.col("term"))))
-    terms_of = found.groupBy("key").agg(own.alias("own"), edited.alias("edited")).select("key.*", "own", "edited")
-    prints = terms_of.select(
+    found = spread.join(F.broadcast(known), "term", "left").where("slots IS NOT NULL OR head")
+    codes = F.transform("slots", lambda slot: F.shiftleft(slot.cast("bigint"), 32).bitwiseOR(F.col("term").cast("bigint").bitwiseAND((1 << 32) - 1)))
+    found = found.select("key", "edit", codes.alias("codes"))
+    side = lambda edit: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("edit") == edit, F.col("codes"))))))
+    codes_of = found.groupBy("key").agg(side(False).alias("own"), side(True).alias("edited")).select("key.*", "own", "edited")
+    parts_of = codes_of.withColumns({"own": part_hashes(F.col("own")), "edited": part_hashes(F.col("edited"))})
+    prints = parts_of.select(
         "doc_id", "tie", "n_chars", F.col("sha").alias("edited_sha256"),
-        fingerprint(F.col("own"), F.col("plain")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("edited_plain")).alias("edited_fingerprint"),
+        F.struct(fingerprint(F.col("own"), F.col("plain")).alias("print"), F.col("own").alias("parts")).alias("mark"),
+        F.struct(fingerprint(F.col("edited"), F.col("edited_plain")).alias("print"), F.col("edited").alias("parts")).alias("edit"),
+    )
+    result = with_next(materialize(prints, "fingerprints"), "mark")
+    near = lambda other: likeness(F.col("mark.print"), F.col("mark.parts"), F.col(f"{other}.print"), F.col(f"{other}.parts"))
+    return result.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("mark.print").alias("fingerprint"), F.col("edit.print").alias("edited_fingerprint"),
+        near("edit").alias("near_edited"), near("next").alias("near_next"),
     )
-    result = with_next(materialize(prints, "fingerprints"), "fingerprint")
-    return result.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next"))}).drop("tie", "next")
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

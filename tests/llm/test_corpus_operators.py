@@ -184,6 +184,51 @@ def test_fingerprints_of_edited_texts(docs, empty):
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_are_those_of_sorted_terms_in_each_part(spark):
+    """I-Match recomputed: terms by document frequency, parts by the lexicon's table, likeness by equal sorted lists of terms."""
+    texts = [" ".join(words(RNG.randint(0, 60))) for _ in range(150)]
+    rows = [(RNG.choice([k, k * 10**14, -k]), t) for k, t in enumerate(texts)] + [(None, texts[3]), (None, None), (5, texts[9]), (5, texts[9]), (-(1 << 62), "A a"), (1 << 62, texts[0].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"parts": F.lit(1), "next": F.lit(2), "term": F.lit("t")})
+    texts_of = [t or "" for _, t in rows]
+    split = lambda t: set(re.findall(r"[a-z0-9]+", t.lower()))
+    counts = Counter(x for t in texts_of for x in split(t))
+    plain = df.select(F.coalesce("text", F.lit("")).alias("text"))
+    slots = {r.term: r.slots for r in fingerprint.lexicon(plain).collect()}
+    number = {r.t: r.term for r in spark.createDataFrame([(x,) for x in counts], "t string").select("t", F.hash("t").alias("term")).collect()}
+    band = {x for x, n in counts.items() if fingerprint.LOW_SHARE * len(rows) <= n <= fingerprint.HIGH_SHARE * len(rows)}
+    assert {number[x] for x in band} == set(slots) and all(s[0] == 0 for s in slots.values())
+
+    def parts(t):
+        own = defaultdict(list)
+        for x in sorted(number[x] for x in split(t) & band):
+            for s in slots[x]:
+                own[s].append(x)
+        return dict(own)
+
+    def like(a, b):
+        x, y = parts(a), parts(b)
+        if not x and not y:
+            return float(a.lower() == b.lower())
+        return sum(x.get(s) == y.get(s) for s in x.keys() | y.keys()) / len(x.keys() | y.keys()) if x and y else 0.0
+
+    got = fingerprint.edited_fingerprints(df).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(((i is not None, i or 0), t or "") for i, t in rows)[::-1]
+    single = [k for k, (i, _) in enumerate(order) if i[0] and all(order[n % len(order)][0] not in (i, (False, 0)) for n in (k - 1, k + 1))]
+    seen = {r.doc_id: r for r in got}
+    for k in single:
+        (_, i), text = order[k]
+        following = order[(k + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        if order[(k + 1) % len(order)][0] == order[(k + 2) % len(order)][0]:
+            continue  # of rows with one id either may be the next
+        assert seen[i].edited_sha256 == sha(edited)
+        assert seen[i].near_edited == pytest.approx(like(text, edited)) and seen[i].near_next == pytest.approx(like(text, following))
+    assert len(got) == len(rows) and len(single) > 140
+    mean = lambda c: float(np.mean([getattr(r, c) for r in got]))
+    assert mean("near_edited") > mean("near_next") + 0.2
+
+
 def test_main_text():
     page = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><a href=/x>Menu</a></nav><div class='ad'>Buy, now. Really, do.</div><article><h1>Head</h1><p>First &amp; <b>bold<br><p>Second   line,\nhere.</p><p>x.</p></article><div id=comments><p>Nice post, I say.</p></div><footer>Foot</footer>"
     assert html_text.main_text(page) == "Head\nFirst & bold\nSecond line, here.\nx."
