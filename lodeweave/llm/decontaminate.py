@@ -3,7 +3,7 @@
 A text is its sequence of words (letters and digits, lower-cased) and their 5-word shingles. A window that shares no
 shingle with any item has similarity 0, so only windows around shared shingles are fingerprinted. The fingerprint of
 a window is a 64-bit SimHash of its shingles, each as often as it occurs. Two fingerprints within ``RADIUS`` differ by
-at most ``RADIUS // 4`` bits in one of their four blocks, so looking up every block in the balls of that radius around
+at most ``RADIUS // BLOCKS`` bits in one of their blocks, so looking up every block in the balls of that radius around
 the items' blocks finds all of them. What is found is compared in full: the sum of the smaller over the sum of the
 larger multiplicities of the shingles (weighted Jaccard) must reach ``SIMILARITY``.
 """
@@ -24,11 +24,13 @@ from lodeweave.llm.text import ALPHANUMERIC, WORDS, distinct, mix, shingles, sli
 
 SIMILARITY = 0.8
 RADIUS = 15
-BLOCKS = 4
-#: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes.
+#: Blocks of eight bits; an item takes some 400 bytes in the index for its balls, and 32 for each word.
+BLOCKS = 8
+#: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes. The index of one pass
+#: stays below 40 MB with items of 100 bytes or more, and below 200 MB with items of one word.
 BLOCK_BYTES = 4 << 20
 _BITS = np.arange(64, dtype=np.uint64)
-_BALL = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), r)], np.uint16)
+_BALL = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(64 // BLOCKS), r)], np.uint8)
 _FILTER_BITS = 20
 
 
@@ -71,7 +73,7 @@ class Index:
         #: By size: by block, the values within the ball of an item's block, sorted, and whose they are.
         self.balls: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for size in sorted(set(self.sizes.tolist())):
-            own = np.flatnonzero(self.sizes == size)
+            own = np.flatnonzero(self.sizes == size).astype(np.int32)
             self.balls[size] = []
             for block in range(BLOCKS):
                 near = (self._block(self.prints[own], block)[:, None] ^ _BALL[None, :]).ravel()
@@ -80,7 +82,7 @@ class Index:
 
     @staticmethod
     def _block(prints: np.ndarray, block: int) -> np.ndarray:
-        return ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.uint16)
+        return (prints >> np.uint64(64 // BLOCKS * block)).astype(np.uint8)
 
     def shared(self, found: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item has."""
@@ -101,8 +103,8 @@ class Index:
             pairs.append(np.stack([at[close], item[close]], 1))
         return sorted(set(map(tuple, np.concatenate(pairs).tolist())))
 
-    def matches(self, found: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """The best similarity, and the first window (words from, to) that has it, by item."""
+    def matches(self, found: np.ndarray, length: int = WORDS) -> dict[int, tuple[float, int, int]]:
+        """The best similarity, and the first window (words from, to) that has it, by item; a shingle has ``length`` words."""
         best: dict[int, tuple[float, int, int]] = {}
         hits = self.shared(found)
         if not len(hits):
@@ -120,24 +122,26 @@ class Index:
                 for at, item in self.near(fingerprints(region, width), size):
                     score = similarity(region[at : at + width], self.items[item][1])
                     if score >= SIMILARITY and (item not in best or score > best[item][0]):
-                        best[item] = (score, low + at, low + at + width + WORDS - 1)
+                        best[item] = (score, low + at, low + at + width + length - 1)
         return best
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark in blocks of bounded size; items that are null or shorter than a shingle can't be told from chance and are left out."""
+    """The benchmark in blocks of bounded size; items that are null or have no words are left out."""
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // BLOCK_BYTES)
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], shingles(w)) for r in own if len(w := words(r["text"])) >= WORDS])
+        yield Index([(r["item_id"], shingles(w)) for r in own if len(w := words(r["text"]))])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, similarity, first_word, end_word``: the best window of each item in each row of ``docs`` that has one.
 
-    Null and empty texts, and texts shorter than five words, match nothing; repeated rows give repeated results.
+    Null texts and those without words match nothing. A text or an item of fewer than five words is one shingle, so it
+    matches only one of the very same words. Repeated rows give repeated results, a row without id a null ``doc_id``;
+    of windows equally near an item the first counts.
     """
     schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
     result = None
@@ -149,8 +153,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in slices(batches):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if text and index.items and len(w := words(text)) >= WORDS:
-                        rows += [(doc, index.items[i][0], *x) for i, x in sorted(index.matches(shingles(w)).items())]
+                    if text and index.items and len(w := words(text)):
+                        rows += [(doc, index.items[i][0], *x) for i, x in sorted(index.matches(shingles(w), min(WORDS, len(w))).items())]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
@@ -172,8 +176,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in slices(batches):
                 clean = []
                 for text in batch.column(at).to_pylist():
-                    w = words(text or '')
-                    clean.append(not (len(w) >= WORDS and index.items and index.matches(shingles(w))))
+                    w = words(text or "")
+                    clean.append(not (len(w) and index.items and index.matches(shingles(w))))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
