@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodeweave.operators.materialize import discard, materialize
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return (row["n"], row["h"])
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """The edges as a table, with their number and checksum, taken while it is written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+    return out, seen.get
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("low"))
     joined = both.where("v > u").join(low, "u")
-    return joined.select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+    return joined.select(F.col("v").alias("u"), F.least("u", "low").alias("v"))  # repeats go in the small star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,12 +37,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     join key that adaptive execution splits.
     """
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _fingerprint(edges)
+    edges, before = _written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        last, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        last = edges
+        edges, now = _written(_small_star(_large_star(edges)), "stars")
         discard(last)
-        now = _fingerprint(edges)
         if now == before:
             break
         before = now
