@@ -36,9 +36,9 @@ NUMERATOR, DENOMINATOR = 80, 100
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Document frequencies are counted in 2**32 counters, 2**20 of them in one slot.
 LOW_BITS, FLUSH = 20, 1 << 21
-#: While more than ``FEW`` pairs for each set are open, the sets outside a list's main component are compared with 4, 16, 64
-#: and 256 delegates of it in turn, as long as that settles some; then all pairs that are still open are compared.
-FEW, DELEGATES, MOST_ROUNDS = 2, 4, 4
+#: While more than ``FEW`` pairs for each set may be open, but ``MOST_ROUNDS`` times at most, the sets outside a list's main
+#: component are compared with so many delegates of it; then all pairs that are still open are compared.
+FEW, DELEGATES, MOST_ROUNDS = 2, 32, 1
 #: 64-bit words of the id filter that texts pass before they are shuffled: a bit in sixteen is set, up to 8 MB of them.
 LEAST_FILTER, MOST_FILTER = 1 << 10, 1 << 20
 
