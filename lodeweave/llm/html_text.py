@@ -1,18 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
 A page is a sequence of text blocks, each with the path of block-level elements from the root to it. For every path
-the length of its text and its punctuation are added up over the page and divided by its number of blocks. Both ratios
-are smoothed along the page with a Gaussian window, multiplied (fused) and compared with a threshold, their standard
-deviation; paths over it are content and all returned. The innermost element that holds nearly all of their text (an
-``<article>`` or ``<main>`` before others that do) is the article, whose short paragraphs stay too. What the page itself names as something else (menus, footers, forms, adverts, ...)
-takes no part, wherever it stands.
+the length of its text and its punctuation are added up over the page and divided by its number of blocks. The ratios
+are fused (multiplied), smoothed along the page with a Gaussian window, and weighed down (``OTHER_WEIGHT``) for each element
+around the block that the page itself names as something else (a menu, footer, form, advert, ...); blocks over the standard
+deviation of these scores are content. The innermost element that holds nearly all of their text (an ``<article>`` or
+``<main>`` before others that do) is the article, whose short paragraphs stay too, but not what is named as something
+else inside it.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,10 @@ from lodeweave.llm.text import slices
 
 #: Half-width of the smoothing window, in blocks.
 RADIUS = 2
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Weight of what is named as something else.
+OTHER_WEIGHT = 0.05
+#: An attribute's value is quoted or runs up to a blank; quotes elsewhere are characters like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?+|[^>=]++)*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -35,6 +39,7 @@ BLOCK = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li",
     "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li"}
 #: What an opening tag ends implicitly.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where an implicit end stops.
@@ -43,7 +48,7 @@ OTHER_TAGS = {"nav", "footer", "aside", "form", "head", "button", "select", "dia
 OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 _OTHER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widgets?|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|widgets?|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|"
     r"footer|foot|copyright|masthead|site-?header|page-?header|topbar|toolbar|pagination|pager|tags|comments?|respond|replies|disqus|reviews)(?:$|[\s_-])",
     re.I,
 )
@@ -64,85 +69,97 @@ def _is_other(tag: str, attributes: str) -> bool:
     return found.get("role", "").lower() in OTHER_ROLES or "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true" or bool(_OTHER_NAMES.search(names))
 
 
-class Block:
-    """Text of one place: its elements from the root, as (tag, number) pairs, and whether one of them is something else."""
-
-    __slots__ = ("path", "other", "text")
-
-    def __init__(self, path: tuple[tuple[str, int], ...], other: bool, text: str) -> None:
-        self.path, self.other, self.text = path, other, text
-
-
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page that have text, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # block elements: tag, number, something else
-    inline: list[tuple[str, int]] = []  # inline elements that are something else, with the depth of the stack
-    held: list[str] = []
-    number = 0
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            out.append(Block(tuple((t, n) for t, n, _ in stack), bool(stack and stack[-1][2]), text))
-
-    def pop(depth: int) -> None:
-        del stack[depth:]
-        while inline and inline[-1][1] > depth:
-            inline.pop()
-
-    at = 0
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            if not inline:
-                held.append(page[at:])
-            break
-        if m.start() > at and not inline:
-            held.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3] or ""
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        if tag not in BLOCK:
-            if tag == "br":
-                held.append(" ")
-            elif closing:
-                for k in range(len(inline) - 1, -1, -1):
-                    if inline[k][0] == tag:
-                        del inline[k:]
-                        break
-            elif tag not in VOID and not attributes.rstrip().endswith("/") and _is_other(tag, attributes):
-                inline.append((tag, len(stack)))
-            continue
-        flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-            continue
-        if stack and stack[-1][0] == "p":  # any block ends a paragraph
-            pop(len(stack) - 1)
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
-                pop(k)
-                break
-            if stack[k][0] in SCOPE:
+class Page:
+    """The elements of a page by number (``parent`` of each, how many around it are ``other``, its ``path``) and its blocks of text."""
+
+    def __init__(self, page: str) -> None:
+        self.tag, self.parent, self.other, self.path = ["html"], [-1], [0], [0]
+        self.texts: list[str] = []
+        self.places: list[int] = []  # the element that each text stands in
+        self._paths: dict[tuple[int, str], int] = {}
+        self._parse(page)
+
+    def _element(self, tag: str, parent: int, other: bool) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.other.append(self.other[parent] + other)
+        self.path.append(self._paths.setdefault((self.path[parent], tag), len(self._paths) + 1))
+        return len(self.tag) - 1
+
+    def _parse(self, page: str) -> None:
+        stack = [0]  # open block elements
+        opened: Counter[str] = Counter()
+        inline: list[tuple[str, int]] = []  # open inline elements that are something else, with the depth of the stack
+        held: list[str] = []
+        articles = 0  # open ones
+
+        def flush() -> None:
+            text = " ".join(html.unescape("".join(held)).split())
+            held.clear()
+            if text:
+                self.texts.append(text)
+                self.places.append(stack[-1])
+
+        def pop(depth: int) -> None:
+            nonlocal articles
+            for element in stack[depth:]:
+                opened[self.tag[element]] -= 1
+                articles -= self.tag[element] == "article"
+            del stack[depth:]
+            while inline and inline[-1][1] > depth:
+                inline.pop()
+
+        def end(tags: set[str], scope: set[str] | None) -> None:
+            """Close the innermost open element of these tags, unless the scope ends before it."""
+            if any(opened[t] for t in tags):
+                for k in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[k]] in tags:
+                        pop(k)
+                        return
+                    if scope and self.tag[stack[k]] in scope:
+                        return
+
+        at, size, last = 0, len(page), page.rfind(">")
+        while at < size:
+            m = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
+            if not m:
+                if not inline:
+                    held.append(page[at:])
                 break
-        number += 1
-        own = _is_other(tag, attributes)
-        if tag == "header" and any(t == "article" for t, _, _ in stack):
-            own = False  # an article's own heading
-        stack.append((tag, number, own or bool(stack and stack[-1][2])))
-    flush()
-    return out
+            if m.start() > at and not inline:
+                held.append(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag, closing, attributes = m[2].lower(), bool(m[1]), m[3] or ""
+            if tag in RAW and not closing:
+                over = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = over.end() if over else size
+                continue
+            if tag not in BLOCK:
+                if tag == "br":
+                    held.append(" ")
+                elif closing:
+                    for k in range(len(inline) - 1, -1, -1):
+                        if inline[k][0] == tag:
+                            del inline[k:]
+                            break
+                elif tag not in VOID and not attributes.rstrip().endswith("/") and _is_other(tag, attributes):
+                    inline.append((tag, len(stack)))
+                continue
+            flush()
+            if closing:
+                end({tag}, None)
+                continue
+            if self.tag[stack[-1]] == "p" and len(stack) > 1:  # any block ends a paragraph
+                pop(len(stack) - 1)
+            if tag in CLOSES:
+                end(CLOSES[tag], SCOPE)
+            own = _is_other(tag, attributes) and not (tag == "header" and articles)  # an article's own heading
+            stack.append(self._element(tag, stack[-1], own))
+            opened[tag] += 1
+            articles += tag == "article"
+        flush()
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -151,36 +168,39 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, RADIUS, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def main_text(page: str | None) -> str:
+def path_scores(page: Page) -> np.ndarray:
+    """Each block's score: the fused ratios of its tag path, smoothed along the page, less for what is named as something else."""
+    places = np.array(page.places)
+    path, other = np.array(page.path)[places], np.array(page.other)[places]
+    length, marks = np.array([len(t) for t in page.texts], float), np.array([len(_PUNCTUATION.findall(t)) for t in page.texts], float)
+    count = np.maximum(np.bincount(path), 1)
+    ratio = np.bincount(path, length) / count * (1 + np.bincount(path, marks) / count)
+    return _smooth(ratio[path]) * OTHER_WEIGHT ** np.minimum(other, 2)
+
+
+def main_text(text: str | None) -> str:
     """The article of a page, one line for each block; empty if there is none."""
-    found = [b for b in blocks(page or "") if not b.other]
-    if not found:
+    page = Page(text or "")
+    if not page.texts:
         return ""
-    paths = ["/".join(t for t, _ in b.path) for b in found]
-    total: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
-    for path, b in zip(paths, found, strict=True):
-        own = total[path]
-        own[0] += len(b.text)
-        own[1] += len(_PUNCTUATION.findall(b.text))
-        own[2] += 1
-    length = _smooth(np.array([total[p][0] / total[p][2] for p in paths]))
-    marks = _smooth(np.array([1 + total[p][1] / total[p][2] for p in paths]))
-    fused = length * marks
-    content = fused >= min(float(fused.std()), float(fused.max()))
-    score: dict[tuple[str, int], int] = defaultdict(int)
-    depth: dict[tuple[str, int], int] = {}
-    whole = 0
-    for b, yes in zip(found, content.tolist(), strict=True):
-        if yes:
-            whole += len(b.text)
-            for k, element in enumerate(b.path):
-                score[element] += len(b.text)
-                depth[element] = k
+    score = path_scores(page)
+    content = score >= min(float(score.std()), float(score.max()))
+    held = [0] * len(page.tag)  # content text in each element, summed up from the leaves
+    depth = [0] * len(page.tag)
+    for place, block, yes in zip(page.places, page.texts, content.tolist(), strict=True):
+        held[place] += len(block) * yes
+    for e in range(len(page.tag) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    for e in range(1, len(page.tag)):
+        depth[e] = depth[page.parent[e]] + 1
     # of the elements with nearly all content text the innermost article or main, else the innermost; a paragraph counts as part of its parent
-    rich = [e for e, n in score.items() if n >= 0.8 * whole and e[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
-    best = max(rich, key=lambda e: (e[0] in ("article", "main"), depth[e]), default=None)
-    chosen = [b for b, yes in zip(found, content.tolist(), strict=True) if yes or best in b.path]
-    return "\n".join(b.text for b in chosen)
+    rich = [e for e, n in enumerate(held) if n >= 0.8 * held[0] and page.tag[e] not in PARAGRAPHS]
+    best = max(rich, key=lambda e: (page.tag[e] in ("article", "main"), depth[e]))
+    inside = [e == best for e in range(len(page.tag))]
+    for e in range(best + 1, len(page.tag)):
+        inside[e] = inside[page.parent[e]]
+    level = page.other[best]
+    return "\n".join(t for t, place, yes in zip(page.texts, page.places, content.tolist(), strict=True) if yes or inside[place] and page.other[place] == level)
 
 
 def extract(pages: DataFrame) -> DataFrame:

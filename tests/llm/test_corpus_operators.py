@@ -252,6 +252,36 @@ def test_ratios_decide_beside_article_tags():
     assert html_text.main_text(apart) == "\n".join([*long, long[0]])
 
 
+def test_names_are_a_weak_signal():
+    text = "First line of it, with marks; and more. Second one, too."
+    inside = f"<article><p>{text}</p><section class='side-effects'><p>Nausea.</p></section><div class=advert><p>Buy.</p></div><p title=it's>Last.</p></article>"
+    assert html_text.main_text(inside) == f"{text}\nNausea.\nLast."
+    assert html_text.main_text("<article><p>A one.</p></article><article><p>B two.</p></article>") == "A one.\nB two."
+    assert html_text.main_text(f"<form id=page-menu><div><p>{text}</p><p>Short.</p></div></form>") == f"{text}\nShort."  # a page that is named so as a whole
+    assert html_text.main_text('<p a="1" b=\'>\' c = x"y>one, two.<p d=">three') == "one, two.\nthree"
+
+
+def test_path_ratios_by_brute_force():
+    """Scores recomputed from the blocks on a page without article tags: by path, fused, smoothed and weighed."""
+    kinds = ["<div><p>%s</p></div>", "<div class=menu><p>%s</p></div>", "<section><div><p>%s</p></div></section>", "<ul><li>%s</li></ul>"]
+    for _ in range(20):
+        made = [(k, " ".join(words(RNG.randint(1, 25))) + RNG.choice([".", ", a; b.", ""])) for k in (RNG.randrange(4) for _ in range(RNG.randint(1, 30)))]
+        page = html_text.Page("<body>" + "".join(kinds[k] % t for k, t in made) + "</body>")
+        assert page.texts == [t for _, t in made]
+        ratio = {}
+        for path in ({0, 1}, {2}, {3}):  # a class is no part of a path
+            own = [t for k, t in made if k in path]
+            if own:
+                value = np.mean([len(t) for t in own]) * (1 + np.mean([len(re.findall("[.,;]", t)) for t in own]))
+                ratio |= {k: value for k in path}
+        line = [ratio[k] for k, _ in made]
+        kernel = {d: np.exp(-(d**2) / 2) for d in range(-2, 3)}
+        total = sum(kernel.values())
+        want = [sum(kernel[d] * line[min(max(i + d, 0), len(line) - 1)] for d in kernel) / total * (html_text.OTHER_WEIGHT if k == 1 else 1) for i, (k, _) in enumerate(made)]
+        assert html_text.path_scores(page) == pytest.approx(want)
+    assert html_text.main_text("<div>x" * 100_000).count("\n") == 99_999
+
+
 def test_extract_keeps_all_rows(spark):
     rows = [(1, "u", "<article><p>one, two.</p></article>"), (1, "u", "<article><p>one, two.</p></article>"), (2, None, None)]
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect())
@@ -439,7 +469,8 @@ def around_table(rows):
     import pyarrow as pa
 
     anchor, around, docs, starts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(around, pa.binary()), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))], names=["anchor", "around", "docs", "starts"])
+    places = [np.array(list(zip(d, s, strict=True)), suffix_dedup.PLACE).tobytes() for d, s in zip(docs, starts, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(around, pa.binary()), pa.array(places, pa.binary())], names=["anchor", "around", "places"])
 
 
 def test_chunks_of_one_anchor(monkeypatch):
