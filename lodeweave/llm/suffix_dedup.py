@@ -28,6 +28,8 @@ REACH = SPAN - GRAM
 SIDE = (REACH + 1) // 2
 #: Text per slot of anchors, in bytes; anchors held at once; surroundings sorted at once.
 SLOT_BYTES, HELD, CHUNK = 1 << 20, 1 << 20, 30_000
+#: Where surroundings stand.
+PLACE = np.dtype([("doc", "<i8"), ("start", "<i4")])
 _VALUES = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -192,15 +194,15 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``anchor, around, docs, starts``: up to ``REACH`` bytes before each shared anchor and as many behind it, and where they stand.
+    """``anchor, around, places``: up to ``REACH`` bytes before each shared anchor and as many behind it, and where they stand.
 
-    Equal surroundings of the texts of one piece of a task are one row.
+    Equal surroundings of the texts of one piece of a task are one row; its ``places`` are documents and offsets (``PLACE``).
     """
     parts: list[tuple[np.ndarray, ...]] = []
     texts: list[bytes] = []
     size = 0
 
-    def packed() -> pa.RecordBatch:
+    def combined() -> pa.RecordBatch:
         anchor, doc, start, first, past = (np.concatenate(x) for x in zip(*parts, strict=True))
         raw, base = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
         first = first + np.repeat(base, [len(x[0]) for x in parts])
@@ -208,9 +210,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = np.lexsort((np.asarray(around.indices), anchor))
         code, anchor = np.asarray(around.indices)[order], anchor[order]
         heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (code[1:] != code[:-1])]))
-        ends = pa.array(np.append(heads, len(order)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (doc, start.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(anchor[heads]), around.dictionary.take(pa.array(code[heads])), *lists], names=["anchor", "around", "docs", "starts"])
+        places = np.empty(len(order), PLACE)
+        places["doc"], places["start"] = doc[order], start[order]
+        packed = _binary(places.view(np.uint8), np.append(heads[1:], len(order)) * PLACE.itemsize)
+        return pa.RecordBatch.from_arrays([pa.array(anchor[heads]), around.dictionary.take(pa.array(code[heads])), packed], names=["anchor", "around", "places"])
 
     for batch in slices(batches):
         for doc, text, lists in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -220,10 +223,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             texts.append(text)
             size += len(wanted)
             if size >= CHUNK:
-                yield packed()
+                yield combined()
                 parts, texts, size = [], [], 0
     if size:
-        yield packed()
+        yield combined()
 
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -288,9 +291,10 @@ class Rows:
 
     @staticmethod
     def of(batch: pa.RecordBatch) -> Rows:
-        docs, starts = batch.column(2), batch.column(3)
-        row = np.repeat(np.arange(len(docs)), np.asarray(pc.list_value_length(docs)))
-        return Rows(np.asarray(batch.column(0)), batch.column(1), row, np.asarray(docs.flatten()), np.asarray(starts.flatten()))
+        raw, bounds = raw_bytes(batch.column(2))
+        places = np.ascontiguousarray(raw).view(PLACE)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds) // PLACE.itemsize)
+        return Rows(np.asarray(batch.column(0)), batch.column(1), row, places["doc"].astype(np.int64), places["start"].astype(np.int64))
 
     @staticmethod
     def joined(parts: list[Rows]) -> Rows:
@@ -444,7 +448,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     slots = max(16, -(-total // SLOT_BYTES))
     packed = named.mapInArrow(_anchor_slots(slots), "slot long, records binary").repartition("slot").sortWithinPartitions("slot")
     shared = packed.mapInArrow(_shared_anchors, "doc_id long, at binary").join(whole, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    around = base.join(shared, "doc_id").select("doc_id", "text", "at").mapInArrow(_surroundings, "anchor long, around binary, docs array<long>, starts array<int>")
+    around = base.join(shared, "doc_id").select("doc_id", "text", "at").mapInArrow(_surroundings, "anchor long, around binary, places binary")
     copies = around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_copies, "doc_id long, first int, past int")
     spans = copies.groupBy("doc_id").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
     judged = base.join(spans, "doc_id", "left").join(whole.withColumn("copy", F.lit(True)), "doc_id", "left")
