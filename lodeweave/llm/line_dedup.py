@@ -86,46 +86,46 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated runs taken out of ``text``; plus ``n_lines, n_removed``, which replace columns of these names.
 
     Order is by id, then by a hash of the text, then by line; the first occurrence stays. Blank lines are never
-    removed and don't break a run; rows with equal id and text are one document and are changed alike; null and empty
-    texts stay as they are. A document shorter than ``min_words`` words is left alone.
+    removed and don't break a run; rows with equal id and text are one document and are changed alike, and rows without
+    id come before all others; null and empty texts stay as they are. A document shorter than ``min_words`` words is
+    left alone.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return _without_copies(docs.select(*own), min_words).withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+    return _without_copies(docs.select(*own), min_words, "n_lines", "n_removed")
 
 
-def _without_copies(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs``, all columns, changed as above; plus ``__n_lines, __n_removed``."""
+def _without_copies(docs: DataFrame, min_words: int, n_lines: str, n_removed: str) -> DataFrame:
+    """``docs``, all columns, changed as above; plus counts of lines and of those removed under these names."""
     lines, copies = repeated_lines(docs, min_words)
     flagged = lines.join(copies.withColumn("gone", F.lit(True)), ["d", "t", "j"], "left")
     masks = (
         flagged.groupBy("d", "t")
-        .agg(F.sum(F.when(F.col("gone"), 1).otherwise(0)).cast("long").alias("__n_removed"), F.sort_array(F.collect_list(F.struct("i", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("mask"))
-        .where("__n_removed > 0")
-        .select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__n_removed", F.col("mask.i").alias("__at"), F.col("mask.gone").alias("__gone"))
+        .agg(F.sum(F.when(F.col("gone"), 1).otherwise(0)).cast("long").alias("removed"), F.sort_array(F.collect_list(F.struct("i", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("mask"))
+        .where("removed > 0")
     )
     d, t = _keys()
-    keyed = docs.withColumns({"__d": d, "__t": t})
-    joined = keyed.join(masks, ["__d", "__t"], "left")
-    # __at lists the lines that are not blank; blank ones in between shift the index, so the mask is laid out over all lines
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*[F.struct(*others).alias("row")] * bool(others), "text", d.alias("d"), t.alias("t"))
+    joined = rows.join(masks, ["d", "t"], "left")
+    # the mask lists the lines that are not blank; blank ones in between shift the index, so it is laid out over all lines
+    at, gone = F.col("mask.i"), F.col("mask.gone")
     dense = F.flatten(
         F.transform(
-            F.col("__at"),
-            lambda at, k: F.concat(
-                F.array_repeat(F.lit(False), at - F.when(k == 0, -1).otherwise(F.get(F.col("__at"), k - 1)) - 1),
-                F.array(F.get(F.col("__gone"), k)),
+            at,
+            lambda i, k: F.concat(
+                F.array_repeat(F.lit(False), i - F.when(k == 0, -1).otherwise(F.get(at, k - 1)) - 1),
+                F.array(F.get(gone, k)),
             ),
         )
     )
-    joined = joined.withColumn("__mask", dense)
+    joined = joined.withColumn("dense", dense)
     split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.coalesce(F.get(F.col("__mask"), i), F.lit(False))), "\n")
-    return joined.withColumns(
-        {
-            "__n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"),
-            "__removed": F.coalesce("__n_removed", F.lit(0)).cast("long"),
-            "text": F.when(F.col("__n_removed").isNull(), F.col("text")).otherwise(kept),
-        }
-    ).select(*docs.columns, "__n_lines", F.col("__removed").alias("__n_removed"))
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.coalesce(F.get(F.col("dense"), i), F.lit(False))), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text")
+    return joined.select(
+        *[text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias(n_lines), F.coalesce("removed", F.lit(0)).cast("long").alias(n_removed),
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated runs go; a document goes if all that it holds are such copies."""
-    out = _without_copies(docs, MIN_WORDS).where("__n_removed = 0 OR trim(translate(text, chr(10), '')) <> ''")
+    removed = "removed"
+    while any(c.lower().startswith(removed) for c in docs.columns):
+        removed += "_"
+    out = _without_copies(docs, MIN_WORDS, f"{removed}_lines", removed).where((F.col(removed) == 0) | (F.trim(F.translate("text", "\n", "")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
