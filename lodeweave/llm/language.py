@@ -20,7 +20,8 @@ from lodeweave.llm.text import slices
 
 DIM = 1 << 15
 SIZES = (1, 2, 3, 4)
-PER_LANGUAGE = 300
+#: Training sample: about so many texts of each of the most frequent languages (4 KB a text on the driver).
+PER_LANGUAGE, MOST_LANGUAGES = 300, 100
 LANDMARKS = 384
 RIDGE = 1e-3
 BLOCK = 64
@@ -77,12 +78,13 @@ class Model:
         return out
 
 
-def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nyström kernel ridge regression with 0/1 targets; texts without letters are left out."""
-    pairs = [(grams(t), y) for t, y in zip(texts, languages, strict=True) if has_letters(t)]
-    names = sorted({y for _, y in pairs})
+def train(texts: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Nyström kernel ridge regression with 0/1 targets over texts given by the slots of their n-grams."""
+    pairs = list(zip(texts, languages, strict=True))
+    names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((DIM, 0), np.float32))
+
     def dense(rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), DIM), np.float32)
         for k, i in enumerate(rows):
@@ -110,22 +112,30 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Train on about ``per_language`` texts of each language, chosen by a hash of the id.
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Train on about ``per_language`` texts of each of the ``most_languages`` most frequent languages, chosen by a hash of the id.
 
-    The sample is bounded by that documented number for each language value, so the driver holds a few MB at any size
-    of the corpus. Rows with null text or language are not used.
+    The sample is bounded by these documented numbers, and a text comes to the driver as a bitmap of its n-grams, so the
+    driver holds a few MB at any size of the corpus and of its texts. Rows with null text or language, and texts without
+    letters, are not used; of languages with equal scores the first name is predicted.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return train([], [])
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = sorted(tuple(r) for r in rows.where(uniform < share).select("doc_id", "lang", "text").collect())
-    return train([t for _, _, t in sample], [lang for _, lang, _ in sample])
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [None if not has_letters(t) else np.packbits(np.bincount(grams(t), minlength=DIM).astype(bool)).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["doc_id", "lang", "bits"])
+
+    chosen = rows.where(uniform < share).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(bitmaps, "doc_id long, lang string, bits binary")
+    sample = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["lang"], bytes(r["bits"])) for r in chosen.where("bits IS NOT NULL").collect())
+    return train([np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))) for *_, bits in sample], [lang for _, _, lang, _ in sample])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -163,8 +163,16 @@ def test_line_dedup_removes_later_copies(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
     staged = line_dedup.stage(spark, spark.createDataFrame([(1, "a b c d e f g h i j k", None, "s", 21), (2, "a b c d e f g h i j k", None, "s", 21)], SCHEMA), "")
     assert [(r.doc_id, r.n_chars) for r in staged.collect()] == [(1, 21)]
-    clash = line_dedup.stage(spark, df, "")
-    assert clash.columns == df.columns and {r.n_removed for r in clash.collect()} == {5}
+    more = df.withColumns({"removed": F.lit(1), "removed_lines": F.lit(2), "row": F.lit(3), "__d": F.lit(4), "__mask": F.lit(5), "gone": F.lit(6)})
+    clash = line_dedup.stage(spark, more, "")
+    assert clash.columns == more.columns and {(r.n_removed, r.removed, r["__d"]) for r in clash.collect()} == {(5, 1, 4)}
+
+
+def test_line_dedup_of_rows_without_id_and_repeated_rows(spark):
+    run = " ".join(words(12))
+    rows = [(7, f"{run}\nown one"), (7, f"{run}\nown one"), (8, f"{run}\n\nlast"), (None, f"first\n{run}"), (None, f"first\n{run}"), (7, f"second text of seven\n{run}")]
+    got = Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, f"first\n{run}")] * 2 + [(7, "own one")] * 2 + [(7, "second text of seven"), (8, "\nlast")])
 
 
 def test_fingerprints_of_edited_texts(docs, empty):
@@ -308,6 +316,13 @@ def test_token_files_round_trip(docs, empty, tmp_path):
         start += len(ids)
     one = index.where("doc_id = 7")
     assert [r.doc_id for r in token_files.read_at(spark, path, one).collect()] == [7]
+    twice = spark.createDataFrame([(2, "b"), (1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string").withColumns({"start": F.lit(0), "file": F.lit("x"), "n_tokens": F.lit(1)})
+    token_files.write_records(twice, path + "2")
+    token_files.write_index(spark, path + "2", path + "2.index")
+    records = token_files.read_at(spark, path + "2", spark.read.parquet(path + "2.index")).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in records] == [(None, 0, 2), (1, 2, 3), (1, 5, 3), (2, 8, 2)]
+    names = spark.createDataFrame([(f"part-{k}-x", 0, 10 + k) for k in (99999, 100000, 100001, 7, 5000)], "file string, before long, n_tokens long")
+    assert {r.file: r.start for r in token_files.with_start(names).collect()} == {"part-7-x": 0, "part-5000-x": 17, "part-99999-x": 5027, "part-100000-x": 105036, "part-100001-x": 205046}
     token_files.write_records(empty, path + "0")
     assert token_files.read_records(spark, path + "0").count() == 0
 
@@ -324,7 +339,9 @@ def test_damaged_records_are_found():
 
 def test_bpe_is_the_tokenizers_encoding(docs, empty):
     spark = docs.sparkSession
-    rows = [(i, t) for i, t, *_ in ROWS] + [(1000 + k, t) for k, t in enumerate(ODD)]
+    rows = [(i, t) for i, t, *_ in ROWS] + [(1000 + k, t) for k, t in enumerate(ODD)] + [(2000, "word " * 200_000 + "x" * 100_000)]
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string").withColumns({"ids": F.lit(0), "n_tokens": F.lit(1)})
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.digests(twice).collect()) == Counter([(i, n, hashlib.sha256(x).hexdigest()) for i, n, x in [(1, 2, b"64,275")] * 2 + [(None, 2, b"64,275"), (None, 0, b"")]])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     for i, text in rows:
@@ -352,6 +369,11 @@ def test_language_held_out_accuracy(spark, empty):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert {r.doc_id for r in language.accept(df, model).collect()} == set(range(400))
     assert language.identify(empty, language.fit(empty)).count() == 0
+    few = language.fit(df.where(~language.held_out()), most_languages=2)
+    assert len(few.languages) == 2 and set(few.languages) < set(kinds)
+    repeated = spark.createDataFrame([(1, "bcdfae", None), (1, "bcdfae", None), (None, "bcdfae", None)], "doc_id long, text string, lang string")
+    judged = language.identify(repeated, model).collect()
+    assert len(judged) == 3 and len({(r.lang_pred, r.score) for r in judged}) == 1 and [r.held_out for r in judged if r.doc_id is None] == [False]
 
 
 def test_url_rules_and_propagation(spark):
