@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
         "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
+        "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
     }

@@ -461,3 +461,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     found = dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS f FROM p GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT p.doc_id, p.p FROM p JOIN f ON f.s = p.s AND f.f < p.doc_id),
+m AS (SELECT doc_id, p, coalesce(p - lag(p) OVER o, 51) AS gap FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gap > 50) AS n_spans FROM m GROUP BY doc_id),
+b AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM g),
+o AS (SELECT d.doc_id, string_agg(substr(d.h, 2 * x.i + 1, 2), '' ORDER BY x.i) AS kept, count(*) AS n FROM d JOIN (SELECT doc_id, unnest(range(len(h) // 2)) AS i FROM d) x ON x.doc_id = d.doc_id WHERE (x.doc_id, x.i) NOT IN (SELECT doc_id, i FROM b) GROUP BY d.doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, (len(d.h) // 2 - coalesce(o.n, 0))::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(o.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
