@@ -63,32 +63,51 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("node").agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
 
 
-def diffusion_walks(edges: DataFrame, cover: int = 20, seed: int = 42, most_neighbours: int = 64) -> DataFrame:
+def numbered_neighbours(edges: DataFrame, buckets: int = 64) -> DataFrame:
+    """``node, k, neighbour, degree``: the distinct neighbours of each node by number from 0, with the neighbour's own degree.
+
+    A node's neighbours are numbered by hash buckets, so that a hub's are sorted in many tasks.
+    """
+    near = materialize(both_ways(edges).withColumn("bucket", F.pmod(F.xxhash64("neighbour"), F.lit(buckets)).cast("int")), "neighbours")
+    sizes = near.groupBy("node", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("node").orderBy("bucket")) - F.col("n"))
+    degree = sizes.groupBy(F.col("node").alias("neighbour")).agg(F.sum("n").alias("degree"))
+    own = near.withColumn("own", F.row_number().over(Window.partitionBy("node", "bucket").orderBy("neighbour")) - 1)
+    numbered = own.join(before, ["node", "bucket"]).select("node", (F.col("before") + F.col("own")).alias("k"), "neighbour")
+    return materialize(numbered.join(degree, "neighbour").select("node", "k", "neighbour", "degree"), "numbered")
+
+
+def diffusion_walks(edges: DataFrame, cover: int = 30, seed: int = 42, most_rounds: int | None = None) -> DataFrame:
     """``node, walk``: from each node a diffusion over at most ``cover`` nodes, as the Euler walk of its tree.
 
-    Each round every growing tree gets one node: a random known node (a hash of seed, root and round) passes it a random
-    neighbour not in the tree yet. A node offers at most ``most_neighbours`` neighbours, chosen by hash, to bound its row;
-    a tree that finds nothing new in a round stays as it is. The walk goes down and up every branch, so it starts and ends at its root.
+    Each round every unfinished tree draws one of its nodes and one of all neighbours of that node (hashes of seed, root
+    and round); a neighbour not in the tree yet joins it, else the tree draws again in the next round, ``most_rounds``
+    times at most (four times ``cover``). A tree that already holds its whole component is finished. The walk goes down
+    and up every branch, so it starts and ends at its root.
     """
-    near = both_ways(edges)
-    pick = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed), "node", "neighbour"))
-    lists = near.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= most_neighbours).groupBy("node").agg(F.array_sort(F.collect_list("neighbour")).alias("near"))
-    lists = materialize(lists, "lists")
-    trees = lists.select(F.col("node").alias("root"), F.array("node").alias("members"), F.array(F.lit(-1)).alias("parents"))
-    for k in range(cover - 1):
+    near = numbered_neighbours(edges)
+    component = connected_components(near, "node", "neighbour")
+    size = component.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    most = component.join(size, "component").select("node", F.least("size", F.lit(cover)).alias("most"))
+    degree = near.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    trees = degree.join(most, "node").select(F.col("node").alias("root"), "most", F.array("node").alias("members"), F.array("degree").alias("degrees"), F.array(F.lit(-1)).alias("parents"))
+    growing, done = materialize(trees, "trees"), None
+    drawn = near.select(F.col("node").alias("from"), F.col("k").alias("draw"), F.col("neighbour").alias("new"), F.col("degree").alias("new_degree"))
+    for k in range(most_rounds or 4 * cover):
         at = F.pmod(F.xxhash64(F.lit(seed), "root", F.lit(k)), F.size("members")).cast("int")
-        growing = trees.withColumn("at", at).withColumn("from", F.get("members", F.col("at")))
-        joined = growing.join(lists.withColumnRenamed("node", "from"), "from", "left")
-        fresh = F.array_except("near", "members")
-        new = F.get(fresh, F.pmod(F.xxhash64(F.lit(seed + 1), "root", F.lit(k)), F.greatest(F.size(fresh), F.lit(1))).cast("int"))
-        grown = joined.withColumn("new", new)
-        trees = grown.select(
-            "root",
-            F.when(F.col("new").isNull(), F.col("members")).otherwise(F.concat("members", F.array("new"))).alias("members"),
-            F.when(F.col("new").isNull(), F.col("parents")).otherwise(F.concat("parents", F.array("at"))).alias("parents"),
-        )
-        if k % 4 == 3:
-            trees = materialize(trees, "trees")
+        growing = growing.withColumn("at", at).withColumn("from", F.get("members", F.col("at")))
+        growing = growing.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed + 1), "root", F.lit(k)), F.get("degrees", F.col("at"))))
+        fresh = (F.size("members") < F.col("most")) & ~F.array_contains("members", F.col("new"))
+        add = lambda column, value: F.when(fresh, F.array_append(column, value)).otherwise(F.col(column)).alias(column)
+        growing = growing.join(drawn, ["from", "draw"]).select("root", "most", add("members", F.col("new")), add("degrees", F.col("new_degree")), add("parents", F.col("at")))
+        if k % 6 == 5:
+            growing = materialize(growing, "trees")
+            finished = growing.where(F.size("members") >= F.col("most"))
+            done = finished if done is None else done.unionByName(finished)
+            growing = growing.where(F.size("members") < F.col("most"))
+            if growing.isEmpty():
+                break
+    trees = growing if done is None else done.unionByName(growing)
 
     def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,13 +174,13 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 10, block_rows: int =
                 for at in range(0, len(q), 256):
                     part = q[at : at + 256]
                     rough = (part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1)[None, :]
-                    near = np.argsort(rough, axis=1, kind="stable")[:, : k + 8]  # then exactly
-                    exact = ((part[:, None, :] - x[near]) ** 2).sum(2)
-                    best = np.lexsort((vec_ids[near], exact), axis=1)[:, :k]
-                    rows.append(pd.DataFrame({
-                        "query_id": np.repeat(query_ids[at : at + 256], best.shape[1]),
-                        "vec_id": vec_ids[np.take_along_axis(near, best, 1)].ravel(), "distance": np.take_along_axis(exact, best, 1).ravel(),
-                    }))
+                    limit = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+                    limit += 1e-9 * ((part**2).sum(1) + (x**2).sum(1).max() + 1)  # more than rounding can hide
+                    for query, own, far, line in zip(query_ids[at : at + 256], part, limit, rough, strict=True):
+                        near = np.flatnonzero(line <= far)  # then exactly, equal distances by id
+                        exact = ((own - x[near]) ** 2).sum(1)
+                        best = np.lexsort((vec_ids[near], exact))[:k]
+                        rows.append(pd.DataFrame({"query_id": query, "vec_id": vec_ids[near[best]], "distance": exact[best]}))
                 yield pd.concat(rows)
 
         part = base.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, distance double")

@@ -62,7 +62,7 @@ def neighbour_confidence(spark, d):
 
 
 def diffusion_sequences(spark, d):
-    return G.diffusion_walks(X.external_txs(spark, d).select(F.col("from_address").alias("src"), F.col("to_address").alias("dst")), cover=8)
+    return G.diffusion_walks(X.external_txs(spark, d).select(F.col("from_address").alias("src"), F.col("to_address").alias("dst")))
 
 
 def walk_vocabulary(spark, d):
@@ -83,7 +83,7 @@ def embedding_density(spark, d):
 
 def cluster_eval(spark, d):
     vectors = X.vectors(spark, d)
-    found = connected_components(G.nearest(vectors.where("vec_id % 20 = 0"), vectors, 4).where("query_id <> vec_id"), "query_id", "vec_id")
+    found = connected_components(G.nearest(vectors, vectors, 4).where("query_id <> vec_id"), "query_id", "vec_id")
     predicted = found.select(F.col("node").alias("member"), F.col("component").alias("cluster"))
     scores = evaluate_clusters(predicted, vectors.select(F.col("vec_id").alias("member"), F.col("label").alias("cluster")))
     return scores.select("cluster", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
@@ -121,6 +121,6 @@ ORACLE_SQL = {
     "neighbour_confidence": sql("SELECT query_id, round(avg(1 / abs(10 * distance + 1)), 6) AS conf, count(*) AS n FROM n WHERE query_id <> vec_id GROUP BY query_id", n=_nearest(100, 10)),
     "cluster_eval": sql(
         "SELECT r.cluster, round(coalesce(hit / size, 0), 6) AS precision, round(coalesce(hit, 0) / rl, 6) AS recall FROM (SELECT label AS cluster, count(*) AS rl FROM embeddings GROUP BY label HAVING count(*) > 1) r LEFT JOIN (SELECT * FROM h WHERE k = 1) h ON h.cluster = r.cluster LEFT JOIN (SELECT c, count(*) AS size FROM p GROUP BY c) s ON s.c = h.c",
-        n=_nearest(20, 4), e="SELECT query_id AS a, vec_id AS b FROM n WHERE query_id <> vec_id UNION SELECT vec_id, query_id FROM n WHERE query_id <> vec_id", reach="SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b",
+        n=_nearest(1, 4), e="SELECT query_id AS a, vec_id AS b FROM n WHERE query_id <> vec_id UNION SELECT vec_id, query_id FROM n WHERE query_id <> vec_id", reach="SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b",
         p="SELECT a AS member, min(b) AS c FROM reach GROUP BY a", h="SELECT label AS cluster, c, count(*) AS hit, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, c) AS k FROM p JOIN embeddings ON vec_id = member GROUP BY label, c"),
 }

@@ -139,8 +139,8 @@ def entity_labels(spark, d):
 
 
 def pool_helpers(spark, d):
-    rows = X.deposits(spark, d).groupBy("pool").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(X.pools(spark)), "pool")
-    parts = F.split("label", " ")
+    rows = X.deposits(spark, d).groupBy("pool").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(X.pools(spark)), "pool", "left")  # one row for each pool
+    parts = F.split(F.coalesce("label", F.raise_error(F.concat(F.lit("no such pool: "), F.col("pool").cast("string")))), " ")
     return rows.select("pool", parts[0].cast("double").alias("amount"), parts[1].alias("currency"), "n")
 
 

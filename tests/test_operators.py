@@ -123,3 +123,75 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.address for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["0xa", "0xb"]
     files.write_table(df, str(tmp_path / "c"), fmt="csv")
     assert files.read_csv(spark, str(tmp_path / "c"), files.CALL_TABLE).count() == 2
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from lodeweave.sources import files
+
+    rows = [("0xa", "1"), ("0xb", "2"), ("0xc", "3")]
+    df = spark.createDataFrame(rows, files.CALL_TABLE)
+    first, second = (str(tmp_path / x) for x in "ab")
+    for path in (first, second):
+        files.write_table(df, path, fmt="csv")
+    both = files.read_csv(spark, [first, second], files.CALL_TABLE)
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(rows * 2, key=str)
+    files.write_table(df.limit(1), first, fmt="csv", mode="append")
+    assert files.read_csv(spark, first, files.CALL_TABLE).count() == 4
+    files.write_table(df.limit(1), first, fmt="csv", mode="overwrite")
+    assert files.read_csv(spark, first, files.CALL_TABLE).count() == 1
+    files.write_table(df, str(tmp_path / "j"), fmt="json")
+    assert sorted(r.address for r in files.read_json(spark, str(tmp_path / "j"), files.CALL_TABLE).collect()) == ["0xa", "0xb", "0xc"]
+    (tmp_path / "p.txt").write_text("0xa|1\n0xb|2\n")
+    assert [tuple(r) for r in files.read_piped(spark, str(tmp_path / "p.txt"), files.CALL_TABLE).orderBy("address").collect()] == [("0xa", "1"), ("0xb", "2")]
+
+
+def test_reward_claims_from_both_sides(spark):
+    d = txs(spark, [(1, 7, 1.0, 0, 10), (2, 8, 1.0, 0, 20)])
+    w = txs(spark, [(11, 9, 1.0, 0, 15), (12, 7, 1.0, 0, 25)], True)
+    rates = spark.createDataFrame([(0, 4), (1, None)], "pool int, rate int")
+    claims = spark.createDataFrame([(50, 7, 20), (51, 9, 20), (52, 7, 20), (53, 7, 21)], "hash long, recipient long, points long")
+    got = {tuple(r)[:3] for r in heuristics.reward_claim_links(claims, d, w, rates).collect()}
+    # 5 blocks: deposit 1 by address 7 and withdrawal 11 to 9; deposit 2 and withdrawal 12 to 7
+    assert got == {(50, 1, 11), (52, 1, 11), (51, 1, 11), (50, 2, 12), (52, 2, 12)}
+    last = {tuple(r)[:3] for r in heuristics.reward_claim_links(claims, d, w, rates, last_claim_only=True).collect()}
+    assert last == {(52, 1, 11), (51, 1, 11), (52, 2, 12)}
+
+
+def test_known_addresses_split_counts_missing_values_as_different(spark):
+    known = spark.createDataFrame([("a", "eoa", "exchange"), ("b", None, "exchange"), ("c", "eoa", None), ("d", "eoa", "dex")], "address string, account_type string, entity string")
+    exchanges, others = heuristics.split_known(known)
+    assert [r.address for r in exchanges.collect()] == ["a"] and sorted(r.address for r in others.collect()) == ["b", "c", "d"]
+
+
+def test_miners_and_names_of_exchanges(spark):
+    schema = "transaction string, from_address string, to_address string, value double, block long"
+    t = spark.createDataFrame([("a", "u1", "s1", 1.0, 1), ("c", "s1", "x0", 1.0, 3), ("d", "u3", "s2", 1.0, 3), ("e", "s2", "x1", 1.0, 3)], schema)
+    x = spark.createDataFrame([("x0",), ("x1",)], "address string")
+    found = heuristics.reuse_matches(t, x, x, spark.createDataFrame([("u1",)], "address string"), 0.01, 10)
+    assert [r.user_address for r in found.collect()] == ["u3"]
+    found = heuristics.reuse_matches(t, x, x, x.limit(0), 0.01, 10)
+    names = spark.createDataFrame([("x0", "North")], "address string, name string")
+    got = {(r.address, r.entity): r.meta_data for r in heuristics.reuse_attributes(found, names).collect()}
+    assert got["x0", 2] == '{"name":"North"}' and got["x1", 2] == '{"name":null}' and got["u1", 0] == "{}"
+    assert got["s1", 1] == '{"exchange_address":"x0","exchange_name":"North","name":"Deposit for North"}'
+
+
+def test_address_filter(spark):
+    df = spark.createDataFrame([("Ab", 0.9, 0), ("cd", 0.4, 1), ("ab", None, 0)], "address string, conf double, entity int")
+    assert reports.address_filter(df, max_conf=0.5).count() == 1
+    assert reports.address_filter(df, name="AB").count() == 2
+    assert reports.address_filter(df, min_conf=0.5, entity=0, name="ab").count() == 1
+
+
+def test_nearest_takes_equal_distances_by_id(spark):
+    rows = [(i, [0.0, 1.0]) for i in range(60, 0, -1)] + [(100, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = graphs.nearest(df.where("vec_id = 100"), df, 5).collect()
+    assert sorted(r.vec_id for r in got) == [1, 2, 3, 4, 100]
+
+
+def test_walks_reach_all_neighbours_of_a_hub(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 201)], "src long, dst long")
+    rows = graphs.diffusion_walks(edges, cover=4, most_rounds=90).collect()
+    assert len(rows) == 201 and all(len(set(r.walk)) == 4 for r in rows)
+    assert len({x for r in rows for x in r.walk[1:] if x != r.node}) > 150
