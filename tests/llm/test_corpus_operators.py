@@ -382,7 +382,7 @@ def test_url_rules_and_propagation(spark):
         (1, "http://Shop.com/a?q", link % "good.org"), (2, "https://example.com/en/x#y", link % "bad.org"), (3, "https://www.example.com/en/", ""), (4, "http://a.net/es/1", ""),
         (5, "http://good.org/", ""), (6, "http://liar.org/z", link % "a.net"), (7, "no scheme", None), (8, None, link % "x.org"), (9, "http://com", ""), (10, "http://notexample.com/en/?x", ""),
     ]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit("clash"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("rule", "host", "path", "trust", "pages", "src", "verdict")})
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules).collect()}
     assert got == {
@@ -390,6 +390,8 @@ def test_url_rules_and_propagation(spark):
         4: ("a.net", "/es/1", "net/es/", "block"), 5: ("good.org", "/", None, "allow"), 6: ("liar.org", "/z", None, "block"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"),
         9: ("com", "", None, "allow"), 10: ("notexample.com", "/en/", "com/", "allow"),
     }
+    twice = Counter((r.page_id, (r.host, r.path, r.rule, r.verdict)) for r in url_filter.judge(df.unionAll(df), rules).collect())
+    assert twice == Counter({(i, x): 2 for i, x in got.items()})
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 

@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers
 from test_corpus_operators import SCHEMA, brute_lines, near_components
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -26,6 +27,7 @@ def test_pipeline_keeps_what_the_stages_keep(spark, tmp_path):
     near = rows[7][1].replace("\n", " ") + " " + text("aa", 60)
     rows += [(106, near, "aa"), (107, near + " again", "aa")]
     docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], SCHEMA)
+    docs = docs.withColumns({"h": F.lit(1), "d": F.lit("x"), "gone": F.lit(2), "removed": F.lit(3), "ids": F.lit(4), "sid": F.lit(5)})  # names that the stages use
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
@@ -45,3 +47,13 @@ def test_pipeline_keeps_what_the_stages_keep(spark, tmp_path):
         want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_pipeline_of_an_empty_table_and_of_repeated_rows(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    other = tmp_path / "other"
+    spark.createDataFrame([(1, "a b c d e f", "aa", "s", 11)] * 2 + [(None, "a b c d e f", "aa", "s", 11), (None, None, None, None, None)], SCHEMA).write.parquet(f"{other}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{other}/benchmark.parquet")
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in corpus_pipeline.run(spark, str(other)).collect()) == [(False, 1, 6), (False, 1, 6), (True, 0, 6)]
