@@ -46,3 +46,29 @@ def evaluate_clusters(predicted: DataFrame, known: DataFrame) -> DataFrame:
     found = real.join(best, "cluster", "left").join(sizes.withColumnRenamed("cluster", "guess"), "guess", "left")
     hit = F.coalesce("hit", F.lit(0))
     return found.select("cluster", F.coalesce(hit / F.col("size"), F.lit(0.0)).alias("precision"), (hit / F.col("real")).alias("recall"))
+
+
+def responses(user_clusters: DataFrame, exchange_clusters: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``address, entity, conf, user_cluster, exchange_cluster``: the metadata of each address with its clusters (``address, cluster``), null where it has none.
+
+    An address in two clusters of one kind raises.
+    """
+
+    def single(rows: DataFrame, name: str) -> DataFrame:
+        found = rows.groupBy("address").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"))
+        several = F.raise_error(F.concat(F.lit(f"in more than one {name}: "), F.col("address").cast("string")))
+        return found.select("address", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(several).alias(name))
+
+    own = metadata.select("address", "entity", "conf")
+    return own.join(single(user_clusters, "user_cluster"), "address", "left").join(single(exchange_clusters, "exchange_cluster"), "address", "left")
+
+
+def cluster_mates(addresses: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked, address, entity, conf``: for each asked address the others of its cluster; an exchange is looked up by its exchange cluster, others by
+    their user cluster. ``addresses`` is what ``responses`` returns."""
+    own = addresses.join(asked.select("address").distinct(), "address", "left_semi")
+    key = F.when(F.col("entity") == 2, F.struct(F.lit("e").alias("kind"), F.col("exchange_cluster").alias("cluster"))).otherwise(F.struct(F.lit("u").alias("kind"), F.col("user_cluster").alias("cluster")))
+    own = own.select(F.col("address").alias("asked"), F.col("entity").alias("asked_entity"), key.alias("key")).where("key.cluster IS NOT NULL")
+    kinds = F.array(F.struct(F.lit("u").alias("kind"), F.col("user_cluster").alias("cluster")), F.struct(F.lit("e").alias("kind"), F.col("exchange_cluster").alias("cluster")))
+    members = addresses.select("address", "entity", "conf", F.explode(kinds).alias("key")).where("key.cluster IS NOT NULL")
+    return own.join(members, "key").where("asked <> address").select("asked", "address", "entity", "conf").distinct()

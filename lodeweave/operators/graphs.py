@@ -63,6 +63,21 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("node").agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
 
 
+def write_adjacency(edges: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """Adjacency lists as CSV, ``node`` and its neighbours divided by blanks, so many rows in a file at most."""
+    rows = adjacency(edges).select("node", F.array_join("neighbours", " ").alias("neighbours"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("header", True).csv(path)
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Vectors (``node, vector``) as Parquet arrays of doubles, replaced as a whole."""
+    from pyspark.ml.functions import vector_to_array
+
+    kind = vectors.schema["vector"].dataType.typeName()
+    column = F.col("vector") if kind == "array" else vector_to_array("vector")
+    vectors.select("node", column.cast("array<double>").alias("vector")).write.mode("overwrite").parquet(path)
+
+
 def numbered_neighbours(edges: DataFrame, buckets: int = 64) -> DataFrame:
     """``node, k, neighbour, degree``: the distinct neighbours of each node by number from 0, with the neighbour's own degree.
 

@@ -194,3 +194,8 @@ def prune_matches(matches: DataFrame) -> DataFrame:
     left = matches.join(exchanges.withColumnRenamed("address", "user_address"), "user_address", "left_anti").join(exchanges.withColumnRenamed("address", "deposit"), "deposit", "left_anti")
     users = left.select(F.col("user_address").alias("deposit")).distinct()
     return left.join(users, "deposit", "left_anti").select(*matches.columns)
+
+
+def pair_metadata(pairs: DataFrame, entity: int = 0) -> DataFrame:
+    """``address, entity, conf``: each address of ``x, y, conf`` pairs with the highest confidence of its pairs."""
+    return pairs.select(F.explode(F.array("x", "y")).alias("address"), "conf").groupBy("address").agg(F.max("conf").alias("conf")).select("address", F.lit(entity).alias("entity"), "conf")

@@ -88,6 +88,11 @@ def either_direction(df: DataFrame, first: DataFrame, second: DataFrame) -> Data
     return way(first, second).unionByName(way(second, first)).distinct()
 
 
+def in_list(df: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is listed, in all their columns, each once however often the list has it."""
+    return df.join(listed.select(F.col(key)).distinct(), key, "left_semi").select(*df.columns)
+
+
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a declared order."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")

@@ -117,3 +117,20 @@ def labelled(df: DataFrame) -> DataFrame:
 def set_entropy(candidates: Column, kept: Column) -> Column:
     """Information gained by narrowing a set down: the difference of the logarithms of the sizes."""
     return F.ln(candidates.cast("double")) - F.ln(kept.cast("double"))
+
+
+def deposit_map(deposits: DataFrame) -> DataFrame:
+    """``address, pool, transactions, span``: an address's deposits in a pool, sorted, and the seconds from the first to the last."""
+    seconds = F.timestamp_diff("SECOND", F.min("block_timestamp"), F.max("block_timestamp"))
+    return deposits.groupBy(F.col("from_address").alias("address"), "pool").agg(F.array_sort(F.collect_set("hash")).alias("transactions"), seconds.alias("span"))
+
+
+def known_attributes(known: DataFrame) -> DataFrame:
+    """``address, name, account_type, entity`` with empty strings for missing values, without rows that say nothing."""
+    filled = known.select("address", "name", "account_type", "entity").fillna("", ["name", "account_type", "entity"])
+    return filled.where("name <> '' OR account_type <> '' OR entity <> ''")
+
+
+def overridden_score(score: Column, name: Column, known: Column, most: float = 0.9) -> Column:
+    """A known address has no anonymity, and one with a registered name ``most`` at best."""
+    return F.when(known, 0.0).when(F.contains(F.coalesce(name, F.lit("")), F.lit(".eth")), F.least(score, F.lit(most))).otherwise(score)

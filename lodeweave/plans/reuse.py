@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeweave.operators import clusters as C
 from lodeweave.operators import heuristics as H
 from lodeweave.operators import joins as J
+from lodeweave.operators import reports as R
 from lodeweave.operators.components import connected_components
 from lodeweave.operators.materialize import materialize
 from lodeweave.plans import pools as P
@@ -92,6 +93,32 @@ def components_users(spark, d):
     return connected_components(_edges(spark, d).unionByName(pairs), "a", "b")
 
 
+def _responses(spark, d) -> DataFrame:
+    pruned = materialize(_pruned(spark, d), "pruned")
+    named = lambda rows: rows.select(F.col("node").alias("address"), F.col("component").alias("cluster"))
+    meta = J.first_per_key(H.reuse_metadata(pruned).withColumn("conf", F.round("conf", 6)), ["address"], F.col("entity").desc())
+    return C.responses(named(clusters_of(pruned)), named(connected_components(pruned, "deposit", "exchange")), meta)
+
+
+def address_responses(spark, d):
+    return _responses(spark, d)
+
+
+def address_mates(spark, d):
+    """The others of the clusters of those addresses that external transactions go to (user n of the pools is ``p`` n) and of all exchanges."""
+    asked = X.external_txs(spark, d).select(F.concat(F.lit("p"), F.col("to_address").cast("string")).alias("address")).unionByName(H.split_known(X.known(spark, d))[0])
+    return C.cluster_mates(materialize(_responses(spark, d), "addresses"), asked)
+
+
+def known_attributes(spark, d):
+    return R.known_attributes(X.known(spark, d))
+
+
+def pair_metadata(spark, d):
+    pairs = _matches(spark, d).select(F.col("user_address").alias("x"), F.col("deposit").alias("y"), "conf")
+    return H.pair_metadata(pairs).withColumn("conf", F.round("conf", 6))
+
+
 def cluster_merge(spark, d):
     """Components of today merged into those of the first half of the blocks; both from confident matches only."""
     found = materialize(_pruned(spark, d).where(F.col("conf") >= LEAST_CONF), "confident")
@@ -122,7 +149,7 @@ def known_address_precedence(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    dar_matches, dar_confidence, dar_transactions, dar_metadata, dar_attributes, known_split, dar_pruned, metadata_argmax, components_dar, components_users, exchange_components, cluster_merge,
+    dar_matches, dar_confidence, dar_transactions, dar_metadata, dar_attributes, known_split, dar_pruned, metadata_argmax, components_dar, components_users, address_responses, address_mates, known_attributes, pair_metadata, exchange_components, cluster_merge,
     upsert_address, append_new_pools, known_address_precedence,
 )}
 
@@ -156,6 +183,11 @@ USER_CLUSTERS = {
     "ux": "SELECT du.component, count(DISTINCT dx.component) AS exchanges FROM du JOIN (SELECT DISTINCT deposit AS node FROM p2) d ON d.node = du.node JOIN dx ON dx.node = du.node GROUP BY du.component",
     "uc": "SELECT us.node AS address, conf, eoas, coalesce(exchanges, 0) AS exchanges FROM us JOIN du USING (node) JOIN ue USING (component) LEFT JOIN ux USING (component)",
 }
+RESPONSES = (
+    "SELECT a.address, a.entity, round(a.conf, 6) AS conf, du.component AS user_cluster, dx.component AS exchange_cluster FROM (SELECT address, max(entity) AS entity, arg_max(conf, entity) AS conf FROM "
+    "(SELECT user_address AS address, 0 AS entity, avg(conf) AS conf FROM p2 GROUP BY ALL UNION ALL SELECT deposit, 1, avg(conf) FROM p2 GROUP BY ALL UNION ALL SELECT exchange, 2, avg(conf) FROM p2 GROUP BY ALL) GROUP BY address) a "
+    "LEFT JOIN du ON du.node = a.address LEFT JOIN dx ON dx.node = a.address"
+)
 ORACLE_SQL = {
     "dar_matches": _sql("SELECT user_address, deposit, exchange, forward_tx, receipt_tx, t_diff FROM m"),
     "dar_confidence": _sql("SELECT DISTINCT user_address, deposit, exchange, t_diff, round(a_diff, 6) AS a_diff, round(conf, 6) AS conf FROM m"),
@@ -174,6 +206,13 @@ ORACLE_SQL = {
         "SELECT DISTINCT user_address AS address, 0 AS entity, '{}' AS meta_data FROM m UNION ALL SELECT DISTINCT exchange, 2, '{\"name\":' || coalesce('\"' || name || '\"', 'null') || '}' FROM m LEFT JOIN known k ON k.address = exchange "
         "UNION ALL SELECT deposit, 1, '{\"exchange_address\":\"' || exchange || '\",\"exchange_name\":' || coalesce('\"' || name || '\"', 'null') || ',\"name\":' || coalesce('\"Deposit for ' || name || '\"', 'null') || '}' "
         "FROM (SELECT deposit, arg_min(exchange, (forward_tx, exchange)) AS exchange FROM m GROUP BY deposit) f LEFT JOIN known k ON k.address = exchange"),
+    "address_responses": _sql("SELECT * FROM ar", **USER_CLUSTERS, ar=RESPONSES),
+    "address_mates": sql(
+        "SELECT DISTINCT o.address AS asked, m.address, m.entity, m.conf FROM ar o JOIN ar m ON m.address <> o.address AND CASE WHEN o.entity = 2 THEN m.exchange_cluster = o.exchange_cluster ELSE m.user_cluster = o.user_cluster END "
+        "WHERE o.address IN (SELECT 'p' || to_address FROM external_txs UNION SELECT address FROM known WHERE account_type = 'eoa' AND entity = 'exchange')",
+        "transfers", "known", "miners", "external_txs", **_VIEWS, **USER_CLUSTERS, ar=RESPONSES),
+    "known_attributes": sql("SELECT address, coalesce(name, '') AS name, coalesce(account_type, '') AS account_type, coalesce(entity, '') AS entity FROM known WHERE coalesce(name, '') || coalesce(account_type, '') || coalesce(entity, '') <> ''", "known"),
+    "pair_metadata": _sql("SELECT address, 0 AS entity, round(max(conf), 6) AS conf FROM (SELECT user_address AS address, conf FROM m UNION ALL SELECT deposit, conf FROM m) GROUP BY address"),
     "known_split": sql("SELECT address, coalesce(account_type = 'eoa', false) AND coalesce(entity = 'exchange', false) AS exchange FROM known", "known"),
     "cluster_merge": _sql(
         "SELECT address, cluster FROM merged",

@@ -108,6 +108,23 @@ def anonymity_score(spark, d):
     return rows.select("address", R.anonymity_score(parts).alias("score"))
 
 
+def address_scores(spark, d):
+    """Scores of all addresses of the pools after overrides: a known address (part of size 1) has none, every seventh address a registered name."""
+    scores = anonymity_score(spark, d)
+    known = X.known(spark, d).select(F.col("address").alias("key"), F.lit(True).alias("known"))
+    rows = scores.join(known, F.concat(F.lit("p"), scores["address"].cast("string")) == F.col("key"), "left")
+    name = F.when(F.col("address") % 7 == 0, F.concat(F.col("address").cast("string"), F.lit(".eth")))
+    return rows.select("address", R.overridden_score(F.col("score"), name, F.coalesce("known", F.lit(False))).alias("score"))
+
+
+def deposit_map(spark, d):
+    return R.deposit_map(X.deposits(spark, d)).select("address", "pool", F.array_join(F.array_sort(F.transform("transactions", lambda x: x.cast("string"))), ",").alias("transactions"), "span")
+
+
+def listed_transactions(spark, d):
+    return J.in_list(X.external_txs(spark, d).select("hash", "from_address"), "hash", X.claims(spark, d).unionByName(X.claims(spark, d)))
+
+
 def cluster_page(spark, d):
     meta = U.dar_metadata(spark, d)
     found = R.address_filter(meta, min_conf=0.5, entity=0)
@@ -190,7 +207,7 @@ def portfolio_key_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pool_audit, address_stats, compromised_by_pool, timeline, weekly_counts, reveal_distribution, reveal_rank, overall_rank, exchange_reach, anonymity_score, cluster_page, page_count,
+    pool_audit, address_stats, compromised_by_pool, timeline, weekly_counts, reveal_distribution, reveal_rank, overall_rank, exchange_reach, anonymity_score, address_scores, deposit_map, listed_transactions, cluster_page, page_count,
     cluster_expansion, time_slice, block_slice, entity_labels, pool_helpers, set_operations, anonymity_entropy, rounding, abi_decode, unique_senders, portfolio_key_counts,
 )}
 
@@ -211,6 +228,13 @@ def _sql(body: str) -> str:
 
 
 _RANKS = "SELECT c.address, c.heuristic, c.n, round(b.below / b.total, 6) AS rank, floor(b.below / b.total * 100)::INT AS percent FROM cnt c JOIN (SELECT heuristic, reveals, coalesce(sum(frequency) OVER (PARTITION BY heuristic ORDER BY reveals ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below, sum(frequency) OVER (PARTITION BY heuristic)::DOUBLE AS total FROM dist) b ON b.heuristic = c.heuristic AND b.reveals = c.n"
+_SCORE = "SELECT address, round(1 - tanh(0.1 * (n1 + n2 + 0.5 * n3 + 0.25 * n4 + 0.25 * n5 + coalesce(conf * least(eoas, 1000) + 0.1 * conf * exchanges, 0))), 3) AS score FROM (SELECT address, " + ", ".join(f"coalesce(max(n) FILTER (WHERE heuristic = {h}), 0)::DOUBLE AS n{h}" for h in HEURISTICS) + " FROM cnt GROUP BY address) s LEFT JOIN (SELECT address AS u, conf, eoas, exchanges FROM uc) ON u = 'p' || address"
+
+
+def _scores(body: str) -> str:
+    return sql(body, "deposits", "withdrawals", "external_txs", "claims", "pools", "transfers", "known", "miners", **_REVEALS, **U._VIEWS, **U.USER_CLUSTERS, sc=_SCORE)
+
+
 _META = "SELECT address, entity, round(conf, 6) AS conf FROM meta"
 ORACLE_SQL = {
     "pool_audit": _sql("SELECT * FROM audit"),
@@ -222,9 +246,10 @@ ORACLE_SQL = {
     "reveal_rank": _sql(_RANKS),
     "overall_rank": _sql("SELECT address, round(r, 5) AS rank, floor(round(r, 5) * 100)::INT AS percent FROM (SELECT a.address, coalesce(sum(k.rank), 0) / 5 AS r FROM (SELECT DISTINCT address FROM txs) a LEFT JOIN (" + _RANKS + ") k ON k.address = a.address GROUP BY a.address)"),
     "exchange_reach": U._sql("SELECT address, eoas, exchanges FROM uc", **U.USER_CLUSTERS),
-    "anonymity_score": sql(
-        "SELECT address, round(1 - tanh(0.1 * (n1 + n2 + 0.5 * n3 + 0.25 * n4 + 0.25 * n5 + coalesce(conf * least(eoas, 1000) + 0.1 * conf * exchanges, 0))), 3) AS score FROM (SELECT address, " + ", ".join(f"coalesce(max(n) FILTER (WHERE heuristic = {h}), 0)::DOUBLE AS n{h}" for h in HEURISTICS) + " FROM cnt GROUP BY address) s LEFT JOIN (SELECT address AS u, conf, eoas, exchanges FROM uc) ON u = 'p' || address",
-        "deposits", "withdrawals", "external_txs", "claims", "pools", "transfers", "known", "miners", **_REVEALS, **U._VIEWS, **U.USER_CLUSTERS),
+    "anonymity_score": _scores("SELECT * FROM sc"),
+    "address_scores": _scores("SELECT address, CASE WHEN 'p' || address IN (SELECT address FROM known) THEN 0 WHEN address % 7 = 0 THEN least(score, 0.9) ELSE score END AS score FROM sc"),
+    "deposit_map": sql("SELECT from_address AS address, pool, string_agg(DISTINCT hash::VARCHAR, ',' ORDER BY hash::VARCHAR) AS transactions, (epoch_us(max(block_timestamp)) - epoch_us(min(block_timestamp))) // 1000000 AS span FROM deposits GROUP BY ALL", "deposits"),
+    "listed_transactions": sql("SELECT hash, from_address FROM external_txs WHERE hash IN (SELECT hash FROM claims)", "external_txs", "claims"),
     "cluster_page": U._sql(f"SELECT address, entity, conf, CASE WHEN conf > 0.98 THEN 'high' WHEN conf > 0.95 THEN 'medium' ELSE 'low' END AS label FROM ({_META}) WHERE conf >= 0.5 AND entity = 0 ORDER BY conf DESC, address LIMIT 20 OFFSET 20"),
     "page_count": U._sql("SELECT entity, ceil(count(*) / 20)::BIGINT AS pages FROM meta GROUP BY entity"),
     "cluster_expansion": _sql("SELECT deposit_hash AS cluster, withdraw_address AS address, withdraw_hash AS transaction FROM linked WHERE deposit_hash IN (SELECT deposit_hash FROM linked WHERE withdraw_address IN (SELECT recipient FROM claims))"),
