@@ -2,7 +2,7 @@
 
 Texts are cut where they agree by content: of any ``SPAN`` consecutive bytes, the k-gram with the smallest hash is an
 anchor, so equal strings of that length hold an anchor at the same place. Anchors that only one document has are left out
-(an anchor counts as shared when another document has it with the same 17 bytes before it or the same 17 behind it, as any
+(an anchor counts as shared when another document has it with the same 19 bytes before it or the same 19 behind it, as any
 common string of ``SPAN`` bytes implies), and the surroundings of the others come together by anchor. There the suffixes
 are sorted in two stages: those smaller than their successors directly, the others by scanning the buckets of first bytes
 upwards, as a suffix larger than its successor follows it in order. Neighbours in the suffix array with a common prefix of
@@ -23,11 +23,13 @@ from lodeweave.llm.pieces import gather, raw_bytes
 from lodeweave.llm.text import _BASE, _INVERSE, _powers, mix, slices
 from lodeweave.operators.materialize import materialize
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 12
 REACH = SPAN - GRAM
 SIDE = (REACH + 1) // 2
 #: Text per slot of anchors, in bytes; anchors held at once; surroundings sorted at once.
 SLOT_BYTES, HELD, CHUNK = 1 << 20, 1 << 20, 30_000
+#: Bytes of a long text that are looked at together.
+PIECE = 1 << 20
 #: Where surroundings stand.
 PLACE = np.dtype([("doc", "<i8"), ("start", "<i4")])
 _VALUES = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -43,8 +45,19 @@ def _sliding(f: Callable, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of a text's anchors, their hashes, and 12-bit hashes (0: none) of the bytes before and behind."""
+    """Positions of a text's anchors, their hashes, and 12-bit hashes (0: none) of the bytes before and behind.
+
+    A long text is looked at in pieces with a margin on both sides, as all this depends on the nearest ``SPAN`` bytes only.
+    """
     n = len(raw)
+    if n > 2 * PIECE:
+        found = []
+        for at in range(0, n, PIECE):
+            low = max(0, at - 2 * SPAN)
+            places, *others = anchors(raw[low : at + PIECE + 2 * SPAN])
+            own = (places + low >= at) & (places + low < at + PIECE)
+            found.append([x[own] for x in (places + low, *others)])
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     if n < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     total = np.zeros(n + 1, np.uint64)
@@ -73,7 +86,8 @@ def anchor_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 # shared anchors
 
 _COLUMNS = (("hash", np.uint32), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("at", np.uint32))
-_STORED = (("hash", np.uint32), ("sides", np.uint32), ("doc", np.int64), ("at", np.uint32))
+#: As stored: how many bytes of each value, lowest first. Within a slot, three bytes of a hash tell anchors apart well enough.
+_STORED = (("hash", np.uint32, 3), ("sides", np.uint32, 3), ("doc", np.int64, 8), ("at", np.uint32, 4))
 Records = dict[str, np.ndarray]
 
 
@@ -81,15 +95,16 @@ def _to_blob(records: Records) -> bytes:
     """By column and within it by byte, documents as differences, so that the shuffle's compression finds the zeros."""
     sides = (records["left"].astype(np.uint32) << np.uint32(12)) | records["right"]
     stored = {"hash": records["hash"], "sides": sides, "doc": np.diff(records["doc"], prepend=0), "at": records["at"]}
-    return b"".join(stored[c].astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes() for c, kind in _STORED)
+    return b"".join(stored[c].astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T[:kept].tobytes() for c, kind, kept in _STORED)
 
 
 def _from_blob(blob: bytes) -> Records:
-    count, offset, stored = len(blob) // sum(np.dtype(kind).itemsize for _, kind in _STORED), 0, {}
-    for c, kind in _STORED:
-        width = np.dtype(kind).itemsize
-        stored[c] = np.ascontiguousarray(np.frombuffer(blob, np.uint8, count * width, offset).reshape(width, count).T).view(kind)[:, 0]
-        offset += count * width
+    count, offset, stored = len(blob) // sum(kept for _, _, kept in _STORED), 0, {}
+    for c, kind, kept in _STORED:
+        planes = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
+        planes[:, :kept] = np.frombuffer(blob, np.uint8, count * kept, offset).reshape(kept, count).T
+        stored[c] = planes.view(kind)[:, 0]
+        offset += count * kept
     sides = stored.pop("sides")
     return stored | {"doc": np.cumsum(stored["doc"]), "left": (sides >> np.uint32(12)).astype(np.uint16), "right": (sides & np.uint32(0xFFF)).astype(np.uint16)}
 
@@ -121,7 +136,7 @@ def _anchor_slots(slots: int) -> Callable:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 at, hashes, left, right = anchors(np.frombuffer(text or b"", np.uint8))
                 if len(at):
-                    parts.append({"hash": hashes.astype(np.uint32), "left": left, "right": right, "doc": np.full(len(at), doc, np.int64), "at": at.astype(np.uint32)})
+                    parts.append({"hash": hashes.astype(np.uint32) & np.uint32(0xFFFFFF), "left": left, "right": right, "doc": np.full(len(at), doc, np.int64), "at": at.astype(np.uint32)})
                     places.append(((hashes >> np.uint64(32)) % np.uint64(slots)).astype(np.int64))
                     size += len(at)
                 if size >= HELD:
@@ -218,13 +233,16 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in slices(batches):
         for doc, text, lists in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64)
-            start = np.maximum(wanted - REACH, 0)
-            parts.append((anchor_hashes(np.frombuffer(text, np.uint8), wanted).view(np.int64), np.full(len(wanted), doc), start, start, np.minimum(wanted + SPAN, len(text)) - start))
-            texts.append(text)
-            size += len(wanted)
-            if size >= CHUNK:
-                yield combined()
-                parts, texts, size = [], [], 0
+            for k in range(0, len(wanted), CHUNK):  # of a long text as far as these anchors reach
+                own = wanted[k : k + CHUNK]
+                start = np.maximum(own - REACH, 0)
+                low, past = start[0], np.minimum(own + SPAN, len(text))
+                texts.append(text[low : past[-1]])
+                parts.append((anchor_hashes(np.frombuffer(text, np.uint8), own).view(np.int64), np.full(len(own), doc), start, start - low, past - start))
+                size += len(own)
+                if size >= CHUNK:
+                    yield combined()
+                    parts, texts, size = [], [], 0
     if size:
         yield combined()
 

@@ -18,7 +18,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n - 1) modulo 2**64, kept for later calls."""
+    """base**0 ... base**(n - 1) modulo 2**64, kept for later calls; callers take texts in pieces, so this stays small."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
         size = 1 << max(12, (n - 1).bit_length())

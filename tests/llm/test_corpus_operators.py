@@ -489,6 +489,22 @@ def test_suffixes_are_sorted():
     assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
 
 
+def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
+    raw = np.frombuffer(("".join(words(900)) + "a" * 700 + "ab" * 400 + "".join(words(300))).encode(), np.uint8)
+    whole = suffix_dedup.anchors(raw)
+    for piece in (101, 500, 1999):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, suffix_dedup.anchors(raw), strict=True))
+        assert np.array_equal(whole[1], suffix_dedup.anchor_hashes(raw, whole[0]))
+
+
+def test_byte_dedup_of_long_runs_null_ids_and_repeated_rows(spark):
+    rows = [(1, "a" * 2_200_000), (2, "b" + "a" * 120), (3, "a" * 49), (None, "a" * 100), (None, "a" * 100), (5, "xy" * 60), (5, "xy" * 60), (6, "q" + "xy" * 60), (7, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(1), "at": F.lit(2)})
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_bytes(df).collect())
+    assert got == Counter([(1, 2_200_000, 0, 0), (2, 121, 120, 1), (3, 49, 0, 0), (None, 100, 0, 0), (None, 100, 0, 0), (5, 120, 0, 0), (5, 120, 0, 0), (6, 121, 120, 1), (7, 0, 0, 0), (7, 0, 0, 0)])
+
+
 def around_table(rows):
     import pyarrow as pa
 
