@@ -12,6 +12,8 @@ ENTITIES = ["eoa", "deposit", "exchange", "dex", "defi", "ico wallet", "mining",
 HEURISTICS = ["deposit_address_reuse", "address_match", "unique_gas_price", "multi_denomination", "linked_transaction", "torn_mine", "diff2vec"]
 
 DEPOSIT_SELECTOR, WITHDRAW_SELECTOR = "0xb214faa5", "0x21a0adb6"
+#: Contracts that pass calls on to a pool, the present one and the one before (fixed values of the data model).
+PROXIES = ["0x722122df12d4e14e13ac3b6895a86e84145b6967", "0x905b63fff465b9ffbf41dea908ceb12478ec7601"]
 
 
 def round_half_even(x: Column, digits: int) -> Column:
@@ -79,3 +81,18 @@ def word_address(call: Column, k: int) -> Column:
 def word_number(call: Column, k: int) -> Column:
     """The k-th word as a number below 2**60."""
     return F.conv(F.substring(word(call, k), 50, 15), 16, 10).cast("long")
+
+
+def word_at(call: Column, offset: Column) -> Column:
+    """The word that begins so many bytes into the arguments; null where the call is too short."""
+    found = F.substring(call, (F.lit(11) + 2 * offset).cast("int"), F.lit(64))
+    return F.when(F.length(found) == 64, found)
+
+
+def as_address(word: Column) -> Column:
+    return F.concat(F.lit("0x"), F.lower(F.substring(word, 25, 40)))
+
+
+def as_number(word: Column) -> Column:
+    """A word as a number below 2**60."""
+    return F.conv(F.substring(word, 50, 15), 16, 10).cast("long")

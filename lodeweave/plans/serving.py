@@ -108,6 +108,17 @@ def anonymity_score(spark, d):
     return rows.select("address", R.anonymity_score(parts).alias("score"))
 
 
+def heuristic_metadata(spark, d):
+    """The addresses that each heuristic finds, as users with full confidence, under the heuristic's own name."""
+    rows = _reveals(spark, d).join(_transactions(spark, d), "transaction").select("address", "heuristic").distinct()
+    return rows.select("address", F.lit(0).alias("entity"), F.lit(1.0).alias("conf"), F.lit("{}").alias("meta_data"), S.name_of(F.col("heuristic"), S.HEURISTICS).alias("heuristic"))
+
+
+def components_links(spark, d):
+    """Transactions that linked addresses join, by the smallest of them."""
+    return connected_components(P.linked_address_links(spark, d), "withdraw_hash", "deposit_hash")
+
+
 def address_scores(spark, d):
     """Scores of all addresses of the pools after overrides: a known address (part of size 1) has none, every seventh address a registered name."""
     scores = anonymity_score(spark, d)
@@ -207,7 +218,7 @@ def portfolio_key_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pool_audit, address_stats, compromised_by_pool, timeline, weekly_counts, reveal_distribution, reveal_rank, overall_rank, exchange_reach, anonymity_score, address_scores, deposit_map, listed_transactions, cluster_page, page_count,
+    pool_audit, address_stats, compromised_by_pool, timeline, weekly_counts, reveal_distribution, reveal_rank, overall_rank, exchange_reach, anonymity_score, heuristic_metadata, components_links, address_scores, deposit_map, listed_transactions, cluster_page, page_count,
     cluster_expansion, time_slice, block_slice, entity_labels, pool_helpers, set_operations, anonymity_entropy, rounding, abi_decode, unique_senders, portfolio_key_counts,
 )}
 
@@ -248,6 +259,8 @@ ORACLE_SQL = {
     "exchange_reach": U._sql("SELECT address, eoas, exchanges FROM uc", **U.USER_CLUSTERS),
     "anonymity_score": _scores("SELECT * FROM sc"),
     "address_scores": _scores("SELECT address, CASE WHEN 'p' || address IN (SELECT address FROM known) THEN 0 WHEN address % 7 = 0 THEN least(score, 0.9) ELSE score END AS score FROM sc"),
+    "heuristic_metadata": _sql("SELECT DISTINCT address, 0 AS entity, 1.0::DOUBLE AS conf, '{}' AS meta_data, ([" + ", ".join(f"'{h}'" for h in S.HEURISTICS) + "])[heuristic + 1] AS heuristic FROM reveals JOIN txs USING (transaction)"),
+    "components_links": sql("SELECT * FROM cl", "deposits", "withdrawals", "external_txs", pairs=P._PAIRS.format(least=3), typed=P._TYPED, linked=P._LINKED, **U._reach("cl", "SELECT withdraw_hash AS a, deposit_hash AS b FROM linked")),
     "deposit_map": sql("SELECT from_address AS address, pool, string_agg(DISTINCT hash::VARCHAR, ',' ORDER BY hash::VARCHAR) AS transactions, (epoch_us(max(block_timestamp)) - epoch_us(min(block_timestamp))) // 1000000 AS span FROM deposits GROUP BY ALL", "deposits"),
     "listed_transactions": sql("SELECT hash, from_address FROM external_txs WHERE hash IN (SELECT hash FROM claims)", "external_txs", "claims"),
     "cluster_page": U._sql(f"SELECT address, entity, conf, CASE WHEN conf > 0.98 THEN 'high' WHEN conf > 0.95 THEN 'medium' ELSE 'low' END AS label FROM ({_META}) WHERE conf >= 0.5 AND entity = 0 ORDER BY conf DESC, address LIMIT 20 OFFSET 20"),

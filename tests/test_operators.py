@@ -195,3 +195,23 @@ def test_walks_reach_all_neighbours_of_a_hub(spark):
     rows = graphs.diffusion_walks(edges, cover=4, most_rounds=90).collect()
     assert len(rows) == 201 and all(len(set(r.walk)) == 4 for r in rows)
     assert len({x for r in rows for x in r.walk[1:] if x != r.node}) > 150
+
+
+def test_calls_of_other_kinds_raise(spark):
+    from lodeweave.operators import decoding
+
+    txs_ = spark.createDataFrame([(1, "0xp", "0x")], "hash long, to_address string, input string")
+    pools = spark.createDataFrame([("0xp",)], "address string")
+    trace = lambda *selectors: spark.createDataFrame([(1, x) for x in selectors], "transaction_hash long, input string")
+    assert [r.kind for r in decoding.pool_calls(txs_, trace(S.DEPOSIT_SELECTOR), pools).collect()] == ["deposit"]
+    for selectors, message in [(("0x00000000",), "neither deposit"), ((S.DEPOSIT_SELECTOR, S.WITHDRAW_SELECTOR), "not just one"), ((), "not just one")]:
+        with pytest.raises(Exception, match=message):
+            decoding.pool_calls(txs_, trace(*selectors), pools).collect()
+
+
+def test_files_of_graphs(spark, tmp_path):
+    graphs.write_adjacency(spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long"), str(tmp_path / "a"), rows_per_file=1)
+    assert sorted((r.node, r.neighbours) for r in spark.read.option("header", True).csv(str(tmp_path / "a")).collect()) == [("1", "2 3"), ("2", "1"), ("3", "1")]
+    for _ in range(2):
+        graphs.write_vectors(spark.createDataFrame([("a", [1.0, 2.0])], "node string, vector array<double>"), str(tmp_path / "v"))
+    assert [r.vector for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [[1.0, 2.0]]
