@@ -102,19 +102,19 @@ def _without_copies(docs: DataFrame, min_words: int, n_lines: str, n_removed: st
         flagged.groupBy("d", "t")
         .agg(F.sum(F.when(F.col("gone"), 1).otherwise(0)).cast("long").alias("removed"), F.sort_array(F.collect_list(F.struct("i", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("mask"))
         .where("removed > 0")
+        .select("d", "t", "removed", F.col("mask.i").alias("at"), F.col("mask.gone").alias("gone"))
     )
     d, t = _keys()
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(*[F.struct(*others).alias("row")] * bool(others), "text", d.alias("d"), t.alias("t"))
     joined = rows.join(masks, ["d", "t"], "left")
     # the mask lists the lines that are not blank; blank ones in between shift the index, so it is laid out over all lines
-    at, gone = F.col("mask.i"), F.col("mask.gone")
     dense = F.flatten(
         F.transform(
-            at,
+            F.col("at"),
             lambda i, k: F.concat(
-                F.array_repeat(F.lit(False), i - F.when(k == 0, -1).otherwise(F.get(at, k - 1)) - 1),
-                F.array(F.get(gone, k)),
+                F.array_repeat(F.lit(False), i - F.when(k == 0, -1).otherwise(F.get(F.col("at"), k - 1)) - 1),
+                F.array(F.get(F.col("gone"), k)),
             ),
         )
     )
