@@ -31,6 +31,8 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 
 #: Pieces that are one word for certain.
 _ONE_WORD = re.compile("(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]|\n)")
+#: Bytes of text that are encoded together, and distinct pieces whose ids a task remembers.
+TOGETHER, REMEMBERED = 1 << 20, 150_000
 #: Lists of fewer positions are walked through, longer ones are merged as arrays.
 SHORT = 24
 _MARK = np.zeros(256, bool)
@@ -198,7 +200,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.remembered = Remembered(self.vocabulary.encode_pieces)
+        self.remembered = Remembered(self.vocabulary.encode_pieces, REMEMBERED)
         known = self.vocabulary.bytes
         table = [known.get(i, b"") for i in range(max(known) + 1)]
         self.length = np.array([len(x) for x in table] + [0], np.int64)  # the last stands for ids that the vocabulary lacks
@@ -207,7 +209,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[slice, pa.ListArray]]:
         """Ids of the texts of each slice."""
-        for rows in batched(texts):
+        for rows in batched(texts, TOGETHER):
             part = texts[rows]
             raw, bounds = raw_bytes(part)
             starts = word_starts(raw)
@@ -219,6 +221,11 @@ class Encoder:
             ends = np.concatenate([[0], ends])[first]
             yield rows, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
 
+    def rest(self) -> None:
+        """Give memory back at the end of a task: the worker may serve other stages next."""
+        self.remembered.forget()
+        pa.default_memory_pool().release_unused()
+
     def decode(self, lists: pa.ListArray) -> pa.Array:
         """The text of each list of ids; a null list is empty."""
         lists = pc.fill_null(lists, [])
@@ -247,6 +254,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for rows, ids in own.encode(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], ids], names=["doc_id", "ids"])
+        own.rest()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -272,6 +280,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for rows, ids in own.encode(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], ids, own.decode(ids)], names=["doc_id", "ids", "text"])
+        own.rest()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

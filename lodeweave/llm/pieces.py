@@ -84,9 +84,9 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.nd
 class Remembered:
     """Values (runs of numbers) of the pieces met so far; all are forgotten at once when they become too many."""
 
-    def __init__(self, values_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
-        """``values_of`` gives the values of new pieces end to end and how many each has."""
-        self.values_of = values_of
+    def __init__(self, values_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = REMEMBERED) -> None:
+        """``values_of`` gives the values of new pieces end to end and how many each has; ``most`` pieces are remembered."""
+        self.values_of, self.most = values_of, most
         self.forget()
 
     def forget(self) -> None:
@@ -98,7 +98,7 @@ class Remembered:
         """The number of each of these distinct pieces, by which ``start`` and ``length`` tell its values in ``flat``."""
         place = np.asarray(pc.fill_null(pc.index_in(pieces, self.known), -1))
         new = np.flatnonzero(place < 0)
-        if len(self.known) + len(new) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
+        if len(self.known) + len(new) > self.most or self.known.nbytes > REMEMBERED_BYTES:
             self.forget()
             place = np.full(len(pieces), -1)
             new = np.arange(len(pieces))
