@@ -17,7 +17,7 @@ from lodeweave.operators.materialize import materialize
 #: Band of document frequency, as shares of all documents. A term has at least the lower share, so there are at most
 #: (mean distinct terms of a document) / LOW_SHARE of them: the bound of the broadcast lexicon.
 LOW_SHARE, HIGH_SHARE = 0.002, 0.1
-#: How many parts hold 1 / 2**level of the lexicon each.
+#: How many parts hold 1 / 2**level of the lexicon each; those of one level have no term in common.
 PARTS = {4: 2, 5: 4, 6: 8, 7: 8, 8: 16, 9: 16}
 #: Quantiles of the ids between which ranges are cut evenly.
 KNOTS = 128
@@ -29,22 +29,30 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE) -> DataFrame:
-    """``term`` (32-bit hash; terms of equal hash are one term) of every term in the band, counted over all rows with a text, and its
-    ``slots``: 0 for the whole lexicon and the numbers of the parts that it is in."""
+    """``term`` (32-bit hash; terms of equal hash are one term) of every term in the band, counted over all rows with a text."""
     solid = docs.where("text IS NOT NULL")
     total = solid.count()
     counts = solid.select(F.explode(terms(F.col("text"))).alias("t")).select(F.hash("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    slots, number = [F.lit(0)], 1
-    for level, parts in PARTS.items():
-        for part in range(parts):
-            slots.append(F.when(F.xxhash64("term", F.lit(1000 * level + part)).bitwiseAND((1 << level) - 1) == 0, number))
-            number += 1
-    kept = counts.where((F.col("n") >= low * total) & (F.col("n") <= high * total))
-    return materialize(kept.select("term", F.array_compact(F.array(*slots)).alias("slots")), "lexicon")
+    return materialize(counts.where((F.col("n") >= low * total) & (F.col("n") <= high * total)).select("term"), "lexicon")
 
 
-def part_hashes(codes: Column) -> Column:
-    """Slot and 32-bit hash, packed into one number, of each part that is not empty; ``codes`` are slot and term, packed and sorted."""
+def slot_codes(found: Column) -> Column:
+    """Slot and term, packed into one number, sorted: slot 0 holds each of the terms, and bits of a term's hash say which parts it is in."""
+    hashed = F.transform(found, lambda t: F.struct(t.cast("bigint").bitwiseAND((1 << 32) - 1).alias("t"), F.xxhash64(t).alias("h")))
+
+    def codes(s: Column) -> Column:
+        out, first, shift = [s["t"]], 1, 0
+        for level, parts in PARTS.items():
+            field = F.shiftrightunsigned(s["h"], shift).bitwiseAND((1 << level) - 1)
+            out.append(F.when(field < parts, F.shiftleft(field + first, 32).bitwiseOR(s["t"])))
+            first, shift = first + parts, shift + level
+        return F.array_compact(F.array(*out))
+
+    return F.array_sort(F.flatten(F.transform(hashed, codes)))
+
+
+def part_hashes(found: Column) -> Column:
+    """Slot and 32-bit hash of its sorted terms, packed into one number, of each part that is not empty, from a document's terms of the lexicon."""
     low = (1 << 32) - 1
     none = F.array().cast("array<bigint>")
     packed = lambda acc: F.shiftleft(acc["slot"], 32).bitwiseOR(acc["h"].bitwiseAND(low))
@@ -56,7 +64,7 @@ def part_hashes(codes: Column) -> Column:
         return F.when(acc["slot"] == slot, state(acc["done"], slot, F.xxhash64(acc["h"], code))).otherwise(state(grown, slot, F.xxhash64(code)))
 
     start = state(none, F.lit(-1).cast("bigint"), F.lit(0).cast("bigint"))
-    return F.when(F.size(codes) > 0, F.aggregate(codes, start, add, lambda acc: F.concat(acc["done"], F.array(packed(acc))))).otherwise(none)
+    return F.when(F.size(found) > 0, F.aggregate(slot_codes(found), start, add, lambda acc: F.concat(acc["done"], F.array(packed(acc))))).otherwise(none)
 
 
 def fingerprint(parts: Column, text_hash: Column) -> Column:
@@ -134,21 +142,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spread = sided.select("key", "s.edit", F.posexplode_outer(terms(F.col("s.text"))).alias("at", "t"))
     spread = spread.select("key", "edit", F.hash("t").alias("term"), F.coalesce(F.col("at") == 0, F.lit(True)).alias("head"))
     # one row for each side stays even if no term is in the lexicon
-    found = spread.join(F.broadcast(known), "term", "left").where("slots IS NOT NULL OR head")
-    codes = F.transform("slots", lambda slot: F.shiftleft(slot.cast("bigint"), 32).bitwiseOR(F.col("term").cast("bigint").bitwiseAND((1 << 32) - 1)))
-    found = found.select("key", "edit", codes.alias("codes"))
-    side = lambda edit: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("edit") == edit, F.col("codes"))))))
-    codes_of = found.groupBy("key").agg(side(False).alias("own"), side(True).alias("edited")).select("key.*", "own", "edited")
-    parts_of = codes_of.withColumns({"own": part_hashes(F.col("own")), "edited": part_hashes(F.col("edited"))})
-    prints = parts_of.select(
-        "doc_id", "tie", "n_chars", F.col("sha").alias("edited_sha256"),
-        F.struct(fingerprint(F.col("own"), F.col("plain")).alias("print"), F.col("own").alias("parts")).alias("mark"),
-        F.struct(fingerprint(F.col("edited"), F.col("edited_plain")).alias("print"), F.col("edited").alias("parts")).alias("edit"),
+    found = spread.join(F.broadcast(known.withColumn("known", F.lit(True))), "term", "left").where("known OR head")
+    own = F.collect_set(F.when(F.col("known") & ~F.col("edit"), F.col("term")))
+    edited = F.collect_set(F.when(F.col("known") & F.col("edit"), F.col("term")))
+    terms_of = found.groupBy("key").agg(own.alias("own"), edited.alias("edited")).select("key.*", "own", "edited")
+    parts_of = terms_of.select(
+        "doc_id", "tie", "n_chars", "sha", F.struct("plain", part_hashes(F.col("own")).alias("parts")).alias("mark"), F.struct(F.col("edited_plain").alias("plain"), part_hashes(F.col("edited")).alias("parts")).alias("edit"),
     )
-    result = with_next(materialize(prints, "fingerprints"), "mark")
+    result = with_next(materialize(parts_of, "fingerprints"), "mark")
+    shown = result.select("doc_id", "n_chars", "sha", *[F.struct(fingerprint(F.col(f"{c}.parts"), F.col(f"{c}.plain")).alias("print"), F.col(f"{c}.parts").alias("parts")).alias(c) for c in ("mark", "edit", "next")])
     near = lambda other: likeness(F.col("mark.print"), F.col("mark.parts"), F.col(f"{other}.print"), F.col(f"{other}.parts"))
-    return result.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("mark.print").alias("fingerprint"), F.col("edit.print").alias("edited_fingerprint"),
+    return shown.select(
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.col("mark.print").alias("fingerprint"), F.col("edit.print").alias("edited_fingerprint"),
         near("edit").alias("near_edited"), near("next").alias("near_next"),
     )
 

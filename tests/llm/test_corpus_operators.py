@@ -201,7 +201,9 @@ def test_fingerprints_are_those_of_sorted_terms_in_each_part(spark):
     split = lambda t: set(re.findall(r"[a-z0-9]+", t.lower()))
     counts = Counter(x for t in texts_of for x in split(t))
     plain = df.select(F.coalesce("text", F.lit("")).alias("text"))
-    slots = {r.term: r.slots for r in fingerprint.lexicon(plain).collect()}
+    coded = fingerprint.lexicon(plain).select("term", fingerprint.slot_codes(F.array("term")).alias("codes"))
+    slots = {r.term: [c >> 32 for c in r.codes] for r in coded.collect()}
+    assert all(c & 0xFFFFFFFF == r.term & 0xFFFFFFFF for r in coded.collect() for c in r.codes) and {x for s in slots.values() for x in s} > set(range(8))
     number = {r.t: r.term for r in spark.createDataFrame([(x,) for x in counts], "t string").select("t", F.hash("t").alias("term")).collect()}
     band = {x for x, n in counts.items() if fingerprint.LOW_SHARE * len(rows) <= n <= fingerprint.HIGH_SHARE * len(rows)}
     assert {number[x] for x in band} == set(slots) and all(s[0] == 0 for s in slots.values())
@@ -209,8 +211,8 @@ def test_fingerprints_are_those_of_sorted_terms_in_each_part(spark):
     def parts(t):
         own = defaultdict(list)
         for x in sorted(number[x] for x in split(t) & band):
-            for s in slots[x]:
-                own[s].append(x)
+            for slot in slots[x]:
+                own[slot].append(x)
         return dict(own)
 
     def like(a, b):
