@@ -151,7 +151,7 @@ def euler_walk(members: list, parents: list[int]) -> list:
     return walk
 
 
-def node_embedding(walks: DataFrame, size: int = 16, window: int = 5, min_count: int = 5, epochs: int = 1, rate: float = 0.025, seed: int = 42) -> DataFrame:
+def node_embedding(walks: DataFrame, size: int = 128, window: int = 5, min_count: int = 5, epochs: int = 5, rate: float = 0.025, seed: int = 42) -> DataFrame:
     """``node, vector`` by Spark's word2vec over walks (skip-gram with a hierarchical softmax)."""
     from pyspark.ml.feature import Word2Vec
 

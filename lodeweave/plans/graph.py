@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodeweave.operators import graphs as G
 from lodeweave.operators.clusters import evaluate_clusters
 from lodeweave.operators.components import connected_components
+from lodeweave.operators.materialize import materialize
+from lodeweave.plans import reuse as U
 from lodeweave.sources import fixtures as X
 from lodeweave.sources.fixtures import sql
 
@@ -89,9 +91,24 @@ def cluster_eval(spark, d):
     return scores.select("cluster", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+def cluster_eval_modes(spark, d):
+    """The same for clusters of reused deposit addresses (``dar``), of neighbours (``node``) and of both together; vector n is address ``p`` n."""
+    vectors = X.vectors(spark, d)
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    node = materialize(G.nearest(vectors, vectors, 4).where("query_id <> vec_id").select(name("query_id").alias("a"), name("vec_id").alias("b")), "node")
+    dar = materialize(U._pruned(spark, d).select(F.col("user_address").alias("a"), F.col("deposit").alias("b")), "dar")
+    known = vectors.select(name("vec_id").alias("member"), F.col("label").alias("cluster"))
+    out = None
+    for mode, edges in (("dar", dar), ("node", node), ("both", dar.unionByName(node))):
+        predicted = connected_components(edges, "a", "b").select(F.col("node").alias("member"), F.col("component").alias("cluster"))
+        scores = evaluate_clusters(predicted, known).select(F.lit(mode).alias("mode"), "cluster", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
 QUERIES = {f.__name__: f for f in (
     edge_weights, node_degrees, node_encode, encoded_edges, induced_subgraph, adjacency_lists, eulerian_check, component_sizes, knn_exact, neighbour_confidence,
-    diffusion_sequences, walk_vocabulary, node_embedding, embedding_pca, embedding_density, cluster_eval,
+    diffusion_sequences, walk_vocabulary, node_embedding, embedding_pca, embedding_density, cluster_eval, cluster_eval_modes,
 )}
 
 _IDS = "SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
@@ -104,7 +121,18 @@ def _nearest(step: int, k: int) -> str:
     return f"SELECT query_id, vec_id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id, {_DISTANCE} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE}, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % {step} = 0) WHERE k <= {k}"
 
 
+def _mode(mode: str) -> str:
+    hits = f"SELECT label AS cluster, component AS c, count(*) AS hit, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, component) AS k FROM by_{mode} JOIN embeddings ON 'p' || vec_id = node GROUP BY label, component"
+    return (
+        f"SELECT '{mode}' AS mode, r.cluster, round(coalesce(hit / size, 0), 6) AS precision, round(coalesce(hit, 0) / rl, 6) AS recall FROM (SELECT label AS cluster, count(*) AS rl FROM embeddings GROUP BY label HAVING count(*) > 1) r "
+        f"LEFT JOIN (SELECT * FROM ({hits}) WHERE k = 1) h ON h.cluster = r.cluster LEFT JOIN (SELECT component AS c, count(*) AS size FROM by_{mode} GROUP BY component) s ON s.c = h.c"
+    )
+
+
+_MODES = {"dar": "SELECT user_address AS a, deposit AS b FROM p2", "node": "SELECT 'p' || query_id AS a, 'p' || vec_id AS b FROM n WHERE query_id <> vec_id"}
+_MODES["both"] = " UNION ALL ".join(_MODES.values())
 ORACLE_SQL = {
+    "cluster_eval_modes": sql(" UNION ALL ".join(map(_mode, _MODES)), "transfers", "known", "miners", **U._VIEWS, n=_nearest(1, 4), **{k: v for mode, edges in _MODES.items() for k, v in U._reach(f"by_{mode}", edges).items()}),
     "edge_weights": sql(_WEIGHTS, "edges"),
     "node_degrees": sql(_DEGREES, "edges"),
     "node_encode": sql(_IDS, "edges"),

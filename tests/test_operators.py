@@ -111,6 +111,10 @@ def test_rounding_and_names(spark):
         spark.range(1).select(S.name_of(F.lit(40), S.ENTITIES)).collect()
 
 
+def test_ether_of_large_amounts(spark):
+    assert spark.range(1).select(S.ether(F.lit("1500000000000000000000").cast("decimal(38,0)"))).first()[0] == 1500.0
+
+
 def test_page_limits(spark):
     assert reports.page(spark.range(200), ["id"], number=-3, limit=500).count() == 50
 
@@ -141,6 +145,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.read_csv(spark, first, files.CALL_TABLE).count() == 1
     files.write_table(df, str(tmp_path / "j"), fmt="json")
     assert sorted(r.address for r in files.read_json(spark, str(tmp_path / "j"), files.CALL_TABLE).collect()) == ["0xa", "0xb", "0xc"]
+    spark.range(1).createOrReplaceTempView("listed_table")
+    assert "listed_table" in files.table_names(spark)
     (tmp_path / "p.txt").write_text("0xa|1\n0xb|2\n")
     assert [tuple(r) for r in files.read_piped(spark, str(tmp_path / "p.txt"), files.CALL_TABLE).orderBy("address").collect()] == [("0xa", "1"), ("0xb", "2")]
 
