@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language, line_dedup, suffix_dedup, token_files, url_filter
+from lodeweave.llm import bpe, chat_format, conversation_repair, decontaminate, fingerprint, html_text, jaccard_join, language, line_dedup, suffix_dedup, token_files, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_chat_format": chat_format.op12_chat_format,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
         "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op12_chat_format": chat_format.ORACLE_SQL,
     }
