@@ -160,50 +160,6 @@ def node_embedding(walks: DataFrame, size: int = 128, window: int = 5, min_count
     return model.getVectors().select(F.col("word").alias("node"), "vector")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
-
-
-def nearest(queries: DataFrame, base: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
-    """``query_id, vec_id, distance``: the ``k`` nearest of all of ``base`` for each query, by squared distance, then id.
-
-    ``base`` is cut into blocks; each block keeps its ``k`` best for each query, and these meet by query. Queries are a
-    stated set: they are collected in chunks of ``block_rows`` and sent to the blocks chunk by chunk.
-    """
-    spark = base.sparkSession
-    ids = [tuple(r) for r in queries.agg(F.min("vec_id"), F.max("vec_id"), F.count(F.lit(1))).collect()][0]
-    chunks = max(1, -(-ids[2] // block_rows))
-    found = None
-    for c in range(chunks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).select("vec_id", "embedding").toPandas()
-        shipped = spark.sparkContext.broadcast((own["vec_id"].to_numpy(np.int64), _matrix(own["embedding"])))
-
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            query_ids, q = shipped.value
-            for batch in batches:
-                if not len(batch) or not len(query_ids):
-                    continue
-                order = np.argsort(batch["vec_id"].to_numpy(), kind="stable")
-                vec_ids, x = batch["vec_id"].to_numpy(np.int64)[order], _matrix(batch["embedding"])[order]
-                rows = []
-                for at in range(0, len(q), 256):
-                    part = q[at : at + 256]
-                    rough = (part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1)[None, :]
-                    limit = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-                    limit += 1e-9 * ((part**2).sum(1) + (x**2).sum(1).max() + 1)  # more than rounding can hide
-                    for query, own, far, line in zip(query_ids[at : at + 256], part, limit, rough, strict=True):
-                        near = np.flatnonzero(line <= far)  # then exactly, equal distances by id
-                        exact = ((own - x[near]) ** 2).sum(1)
-                        best = np.lexsort((vec_ids[near], exact))[:k]
-                        rows.append(pd.DataFrame({"query_id": query, "vec_id": vec_ids[near[best]], "distance": exact[best]}))
-                yield pd.concat(rows)
-
-        part = base.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def neighbour_confidence(distance: Column) -> Column:
     return 1 / F.abs(10 * distance + 1)
 

@@ -6,9 +6,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lodeweave.operators import graphs as G
+from lodeweave.operators import vector_index as V
 from lodeweave.operators.clusters import evaluate_clusters
 from lodeweave.operators.components import connected_components
-from lodeweave.operators.materialize import materialize
+from lodeweave.operators.embedding import negative_sampling_embedding
+from lodeweave.operators.materialize import materialize, scratch_path
 from lodeweave.plans import reuse as U
 from lodeweave.sources import fixtures as X
 from lodeweave.sources.fixtures import sql
@@ -53,13 +55,32 @@ def component_sizes(spark, d):
 
 def knn_exact(spark, d):
     vectors = X.vectors(spark, d)
-    found = G.nearest(vectors.where("vec_id % 100 = 0"), vectors, 10)
+    found = V.nearest(vectors.where("vec_id % 100 = 0"), vectors, 10)
+    return found.select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
+
+
+def _index(spark, d) -> V.VectorIndex:
+    """An index of all vectors, written to the shared folder and read back."""
+    path = scratch_path(spark, "vectors")
+    V.build_index(X.vectors(spark, d), path)
+    return V.load_index(spark, path)
+
+
+def knn_index(spark, d):
+    """The neighbours that the nearest cells of an inverted-file index hold."""
+    found = V.search(_index(spark, d), X.vectors(spark, d).where("vec_id % 100 = 0"), 10, nprobe=24)
+    return found.select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
+
+
+def knn_index_exact(spark, d):
+    """The same index searched until no other cell can hold a nearer vector."""
+    found = V.search_exactly(_index(spark, d), X.vectors(spark, d).where("vec_id % 100 = 0"), 10)
     return found.select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
 
 
 def neighbour_confidence(spark, d):
     vectors = X.vectors(spark, d)
-    found = G.nearest(vectors.where("vec_id % 100 = 0"), vectors, 10).where("query_id <> vec_id")
+    found = V.nearest(vectors.where("vec_id % 100 = 0"), vectors, 10).where("query_id <> vec_id")
     return found.groupBy("query_id").agg(F.round(F.avg(G.neighbour_confidence(F.col("distance"))), 6).alias("conf"), F.count(F.lit(1)).alias("n"))
 
 
@@ -75,6 +96,11 @@ def node_embedding(spark, d):
     return G.node_embedding(diffusion_sequences(spark, d)).select("node", vector_to_array("vector").alias("vector"))
 
 
+def node_embedding_negative(spark, d):
+    """Vectors by continuous bag of words with negative samples, with the settings that walks of this kind are trained with."""
+    return negative_sampling_embedding(diffusion_sequences(spark, d))
+
+
 def embedding_pca(spark, d):
     return G.principal_components(X.vectors(spark, d))
 
@@ -85,7 +111,7 @@ def embedding_density(spark, d):
 
 def cluster_eval(spark, d):
     vectors = X.vectors(spark, d)
-    found = connected_components(G.nearest(vectors, vectors, 4).where("query_id <> vec_id"), "query_id", "vec_id")
+    found = connected_components(V.nearest(vectors, vectors, 4).where("query_id <> vec_id"), "query_id", "vec_id")
     predicted = found.select(F.col("node").alias("member"), F.col("component").alias("cluster"))
     scores = evaluate_clusters(predicted, vectors.select(F.col("vec_id").alias("member"), F.col("label").alias("cluster")))
     return scores.select("cluster", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
@@ -95,7 +121,7 @@ def cluster_eval_modes(spark, d):
     """The same for clusters of reused deposit addresses (``dar``), of neighbours (``node``) and of both together; vector n is address ``p`` n."""
     vectors = X.vectors(spark, d)
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
-    node = materialize(G.nearest(vectors, vectors, 4).where("query_id <> vec_id").select(name("query_id").alias("a"), name("vec_id").alias("b")), "node")
+    node = materialize(V.nearest(vectors, vectors, 4).where("query_id <> vec_id").select(name("query_id").alias("a"), name("vec_id").alias("b")), "node")
     dar = materialize(U._pruned(spark, d).select(F.col("user_address").alias("a"), F.col("deposit").alias("b")), "dar")
     known = vectors.select(name("vec_id").alias("member"), F.col("label").alias("cluster"))
     out = None
@@ -107,8 +133,8 @@ def cluster_eval_modes(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    edge_weights, node_degrees, node_encode, encoded_edges, induced_subgraph, adjacency_lists, eulerian_check, component_sizes, knn_exact, neighbour_confidence,
-    diffusion_sequences, walk_vocabulary, node_embedding, embedding_pca, embedding_density, cluster_eval, cluster_eval_modes,
+    edge_weights, node_degrees, node_encode, encoded_edges, induced_subgraph, adjacency_lists, eulerian_check, component_sizes, knn_exact, knn_index, knn_index_exact, neighbour_confidence,
+    diffusion_sequences, walk_vocabulary, node_embedding, node_embedding_negative, embedding_pca, embedding_density, cluster_eval, cluster_eval_modes,
 )}
 
 _IDS = "SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
@@ -146,6 +172,7 @@ ORACLE_SQL = {
     "component_sizes": sql("SELECT component, count(*) AS size FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) GROUP BY component", "external_txs",
                            p="SELECT from_address AS a, to_address AS b FROM external_txs GROUP BY ALL HAVING count(*) >= 4", e="SELECT a, b FROM p UNION SELECT b, a FROM p", reach="SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b"),
     "knn_exact": sql("SELECT query_id, vec_id, round(distance, 5) AS distance FROM n", n=_nearest(100, 10)),
+    "knn_index_exact": sql("SELECT query_id, vec_id, round(distance, 5) AS distance FROM n", n=_nearest(100, 10)),
     "neighbour_confidence": sql("SELECT query_id, round(avg(1 / abs(10 * distance + 1)), 6) AS conf, count(*) AS n FROM n WHERE query_id <> vec_id GROUP BY query_id", n=_nearest(100, 10)),
     "cluster_eval": sql(
         "SELECT r.cluster, round(coalesce(hit / size, 0), 6) AS precision, round(coalesce(hit, 0) / rl, 6) AS recall FROM (SELECT label AS cluster, count(*) AS rl FROM embeddings GROUP BY label HAVING count(*) > 1) r LEFT JOIN (SELECT * FROM h WHERE k = 1) h ON h.cluster = r.cluster LEFT JOIN (SELECT c, count(*) AS size FROM p GROUP BY c) s ON s.c = h.c",

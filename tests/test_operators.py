@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lodeweave.functions import scalars as S
-from lodeweave.operators import graphs, heuristics, joins, reports
+from lodeweave.operators import graphs, heuristics, joins, reports, vector_index
 from lodeweave.operators.components import connected_components
 from pyspark.sql import functions as F
 
@@ -192,7 +192,7 @@ def test_address_filter(spark):
 def test_nearest_takes_equal_distances_by_id(spark):
     rows = [(i, [0.0, 1.0]) for i in range(60, 0, -1)] + [(100, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = graphs.nearest(df.where("vec_id = 100"), df, 5).collect()
+    got = vector_index.nearest(df.where("vec_id = 100"), df, 5).collect()
     assert sorted(r.vec_id for r in got) == [1, 2, 3, 4, 100]
 
 
