@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeweave.functions.words import word_long
+
 WEI_PER_ETHER = 1e18
 
 #: Entities and heuristics by number (fixed values of the data model).
@@ -79,8 +81,8 @@ def word_address(call: Column, k: int) -> Column:
 
 
 def word_number(call: Column, k: int) -> Column:
-    """The k-th word as a number below 2**60."""
-    return F.conv(F.substring(word(call, k), 50, 15), 16, 10).cast("long")
+    """The k-th word as a long; one that is greater raises."""
+    return word_long(F.lower(word(call, k)))
 
 
 def word_at(call: Column, offset: Column) -> Column:
@@ -94,5 +96,5 @@ def as_address(word: Column) -> Column:
 
 
 def as_number(word: Column) -> Column:
-    """A word as a number below 2**60."""
-    return F.conv(F.substring(word, 50, 15), 16, 10).cast("long")
+    """A word as a long; one that is greater raises."""
+    return word_long(F.lower(word))

@@ -99,6 +99,27 @@ def linked_address_links(pairs: DataFrame, deposits: DataFrame, withdrawals: Dat
     return found.join(d, "a").join(w, ["b", "pool"]).where("d_ts < w_ts").select("withdraw_hash", "deposit_hash", F.col("a").alias("deposit_address"), F.col("b").alias("withdraw_address"))
 
 
+def linked_address_stars(pairs: DataFrame, deposits: DataFrame, withdrawals: DataFrame) -> DataFrame:
+    """Edges ``src, dst`` between transactions that have the components of ``linked_address_links``, and the same transactions, without its links.
+
+    In a pool, the first deposit of an address has a link to the last withdrawal of another just when they have any, so
+    these stand for their addresses. A further deposit hangs on its address's first one where some partner's last
+    withdrawal comes later, and a withdrawal on its address's last one where some partner's first deposit comes earlier.
+    That is an edge for each transaction and each pair of addresses and pool, however many links they have.
+    """
+    found = typed_pairs(unordered_pairs(pairs, "from_address", "to_address"), deposits.select(F.col("from_address").alias("address")), withdrawals.select(F.col("recipient_address").alias("address")))
+    d = deposits.select(F.col("from_address").alias("a"), "pool", F.col("block_timestamp").alias("ts"), F.col("hash").alias("transaction"))
+    w = withdrawals.select(F.col("recipient_address").alias("b"), "pool", F.col("block_timestamp").alias("ts"), F.col("hash").alias("transaction"))
+    first = d.groupBy("a", "pool").agg(F.min(F.struct("ts", "transaction")).alias("first"))
+    last = w.groupBy("b", "pool").agg(F.max(F.struct("ts", "transaction")).alias("last"))
+    stars = found.join(first, "a").join(last, ["b", "pool"]).where(F.col("first.ts") < F.col("last.ts"))
+    latest = stars.groupBy("a", "pool").agg(F.first("first.transaction").alias("hub"), F.max("last.ts").alias("until"))
+    earliest = stars.groupBy("b", "pool").agg(F.first("last.transaction").alias("hub"), F.min("first.ts").alias("since"))
+    edges = stars.select(F.col("first.transaction").alias("src"), F.col("last.transaction").alias("dst"))
+    edges = edges.unionByName(d.join(latest, ["a", "pool"]).where("ts < until").select(F.col("transaction").alias("src"), F.col("hub").alias("dst")))
+    return edges.unionByName(w.join(earliest, ["b", "pool"]).where("ts > since").select(F.col("transaction").alias("src"), F.col("hub").alias("dst")))
+
+
 def reward_claim_links(claims: DataFrame, deposits: DataFrame, withdrawals: DataFrame, rates: DataFrame, last_claim_only: bool = False) -> DataFrame:
     """Deposits and withdrawals of one pool that are as many blocks apart as a claim's points say: ``claim_hash, deposit_hash, withdraw_hash, pool``.
 

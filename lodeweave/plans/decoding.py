@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions import scalars as S
+from lodeweave.functions import words as W
 from lodeweave.operators import decoding as D
+from lodeweave.operators import heuristics as H
+from lodeweave.plans import pools as P
 from lodeweave.sources import fixtures as X
 from lodeweave.sources.fixtures import sql
 
@@ -41,17 +44,43 @@ def pool_calls(spark, d):
     return D.pool_calls(*_transactions(spark, d))
 
 
-def claim_calls(spark, d):
+CLAIM = "0x6a4b3d2c"
+
+
+def _claims(spark, d) -> DataFrame:
+    """Claims as calls, and the same words under another selector, which are none; a third of the recipients in capitals."""
     rows = X.claims(spark, d)
     words = [F.lit(0), F.lit(96), F.lit(7), F.col("points"), F.lit(5), F.lit(128), F.lit(9), F.lit(3), F.col("recipient"), F.lit(0)]
-    return D.claim_calls(rows.select("hash", _call("0x6a4b3d2c", *words).alias("input"))).select("hash", "points", "recipient")
+    calls = rows.select("hash", F.when(F.col("hash") % 3 == 0, F.upper(_call("", *words))).otherwise(_call("", *words)).alias("words"))
+    own = calls.select("hash", F.concat(F.lit(CLAIM), "words").alias("input"))
+    return own.unionByName(calls.select("hash", F.concat(F.lit("0x00000001"), "words").alias("input")))
+
+
+def claim_calls(spark, d):
+    return D.claim_calls(_claims(spark, d), [CLAIM]).select("hash", "points", "points_text", "recipient")
+
+
+def reward_claims_of_calls(spark, d):
+    """The links of reward claims that are read from calls."""
+    claims = D.claim_calls(_claims(spark, d), [CLAIM])
+    claims = claims.select("hash", "points", F.conv(F.substring("recipient", 3, 40), 16, 10).cast("long").alias("recipient"))
+    return H.reward_claim_links(claims, X.deposits(spark, d), X.withdrawals(spark, d), X.pools(spark))
+
+
+def exact_words(spark, d):
+    """A number of about 80 bits for each event: as decimal text, its seventh with the remainder, and its double."""
+    rows = X.events(spark, d).select("event_id", F.lpad(F.concat(F.lower(F.hex(F.col("event_id") + 1)), F.lpad(F.lower(F.hex("user_id")), 16, "0")), 64, "0").alias("word"))
+    part = W.word_divide(F.col("word"), F.lit(7))
+    return rows.select("event_id", W.word_decimal(F.col("word")).alias("number"), W.word_decimal(part["quotient"]).alias("seventh"), part["remainder"].alias("remainder"), W.word_decimal(W.word_add(F.col("word"), F.col("word"))).alias("doubled"))
 
 
-QUERIES = {f.__name__: f for f in (pool_calls, claim_calls)}
+QUERIES = {f.__name__: f for f in (pool_calls, claim_calls, reward_claims_of_calls, exact_words)}
 _HEX = "'0x' || lpad(lower(to_hex({})), 40, '0')"
 ORACLE_SQL = {
     "pool_calls": sql(
         f"SELECT event_id AS hash, CASE k % 3 WHEN 0 THEN {_HEX.format('1000 + k % 19')} WHEN 1 THEN '{S.PROXIES[0]}' ELSE '{S.PROXIES[1]}' END AS to_address, CASE event_type WHEN 'purchase' THEN 'deposit' ELSE 'withdraw' END AS kind, "
         f"{_HEX.format('1000 + k % 19')} AS pool_address, CASE event_type WHEN 'signup' THEN {_HEX.format('user_id')} END AS recipient_address FROM ev WHERE event_type IN ('purchase', 'signup')", "ev"),
-    "claim_calls": sql(f"SELECT hash, points, {_HEX.format('recipient')} AS recipient FROM claims", "claims"),
+    "claim_calls": sql(f"SELECT hash, points, points::VARCHAR AS points_text, {_HEX.format('recipient')} AS recipient FROM claims", "claims"),
+    "exact_words": "SELECT event_id, n::VARCHAR AS number, (n // 7)::VARCHAR AS seventh, (n % 7)::BIGINT AS remainder, (2 * n)::VARCHAR AS doubled FROM (SELECT event_id, (event_id + 1)::HUGEINT * 18446744073709551616 + user_id AS n FROM events)",
+    "reward_claims_of_calls": P.ORACLE_SQL["reward_claim_links"],
 }

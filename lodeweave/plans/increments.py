@@ -12,10 +12,11 @@ from lodeweave.streaming import reuse as S
 
 
 def stream_dar_equals_batch(spark, d):
-    """The stream's matches over transfers that arrive in six loads; the oracle is the batch form."""
+    """The stream's matches over transfers that arrive in six loads, the fourth one place too late; the oracle is the batch form."""
     transfers, known = X.transfers(spark, d), X.known(spark, d)
-    path, span = S.in_order_of_arrival(transfers, 6)
-    return S.stream_matches(spark, path, transfers.schema, H.split_known(known)[0], known, X.miners(spark, d), U.T_MAX, U.A_MAX, span)
+    path, span, last = S.in_order_of_arrival(transfers, 6, late=3)
+    S.close_loads(spark, path, transfers.schema, last + 3 * span + U.T_MAX)
+    return S.stream_matches(spark, path, transfers.schema, H.split_known(known)[0], known, X.miners(spark, d), U.T_MAX, U.A_MAX, 2 * span)
 
 
 def above_high_water_mark(spark, d):

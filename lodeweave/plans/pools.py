@@ -81,6 +81,10 @@ def linked_address_links(spark, d):
     return H.linked_address_links(external_pairs(spark, d), *_links(spark, d))
 
 
+def linked_address_stars(spark, d) -> DataFrame:
+    return H.linked_address_stars(external_pairs(spark, d), *_links(spark, d))
+
+
 def external_between(spark, d):
     deposits, withdrawals = _links(spark, d)
     found = J.either_direction(X.external_txs(spark, d), deposits.select(F.col("from_address").alias("address")), withdrawals.select(F.col("recipient_address").alias("address")))
@@ -88,11 +92,11 @@ def external_between(spark, d):
 
 
 def reward_claim_links(spark, d):
-    return H.reward_claim_links(X.claims(spark, d), *_links(spark, d), X.pools(spark).where("pool < 15"))
+    return H.reward_claim_links(X.claims(spark, d), *_links(spark, d), X.pools(spark))
 
 
 def reward_claim_last(spark, d):
-    return H.reward_claim_links(X.claims(spark, d), *_links(spark, d), X.pools(spark).where("pool < 15"), last_claim_only=True)
+    return H.reward_claim_links(X.claims(spark, d), *_links(spark, d), X.pools(spark), last_claim_only=True)
 
 
 def heuristic_output(spark, d):
@@ -127,7 +131,7 @@ _LINKED = "SELECT w.hash AS withdraw_hash, d.hash AS deposit_hash, t.a AS deposi
 #: Points over the rate are the blocks between deposit and withdrawal; either the depositor or the recipient is the claimant.
 _REWARD = " UNION ALL ".join(
     f"SELECT '{side}' AS side, c.recipient, c.hash AS claim_hash, d.hash AS deposit_hash, w.hash AS withdraw_hash, d.pool FROM claims c JOIN deposits d ON {d} JOIN withdrawals w ON {w} "
-    "JOIN pools p ON p.pool = d.pool AND p.pool < 15 AND d.block_number + c.points / p.rate = w.block_number"
+    "JOIN pools p ON p.pool = d.pool AND p.rate IS NOT NULL AND d.block_number + c.points / p.rate = w.block_number"
     for side, d, w in (("D", "d.from_address = c.recipient", "w.pool = d.pool"), ("W", "true", "w.recipient_address = c.recipient AND w.pool = d.pool"))
 )
 

@@ -21,8 +21,11 @@ START, END = "2024-01-05 00:00:00", "2024-02-03 00:00:00"
 def _reveals(spark, d) -> DataFrame:
     """``heuristic, transaction`` of all five heuristics: address matches (1), unique gas prices (2), equal portfolios (3), linked addresses (4)
     and reward claims (5); written once, as the reports read it several times."""
-    pairs = [(1, P.exact_match_links(spark, d)), (2, P.unique_gas_global(spark, d)), (4, P.linked_address_links(spark, d)), (5, P.reward_claim_links(spark, d))]
     out = P.multi_denom_clusters(spark, d).select(F.lit(3).alias("heuristic"), "transaction")
+    out = out.unionByName(P.exact_match_clusters(spark, d).select(F.lit(1).alias("heuristic"), "transaction"))
+    stars = P.linked_address_stars(spark, d).select(F.explode(F.array("src", "dst")).alias("transaction")).distinct()
+    out = out.unionByName(stars.select(F.lit(4).alias("heuristic"), "transaction"))
+    pairs = [(2, P.unique_gas_global(spark, d)), (5, P.reward_claim_links(spark, d))]
     for h, links in pairs:
         out = out.unionByName(links.select(F.explode(F.array("withdraw_hash", "deposit_hash")).alias("transaction")).distinct().select(F.lit(h).alias("heuristic"), "transaction"))
     return materialize(out, "reveals")
@@ -116,7 +119,7 @@ def heuristic_metadata(spark, d):
 
 def components_links(spark, d):
     """Transactions that linked addresses join, by the smallest of them."""
-    return connected_components(P.linked_address_links(spark, d), "withdraw_hash", "deposit_hash")
+    return connected_components(P.linked_address_stars(spark, d))
 
 
 def address_scores(spark, d):

@@ -15,6 +15,8 @@ RATES = {
     "0.1 ETH": 4, "1 ETH": 20, "10 ETH": 50, "100 ETH": 400, "100 DAI": 2, "1000 DAI": 10, "10000 DAI": 40, "100000 DAI": 250,
     "5000 cDAI": 2, "50000 cDAI": 10, "500000 cDAI": 40, "5000000 cDAI": 250, "0.1 WBTC": 15, "1 WBTC": 120, "10 WBTC": 1000,
 }
+#: The numbers of the pools that have a rate.
+RATED = [i for i, label in enumerate(POOLS) if label in RATES]
 EPOCH = "2024-01-01 00:00:00"
 
 
@@ -64,10 +66,11 @@ def external_txs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reward claims: points are delta_blocks times the rate of the pool k % 15."""
+    """Reward claims: points are delta_blocks times the rate of one of the rated pools, by k."""
     found = events(spark, sf_dir).where("event_type = 'error'")
-    rates = F.array(*[F.lit(RATES[POOLS[i]] if POOLS[i] in RATES else 1) for i in range(15)])
-    return found.select(F.col("event_id").alias("hash"), F.col("user_id").alias("recipient"), (F.col("k") % 15).alias("pool"), (F.col("k") * F.get(rates, F.col("k") % 15)).cast("long").alias("points"))
+    at = F.col("k") % len(RATED)
+    pool, rate = (F.get(F.array(*map(F.lit, values)), at) for values in (RATED, [RATES[POOLS[i]] for i in RATED]))
+    return found.select(F.col("event_id").alias("hash"), F.col("user_id").alias("recipient"), pool.alias("pool"), (F.col("k") * rate).cast("long").alias("points"))
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,14 +107,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-_RATE_LIST = ", ".join(str(RATES.get(POOLS[i], 1)) for i in range(15))
 VIEWS = {
     "ev": "SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events",
     "deposits": f"SELECT event_id AS hash, user_id AS from_address, value AS gas_price, ts AS block_timestamp, (k % 19)::INT AS pool, date_diff('microsecond', TIMESTAMP '{EPOCH}', ts) // 3600000000 AS block_number FROM ev WHERE event_type = 'purchase'",
     "withdrawals": f"SELECT event_id AS hash, user_id AS from_address, value AS gas_price, ts AS block_timestamp, (k % 19)::INT AS pool, date_diff('microsecond', TIMESTAMP '{EPOCH}', ts) // 3600000000 AS block_number, CASE WHEN k % 2 = 0 THEN user_id ELSE (user_id * 7 + 3) % (SELECT max(user_id) + 1 FROM events) END AS recipient_address FROM ev WHERE event_type = 'signup'",
     "pools": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}', {RATES.get(x, 'NULL')})" for i, x in enumerate(POOLS)) + ") AS t(pool, label, rate)",
     "external_txs": "SELECT event_id AS hash, user_id AS from_address, k::BIGINT AS to_address, ts FROM ev WHERE user_id <> k",
-    "claims": f"SELECT event_id AS hash, user_id AS recipient, (k % 15)::INT AS pool, (k * ([{_RATE_LIST}])[k % 15 + 1])::BIGINT AS points FROM ev WHERE event_type = 'error'",
+    "claims": f"SELECT event_id AS hash, user_id AS recipient, ({RATED})[k % {len(RATED)} + 1]::INT AS pool, (k * ({[RATES[POOLS[i]] for i in RATED]})[k % {len(RATED)} + 1])::BIGINT AS points FROM ev WHERE event_type = 'error'",
     "transfers": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction, CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS from_address, CASE WHEN l_returnflag = 'R' THEN 'x' || (l_suppkey % 25) ELSE 's' || l_suppkey END AS to_address, l_quantity + l_discount / 10 AS value, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) AS block FROM lineitem",
     "known": "SELECT 'x' || n_nationkey AS address, n_name AS name, 'eoa' AS account_type, 'exchange' AS entity FROM nation UNION ALL SELECT 'p' || p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN 'eoa' END, CASE WHEN p_partkey % 3 > 0 THEN 'dex' END FROM part WHERE p_size = 1",
     "miners": "SELECT DISTINCT 'p' || p_partkey AS address FROM part WHERE p_brand = 'Brand#11'",

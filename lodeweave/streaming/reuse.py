@@ -2,63 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from lodeweave.functions.scalars import round_half_even
-from lodeweave.operators.joins import first_per_key
 from lodeweave.operators.materialize import scratch_path
 
 
+DAY_MS = 86_400_000
+#: Blocks are put on a time axis a day each, from this day on, so that none is before the first watermark.
+DAY_0 = 100_000
+MATCH = "user_address string, deposit string, exchange string, forward_tx string, receipt_tx string, t_diff bigint"
+
+
 def above_mark(df: DataFrame, loaded: DataFrame, column: str) -> DataFrame:
     """Rows above the highest value loaded so far; all of them when nothing is loaded."""
     mark = loaded.agg(F.max(column)).first()[0]
     return df if mark is None else df.where(F.col(column) > mark)
 
 
-def stream_candidates(transfers: DataFrame, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, delay: str = "0 seconds") -> DataFrame:
-    """Forward and receipt pairs of a stream of transfers, as a stream-stream join; the address tables are static.
-
-    Both sides carry a watermark on event time (one day for each block), and the range condition bounds the state: a
-    receipt is kept until no forward within ``t_max`` can come.
-    """
-    at = F.timestamp_seconds(F.col("block") * 86_400)
-    tx = transfers.join(miners.select(F.col("address").alias("from_address")), "from_address", "left_anti").withColumns({"round_value": round_half_even(F.col("value"), 1), "at": at})
-    own = tx.join(known.select(F.col("address").alias("from_address")), "from_address", "left_anti")
-    forwards = own.join(exchanges.select(F.col("address").alias("to_address")), "to_address", "left_semi").select(F.col("from_address").alias("deposit"), "round_value", F.col("to_address").alias("exchange"), F.col("value").alias("f_value"), F.col("block").alias("f_block"), F.col("transaction").alias("forward_tx"), F.col("at").alias("f_at")).withWatermark("f_at", delay)
-    receipts = own.select(F.col("to_address").alias("r_deposit"), F.col("round_value").alias("r_round"), F.col("from_address").alias("user_address"), F.col("value").alias("r_value"), F.col("block").alias("r_block"), F.col("transaction").alias("receipt_tx"), F.col("at").alias("r_at")).withWatermark("r_at", delay)
-    span = F.expr(f"INTERVAL {t_max} DAYS")
-    condition = (F.col("deposit") == F.col("r_deposit")) & (F.col("round_value") == F.col("r_round")) & (F.col("r_at") <= F.col("f_at")) & (F.col("r_at") >= F.col("f_at") - span)
-    return forwards.join(receipts, condition)
-
-
-def in_order_of_arrival(transfers: DataFrame, pieces: int) -> tuple[str, int]:
-    """Write ``transfers`` to a folder as ``pieces`` loads in order of block; the folder, and the blocks that one load spans."""
+def in_order_of_arrival(transfers: DataFrame, pieces: int, late: int | None = None) -> tuple[str, int, int]:
+    """Write ``transfers`` to a folder as ``pieces`` loads in order of block, the one numbered ``late`` one place too late; the folder,
+    the blocks that one load spans and the last block."""
     path = scratch_path(transfers.sparkSession, "loads")
     low, high = transfers.agg(F.min("block"), F.max("block")).first()
     span = max(1, -(-((high or 0) - (low or 0) + 1) // pieces))
-    for k in range(pieces):
+    order = list(range(pieces))
+    if late is not None and late + 1 < pieces:
+        order[late], order[late + 1] = late + 1, late
+    for k in order:
         own = transfers.where(F.col("block").between((low or 0) + k * span, (low or 0) + (k + 1) * span - 1))
-        own.write.mode("append").parquet(path)
-    return path, span
+        own.coalesce(1).write.mode("append").parquet(path)  # one file is one micro-batch
+    return path, span, high or 0
+
+
+class LastReceipt(StatefulProcessor):
+    """The state of one (deposit, rounded value): the last receipt, and rows that the watermark has not passed yet.
+
+    Rows are taken in order of block, receipts first, then by transaction, once no earlier row can come any more; a forward
+    then gives its match, which is final. A timer for the next row that waits, or for the end of the last receipt's span,
+    keeps the state as small as what can still match.
+    """
+
+    STATE = "waiting array<struct<block bigint, side int, tx string, other string, value double>>, last struct<block bigint, tx string, other string, value double>"
+
+    def __init__(self, t_max: int, a_max: float) -> None:
+        self.t_max, self.a_max = t_max, a_max
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.STATE.replace(" bigint", ": bigint").replace(" int,", ": int,").replace(" string", ": string").replace(" double", ": double"))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        found = self.state.get()
+        waiting, last = ([tuple(x) for x in found[0]], found[1] and tuple(found[1])) if found else ([], None)
+        fresh = [(r.block, r.side, r.tx, r.other, r.value) for r in rows]
+        yield from self._take(key, waiting + fresh, last, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        found = self.state.get()
+        if found:
+            yield from self._take(key, [tuple(x) for x in found[0]], found[1] and tuple(found[1]), timerValues)
+
+    def _take(self, key, waiting, last, timers):
+        passed = timers.getCurrentWatermarkInMs() // DAY_MS - DAY_0
+        due = sorted(x for x in waiting if x[0] <= passed)
+        for block, side, tx, other, value in due:
+            if side == 0:
+                last = (block, tx, other, value)
+            elif last and block - last[0] <= self.t_max and 0 <= round((last[3] - value) * 1000) / 1000 <= self.a_max:
+                yield Row(user_address=last[2], deposit=key[0], exchange=other, forward_tx=tx, receipt_tx=last[1], t_diff=block - last[0])
+        waiting = [x for x in waiting if x[0] > passed]
+        if last and last[0] + self.t_max < passed:
+            last = None
+        if waiting or last:
+            self.state.update((waiting, last))
+            self.handle.registerTimer((min(x[0] for x in waiting) if waiting else last[0] + self.t_max + 1) * DAY_MS + DAY_0 * DAY_MS)
+        else:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _sides(transfers: DataFrame, exchanges: DataFrame, known: DataFrame, miners: DataFrame, delay: str) -> DataFrame:
+    """``deposit, round_value, block, side, tx, other, value, at`` of a stream of transfers: each as a receipt of its target (side 0) and, if it goes to an exchange, as a forward of its sender (side 1)."""
+    tx = transfers.withColumn("at", F.timestamp_seconds((F.col("block") + DAY_0) * 86_400)).withWatermark("at", delay)
+    listed = miners.select("address").unionByName(known.select("address")).distinct()
+    own = tx.join(listed.withColumnRenamed("address", "from_address"), "from_address", "left_anti")
+    own = own.join(exchanges.select(F.col("address").alias("to_address"), F.lit(True).alias("exchange")).distinct(), "to_address", "left")
+    side = lambda n, deposit, other: F.struct(F.col(deposit).alias("deposit"), F.lit(n).alias("side"), F.col(other).alias("other"))
+    sides = F.array_compact(F.array(side(0, "to_address", "from_address"), F.when(F.col("exchange"), side(1, "from_address", "to_address"))))
+    rows = own.select(F.explode(sides).alias("s"), round_half_even(F.col("value"), 1).alias("round_value"), "block", F.col("transaction").alias("tx"), "value", "at")
+    return rows.select("s.deposit", "round_value", "block", "s.side", "tx", "s.other", "value", "at").where("deposit IS NOT NULL AND round_value IS NOT NULL")
 
 
 def stream_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int) -> DataFrame:
     """Run the stream over all files of ``source``, one in a micro-batch, and return its matches, those of the batch operator.
 
-    ``lateness`` is by how many blocks a file may come late; what the join remembers covers that and ``t_max``. Candidates
-    go to a table, by micro-batch; the last receipt of each forward is picked from them afterwards, and the amount is
-    judged after that, as in the batch form.
+    ``lateness`` is by how many blocks a file may come late; rows wait in the state until the watermark is so far behind, and
+    each micro-batch puts out matches that no later row can change. What is not closed by then (``close_loads``) waits for
+    the next run, as the state is kept beside the output.
     """
-    out, state = scratch_path(spark, "candidates"), scratch_path(spark, "state")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    candidates = stream_candidates(rows, exchanges, known, miners, t_max, f"{lateness} days")
-    query = candidates.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    out, state = scratch_path(spark, "matches"), scratch_path(spark, "state")
+    run_matches(spark, source, schema, exchanges, known, miners, t_max, a_max, lateness, out, state)
+    return spark.read.schema(MATCH).parquet(out)
+
+
+def run_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int, out: str, state: str) -> None:
+    """The stream of ``stream_matches`` over the files that have come since the last run with this ``state``; matches are added to ``out``."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
+    sides = _sides(rows, exchanges, known, miners, f"{lateness} days")
+    found = sides.groupBy("deposit", "round_value").transformWithState(LastReceipt(t_max, a_max), MATCH, "append", "eventTime")
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.schema(candidates.schema).parquet(out)
-    last = first_per_key(found, ["forward_tx", "exchange", "deposit", "f_block", "f_value"], F.col("r_block").desc(), F.col("receipt_tx").desc())
-    a_diff = round_half_even(F.col("r_value") - F.col("f_value"), 3)
-    return last.where((a_diff >= 0) & (a_diff <= a_max)).select("user_address", "deposit", "exchange", "forward_tx", "receipt_tx", (F.col("f_block") - F.col("r_block")).alias("t_diff"))
+
+
+def close_loads(spark: SparkSession, source: str, schema, block: int) -> None:
+    """Say that nothing before ``block`` will come any more: a load with one row of that block between empty addresses, which matches nothing.
+
+    Its columns are not null, as Spark would filter null ones before it reads the time.
+    """
+    values = [F.lit(block if f.name == "block" else "" if f.dataType.typeName() == "string" else 0).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1, numPartitions=1).select(*values).write.mode("append").parquet(source)
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, length: str = "1 day", delay: str = "1 hour") -> DataFrame:
