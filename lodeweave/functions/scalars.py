@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions.words import word_long
@@ -53,6 +53,12 @@ def number_of(name: Column, names: list[str]) -> Column:
     return F.when(name.isNull(), None).when(at == 0, F.raise_error(F.concat(F.lit("no such name: "), name))).otherwise(at - 1)
 
 
+def with_pool_flag(rows: DataFrame, pools: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``is_pool``: whether ``column`` is the address of one of the ``pools``; null is none."""
+    own = pools.select(F.col("address").alias(column), F.lit(True).alias("is_pool")).distinct()
+    return rows.join(own, column, "left").select(*[rows[c] if c != column else F.col(c) for c in rows.columns], F.coalesce("is_pool", F.lit(False)).alias("is_pool"))
+
+
 def safe_cast(x: Column, kind: str, default) -> Column:
     return F.coalesce(x.try_cast(kind), F.lit(default).cast(kind))
 

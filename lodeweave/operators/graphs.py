@@ -52,6 +52,20 @@ def encode_nodes(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     return numbered.join(before, "part").select("node", (F.col("before") + own).alias("id"))
 
 
+def decode_nodes(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with the ids in ``columns`` replaced by their nodes (``ids``: ``node, id``); unknown ids raise."""
+    for c in columns:
+        named = rows.join(ids.select(F.col("id").alias(c), F.col("node").alias("__node")), c, "left")
+        unknown = F.raise_error(F.concat(F.lit("no such node id: "), F.col(c).cast("string")))
+        rows = named.select(*[F.when(F.col(c).isNull(), None).otherwise(F.coalesce("__node", unknown)).alias(c) if x == c else F.col(x) for x in rows.columns])
+    return rows
+
+
+def components_by_size(components: DataFrame) -> DataFrame:
+    """``component, size``, the largest first, equal ones by name; from ``node, component``."""
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
+
+
 def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between the given nodes."""
     own = nodes.select("node").distinct()

@@ -86,6 +86,22 @@ def multi_denomination_clusters(deposits: DataFrame, withdrawals: DataFrame, eve
     return found.groupBy("transaction").agg(F.max("cluster").alias("cluster"))
 
 
+def privacy_scores(deposits: DataFrame, withdrawals: DataFrame) -> DataFrame:
+    """``withdraw_hash, matched, privacy_score``: for each withdrawal with a matching portfolio, how many deposits match it, and 1 - 1 / that number.
+
+    Portfolios are counted by content, so no pairs are listed.
+    """
+    counts = deposits.groupBy(F.to_json("portfolio").alias("key")).agg(F.count(F.lit(1)).alias("matched"))
+    w = withdrawals.select(F.col("hash").alias("withdraw_hash"), F.to_json("portfolio").alias("key"))
+    return w.join(counts, "key").select("withdraw_hash", "matched", (1 - 1 / F.col("matched")).alias("privacy_score"))
+
+
+def address_matches(links: DataFrame, transactions: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs of different addresses ``x, y`` whose transactions (``transaction, address``) are linked."""
+    one, two = (transactions.select(F.col("transaction").alias(t), F.col("address").alias(n)) for t, n in ((a, "p"), (b, "q")))
+    return unordered_pairs(links.select(a, b).join(one, a).join(two, b), "p", "q")
+
+
 def external_pairs(txs: DataFrame, least: int = 3) -> DataFrame:
     """Directed pairs of addresses with at least so many transactions outside the pools."""
     return txs.groupBy("from_address", "to_address").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

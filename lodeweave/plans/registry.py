@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.plans import decoding, graph, increments, pools, reuse, serving
+from lodeweave.plans import decoding, graph, increments, pools, profiles, reuse, serving
 
-MODULES = [pools, reuse, graph, serving, increments, decoding]
+MODULES = [pools, reuse, graph, serving, increments, decoding, profiles]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
