@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.operators.components import connected_components
-from lodeweave.operators.materialize import materialize
+from lodeweave.operators.materialize import discard, materialize
 
 
 def edge_weights(edges: DataFrame) -> DataFrame:
@@ -120,7 +121,8 @@ def diffusion_walks(edges: DataFrame, cover: int = 30, seed: int = 42, most_roun
     most = component.join(size, "component").select("node", F.least("size", F.lit(cover)).alias("most"))
     degree = near.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     trees = degree.join(most, "node").select(F.col("node").alias("root"), "most", F.array("node").alias("members"), F.array("degree").alias("degrees"), F.array(F.lit(-1)).alias("parents"))
-    growing, done = materialize(trees, "trees"), None
+    growing = last = materialize(trees, "trees")
+    done = None
     drawn = near.select(F.col("node").alias("from"), F.col("k").alias("draw"), F.col("neighbour").alias("new"), F.col("degree").alias("new_degree"))
     for k in range(most_rounds or 4 * cover):
         at = F.pmod(F.xxhash64(F.lit(seed), "root", F.lit(k)), F.size("members")).cast("int")
@@ -130,10 +132,12 @@ def diffusion_walks(edges: DataFrame, cover: int = 30, seed: int = 42, most_roun
         add = lambda column, value: F.when(fresh, F.array_append(column, value)).otherwise(F.col(column)).alias(column)
         growing = growing.join(drawn, ["from", "draw"]).select("root", "most", add("members", F.col("new")), add("degrees", F.col("new_degree")), add("parents", F.col("at")))
         if k % 6 == 5:
-            growing = materialize(growing, "trees")
-            finished = growing.where(F.size("members") >= F.col("most"))
+            drawn_trees = materialize(growing, "trees")
+            discard(last)
+            finished = materialize(drawn_trees.where(F.size("members") >= F.col("most")), "finished")
             done = finished if done is None else done.unionByName(finished)
-            growing = growing.where(F.size("members") < F.col("most"))
+            growing = last = materialize(drawn_trees.where(F.size("members") < F.col("most")), "trees")
+            discard(drawn_trees)
             if growing.isEmpty():
                 break
     trees = growing if done is None else done.unionByName(growing)
@@ -189,12 +193,12 @@ def principal_components(vectors: DataFrame, k: int = 3) -> DataFrame:
     return out.select("vec_id", *[F.get("p", F.lit(i)).alias(f"c{i + 1}") for i in range(k)])
 
 
-def density(points: DataFrame, columns: list[str], block_rows: int = 1 << 18) -> DataFrame:
+def density(points: DataFrame, columns: list[str], block_rows: int = 1 << 15) -> DataFrame:
     """``vec_id, density``: Gaussian kernel density (Scott's factor times the full covariance) at each point, over all points.
 
-    Points are collected in chunks of about ``block_rows`` and sent to all rows chunk by chunk; a row's sums meet by its number.
+    Points are dealt into blocks of about ``block_rows``; each pair of blocks meets in a task, and a point's sums meet by its number. The
+    time is the square of the points, as the sum is exact.
     """
-    spark = points.sparkSession
     own = materialize(points.select("vec_id", *columns).withColumn("row", F.monotonically_increasing_id()), "points")
     pairs = [(a, b) for a in columns for b in columns]
     n, *covariance = own.agg(F.count(F.lit(1)), *[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()
@@ -202,25 +206,22 @@ def density(points: DataFrame, columns: list[str], block_rows: int = 1 << 18) ->
     variance, axes = np.linalg.eigh(covariance)
     scale = np.sqrt(np.maximum(variance, 1e-24))
     norm = max(n, 1) * np.prod(scale) * (2 * np.pi) ** (len(columns) / 2)
-    chunks = max(1, -(-n // block_rows))
-    found = None
-    for c in range(chunks):
-        centres = own.where(F.pmod(F.xxhash64("row"), F.lit(chunks)) == c).select(*columns).toPandas().to_numpy(np.float64)
-        shipped = spark.sparkContext.broadcast(np.ascontiguousarray((centres @ axes / scale).T))
-
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            centre = shipped.value
-            for batch in batches:
-                x = batch[columns].to_numpy(np.float64) @ axes / scale
-                out = np.zeros(len(x))
-                for a in range(0, len(x), 256):
-                    for b in range(0, centre.shape[1], 4096):
-                        apart = sum((x[a : a + 256, i, None] - centre[i, b : b + 4096]) ** 2 for i in range(len(columns)))
-                        out[a : a + 256] += np.exp(-0.5 * apart).sum(1)
-                yield pd.DataFrame({"row": batch["row"], "vec_id": batch["vec_id"], "density": out / norm})
-
-        part = own.mapInPandas(run, "row long, vec_id long, density double")
-        found = part if found is None else found.unionByName(part)
+    blocks = max(1, -(-n // block_rows))
+    block, every = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, centre = (np.column_stack([t[c].to_numpy() for c in names]).reshape(t.num_rows, -1) @ axes / scale for t, names in ((left, columns), (right, centres)))
+        out = np.zeros(len(x))
+        for a in range(0, len(x), 256):
+            for b in range(0, len(centre), 4096):
+                apart = sum((x[a : a + 256, i, None] - centre[None, b : b + 4096, i]) ** 2 for i in range(len(columns)))
+                out[a : a + 256] += np.exp(-0.5 * apart).sum(1)
+        return pa.table([left["row"], left["vec_id"].cast(pa.int64()), pa.array(out / norm)], names=["row", "vec_id", "density"])
+
+    centres = [f"centre_{i}" for i in range(len(columns))]
+    left = own.select("row", "vec_id", *columns, block.alias("own_block"), every.alias("other_block"))
+    right = own.select(*[F.col(c).alias(n) for c, n in zip(columns, centres, strict=True)], block.alias("centre_block"), every.alias("point_block"))
+    found = left.groupBy("own_block", "other_block").cogroup(right.groupBy("point_block", "centre_block")).applyInArrow(run, "row long, vec_id long, density double")
     return found.groupBy("row").agg(F.first("vec_id").alias("vec_id"), F.sum("density").alias("density")).drop("row")
 
 

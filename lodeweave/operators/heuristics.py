@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions.scalars import clip, micros, round_half_even
-from lodeweave.operators.joins import as_of_join, before_join, portfolio_size, typed_pairs, unique_rows, unordered_pairs, window_counts
+from lodeweave.operators.joins import as_of_last, as_of_sequence, before_join, portfolio_size, typed_pairs, unique_rows, unordered_pairs, window_counts
 
 
 def exact_match_links(deposits: DataFrame, withdrawals: DataFrame, by_pool: bool = True) -> DataFrame:
@@ -176,26 +176,39 @@ def cluster_pairs(clusters: DataFrame, cluster: str, member: str) -> DataFrame:
 # reuse of deposit addresses
 
 
-def reuse_matches(transfers: DataFrame, exchanges: DataFrame, blacklist: DataFrame, miners: DataFrame, a_max: float = 0.01, t_max: int = 3200) -> DataFrame:
-    """Forwards of deposit addresses to exchanges with the receipt they pass on.
+REUSE_KEYS = ["deposit", "round_value"]
 
-    Columns ``user_address, deposit, exchange, forward_tx, receipt_tx, receipt_block, t_diff, a_diff``. Only the last receipt
-    before a forward counts, and its amount is judged after it has been picked.
-    """
+
+def reuse_sequence(transfers: DataFrame, exchanges: DataFrame, blacklist: DataFrame, miners: DataFrame) -> DataFrame:
+    """Forwards to exchanges and receipts of the addresses that forward, in one table by ``deposit, round_value``, which ``reuse_matches_of`` reads."""
     tx = transfers.join(miners.select(F.col("address").alias("from_address")), "from_address", "left_anti")
-    tx = tx.withColumn("round_value", round_half_even(F.col("value"), 1))
+    tx = tx.withColumn("round_value", F.rint(F.col("value") * 10).cast("long"))  # tenths: a whole number is a key that Spark need not normalise
     forwards = tx.join(exchanges.select(F.col("address").alias("to_address")), "to_address", "left_semi")
     listed = blacklist.select(F.col("address").alias("from_address"))
     deposits = forwards.join(listed, "from_address", "left_anti").select(F.col("from_address").alias("to_address")).distinct()
     receipts = tx.join(deposits, "to_address", "left_semi").join(listed, "from_address", "left_anti")
     left = forwards.select(F.col("from_address").alias("deposit"), "round_value", F.col("to_address").alias("exchange"), "value", "block", F.col("transaction").alias("tx"))
     right = receipts.select(F.col("to_address").alias("deposit"), "round_value", F.col("from_address").alias("user_address"), "value", "block", F.col("transaction").alias("tx"))
-    found = as_of_join(left, right, ["deposit", "round_value"], "block", t_max, ["tx"], ["tx"])
+    return as_of_sequence(left, right, REUSE_KEYS, "block", ["tx"], ["tx"])
+
+
+def reuse_matches_of(sequence: DataFrame, a_max: float = 0.01, t_max: int = 3200) -> DataFrame:
+    """The matches of a ``reuse_sequence``: the last receipt before each forward, whose amount is judged after it has been picked."""
+    found = as_of_last(sequence, REUSE_KEYS, "block", t_max)
     a_diff = F.col("r_value") - F.col("value")
     near = found.where((round_half_even(a_diff, 3) >= 0) & (round_half_even(a_diff, 3) <= a_max))
     return near.select(F.col("r_user_address").alias("user_address"), "deposit", "exchange", F.col("tx").alias("forward_tx"), F.col("r_tx").alias("receipt_tx"), F.col("r_block").alias("receipt_block"), (F.col("block") - F.col("r_block")).alias("t_diff"), a_diff.alias("a_diff"))
 
 
+def reuse_matches(transfers: DataFrame, exchanges: DataFrame, blacklist: DataFrame, miners: DataFrame, a_max: float = 0.01, t_max: int = 3200) -> DataFrame:
+    """Forwards of deposit addresses to exchanges with the receipt they pass on.
+
+    Columns ``user_address, deposit, exchange, forward_tx, receipt_tx, receipt_block, t_diff, a_diff``. Only the last receipt
+    before a forward counts, and its amount is judged after it has been picked.
+    """
+    return reuse_matches_of(reuse_sequence(transfers, exchanges, blacklist, miners), a_max, t_max)
+
+
 def reuse_confidence(t_diff: Column, a_diff: Column, a_max: float = 0.01, t_max: int = 3200) -> Column:
     """Mean closeness in time and amount, in [0, 1]."""
     return ((1 - clip(F.abs(t_diff) / float(t_max), 0.0, 1.0)) + (1 - clip(F.abs(a_diff) / a_max, 0.0, 1.0))) / 2

@@ -6,6 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def as_of_sequence(left: DataFrame, right: DataFrame, by: list[str], on: str, left_tie: list[str], right_tie: list[str]) -> DataFrame:
+    """Both sides of an as-of join as one table: ``by``, their place (``on_``, ``side_``, ``tie_``) and their other columns as ``left_`` or ``right_``. Null keys are left out."""
+    own = [c for c in left.columns if c not in by]
+    others = [c for c in right.columns if c not in by]
+    a = left.select(*by, F.col(on).alias("on_"), F.lit(1).alias("side_"), F.struct(*left_tie).cast("string").alias("tie_"), F.struct(*own).alias("left_"), F.lit(None).cast(right.select(F.struct(*others).alias("s")).schema["s"].dataType).alias("right_"))
+    b = right.select(*by, F.col(on).alias("on_"), F.lit(0).alias("side_"), F.struct(*right_tie).cast("string").alias("tie_"), F.lit(None).cast(a.schema["left_"].dataType).alias("left_"), F.struct(*others).alias("right_"))
+    rows = a.unionByName(b)
+    for c in by:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows
+
+
+def as_of_last(rows: DataFrame, by: list[str], on: str, tolerance: int) -> DataFrame:
+    """The as-of join of an ``as_of_sequence``: a window over each key, which a table bucketed and sorted by it gives without a shuffle."""
+    own, others = (list(rows.schema[c].dataType.names) for c in ("left_", "right_"))
+    order = Window.partitionBy(*by).orderBy("on_", "side_", "tie_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = rows.withColumn("last_", F.last("right_", ignorenulls=True).over(order)).where("side_ = 1 AND last_ IS NOT NULL")
+    near = last.where(F.col(f"left_.{on}") - F.col(f"last_.{on}") <= tolerance)
+    return near.select(*by, *[F.col(f"left_.{c}").alias(c) for c in own], *[F.col(f"last_.{c}").alias(f"r_{c}") for c in others])
+
+
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], on: str, tolerance: int, left_tie: list[str], right_tie: list[str]) -> DataFrame:
     """For each row of ``left`` the last row of ``right`` with equal ``by`` and ``on`` at most ``tolerance`` before; others go.
 
@@ -13,17 +34,7 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], on: str, tolera
     Equal ``on``: right rows come first, and of several the last by ``right_tie`` counts. Result: the columns of
     ``left`` and those of ``right`` with the prefix ``r_``. Null keys never match.
     """
-    own = [c for c in left.columns if c not in by]
-    others = [c for c in right.columns if c not in by]
-    a = left.select(*by, F.col(on).alias("__on"), F.lit(1).alias("__side"), F.struct(*left_tie).cast("string").alias("__tie"), F.struct(*own).alias("__left"), F.lit(None).cast(right.select(F.struct(*others).alias("s")).schema["s"].dataType).alias("__right"))
-    b = right.select(*by, F.col(on).alias("__on"), F.lit(0).alias("__side"), F.struct(*right_tie).cast("string").alias("__tie"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), F.struct(*others).alias("__right"))
-    rows = a.unionByName(b)
-    for c in by:
-        rows = rows.where(F.col(c).isNotNull())
-    order = Window.partitionBy(*by).orderBy("__on", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = rows.withColumn("__last", F.last("__right", ignorenulls=True).over(order)).where("__side = 1 AND __last IS NOT NULL")
-    near = last.where(F.col(f"__left.{on}") - F.col(f"__last.{on}") <= tolerance)
-    return near.select(*by, *[F.col(f"__left.{c}").alias(c) for c in own], *[F.col(f"__last.{c}").alias(f"r_{c}") for c in others])
+    return as_of_last(as_of_sequence(left, right, by, on, left_tie, right_tie), by, on, tolerance)
 
 
 def before_join(later: DataFrame, earlier: DataFrame, keys: list[tuple[str, str]], ts: str = "block_timestamp") -> Column:

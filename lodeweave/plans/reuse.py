@@ -126,11 +126,15 @@ def cluster_merge(spark, d):
     return C.merge_clusters(named(found), named(found.where("receipt_block < 400")))
 
 
-def upsert_address(spark, d):
+def _loads(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Metadata of users and deposits as an old load, of deposits and exchanges as a new one."""
     meta = H.reuse_metadata(_matches(spark, d)).select("address", "entity", F.round("conf", 6).alias("conf"))
     old = J.first_per_key(meta.where("entity <> 2"), ["address"], "entity").withColumn("user_cluster", F.lit("old"))
-    new = J.first_per_key(meta.where("entity <> 0"), ["address"], "entity").withColumn("user_cluster", F.concat(F.lit("new-"), "address"))
-    return J.upsert(old, new, "address", ["user_cluster"])
+    return old, J.first_per_key(meta.where("entity <> 0"), ["address"], "entity").withColumn("user_cluster", F.concat(F.lit("new-"), "address"))
+
+
+def upsert_address(spark, d):
+    return J.upsert(*_loads(spark, d), "address", ["user_cluster"])
 
 
 def append_new_pools(spark, d):

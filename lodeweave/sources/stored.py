@@ -92,7 +92,9 @@ class StoredTable:
         columns = [f.name for f in T.StructType.fromJson(before.schema)]
         dealt = rows.select(*columns).withColumn(_BUCKET, before.bucket(F.col(before.bucket_by)))
         # a bucket may be written by several tasks, so a common value of the bucketing column is no hot key
-        dealt.repartition(_BUCKET, F.pmod(F.xxhash64(before.key), F.lit(4))).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        dealt = dealt.repartition(_BUCKET, F.pmod(F.xxhash64(before.key), F.lit(4))).sortWithinPartitions(_BUCKET, before.key)
+        # sorted by key, with a bloom filter of it, so that a look-up skips row groups of the files that it does read
+        dealt.write.option(f"parquet.bloom.filter.enabled#{before.key}", "true").partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
         fs = self._fs()
         written = {s.getPath().getName().partition("=")[2] for s in fs.listStatus(self._place(folder)) if "=" in s.getPath().getName()}
         folders = {b: f for b, f in before.folders.items() if int(b) not in set(touched)} | {b: f"{folder}/{_BUCKET}={b}" for b in written}
