@@ -3,18 +3,22 @@
 Rules name a host and the beginning of a path; a rule fits its host and all subdomains, and the longest that fits wins.
 Hosts that rules allow are trusted seeds and those that they block are distrusted ones, each by its number of pages.
 Trust follows links from a host to those it links to (personalised PageRank), distrust follows them backwards, from a
-host to those that link to it. Where no rule fits, a host is blocked if its distrust exceeds its trust.
+host to those that link to it, both until they settle. Where no rule fits, a host is blocked if its distrust exceeds its trust.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.operators.materialize import materialize
+from lodeweave.operators.materialize import discard, materialize
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-DAMPING, ROUNDS = 0.85, 10
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: Where the rank of hosts without links goes; no host has this name.
+SINK = "/"
 #: So many rules are broadcast at most; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,22 +56,44 @@ def _fitting(rules: Column, url_path: Column) -> Column:
     return F.get(F.filter(rules, lambda r: F.startswith(url_path, r["rule_path"])), 0)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def rounds_for(tolerance: float = TOLERANCE, damping: float = DAMPING) -> int:
+    """After so many rounds the scores of all hosts together are within ``tolerance`` of their limit, whatever the graph: a round takes that distance times the damping."""
+    return math.ceil(math.log(tolerance / 2) / math.log(damping))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank: ``host, score`` over ``src, dst, w`` from ``host, weight``; hosts without score are left out.
 
-    Weights are made to sum to 1; rank that reaches a host without links is lost. No seeds give no scores.
+    Weights are made to sum to 1. What reaches a host without links goes back to the seeds, by way of a sink without name
+    that all such hosts link to, and the scores of the hosts sum to 1. Rounds go on until every few of them change less than
+    ``tolerance`` in all, ``rounds_for(tolerance)`` at most. No seeds give no scores.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
-    start = seeds.select("host", (F.col("weight") / (total or 1)).alias("seed"))
+    start = materialize(seeds.select("host", (F.col("weight") / (total or 1)).alias("seed")), "start")
+    if not total or edges.isEmpty():
+        return start.select("host", F.col("seed").alias("score"))
     out = edges.join(edges.groupBy("src").agg(F.sum("w").alias("all")), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share"))
-    out = materialize(out, "shares")
-    rank = start.select("host", F.col("seed").alias("score"))
-    for k in range(rounds):
+    hosts = edges.select(F.col("dst").alias("src")).unionByName(start.select(F.col("host").alias("src"))).distinct()
+    ends = hosts.join(edges.select("src").distinct(), "src", "left_anti").select("src", F.lit(SINK).alias("dst"), F.lit(1.0).alias("share"))
+    back = start.select(F.lit(SINK).alias("src"), F.col("host").alias("dst"), F.col("seed").alias("share"))
+    out = materialize(out.unionByName(ends).unionByName(back), "shares")
+    rank = last = materialize(start.select("host", F.col("seed").alias("score")), "rank")
+    most = rounds_for(tolerance, damping)
+    for k in range(1, most + 1):
         sent = rank.join(out, rank["host"] == out["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         rank = sent.unionByName(start.select("host", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 5 == 4:
+        if k % 5 == 0 or k == most:
             rank = materialize(rank, "rank")
-    return rank
+            other = last.select("host", F.col("score").alias("before"))
+            none = F.lit(0.0)
+            change, sunk = rank.join(other, "host", "full").agg(F.sum(F.abs(F.coalesce("score", none) - F.coalesce("before", none))), F.sum(F.when(F.col("host") == SINK, F.col("score")))).first()
+            discard(last)
+            last = rank
+            if change < tolerance * (1 - damping):
+                break
+    found = materialize(rank.where(F.col("host") != SINK).select("host", (F.col("score") / (1 - (sunk or 0.0))).alias("score")), "scores")
+    discard(out, start, last)
+    return found
 
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -103,17 +129,22 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranks(name: str, edges: str, verdict: str) -> str:
-    steps = [f"{name}_s AS (SELECT host, weight::DOUBLE / sum(weight) OVER () AS seed FROM seeds WHERE ruled = '{verdict}')",
-             f"{name}_o AS (SELECT src, dst, w::DOUBLE / sum(w) OVER (PARTITION BY src) AS share FROM {edges})",
+    """The same scores by a fixed number of rounds, seeds and sink as edges."""
+    steps = [f"{name}_s AS MATERIALIZED (SELECT host, weight::DOUBLE / sum(weight) OVER () AS seed FROM seeds WHERE ruled = '{verdict}')",
+             f"{name}_o AS MATERIALIZED (SELECT src, dst, w::DOUBLE / sum(w) OVER (PARTITION BY src) AS share FROM {edges} UNION ALL SELECT '{SINK}', host, seed FROM {name}_s "
+             f"UNION ALL SELECT host, '{SINK}', 1.0 FROM (SELECT host FROM {name}_s UNION SELECT dst FROM {edges}) WHERE host NOT IN (SELECT src FROM {edges}))",
              f"{name}_0 AS (SELECT host, seed AS score FROM {name}_s)"]
-    for k in range(ROUNDS):
+    for k in range(SQL_ROUNDS):
         steps.append(
-            f"{name}_{k + 1} AS (SELECT host, sum(score) AS score FROM (SELECT o.dst AS host, r.score * o.share * {DAMPING} AS score FROM {name}_{k} r JOIN {name}_o o ON o.src = r.host "
+            f"{name}_{k + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT o.dst AS host, r.score * o.share * {DAMPING} AS score FROM {name}_{k} r JOIN {name}_o o ON o.src = r.host "
             f"UNION ALL SELECT host, seed * (1 - {DAMPING}) FROM {name}_s) GROUP BY host)"
         )
+    steps.append(f"{name} AS (SELECT host, score / (1 - coalesce((SELECT score FROM {name}_{SQL_ROUNDS} WHERE host = '{SINK}'), 0)) AS score FROM {name}_{SQL_ROUNDS} WHERE host <> '{SINK}')")
     return ",\n".join(steps)
 
 
+#: Rounds of the SQL, which can't stop by itself; a host whose two scores differ by less than what is left then may be judged otherwise.
+SQL_ROUNDS = 40
 ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw_host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
@@ -131,5 +162,5 @@ b AS (SELECT dst AS src, src AS dst, w FROM e),
 {_ranks("d", "b", "block")}
 SELECT r.page_id, r.host, r.path, r.rule,
        coalesce(r.ruled, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled r LEFT JOIN t_{ROUNDS} t ON t.host = r.host LEFT JOIN d_{ROUNDS} d ON d.host = r.host
+FROM ruled r LEFT JOIN t ON t.host = r.host LEFT JOIN d ON d.host = r.host
 """
