@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ RADIUS = 2
 #: Weight of what is named as something else.
 OTHER_WEIGHT = 0.05
 #: An attribute's value is quoted or runs up to a blank; quotes elsewhere are characters like others.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?+|[^>=]++)*+)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?+|[^>=]++)*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -44,14 +44,18 @@ PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where an implicit end stops.
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body"}
-OTHER_TAGS = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "svg", "math", "object", "canvas", "header"}
+OTHER_TAGS = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "svg", "object", "canvas", "header"}
 OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
-_OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|widgets?|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|"
-    r"footer|foot|copyright|masthead|site-?header|page-?header|topbar|toolbar|pagination|pager|tags|comments?|respond|replies|disqus|reviews)(?:$|[\s_-])",
-    re.I,
-)
+#: Names that mark any element, and further ones that mark only what holds others: a paragraph of that name may be about it.
+_ADVERT_NAMES = r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|popup|modal|overlay"
+_HOLDER_NAMES = (
+    r"banner|notices?|alert|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widgets?|related(?=$|\s|[_-](?:posts?|articles?|links?|stories|news|content|items?|list|box|block|reading))|recommended|share|sharing|social|"
+    r"subscribe|newsletter|signup|login|footer|foot|copyright|masthead|site-?header|page-?header|topbar|toolbar|pagination|pager|tags|comments?|respond|responses?|replies|disqus|reviews"
+)
+_OTHER_NAMES = {
+    True: re.compile(rf"(?:^|[\s_-])(?:{_ADVERT_NAMES})(?:$|[\s_-])", re.I),
+    False: re.compile(rf"(?:^|[\s_-])(?:{_ADVERT_NAMES}|{_HOLDER_NAMES})(?:$|[\s_-])", re.I),
+}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -66,7 +70,7 @@ def _is_other(tag: str, attributes: str) -> bool:
         return False
     found = _attributes(attributes)
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return found.get("role", "").lower() in OTHER_ROLES or "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true" or bool(_OTHER_NAMES.search(names))
+    return found.get("role", "").lower() in OTHER_ROLES or "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true" or bool(_OTHER_NAMES[tag in PARAGRAPHS].search(names))
 
 
 class Page:
@@ -88,8 +92,9 @@ class Page:
 
     def _parse(self, page: str) -> None:
         stack = [0]  # open block elements
-        opened: Counter[str] = Counter()
+        opened: defaultdict[str, list[int]] = defaultdict(list)  # their depths by tag
         inline: list[tuple[str, int]] = []  # open inline elements that are something else, with the depth of the stack
+        within: Counter[str] = Counter()  # those by tag
         held: list[str] = []
         articles = 0  # open ones
 
@@ -100,26 +105,25 @@ class Page:
                 self.texts.append(text)
                 self.places.append(stack[-1])
 
+        def leave() -> None:
+            within[inline.pop()[0]] -= 1
+
         def pop(depth: int) -> None:
             nonlocal articles
             for element in stack[depth:]:
-                opened[self.tag[element]] -= 1
+                opened[self.tag[element]].pop()
                 articles -= self.tag[element] == "article"
             del stack[depth:]
             while inline and inline[-1][1] > depth:
-                inline.pop()
+                leave()
 
-        def end(tags: set[str], scope: set[str] | None) -> None:
+        def end(tags: set[str], scope: set[str]) -> None:
             """Close the innermost open element of these tags, unless the scope ends before it."""
-            if any(opened[t] for t in tags):
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] in tags:
-                        pop(k)
-                        return
-                    if scope and self.tag[stack[k]] in scope:
-                        return
-
-        at, size, last = 0, len(page), page.rfind(">")
+            depth = max((opened[t][-1] for t in tags if opened[t]), default=0)
+            if depth and all(opened[t][-1] <= depth for t in scope if opened[t]):
+                pop(depth)
+
+        at, size, last, last_section = 0, len(page), page.rfind(">"), page.rfind("]]>")
         while at < size:
             m = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
             if not m:
@@ -130,6 +134,9 @@ class Page:
                 held.append(page[at : m.start()])
             at = m.end()
             if m[2] is None:
+                if m[0] == "<![CDATA[":  # a section, or if it has no end just a wrong comment
+                    over = page.find("]]>", at) if at <= last_section else -1
+                    at = over + 3 if over >= 0 else page.find(">", at) + 1 or size
                 continue
             tag, closing, attributes = m[2].lower(), bool(m[1]), m[3] or ""
             if tag in RAW and not closing:
@@ -140,16 +147,18 @@ class Page:
                 if tag == "br":
                     held.append(" ")
                 elif closing:
-                    for k in range(len(inline) - 1, -1, -1):
-                        if inline[k][0] == tag:
-                            del inline[k:]
+                    while within[tag]:
+                        over = inline[-1][0] == tag
+                        leave()
+                        if over:
                             break
                 elif tag not in VOID and not attributes.rstrip().endswith("/") and _is_other(tag, attributes):
                     inline.append((tag, len(stack)))
+                    within[tag] += 1
                 continue
             flush()
             if closing:
-                end({tag}, None)
+                end({tag}, set())
                 continue
             if self.tag[stack[-1]] == "p" and len(stack) > 1:  # any block ends a paragraph
                 pop(len(stack) - 1)
@@ -157,7 +166,7 @@ class Page:
                 end(CLOSES[tag], SCOPE)
             own = _is_other(tag, attributes) and not (tag == "header" and articles)  # an article's own heading
             stack.append(self._element(tag, stack[-1], own))
-            opened[tag] += 1
+            opened[tag].append(len(stack) - 1)
             articles += tag == "article"
         flush()
 
@@ -200,7 +209,21 @@ def main_text(text: str | None) -> str:
     for e in range(best + 1, len(page.tag)):
         inside[e] = inside[page.parent[e]]
     level = page.other[best]
-    return "\n".join(t for t, place, yes in zip(page.texts, page.places, content.tolist(), strict=True) if yes or inside[place] and page.other[place] == level)
+    # beside the article only what stands in an element around it, or in one next to it, by no other name: a lead, a section; what is nested deeper may be comments or teasers
+    around = {best}
+    while page.parent[best] >= 0:
+        best = page.parent[best]
+        around.add(best)
+
+    def beside(e: int) -> bool:
+        named = page.other[e]
+        while page.tag[e] in PARAGRAPHS and page.parent[e] >= 0:
+            e = page.parent[e]
+        e = e if e in around else page.parent[e]
+        return e in around and page.other[e] == named
+
+    kept = [inside[place] and (yes or page.other[place] == level) or yes and beside(place) for place, yes in zip(page.places, content.tolist(), strict=True)]
+    return "\n".join(t for t, yes in zip(page.texts, kept, strict=True) if yes)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -397,6 +398,32 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
+ARTICLE = [f"Some long sentence number {i}, with marks, and more of it; so it goes on. And on." for i in range(6)]
+COMMENT = "<p>I liked it, really, a lot. So much, in fact, that I came back.</p>"
+
+
+@pytest.mark.parametrize("page, tail", [
+    ("<body><div id=main>{0}</div><div id=c><div><b>Joe</b>" + COMMENT + "</div></div></body>", []),  # a comment whose class says nothing
+    ("<body><article>{0}<div class='responses'>" + COMMENT + "</div></article></body>", []),
+    ("<body><article>{0}<section class='related-work'><p>Work by others.</p></section><p class='login'>How to log in.</p><p class='reviews'>Reviews were good.</p></article></body>", ["Work by others.", "How to log in.", "Reviews were good."]),
+    ("<body><article>{0}<div class='related-posts'><p>Work by others.</p></div><p class='ad'>Buy.</p></article></body>", []),
+    ("<body><article>{0}<p>So <math><mi>x</mi></math> we get here.</p></article></body>", ["So x we get here."]),
+    ("<body><div class='page banner'>{0}</div><footer><p>Imprint, terms; and so on. All rights, etc.</p></footer></body>", []),
+    ("<body><div class='page banner'><div>{0}</div><footer><p>Imprint, terms; and so on. All rights, etc.</p></footer></div></body>", []),
+    ("<body><article>{0}<p>a <![CDATA[b > c]]> d, <![CDATA[e.</p></article></body>", ["a d,"]),
+])
+def test_main_text_keeps_the_article_and_nothing_else(page, tail):
+    assert html_text.main_text(page.format("".join(f"<p>{t}</p>" for t in ARTICLE))).split("\n") == [*ARTICLE, *tail]
+
+
+@pytest.mark.parametrize("page", ["<![CDATA[>" * 500_000, '<span class="ad"></b>' * 240_000, "<table><tr><td><div>" + "<blockquote>" * 2000 + "<td></td>" * 550_000, "<td>" + "<blockquote>" * 410_000 + "<td>x", '<a b="' * 800_000, "<!-- " * 1_000_000])
+def test_hostile_pages_take_linear_time(page):
+    assert len(page) > 4_500_000
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 40
+
+
 def brute_rank(edges, seeds, damping=url_filter.DAMPING):
     """The limit of the scores, by solving for it: hosts without links send all they have to a sink, which sends it to the seeds."""
     names = sorted({x for e in edges for x in e[:2]} | set(seeds) | {""})
