@@ -17,10 +17,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.text import ALPHANUMERIC, WORDS, distinct, mix, shingles, slices
+from lodeweave.operators.materialize import discard, materialize
 
 SIMILARITY = 0.8
 RADIUS = 15
@@ -29,9 +31,10 @@ BLOCKS = 8
 #: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes. The index of one pass
 #: stays below 40 MB with items of 100 bytes or more, and below 200 MB with items of one word.
 BLOCK_BYTES = 4 << 20
-_BITS = np.arange(64, dtype=np.uint64)
 _BALL = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(64 // BLOCKS), r)], np.uint8)
 _FILTER_BITS = 20
+#: Fingerprints that are looked up at a time.
+_CHUNK = 1 << 15
 
 
 def words(text: str) -> np.ndarray:
@@ -40,11 +43,14 @@ def words(text: str) -> np.ndarray:
 
 
 def fingerprints(found: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each run of ``size`` shingles."""
-    signs = ((mix(found)[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
-    sums = np.cumsum(np.vstack([np.zeros((1, 64), np.int32), signs]), axis=0)
-    positive = (sums[size:] - sums[:-size]) > 0
-    return np.packbits(positive, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    """SimHash of each run of ``size`` shingles; bit by bit, so some 30 bytes a shingle are held at a time."""
+    mixed = mix(found)
+    out = np.zeros(len(found) - size + 1, np.uint64)
+    sums = np.zeros(len(found) + 1, np.int64)
+    for bit in range(64):
+        np.cumsum((mixed >> np.uint64(bit)) & np.uint64(1), out=sums[1:], dtype=np.int64)
+        out |= (2 * (sums[size:] - sums[:-size]) > size).astype(np.uint64) << np.uint64(bit)
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -54,6 +60,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if common else 0.0
 
 
+def window_similarities(region: np.ndarray, width: int, places: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """``similarity`` of an item and the windows of ``width`` shingles at ``places``, which rise: from one to the next the counts change only by what leaves and enters."""
+    known, counts = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(known, region), len(known) - 1)
+    at = np.where(known[at] == region, at, -1)
+    most, have = counts.tolist(), [0] * len(known)
+    common, low, high = 0, int(places[0]), int(places[0])
+    out = np.zeros(len(places))
+    for k, place in enumerate(places.tolist()):
+        if place >= high:  # nothing of the last window is left
+            have, common, low, high = [0] * len(known), 0, place, place
+        for x in at[low:place].tolist():
+            if x >= 0:
+                have[x] -= 1
+                common -= have[x] < most[x]
+        for x in at[high : place + width].tolist():
+            if x >= 0:
+                common += have[x] < most[x]
+                have[x] += 1
+        low, high = place, place + width
+        out[k] = common / (width + len(item) - common)
+    return out
+
+
 @dataclass
 class Index:
     """The items of one block of the benchmark."""
@@ -90,18 +120,23 @@ class Index:
         place = np.minimum(np.searchsorted(self.known, found[at]), len(self.known) - 1)
         return at[self.known[place] == found[at]]
 
-    def near(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
-        """(position, item) of all fingerprints within the radius of an item of that size."""
-        pairs = []
-        for block, (values, items) in enumerate(self.balls[size]):
-            own = self._block(prints, block)
-            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            count = high - low
-            at = np.repeat(np.arange(len(own)), count)
-            item = items[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-            close = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
-            pairs.append(np.stack([at[close], item[close]], 1))
-        return sorted(set(map(tuple, np.concatenate(pairs).tolist())))
+    def near(self, prints: np.ndarray, size: int) -> dict[int, np.ndarray]:
+        """By item of that size the rising positions of all fingerprints within the radius of its own."""
+        keys = []
+        for start in range(0, len(prints), _CHUNK):
+            part, found = prints[start : start + _CHUNK], []
+            for block, (values, items) in enumerate(self.balls[size]):
+                own = self._block(part, block)
+                low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                count = high - low
+                at = np.repeat(np.arange(len(own)), count)
+                item = items[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+                close = np.bitwise_count(part[at] ^ self.prints[item]) <= RADIUS
+                found.append(item[close].astype(np.int64) * len(prints) + at[close] + start)
+            keys.append(np.unique(np.concatenate(found)))
+        keys = np.sort(np.concatenate(keys))
+        item, first = np.unique(keys // len(prints), return_index=True)
+        return {int(i): own % len(prints) for i, own in zip(item, np.split(keys, first[1:]), strict=True)} if len(keys) else {}
 
     def matches(self, found: np.ndarray, length: int = WORDS) -> dict[int, tuple[float, int, int]]:
         """The best similarity, and the first window (words from, to) that has it, by item; a shingle has ``length`` words."""
@@ -119,23 +154,48 @@ class Index:
                 width = min(size, len(region))  # a document shorter than the item is one window
                 if width < size and len(region) < len(found):
                     continue
-                for at, item in self.near(fingerprints(region, width), size):
-                    score = similarity(region[at : at + width], self.items[item][1])
+                for item, places in self.near(fingerprints(region, width), size).items():
+                    scores = window_similarities(region, width, places, self.items[item][1])
+                    k = int(scores.argmax())  # the first of equals
+                    score, at = float(scores[k]), int(places[k])
                     if score >= SIMILARITY and (item not in best or score > best[item][0]):
                         best[item] = (score, low + at, low + at + width + length - 1)
         return best
 
 
+    def best_by_id(self, found: np.ndarray, length: int = WORDS) -> list[tuple]:
+        """``item_id, similarity, first_word, end_word`` of the best window of each item id, over all its texts."""
+        best: dict[int, tuple[float, int, int]] = {}
+        for item, (score, first, end) in self.matches(found, length).items():
+            name = self.items[item][0]
+            if name not in best or (-score, first, end) < (-best[name][0], *best[name][1:]):
+                best[name] = (score, first, end)
+        return [(name, *x) for name, x in sorted(best.items())]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark in blocks of bounded size; items that are null or have no words are left out."""
+    """The benchmark in blocks of bounded size, all texts of an item in one; items that are null or have no words are left out."""
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // BLOCK_BYTES)
     for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         yield Index([(r["item_id"], shingles(w)) for r in own if len(w := words(r["text"]))])
 
 
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block of the benchmark as a broadcast, and whether it is the last; a block is released when the next one is asked for, so its pass has to be written by then."""
+    blocks = _blocks(benchmark)
+    now = next(blocks, None)
+    while now is not None:
+        following = next(blocks, None)
+        shipped = benchmark.sparkSession.sparkContext.broadcast(now)
+        yield shipped, following is None
+        if following is not None:
+            shipped.destroy()
+        now = following
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, similarity, first_word, end_word``: the best window of each item in each row of ``docs`` that has one.
 
@@ -145,8 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
     result = None
-    for index in _blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
+    for shipped, is_last in _passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = shipped.value
@@ -154,12 +213,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if text and index.items and len(w := words(text)):
-                        rows += [(doc, index.items[i][0], *x) for i, x in sorted(index.matches(shingles(w), min(WORDS, len(w))).items())]
+                        rows += [(doc, *x) for x in index.best_by_id(shingles(w), min(WORDS, len(w)))]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        found = found if is_last else materialize(found, "contaminated")
         result = found if result is None else result.unionByName(found)
     return result if result is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -168,8 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that hold an item; rows without id are judged by their text alone and stay or go with it."""
     at = docs.columns.index("text")
     kept = docs
-    for index in _blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
+    for shipped, is_last in _passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = shipped.value
@@ -180,7 +239,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean.append(not (len(w) and index.items and index.matches(shingles(w))))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        before, kept = kept, kept.mapInArrow(run, docs.schema)
+        if not is_last:
+            kept = materialize(kept, "kept")
+            discard(before)
     return kept
 
 

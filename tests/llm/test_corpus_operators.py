@@ -537,6 +537,54 @@ def test_weighted_similarity_of_windows_against_brute_force():
     assert decontaminate.similarity(item[:-1], item) == sum((Counter(item[:-1].tolist()) & count).values()) / 7
 
 
+def test_sliding_similarities_are_those_of_each_window():
+    for _ in range(60):
+        item = np.array([RNG.randrange(9) for _ in range(RNG.randint(1, 12))], np.uint64)
+        region = np.array([RNG.randrange(12) for _ in range(RNG.randint(len(item), 80))], np.uint64)
+        places = np.array(sorted(RNG.sample(range(len(region) - len(item) + 1), RNG.randint(1, len(region) - len(item) + 1))))
+        want = [decontaminate.similarity(region[p : p + len(item)], item) for p in places]
+        assert decontaminate.window_similarities(region, len(item), places, item).tolist() == pytest.approx(want)
+
+
+def test_decontamination_query_against_all_windows(spark, tmp_path, monkeypatch):
+    """The query in several passes, with two texts of one item: every window of item size compared in full."""
+    items = [(k, " ".join(words(RNG.randint(8, 30)))) for k in range(12)] + [(3, " ".join(words(15))), (4, "one two")]
+    docs = [(i, " ".join(words(RNG.randint(0, 20)) + RNG.choice(items)[1].split() + words(RNG.randint(0, 20)) + RNG.choice(items)[1].split())) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cut = lambda text: decontaminate.shingles(decontaminate.words(text))
+    want = {}
+    for i, text in docs:
+        own = cut(text)
+        for k, item in items:
+            other = cut(item)
+            for at in range(max(1, len(own) - len(other) + 1)):
+                score = decontaminate.similarity(own[at : at + len(other)], other)
+                if score >= decontaminate.SIMILARITY and score > want.get((i, k), (0,))[0]:
+                    want[i, k] = (score, at)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    found = decontaminate.op9_decontamination(spark, str(tmp_path)).collect()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in found}
+    assert len(found) == len(got) and set(got) == set(want) and all(got[x][0] == pytest.approx(want[x][0]) for x in want)
+    kept = {r.doc_id for r in decontaminate.stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_a_long_line_of_an_item_takes_bounded_memory():
+    """Ten megabytes that repeat an item: under 800 MB and two minutes, traced allocations included."""
+    import tracemalloc
+
+    item = " ".join(words(40))
+    index = decontaminate.Index([(1, decontaminate.shingles(decontaminate.words(item)))])
+    text = (item + " ") * (10_000_000 // len(item))
+    tracemalloc.start()
+    start = time.perf_counter()
+    got = index.best_by_id(decontaminate.shingles(decontaminate.words(text)))
+    assert [x[:3] for x in got] == [(1, 1.0, 0)]
+    assert time.perf_counter() - start < 120 and tracemalloc.get_traced_memory()[1] < 800e6
+    tracemalloc.stop()
+
+
 def brute_bytes(rows):
     first, out = {}, {}
     for i, t in sorted((i, (t or "").encode()) for i, t in rows):
