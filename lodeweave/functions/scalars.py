@@ -63,6 +63,34 @@ def safe_cast(x: Column, kind: str, default) -> Column:
     return F.coalesce(x.try_cast(kind), F.lit(default).cast(kind))
 
 
+def without_prefix(x: Column, prefix: str) -> Column:
+    """The text behind a prefix; a text without it stays as it is."""
+    return F.when(F.startswith(x, F.lit(prefix)), F.substring(x, F.lit(len(prefix) + 1), F.length(x))).otherwise(x)
+
+
+def parse_date(x: Column, pattern: str = "MM/dd/yyyy") -> Column:
+    """A date in the pattern; null where the text is none."""
+    return F.try_to_timestamp(x, F.lit(pattern)).cast("date")
+
+
+def shown_date(x: Column, pattern: str = "MM/dd/yyyy") -> Column:
+    return F.date_format(x, pattern)
+
+
+def merged_maps(first: Column, *others: Column) -> Column:
+    """All keys of several maps, each with the value of the last map that has it; a null map has no keys."""
+    none = lambda m: F.coalesce(m, F.create_map().cast("map<string,string>"))
+    keys = F.array_distinct(F.concat(*[F.map_keys(none(m)) for m in (first, *others)]))
+
+    def value(key: Column) -> Column:
+        out = F.element_at(none(first), key)
+        for m in others:
+            out = F.when(F.map_contains_key(none(m), key), F.element_at(none(m), key)).otherwise(out)
+        return out
+
+    return F.map_from_arrays(keys, F.transform(keys, value))
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without time zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

@@ -45,6 +45,16 @@ def timeline(reveals: DataFrame, transactions: DataFrame, start: str, end: str)
     return rows.where((F.col("ts") >= low) & (F.col("ts") < high)).select("ts", "heuristic", "address", "transaction")
 
 
+def sorted_timeline(rows: DataFrame) -> DataFrame:
+    """A timeline in order of time, then heuristic, then transaction."""
+    return rows.orderBy("ts", "heuristic", "transaction", "address")
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows without a null in any column."""
+    return rows.dropna("any")
+
+
 def weekly_counts(rows: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     """``week, n`` for each whole week from ``start``; weeks without rows count 0 and a last part of a week is left out."""
     spark = rows.sparkSession

@@ -13,6 +13,7 @@ from lodeweave.functions import scalars as S
 from lodeweave.operators import graphs as G
 from lodeweave.operators import heuristics as H
 from lodeweave.operators import joins as J
+from lodeweave.operators import known as K
 from lodeweave.operators import reports as R
 from lodeweave.operators import vector_index as V
 from lodeweave.operators.components import connected_components
@@ -192,9 +193,41 @@ def dealings_with_pools(spark, d):
     return rows.groupBy("is_pool").agg(F.count(F.lit(1)).alias("n"))
 
 
+def known_addresses_built(spark, d):
+    """Parts as a label list with words, suppliers and some parts as a cluster list, the pools by name."""
+    part, supplier = X.table(spark, d, "part"), X.table(spark, d, "supplier")
+    kind, label = F.when(F.col("p_size") % 3 == 0, "Smart Contract").when(F.col("p_size") % 3 == 1, "Wallet").otherwise("Other"), F.when(F.col("p_size") % 2 == 0, "Legit").when(F.col("p_size") % 5 > 0, "Dodgy")
+    words = part.select(_user("p_partkey").alias("address"), F.col("p_name").alias("name"), kind.alias("account_type"), F.col("p_brand").alias("entity"), label.alias("label"), F.col("p_type").alias("tags"))
+    header = words.limit(1).select(F.lit("Address").alias("address"), *[F.lit("x").alias(c) for c in words.columns[1:]])
+    named = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("address"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "Wallet").otherwise("Exchange").alias("type"))
+    named = named.unionByName(part.where("p_size < 5").select(_user("p_partkey").alias("address"), F.lit("other").alias("name"), F.lit("Wallet").alias("type"))).withColumn("account_type", F.lit("eoa"))
+    pools = X.pools(spark).select(F.concat(F.lit("t"), F.col("pool").cast("string")).alias("address"), F.concat(F.lit(K.POOL_PREFIX), "label").alias("name"), F.lit("contract").alias("account_type"), F.lit("Mixer").alias("type"), F.lit(1).alias("legitimacy"))
+    found = K.known_addresses([K.label_list(words.unionByName(header)), K.cluster_list(named), K.pool_list(pools)])
+    return found.withColumn("legitimacy", F.col("legitimacy").cast("string"))
+
+
+def complete_attributes(spark, d):
+    return R.complete(X.known(spark, d))
+
+
+def merged_attributes(spark, d):
+    """For each known address a map of what the label says, overridden by what its cluster says, as sorted ``key=value`` texts."""
+    own = X.known(spark, d).select("address", F.create_map(F.lit("name"), F.col("name"), F.lit("kind"), F.coalesce("account_type", F.lit("none"))).alias("own"))
+    other = U.dar_metadata(spark, d).where("entity <> 1").groupBy("address").agg(F.min("entity").alias("e")).select("address", F.create_map(F.lit("kind"), F.col("e").cast("string"), F.lit("source"), F.lit("reuse")).alias("other"))
+    both = own.join(other, "address", "left").select("address", S.merged_maps(F.col("own"), F.col("other")).alias("m"))
+    return both.select("address", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("attributes"))
+
+
+def parsed_dates(spark, d):
+    """The days of events from the text that a request has, with one that is no date."""
+    day = S.shown_date(F.col("ts"))
+    text = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("13/"), day)).otherwise(day)
+    return X.table(spark, d, "events").groupBy(S.parse_date(text).alias("day")).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
 QUERIES = {f.__name__: f for f in (
     reveal_counts_all, reveal_distribution_sampled, reveal_rank_all, overall_rank_all, timeline_all, timeline_counts, weekly_windows, address_stats_all, profile_scores, address_page, shown_addresses, metadata_all,
-    components_all, heuristic_outputs, privacy_scores, decoded_edges, components_by_size, dealings_with_pools,
+    components_all, heuristic_outputs, privacy_scores, decoded_edges, components_by_size, dealings_with_pools, known_addresses_built, complete_attributes, merged_attributes, parsed_dates,
 )}
 
 _ALL = {
@@ -273,5 +306,12 @@ ORACLE_SQL = {
     "decoded_edges": GP.ORACLE_SQL["edge_weights"],
     "components_by_size": sql("SELECT component, count(*) AS size FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) GROUP BY component", "external_txs",
                               p="SELECT from_address AS a, to_address AS b FROM external_txs GROUP BY ALL HAVING count(*) >= 3", e="SELECT a, b FROM p UNION SELECT b, a FROM p", reach="SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b"),
+    "known_addresses_built": sql(
+        "SELECT 'p' || p_partkey AS address, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'contract' WHEN 1 THEN 'eoa' ELSE 'Other' END AS account_type, lower(p_brand) AS entity, CASE WHEN p_size % 2 = 0 THEN 'true' WHEN p_size % 5 > 0 THEN 'false' END AS legitimacy, lower(p_type) AS tags FROM part "
+        "UNION ALL SELECT 's' || s_suppkey, s_name, 'eoa', CASE WHEN s_suppkey % 2 = 1 THEN 'exchange' END, 'true', NULL FROM supplier UNION ALL SELECT 't' || pool, 'Tornado Cash Pool ' || label, 'contract', 'mixer', 'true', lower(label) FROM pools", "pools"),
+    "complete_attributes": sql("SELECT * FROM known WHERE name IS NOT NULL AND account_type IS NOT NULL AND entity IS NOT NULL", "known"),
+    "merged_attributes": U._sql(
+        "SELECT k.address, CASE WHEN m.address IS NULL THEN 'kind=' || coalesce(account_type, 'none') || ';name=' || name ELSE 'kind=' || m.e || ';name=' || name || ';source=reuse' END AS attributes FROM known k LEFT JOIN (SELECT address, min(entity) AS e FROM meta WHERE entity <> 1 GROUP BY address) m ON m.address = k.address"),
+    "parsed_dates": "SELECT CASE WHEN event_id % 10 > 0 THEN strftime(ts, '%Y-%m-%d') END AS day, count(*) AS n FROM events GROUP BY ALL",
     "dealings_with_pools": sql("SELECT to_address < 19 AS is_pool, count(*) AS n FROM external_txs GROUP BY ALL", "external_txs"),
 }
