@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEDGER = T.StructType([
@@ -41,6 +42,18 @@ def write_sorted(df: DataFrame, path: str, *columns: str, partitions: int | None
     ranged.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_for_look_up(df: DataFrame, path: str, key: str, partitions: int | None = None, rows_per_group: int | None = None) -> None:
+    """Parquet files in ranges of ``key``, sorted within, with a bloom filter of it: ``look_up`` reads the row groups that can hold a value, and no others."""
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), key).sortWithinPartitions(key)
+    writer = ranged.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true")
+    (writer.option("parquet.block.row.count.limit", rows_per_group) if rows_per_group else writer).parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, key: str, values: list) -> DataFrame:
+    """The rows of a few values of ``key``; the condition reaches the scan, so bounds and bloom filters of row groups are used."""
+    return spark.read.parquet(path).where(F.col(key).isin(values))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet", **options: str) -> None:
     """Append to or replace a table of files; CSV gets a header in each file."""
     writer = df.write.mode(mode).format(fmt).options(**options)

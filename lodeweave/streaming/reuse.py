@@ -112,12 +112,19 @@ def stream_matches(spark: SparkSession, source: str, schema, exchanges: DataFram
 
 def run_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int, out: str, state: str) -> None:
     """The stream of ``stream_matches`` over the files that have come since the last run with this ``state``; matches are added to ``out``."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
-    sides = _sides(rows, exchanges, known, miners, f"{lateness} days")
-    found = sides.groupBy("deposit", "round_value").transformWithState(LastReceipt(t_max, a_max), MATCH, "append", "eventTime")
-    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the one that keeps this kind of state
+    try:
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
+        sides = _sides(rows, exchanges, known, miners, f"{lateness} days")
+        found = sides.groupBy("deposit", "round_value").transformWithState(LastReceipt(t_max, a_max), MATCH, "append", "eventTime")
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(store)
+        else:
+            spark.conf.set(store, before)
 
 
 def close_loads(spark: SparkSession, source: str, schema, block: int) -> None:

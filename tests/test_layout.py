@@ -31,3 +31,21 @@ def test_look_up_reads_few_files(spark, tmp_path):
     assert [r.id for r in found.collect()] == [77]
     every, read = len(table.read().inputFiles()), table.read(buckets=table._buckets_of(asked, table.version())).inputFiles()
     assert every >= 64 and len(read) * 10 < every
+
+
+def scanned(df):
+    """Rows that the scan of a query without shuffle gives, once it has run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_look_up_skips_row_groups(spark, tmp_path):
+    rows = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("address"), "id")
+    files.write_for_look_up(rows, str(tmp_path / "t"), "address", partitions=4, rows_per_group=2000)
+    one = rows.where("id = 77").first().address
+    found = files.look_up(spark, str(tmp_path / "t"), "address", [one])
+    assert [r.id for r in found.collect()] == [77] and 0 < scanned(found) < 6_000
+    # within the bounds of a group, but not in it: the bloom filter says so
+    none = files.look_up(spark, str(tmp_path / "t"), "address", [one[:-1] + ("0" if one[-1] != "0" else "1")])
+    assert none.count() == 0 and scanned(none) < 2_500
+    assert scanned(spark.read.parquet(str(tmp_path / "t")).where("id >= 0")) == 60_000
