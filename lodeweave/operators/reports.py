@@ -99,6 +99,14 @@ def page(df: DataFrame, order: list[Column], number: int = 0, limit: int = 20) -
     return df.orderBy(*order).offset(max(number, 0) * limit).limit(limit)
 
 
+def page_by(df: DataFrame, sort_by: str, descending: bool = True, number: int = 0, limit: int = 20, tie: str = "address") -> DataFrame:
+    """One page of a table by any of its columns, equal ones by ``tie``; nulls come last either way, an unknown column raises."""
+    if sort_by not in df.columns:
+        raise ValueError(f"cannot sort by {sort_by!r}")
+    column = F.col(sort_by)
+    return page(df, [column.desc_nulls_last() if descending else column.asc_nulls_last(), F.col(tie)], number, limit)
+
+
 def pages_of(count: Column, limit: int = 20) -> Column:
     return F.ceil(count / limit)
 

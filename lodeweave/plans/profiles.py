@@ -77,7 +77,7 @@ def overall_rank_all(spark, d):
 
 def timeline_all(spark, d):
     low, high = (F.lit(x).cast("timestamp_ntz") for x in (SV.START, SV.END))
-    return _all_reveals(spark, d).where((F.col("ts") >= low) & (F.col("ts") < high)).select("ts", "heuristic", "address", "transaction")
+    return R.sorted_timeline(_all_reveals(spark, d).where((F.col("ts") >= low) & (F.col("ts") < high)).select("ts", "heuristic", "address", "transaction"))
 
 
 def timeline_counts(spark, d):
@@ -138,6 +138,19 @@ def metadata_all(spark, d):
     return best.withColumn("heuristic", S.name_of(F.col("heuristic"), S.HEURISTICS))
 
 
+SORTS = [("address", False), ("entity", True), ("conf", True), ("conf", False), ("heuristic", False), ("label", True)]
+
+
+def sorted_pages(spark, d):
+    """The second page of the metadata by each of the columns that a request may sort by."""
+    rows = materialize(R.labelled(metadata_all(spark, d)), "metadata")
+    out = None
+    for column, descending in SORTS:
+        own = R.page_by(rows, column, descending, number=1, limit=15).withColumn("sorted_by", F.lit(f"{column} {'desc' if descending else 'asc'}"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _linked_addresses(spark, d) -> DataFrame:
     """Pairs of addresses that the heuristics with two sides link: gas prices, portfolios, outside dealings and reward claims."""
     txs = materialize(_pool_transactions(spark, d).select("transaction", "address"), "transactions")
@@ -226,7 +239,7 @@ def parsed_dates(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    reveal_counts_all, reveal_distribution_sampled, reveal_rank_all, overall_rank_all, timeline_all, timeline_counts, weekly_windows, address_stats_all, profile_scores, address_page, shown_addresses, metadata_all,
+    reveal_counts_all, reveal_distribution_sampled, reveal_rank_all, overall_rank_all, timeline_all, timeline_counts, weekly_windows, address_stats_all, profile_scores, address_page, shown_addresses, metadata_all, sorted_pages,
     components_all, heuristic_outputs, privacy_scores, decoded_edges, components_by_size, dealings_with_pools, known_addresses_built, complete_attributes, merged_attributes, parsed_dates,
 )}
 
@@ -260,6 +273,10 @@ def _portfolio(view: str, address: str, own: bool) -> str:
     return f"SELECT hash, {counts} FROM {view} WINDOW w AS (PARTITION BY {address} ORDER BY block_timestamp RANGE BETWEEN INTERVAL {P.DAYS} DAY PRECEDING AND CURRENT ROW)"
 
 
+_METADATA = (
+    "SELECT address, entity, conf, (['deposit_address_reuse', 'address_match', 'unique_gas_price', 'multi_denomination', 'linked_transaction', 'torn_mine'])[heuristic + 1] AS heuristic FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY conf DESC, heuristic, entity) AS k FROM "
+    "(SELECT address, entity, round(conf, 6) AS conf, 0 AS heuristic FROM meta UNION ALL SELECT DISTINCT address, 0, 1.0, heuristic FROM ar6 WHERE heuristic > 0)) WHERE k = 1"
+)
 _C = [f"c{i}" for i in range(len(X.POOLS))]
 ORACLE_SQL = {
     "reveal_counts_all": _sql("SELECT * FROM cnt6", **_ALL),
@@ -290,9 +307,10 @@ ORACLE_SQL = {
         sz="SELECT a.asked, k.key, coalesce(n.near, 0) AS near, coalesce(n.near, 0) + coalesce(m.members, 0) AS cluster_size FROM (SELECT DISTINCT 'p' || from_address AS asked FROM deposits) a "
            "LEFT JOIN (SELECT address, CASE WHEN entity = 2 THEN 'e' || exchange_cluster ELSE 'u' || user_cluster END AS key FROM rsp) k ON k.address = a.asked LEFT JOIN (SELECT key, least(count(*), 1000) AS members FROM mb GROUP BY key) m ON m.key = k.key LEFT JOIN (SELECT asked, count(*) AS near FROM near GROUP BY asked) n ON n.asked = a.asked"),
     "shown_addresses": _sql("SELECT address, (['eoa', 'deposit', 'exchange'])[entity + 1] AS entity, round_even(conf * 1000, 0) / 1000 AS conf FROM rsp", **U.USER_CLUSTERS, rsp=U.RESPONSES),
-    "metadata_all": _sql(
-        "SELECT address, entity, conf, (['deposit_address_reuse', 'address_match', 'unique_gas_price', 'multi_denomination', 'linked_transaction', 'torn_mine'])[heuristic + 1] AS heuristic FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY conf DESC, heuristic, entity) AS k FROM "
-        "(SELECT address, entity, round(conf, 6) AS conf, 0 AS heuristic FROM meta UNION ALL SELECT DISTINCT address, 0, 1.0, heuristic FROM ar6 WHERE heuristic > 0)) WHERE k = 1", **_ALL),
+    "metadata_all": _sql(_METADATA, **_ALL),
+    "sorted_pages": _sql(
+        " UNION ALL ".join(f"SELECT * FROM (SELECT *, '{c} {'desc' if down else 'asc'}' AS sorted_by FROM lb ORDER BY {c} {'DESC' if down else 'ASC'} NULLS LAST, address LIMIT 15 OFFSET 15)" for c, down in SORTS),
+        **_ALL, md=_METADATA, lb="SELECT *, CASE WHEN conf > 0.98 THEN 'high' WHEN conf > 0.95 THEN 'medium' ELSE 'low' END AS label FROM md"),
     "components_all": _sql("SELECT * FROM c", pt="SELECT transaction, 'p' || address AS address FROM txs", **U._reach("c", "SELECT DISTINCT user_address AS a, deposit AS b FROM p2 UNION " + _LINKED)),
     "heuristic_outputs": _sql(
         "SELECT t.address, f.transaction, t.block_number, t.ts AS block_ts, '{}' AS meta_data, f.cluster, (['', 'address_match', 'unique_gas_price', 'multi_denomination', 'linked_transaction', 'torn_mine'])[f.heuristic + 1] AS heuristic FROM f "
