@@ -71,8 +71,10 @@ def reveal_rank_all(spark, d):
 
 def overall_rank_all(spark, d):
     """The mean of an address's six ranks, 0 where it has no reveal."""
-    mean = F.sum("rank") / len(HEURISTICS)
-    return reveal_rank_all(spark, d).groupBy("address").agg(F.round(mean, 5).alias("rank"), F.floor(F.round(mean, 5) * 100).cast("int").alias("percent"))
+    # ranks are whole millionths, so their sum and its rounding don't depend on an order
+    total = F.sum(F.rint(F.col("rank") * 1_000_000).cast("long"))
+    found = reveal_rank_all(spark, d).groupBy("address").agg(F.rint(total / (10 * len(HEURISTICS))).cast("long").alias("r"))
+    return found.select("address", (F.col("r") / 100_000).alias("rank"), F.expr("r div 1000").cast("int").alias("percent"))
 
 
 def timeline_all(spark, d):
@@ -282,7 +284,7 @@ ORACLE_SQL = {
     "reveal_counts_all": _sql("SELECT * FROM cnt6", **_ALL),
     "reveal_distribution_sampled": _sql("SELECT * FROM dist6", **_ALL),
     "reveal_rank_all": _sql("SELECT *, floor(rank * 100)::INT AS percent FROM rank6", **_ALL),
-    "overall_rank_all": _sql("SELECT address, round(r, 5) AS rank, floor(round(r, 5) * 100)::INT AS percent FROM (SELECT address, sum(rank) / 6 AS r FROM rank6 GROUP BY address)", **_ALL),
+    "overall_rank_all": _sql("SELECT address, r / 100000 AS rank, (r // 1000)::INT AS percent FROM (SELECT address, round_even(sum(round_even(rank * 1000000, 0)::BIGINT)::DOUBLE / 60, 0)::BIGINT AS r FROM rank6 GROUP BY address)", **_ALL),
     "timeline_all": _sql(_IN_TIME, **_ALL),
     "timeline_counts": _sql(f"SELECT address, count(*) AS total, {_BY} FROM ({_IN_TIME}) GROUP BY address", **_ALL),
     "weekly_windows": _sql(

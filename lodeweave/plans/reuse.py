@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.functions.scalars import round_half_even
 from lodeweave.operators import clusters as C
 from lodeweave.operators import heuristics as H
 from lodeweave.operators import joins as J
@@ -69,7 +70,8 @@ def dar_pruned(spark, d):
 def metadata_argmax(spark, d):
     """The best row of each address over the reuse metadata and, from a second source, senders by mean value."""
     first = H.reuse_metadata(_matches(spark, d)).withColumn("source", F.lit(0))
-    second = X.transfers(spark, d).groupBy(F.col("from_address").alias("address")).agg((F.avg("value") / 100).alias("conf")).select("address", F.lit(0).alias("entity"), "conf", F.lit(1).alias("source"))
+    second = X.transfers(spark, d).groupBy(F.col("from_address").alias("address")).agg(F.sum(F.rint(F.col("value") * 1000).cast("long")).alias("s"), F.count("value").alias("n"))
+    second = second.select("address", F.lit(0).alias("entity"), round_half_even(F.col("s") / F.col("n") / 100_000, 6).alias("conf"), F.lit(1).alias("source"))  # whole thousandths, so no order of sums matters
     rows = first.unionByName(second).withColumn("conf", F.round("conf", 6))
     return J.first_per_key(rows, ["address"], F.col("conf").desc_nulls_last(), F.col("source"), F.col("entity"))
 
@@ -200,7 +202,7 @@ ORACLE_SQL = {
     "dar_pruned": _sql("SELECT user_address, deposit, exchange, forward_tx FROM p2"),
     "metadata_argmax": _sql(
         "SELECT address, entity, conf, source FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY conf DESC NULLS LAST, source, entity) AS k FROM "
-        "(SELECT address, entity, round(conf, 6) AS conf, 0 AS source FROM meta UNION ALL SELECT from_address, 0, round(avg(value) / 100, 6), 1 FROM transfers GROUP BY from_address)) WHERE k = 1"),
+        "(SELECT address, entity, round(conf, 6) AS conf, 0 AS source FROM meta UNION ALL SELECT from_address, 0, round_even(sum(round_even(value * 1000, 0)::BIGINT)::DOUBLE / count(*) / 100000 * 1000000, 0) / 1000000, 1 FROM transfers GROUP BY from_address)) WHERE k = 1"),
     "components_dar": _sql("SELECT * FROM c", **_reach("c", "SELECT DISTINCT user_address AS a, deposit AS b FROM p2")),
     "exchange_components": _sql("SELECT * FROM c", **_reach("c", "SELECT DISTINCT deposit AS a, exchange AS b FROM p2")),
     "components_users": sql("SELECT * FROM c", "transfers", "known", "miners", "deposits", "withdrawals", "external_txs", **_VIEWS, pairs=P._PAIRS.format(least=3), typed=P._TYPED, linked=P._LINKED,
