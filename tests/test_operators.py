@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lodeweave.functions import scalars as S
@@ -221,3 +222,43 @@ def test_files_of_graphs(spark, tmp_path):
     for _ in range(2):
         graphs.write_vectors(spark.createDataFrame([("a", [1.0, 2.0])], "node string, vector array<double>"), str(tmp_path / "v"))
     assert [r.vector for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [[1.0, 2.0]]
+
+
+def _reward_case(spark):
+    """Claims, deposits, withdrawals and rates where links come from both sides and some blocks hold several transactions, of which one has no address."""
+    rng = np.random.default_rng(5)
+    side = lambda first: [(first + i, None if i == 3 else int(rng.integers(0, 7)), 1.0, 0, int(rng.integers(0, 9))) for i in range(40)]
+    d, w = txs(spark, side(1000)), txs(spark, side(2000), True)
+    claims = spark.createDataFrame([(i, int(rng.integers(0, 7)), int(rng.integers(0, 4)) * 4) for i in range(6)], "hash long, recipient long, points long")
+    return claims, d, w, spark.createDataFrame([(0, 4), (1, None)], "pool int, rate int")
+
+
+def test_reward_links_are_not_shuffled_to_be_counted_once(spark):
+    case = _reward_case(spark)
+    claims, d, w, _ = ([r.asDict() for r in df.collect()] for df in case)
+    want = sorted({
+        (c["hash"], a["hash"], b["hash"]) for c in claims for a in d for b in w
+        if c["recipient"] in (a["from_address"], b["recipient_address"]) and a["block_number"] + c["points"] // 4 == b["block_number"]
+    })
+    links = heuristics.reward_claim_links(*case)
+    assert sorted(tuple(r)[:3] for r in links.collect()) == want and len(want) > 50
+    # repeated rows of a transaction or claim count once
+    claims, d, w, rates = case
+    assert heuristics.reward_claim_links(claims.union(claims), d.union(d), w.union(w), rates).count() == len(want)
+    # the union of the two joins is the last step: nothing above it groups the links
+    assert links._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_reward_members_and_stars_stand_for_the_links(spark):
+    case = _reward_case(spark)
+    claims, d, w, rates = case
+    links = heuristics.reward_claim_links(*case)
+    members = {x for r in links.collect() for x in (r.deposit_hash, r.withdraw_hash)}
+    assert sorted(r[0] for r in heuristics.reward_claim_members(*case).collect()) == sorted(members)
+    stars = heuristics.reward_claim_stars(*case)
+    assert stars.count() < links.count()
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(connected_components(stars)) == plain(connected_components(links, "deposit_hash", "withdraw_hash"))
+    owners = d.select(F.col("hash").alias("transaction"), F.col("from_address").alias("address")).union(w.select("hash", "recipient_address"))
+    pairs = lambda edges, a, b: connected_components(heuristics.address_matches(edges, owners, a, b), "x", "y")
+    assert plain(pairs(stars, "src", "dst")) == plain(pairs(links, "deposit_hash", "withdraw_hash"))
