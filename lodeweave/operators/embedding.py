@@ -17,6 +17,12 @@ NOISE, FREQUENT = 0.75, 1e-3
 LEAST_RATE = 1e-4
 
 
+def _summed(place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """A matrix of ``n`` rows and a column for each row of ``place``: the sums of the values whose place is that row."""
+    columns = len(place)
+    return np.bincount((place * columns + np.arange(columns)[:, None]).ravel(), value.ravel(), n * columns).reshape(n, columns)
+
+
 def _train(walks: list[np.ndarray], start: np.ndarray, out: np.ndarray, counts: np.ndarray, kept: np.ndarray, window: int, negative: int, rates: tuple[float, float], rng: np.random.Generator) -> np.ndarray:
     """Train ``start`` (context vectors) and ``out`` (centre vectors) in place over the walks of a block; how often each node was trained.
 
@@ -39,7 +45,10 @@ def _train(walks: list[np.ndarray], start: np.ndarray, out: np.ndarray, counts:
             for at in range(0, n, group):
                 centre, near, mask = own[at : at + group], around[at : at + group], there[at : at + group, :, None]
                 size = np.maximum(mask.sum(1), 1)
-                mean = (start[near] * mask).sum(1) / size
+                # how often each node is around each step, so that means and updates are products of small matrices
+                nodes, inside = np.unique(near, return_inverse=True)
+                share = _summed(inside.reshape(near.shape), mask[:, :, 0].astype(float), len(nodes))
+                mean = share.T @ start[nodes] / size
                 other = np.minimum(np.searchsorted(noise, rng.random((len(centre), negative)) * noise[-1], side="right"), len(noise) - 1)
                 target = np.column_stack([centre, other])
                 wanted = np.zeros(target.shape)
@@ -49,10 +58,12 @@ def _train(walks: list[np.ndarray], start: np.ndarray, out: np.ndarray, counts:
                 rate = rates[0] + (rates[1] - rates[0]) * done / total
                 error = (wanted - score) * use * rate
                 back = np.einsum("bk,bkd->bd", error, out[target])
-                np.add.at(out, target, error[:, :, None] * mean[:, None, :])
-                np.add.at(start, near, np.broadcast_to(back[:, None, :], (*near.shape, back.shape[1])) * mask)
-                np.add.at(trained, near, mask[:, :, 0])
-                np.add.at(trained, target, use)
+                told, place = np.unique(target, return_inverse=True)
+                place = place.reshape(target.shape)
+                out[told] += _summed(place, error, len(told)) @ mean
+                start[nodes] += share @ back
+                trained[nodes] += share.sum(1)
+                trained[told] += np.bincount(place.ravel(), use.ravel(), len(told))
         done += len(walk)
     return trained
 

@@ -50,3 +50,21 @@ def test_groups_are_recovered(spark, walks):
 def test_nothing_to_learn(spark, walks):
     assert embedding.negative_sampling_embedding(walks.limit(0), size=4, epochs=1).count() == 0
     assert embedding.negative_sampling_embedding(walks.where("node = 900"), size=4, epochs=1, min_count=1).count() == 2
+
+
+def test_training_adds_up_and_is_quick():
+    """Means and updates of a group of steps against sums one by one, and a time that one row at a time would not keep."""
+    import time
+
+    rng = np.random.default_rng(3)
+    place, value = rng.integers(0, 5, (7, 4)), rng.random((7, 4))
+    want = np.zeros((5, 7))
+    for i in range(7):
+        for j in range(4):
+            want[place[i, j], i] += value[i, j]
+    assert np.allclose(embedding._summed(place, value, 5), want)
+    walks = [rng.integers(0, 300, 59) for _ in range(400)]
+    start, out = rng.random((300, 128)).astype(np.float32), np.zeros((300, 128), np.float32)
+    began = time.process_time()
+    trained = embedding._train(walks, start, out, np.ones(300), np.ones(300), 5, 5, (0.025, 0.01), rng)
+    assert time.process_time() - began < 4 and trained.sum() > 400 * 59 * 6 * 0.9 and np.abs(out).max() > 0
