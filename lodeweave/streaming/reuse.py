@@ -13,6 +13,8 @@ from lodeweave.operators.materialize import scratch_path
 DAY_MS = 86_400_000
 #: Blocks are put on a time axis a day each, from this day on, so that none is before the first watermark.
 DAY_0 = 100_000
+#: States that the rounded values of one deposit are dealt to.
+LANES = 2
 MATCH = "user_address string, deposit string, exchange string, forward_tx string, receipt_tx string, t_diff bigint"
 
 
@@ -38,14 +40,14 @@ def in_order_of_arrival(transfers: DataFrame, pieces: int, late: int | None = No
 
 
 class LastReceipt(StatefulProcessor):
-    """The state of one (deposit, rounded value): the last receipt, and rows that the watermark has not passed yet.
+    """The state of one deposit, or of one lane of its rounded values: the last receipt of each value, and rows that the watermark has not passed yet.
 
-    Rows are taken in order of block, receipts first, then by transaction, once no earlier row can come any more; a forward
+    Most rounded values of a deposit have few rows, so many of them share one state: it is read and written once for all. Rows are taken in order of block, receipts first, then by transaction, once no earlier row can come any more; a forward
     then gives its match, which is final. A timer for the next row that waits, or for the end of the last receipt's span,
     keeps the state as small as what can still match.
     """
 
-    STATE = "waiting array<struct<block bigint, side int, tx string, other string, value double>>, last struct<block bigint, tx string, other string, value double>"
+    STATE = "waiting array<struct<block bigint, side int, tx string, other string, value double, round_value double>>, last array<struct<round_value double, block bigint, tx string, other string, value double>>"
 
     def __init__(self, t_max: int, a_max: float) -> None:
         self.t_max, self.a_max = t_max, a_max
@@ -56,29 +58,30 @@ class LastReceipt(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         found = self.state.get()
-        waiting, last = ([tuple(x) for x in found[0]], found[1] and tuple(found[1])) if found else ([], None)
-        fresh = [(r.block, r.side, r.tx, r.other, r.value) for r in rows]
+        waiting, last = ([tuple(x) for x in found[0]], [tuple(x) for x in found[1]]) if found else ([], [])
+        fresh = [(r.block, r.side, r.tx, r.other, r.value, r.round_value) for r in rows]
         yield from self._take(key, waiting + fresh, last, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         found = self.state.get()
         if found:
-            yield from self._take(key, [tuple(x) for x in found[0]], found[1] and tuple(found[1]), timerValues)
+            yield from self._take(key, [tuple(x) for x in found[0]], [tuple(x) for x in found[1]], timerValues)
 
     def _take(self, key, waiting, last, timers):
         passed = timers.getCurrentWatermarkInMs() // DAY_MS - DAY_0
+        receipts = {x[0]: x[1:] for x in last}
         due = sorted(x for x in waiting if x[0] <= passed)
-        for block, side, tx, other, value in due:
+        for block, side, tx, other, value, round_value in due:
+            last = receipts.get(round_value)
             if side == 0:
-                last = (block, tx, other, value)
+                receipts[round_value] = (block, tx, other, value)
             elif last and block - last[0] <= self.t_max and 0 <= round((last[3] - value) * 1000) / 1000 <= self.a_max:
                 yield Row(user_address=last[2], deposit=key[0], exchange=other, forward_tx=tx, receipt_tx=last[1], t_diff=block - last[0])
         waiting = [x for x in waiting if x[0] > passed]
-        if last and last[0] + self.t_max < passed:
-            last = None
-        if waiting or last:
-            self.state.update((waiting, last))
-            self.handle.registerTimer((min(x[0] for x in waiting) if waiting else last[0] + self.t_max + 1) * DAY_MS + DAY_0 * DAY_MS)
+        kept = [(k, *x) for k, x in receipts.items() if x[0] + self.t_max >= passed]
+        if waiting or kept:
+            self.state.update((waiting, kept))
+            self.handle.registerTimer((min(x[0] for x in waiting) if waiting else max(x[1] for x in kept) + self.t_max + 1) * DAY_MS + DAY_0 * DAY_MS)
         else:
             self.state.clear()
 
@@ -87,13 +90,15 @@ class LastReceipt(StatefulProcessor):
 
 
 def _sides(transfers: DataFrame, exchanges: DataFrame, known: DataFrame, miners: DataFrame, delay: str) -> DataFrame:
-    """``deposit, round_value, block, side, tx, other, value, at`` of a stream of transfers: each as a receipt of its target (side 0) and, if it goes to an exchange, as a forward of its sender (side 1)."""
+    """``deposit, round_value, block, side, tx, other, value, at`` of a stream of transfers: each as a receipt of its target (side 0) and, if it goes to an exchange, as a forward of its sender (side 1).
+    What a listed address sends never counts, so its receipts match nothing and are left out."""
     tx = transfers.withColumn("at", F.timestamp_seconds((F.col("block") + DAY_0) * 86_400)).withWatermark("at", delay)
     listed = miners.select("address").unionByName(known.select("address")).distinct()
     own = tx.join(listed.withColumnRenamed("address", "from_address"), "from_address", "left_anti")
     own = own.join(exchanges.select(F.col("address").alias("to_address"), F.lit(True).alias("exchange")).distinct(), "to_address", "left")
     side = lambda n, deposit, other: F.struct(F.col(deposit).alias("deposit"), F.lit(n).alias("side"), F.col(other).alias("other"))
-    sides = F.array_compact(F.array(side(0, "to_address", "from_address"), F.when(F.col("exchange"), side(1, "from_address", "to_address"))))
+    own = own.join(listed.select(F.col("address").alias("to_address"), F.lit(True).alias("listed")), "to_address", "left")
+    sides = F.array_compact(F.array(F.when(F.col("listed").isNull(), side(0, "to_address", "from_address")), F.when(F.col("exchange"), side(1, "from_address", "to_address"))))
     rows = own.select(F.explode(sides).alias("s"), round_half_even(F.col("value"), 1).alias("round_value"), "block", F.col("transaction").alias("tx"), "value", "at")
     return rows.select("s.deposit", "round_value", "block", "s.side", "tx", "s.other", "value", "at").where("deposit IS NOT NULL AND round_value IS NOT NULL")
 
@@ -117,7 +122,9 @@ def run_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame,
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
         sides = _sides(rows, exchanges, known, miners, f"{lateness} days")
-        found = sides.groupBy("deposit", "round_value").transformWithState(LastReceipt(t_max, a_max), MATCH, "append", "eventTime")
+        # a deposit's values go to a few lanes, so that one with very many rows has several states
+        lane = F.pmod(F.xxhash64("round_value"), F.lit(LANES)).cast("int")
+        found = sides.withColumn("lane", lane).groupBy("deposit", "lane").transformWithState(LastReceipt(t_max, a_max), MATCH, "append", "eventTime")
         query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:

@@ -262,3 +262,12 @@ def test_reward_members_and_stars_stand_for_the_links(spark):
     owners = d.select(F.col("hash").alias("transaction"), F.col("from_address").alias("address")).union(w.select("hash", "recipient_address"))
     pairs = lambda edges, a, b: connected_components(heuristics.address_matches(edges, owners, a, b), "x", "y")
     assert plain(pairs(stars, "src", "dst")) == plain(pairs(links, "deposit_hash", "withdraw_hash"))
+
+
+def test_receipts_of_listed_addresses_are_not_kept_by_the_stream(spark):
+    from lodeweave.streaming import reuse
+
+    schema = "transaction string, from_address string, to_address string, value double, block long"
+    t = spark.createDataFrame([("a", "u1", "s1", 1.0, 1), ("b", "s1", "x0", 1.0, 2), ("c", "u1", "m", 1.0, 2)], schema)
+    x, m = (spark.createDataFrame([(a,)], "address string") for a in ("x0", "m"))
+    assert sorted((r.deposit, r.side) for r in reuse._sides(t, x, x, m, "1 day").collect()) == [("s1", 0), ("s1", 1)]
