@@ -68,3 +68,14 @@ def test_training_adds_up_and_is_quick():
     began = time.process_time()
     trained = embedding._train(walks, start, out, np.ones(300), np.ones(300), 5, 5, (0.025, 0.01), rng)
     assert time.process_time() - began < 4 and trained.sum() > 400 * 59 * 6 * 0.9 and np.abs(out).max() > 0
+
+
+def test_words_are_trained_in_several_tasks(walks, monkeypatch):
+    from pyspark.ml import feature
+    from pyspark.ml.functions import vector_to_array
+
+    asked, plain = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, rows: asked.append(self.getNumPartitions()) or plain(self, rows))
+    monkeypatch.setattr(graphs, "WALKS_PER_TASK", 240)
+    found = graphs.node_embedding(walks.where("walk IS NOT NULL"), size=16, epochs=4, rate=0.08)
+    assert asked == [4] and precision(found.select("node", vector_to_array("vector").alias("vector"))) >= 0.9
