@@ -264,6 +264,16 @@ def test_reward_members_and_stars_stand_for_the_links(spark):
     assert plain(pairs(stars, "src", "dst")) == plain(pairs(links, "deposit_hash", "withdraw_hash"))
 
 
+def test_reward_members_shuffle_what_asks_only_by_transaction(spark):
+    members = heuristics.reward_claim_members(*_reward_case(spark))
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan  # before, all that ask were dealt by pool and block, with their claims
+    assert "claim_hash" not in plan
+    # the blocks of the other side are a table whose size Spark knows, so few of them are broadcast whatever asks
+    planned = members._jdf.queryExecution().sparkPlan().toString()
+    assert planned.count("BroadcastHashJoin [pool") >= 2
+
+
 def test_receipts_of_listed_addresses_are_not_kept_by_the_stream(spark):
     from lodeweave.streaming import reuse
 

@@ -56,6 +56,16 @@ def test_stars_have_the_components_of_the_links(spark):
         assert {tuple(r) for r in connected_components(heuristics.linked_address_stars(pairs, d, w)).collect()} == want
 
 
+def test_members_are_the_transactions_of_the_links(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        d = transactions(spark, [(i, rng.randrange(8), rng.randrange(2), rng.randrange(9)) for i in range(40)], False)
+        w = transactions(spark, [(100 + i, rng.randrange(8), rng.randrange(2), rng.randrange(9)) for i in range(40)], True)
+        pairs = spark.createDataFrame([(rng.randrange(8), rng.randrange(8)) for _ in range(5)], "from_address long, to_address long")
+        want = sorted({x for r in heuristics.linked_address_links(pairs, d, w).collect() for x in (r.withdraw_hash, r.deposit_hash)})
+        assert sorted(r[0] for r in heuristics.linked_address_members(pairs, d, w).collect()) == want and want
+
+
 def test_hot_addresses_have_no_pair_list(spark):
     n = 100_000
     times = spark.range(n).withColumn("block_timestamp", F.timestamp_seconds("id").cast("timestamp_ntz")).withColumn("pool", F.lit(1))
