@@ -49,3 +49,12 @@ def test_look_up_skips_row_groups(spark, tmp_path):
     none = files.look_up(spark, str(tmp_path / "t"), "address", [one[:-1] + ("0" if one[-1] != "0" else "1")])
     assert none.count() == 0 and scanned(none) < 2_500
     assert scanned(spark.read.parquet(str(tmp_path / "t")).where("id >= 0")) == 60_000
+
+
+def test_forwarding_addresses_have_a_size_that_spark_knows(spark):
+    known = fixtures.known(spark, SF)
+    rows = heuristics.reuse_sequence(fixtures.transfers(spark, SF), heuristics.split_known(known)[0], known, fixtures.miners(spark, SF))
+    # the semi join reads them as a table, so that few of them are broadcast and transfers are not shuffled by receiver
+    assert any("/forwarding/" in path for path in rows.inputFiles())
+    join = [line for line in rows._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in line and "[to_address" in line]
+    assert join and all("BroadcastHashJoin" in line for line in join)
