@@ -58,3 +58,17 @@ def test_forwarding_addresses_have_a_size_that_spark_knows(spark):
     assert any("/forwarding/" in path for path in rows.inputFiles())
     join = [line for line in rows._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in line and "[to_address" in line]
     assert join and all("BroadcastHashJoin" in line for line in join)
+
+
+def test_transfers_are_not_shuffled_by_few_addresses_above_sparks_threshold(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    try:
+        known = fixtures.known(spark, SF)
+        rows = heuristics.reuse_sequence(fixtures.transfers(spark, SF), heuristics.split_known(known)[0], known, fixtures.miners(spark, SF))
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # more than that are joined by key
+    assert "broadcast" not in heuristics._few(spark.range(3).toDF("address"), most=2)._jdf.queryExecution().logical().toString().lower()
