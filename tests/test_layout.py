@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodeweave.operators import heuristics
-from lodeweave.plans import reuse
+from lodeweave.plans import profiles, reuse
 from lodeweave.sources import files, fixtures
 from lodeweave.sources.stored import StoredTable
 
@@ -72,3 +72,13 @@ def test_transfers_are_not_shuffled_by_few_addresses_above_sparks_threshold(spar
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     # more than that are joined by key
     assert "broadcast" not in heuristics._few(spark.range(3).toDF("address"), most=2)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_weekly_windows_neither_writes_all_reveals_nor_shuffles_a_transaction_twice(spark):
+    found = profiles.weekly_windows(spark, SF)
+    assert found.inputFiles() and not any("/all_reveals/" in path for path in found.inputFiles())
+    known = fixtures.known(spark, SF)
+    rows = heuristics.reuse_sequence(fixtures.transfers(spark, SF), heuristics.split_known(known)[0], known, fixtures.miners(spark, SF))
+    # a receipt's transaction is its place among those of equal block, and a forward needs none
+    assert rows.schema["tie_"].dataType.names == ["tx"] and "tx" not in rows.schema["right_"].dataType.names
+    assert rows.where("(side_ = 0) <> (tie_ IS NOT NULL)").count() == 0

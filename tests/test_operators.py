@@ -281,3 +281,13 @@ def test_receipts_of_listed_addresses_are_not_kept_by_the_stream(spark):
     t = spark.createDataFrame([("a", "u1", "s1", 1.0, 1), ("b", "s1", "x0", 1.0, 2), ("c", "u1", "m", 1.0, 2)], schema)
     x, m = (spark.createDataFrame([(a,)], "address string") for a in ("x0", "m"))
     assert sorted((r.deposit, r.side) for r in reuse._sides(t, x, x, m, "1 day").collect()) == [("s1", 0), ("s1", 1)]
+
+
+def test_reuse_takes_the_last_receipt_of_a_block_by_its_text(spark):
+    schema = "transaction string, from_address string, to_address string, value double, block long"
+    t = spark.createDataFrame([("a", "u1", "s1", 1.0, 2), ("ab", "u2", "s1", 1.0, 2), ("c", "s1", "x0", 1.0, 3), ("b", "s1", "x0", 1.0, 3), ("a0", "s1", "x0", 1.0, 2)], schema)
+    x, none = spark.createDataFrame([("x0",)], "address string"), spark.createDataFrame([], "address string")
+    found = heuristics.reuse_matches(t, x, x, none, 0.01, 10)
+    assert found.columns == ["user_address", "deposit", "exchange", "forward_tx", "receipt_tx", "receipt_block", "t_diff", "a_diff"]
+    # a text goes before those that it begins, as in SQL; receipts of a block go before its forwards
+    assert sorted((r.forward_tx, r.receipt_tx, r.user_address, r.receipt_block, r.t_diff) for r in found.collect()) == [("a0", "ab", "u2", 2, 0), ("b", "ab", "u2", 2, 1), ("c", "ab", "u2", 2, 1)]
