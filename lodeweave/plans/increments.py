@@ -19,9 +19,15 @@ from lodeweave.streaming import reuse as S
 def stream_dar_equals_batch(spark, d):
     """The stream's matches over transfers that arrive in six loads, the fourth one place too late; the oracle is the batch form."""
     transfers, known = X.transfers(spark, d), X.known(spark, d)
-    path, span, last = S.in_order_of_arrival(transfers, 6, late=3)
+    loads, span, last = S.in_order_of_arrival(transfers, 6, late=3)
+    path, out, state = (scratch_path(spark, name) for name in ("loads", "matches", "state"))
+    run = lambda: S.run_matches(spark, path, transfers.schema, H.split_known(known)[0], known, X.miners(spark, d), U.T_MAX, U.A_MAX, 2 * span, out, state)
+    for load in loads:
+        load.write.mode("append").parquet(path)
+        run()
     S.close_loads(spark, path, transfers.schema, last + 3 * span + U.T_MAX)
-    return S.stream_matches(spark, path, transfers.schema, H.split_known(known)[0], known, X.miners(spark, d), U.T_MAX, U.A_MAX, 2 * span)
+    run()
+    return S.matches_of(spark, out)
 
 
 def above_high_water_mark(spark, d):

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from lodeweave.functions.scalars import round_half_even
-from lodeweave.operators.materialize import scratch_path
+from lodeweave.operators import heuristics as H
+from lodeweave.operators import joins as J
+from lodeweave.operators.materialize import remove
 
-
-DAY_MS = 86_400_000
-#: Blocks are put on a time axis a day each, from this day on, so that none is before the first watermark.
+#: Where a watermark is asked for, blocks are put on a time axis a day each, from this day on, so that none is before the first watermark.
 DAY_0 = 100_000
-#: States that the rounded values of one deposit are dealt to.
-LANES = 2
 MATCH = "user_address string, deposit string, exchange string, forward_tx string, receipt_tx string, t_diff bigint"
+SIDES = "deposit string, round_value double, block bigint, side int, tx string, other string, value double"
+MARK = "high bigint, passed bigint, live array<struct<batch: bigint, top: bigint>>"
 
 
 def above_mark(df: DataFrame, loaded: DataFrame, column: str) -> DataFrame:
@@ -24,114 +23,84 @@ def above_mark(df: DataFrame, loaded: DataFrame, column: str) -> DataFrame:
     return df if mark is None else df.where(F.col(column) > mark)
 
 
-def in_order_of_arrival(transfers: DataFrame, pieces: int, late: int | None = None) -> tuple[str, int, int]:
-    """Write ``transfers`` to a folder as ``pieces`` loads in order of block, the one numbered ``late`` one place too late; the folder,
-    the blocks that one load spans and the last block."""
-    path = scratch_path(transfers.sparkSession, "loads")
+def in_order_of_arrival(transfers: DataFrame, pieces: int, late: int | None = None) -> tuple[list[DataFrame], int, int]:
+    """``transfers`` as ``pieces`` loads in order of block, the one numbered ``late`` one place too late; the loads, the blocks that one
+    load spans and the last block."""
     low, high = transfers.agg(F.min("block"), F.max("block")).first()
     span = max(1, -(-((high or 0) - (low or 0) + 1) // pieces))
     order = list(range(pieces))
     if late is not None and late + 1 < pieces:
         order[late], order[late + 1] = late + 1, late
-    for k in order:
-        own = transfers.where(F.col("block").between((low or 0) + k * span, (low or 0) + (k + 1) * span - 1))
-        own.coalesce(1).write.mode("append").parquet(path)  # one file is one micro-batch
-    return path, span, high or 0
-
-
-class LastReceipt(StatefulProcessor):
-    """The state of one deposit, or of one lane of its rounded values: the last receipt of each value, and rows that the watermark has not passed yet.
-
-    Most rounded values of a deposit have few rows, so many of them share one state: it is read and written once for all. Rows are taken in order of block, receipts first, then by transaction, once no earlier row can come any more; a forward
-    then gives its match, which is final. A timer for the next row that waits, or for the end of the last receipt's span,
-    keeps the state as small as what can still match.
-    """
-
-    STATE = "waiting array<struct<block bigint, side int, tx string, other string, value double, round_value double>>, last array<struct<round_value double, block bigint, tx string, other string, value double>>"
-
-    def __init__(self, t_max: int, a_max: float) -> None:
-        self.t_max, self.a_max = t_max, a_max
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", self.STATE.replace(" bigint", ": bigint").replace(" int,", ": int,").replace(" string", ": string").replace(" double", ": double"))
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        found = self.state.get()
-        waiting, last = ([tuple(x) for x in found[0]], [tuple(x) for x in found[1]]) if found else ([], [])
-        fresh = [(r.block, r.side, r.tx, r.other, r.value, r.round_value) for r in rows]
-        yield from self._take(key, waiting + fresh, last, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        found = self.state.get()
-        if found:
-            yield from self._take(key, [tuple(x) for x in found[0]], [tuple(x) for x in found[1]], timerValues)
-
-    def _take(self, key, waiting, last, timers):
-        passed = timers.getCurrentWatermarkInMs() // DAY_MS - DAY_0
-        receipts = {x[0]: x[1:] for x in last}
-        due = sorted(x for x in waiting if x[0] <= passed)
-        for block, side, tx, other, value, round_value in due:
-            last = receipts.get(round_value)
-            if side == 0:
-                receipts[round_value] = (block, tx, other, value)
-            elif last and block - last[0] <= self.t_max and 0 <= round((last[3] - value) * 1000) / 1000 <= self.a_max:
-                yield Row(user_address=last[2], deposit=key[0], exchange=other, forward_tx=tx, receipt_tx=last[1], t_diff=block - last[0])
-        waiting = [x for x in waiting if x[0] > passed]
-        kept = [(k, *x) for k, x in receipts.items() if x[0] + self.t_max >= passed]
-        if waiting or kept:
-            self.state.update((waiting, kept))
-            self.handle.registerTimer((min(x[0] for x in waiting) if waiting else max(x[1] for x in kept) + self.t_max + 1) * DAY_MS + DAY_0 * DAY_MS)
-        else:
-            self.state.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def _sides(transfers: DataFrame, exchanges: DataFrame, known: DataFrame, miners: DataFrame, delay: str) -> DataFrame:
-    """``deposit, round_value, block, side, tx, other, value, at`` of a stream of transfers: each as a receipt of its target (side 0) and, if it goes to an exchange, as a forward of its sender (side 1).
-    What a listed address sends never counts, so its receipts match nothing and are left out."""
-    tx = transfers.withColumn("at", F.timestamp_seconds((F.col("block") + DAY_0) * 86_400)).withWatermark("at", delay)
-    listed = miners.select("address").unionByName(known.select("address")).distinct()
-    own = tx.join(listed.withColumnRenamed("address", "from_address"), "from_address", "left_anti")
-    own = own.join(exchanges.select(F.col("address").alias("to_address"), F.lit(True).alias("exchange")).distinct(), "to_address", "left")
+    return [transfers.where(F.col("block").between((low or 0) + k * span, (low or 0) + (k + 1) * span - 1)) for k in order], span, high or 0
+
+
+def _sides(transfers: DataFrame, exchanges: DataFrame, known: DataFrame, miners: DataFrame, delay: str | None = None) -> DataFrame:
+    """``deposit, round_value, block, side, tx, other, value`` of transfers: each as a receipt of its target (side 0) and, if it goes to an exchange, as a forward of its sender (side 1).
+    What a listed address sends never counts, so its receipts match nothing and are left out. With ``delay`` the rows also have a time ``at``, with that watermark."""
+    at = []
+    if delay is not None:
+        transfers, at = transfers.withColumn("at", F.timestamp_seconds((F.col("block") + DAY_0) * 86_400)).withWatermark("at", delay), ["at"]
+    listed = H._few(miners.select("address").unionByName(known.select("address")).distinct())
+    own = transfers.join(listed.withColumnRenamed("address", "from_address"), "from_address", "left_anti")
+    own = own.join(H._few(exchanges.select(F.col("address").alias("to_address"), F.lit(True).alias("exchange")).distinct()), "to_address", "left")
     side = lambda n, deposit, other: F.struct(F.col(deposit).alias("deposit"), F.lit(n).alias("side"), F.col(other).alias("other"))
     own = own.join(listed.select(F.col("address").alias("to_address"), F.lit(True).alias("listed")), "to_address", "left")
     sides = F.array_compact(F.array(F.when(F.col("listed").isNull(), side(0, "to_address", "from_address")), F.when(F.col("exchange"), side(1, "from_address", "to_address"))))
-    rows = own.select(F.explode(sides).alias("s"), round_half_even(F.col("value"), 1).alias("round_value"), "block", F.col("transaction").alias("tx"), "value", "at")
-    return rows.select("s.deposit", "round_value", "block", "s.side", "tx", "s.other", "value", "at").where("deposit IS NOT NULL AND round_value IS NOT NULL")
+    rows = own.select(F.explode(sides).alias("s"), round_half_even(F.col("value"), 1).alias("round_value"), "block", F.col("transaction").alias("tx"), "value", *at)
+    return rows.select("s.deposit", "round_value", "block", "s.side", "tx", "s.other", "value", *at).where("deposit IS NOT NULL AND round_value IS NOT NULL")
 
 
-def stream_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int) -> DataFrame:
-    """Run the stream over all files of ``source``, one in a micro-batch, and return its matches, those of the batch operator.
+def matches_of(spark: SparkSession, out: str) -> DataFrame:
+    """The matches that the runs of ``run_matches`` have put into ``out``, those of the batch operator once all is closed."""
+    return spark.read.schema(MATCH).parquet(out).select(*[x.split()[0] for x in MATCH.split(", ")])
 
-    ``lateness`` is by how many blocks a file may come late; rows wait in the state until the watermark is so far behind, and
-    each micro-batch puts out matches that no later row can change. What is not closed by then (``close_loads``) waits for
-    the next run, as the state is kept beside the output.
+
+def run_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int, out: str, state: str) -> None:
+    """The stream over the files of ``source`` that have come since the last run with this ``state``, in one micro-batch; matches are added to ``out``.
+
+    ``lateness`` is by how many blocks a row may come late: blocks so far behind the last one have passed, and rows of theirs that come
+    later are dropped. What has not passed (``close_loads``) waits in the state for the next run.
     """
-    out, state = scratch_path(spark, "matches"), scratch_path(spark, "state")
-    run_matches(spark, source, schema, exchanges, known, miners, t_max, a_max, lateness, out, state)
-    return spark.read.schema(MATCH).parquet(out)
+    spark.createDataFrame([], MATCH).write.mode("ignore").parquet(f"{out}/batch=-1")  # so that there is a table before the first file comes
+    rows = spark.readStream.schema(schema).parquet(source)
+    step = lambda batch, number: add_transfers(spark, batch, number, exchanges, known, miners, t_max, a_max, lateness, out, state)
+    query = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
-def run_matches(spark: SparkSession, source: str, schema, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int, out: str, state: str) -> None:
-    """The stream of ``stream_matches`` over the files that have come since the last run with this ``state``; matches are added to ``out``."""
-    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the one that keeps this kind of state
-    try:
-        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
-        sides = _sides(rows, exchanges, known, miners, f"{lateness} days")
-        # a deposit's values go to a few lanes, so that one with very many rows has several states
-        lane = F.pmod(F.xxhash64("round_value"), F.lit(LANES)).cast("int")
-        found = sides.withColumn("lane", lane).groupBy("deposit", "lane").transformWithState(LastReceipt(t_max, a_max), MATCH, "append", "eventTime")
-        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(store)
-        else:
-            spark.conf.set(store, before)
+def add_transfers(spark: SparkSession, batch: DataFrame, number: int, exchanges: DataFrame, known: DataFrame, miners: DataFrame, t_max: int, a_max: float, lateness: int, out: str, state: str) -> None:
+    """Take micro-batch ``number`` into the state and put out the matches of the blocks that have passed with it, which are final.
+
+    The state is three tables for each micro-batch: its rows, once (``rows``), the last receipt of each deposit and rounded value that a
+    later forward may still match (``last``), and one row that says what has passed and which ``rows`` some block has not (``marks``).
+    Only rows of blocks that pass now are shuffled. A micro-batch that runs again writes the same folders anew.
+    """
+    before = spark.read.schema(MARK).parquet(f"{state}/marks/{number - 1}").first() if number else Row(high=None, passed=None, live=[])
+    fresh = _sides(batch, exchanges, known, miners).where("block IS NOT NULL")
+    if before.passed is not None:
+        fresh = fresh.where(F.col("block") > before.passed)
+    fresh.write.mode("overwrite").parquet(f"{state}/rows/{number}")
+    # what is left out above counts here, too
+    high = max([x for x in (before.high, batch.agg(F.max("block")).first()[0]) if x is not None], default=None)
+    passed = None if high is None else high - lateness
+    top = spark.read.schema(SIDES).parquet(f"{state}/rows/{number}").agg(F.max("block")).first()[0]
+    live = [tuple(x) for x in before.live if x.top > before.passed] + ([] if top is None else [(number, top)])
+
+    due = spark.createDataFrame([], SIDES) if not live else spark.read.schema(SIDES).parquet(*[f"{state}/rows/{k}" for k, _ in live]).where(F.col("block") <= F.lit(passed))
+    if before.passed is not None:
+        due = due.where(F.col("block") > before.passed)
+    forwards = due.where("side = 1").select("deposit", "round_value", F.col("other").alias("exchange"), "value", "block", "tx")
+    receipts = due.where("side = 0").select("deposit", "round_value", F.col("other").alias("user_address"), "value", "block", "tx")
+    if number:
+        receipts = receipts.unionByName(spark.read.schema(receipts.schema).parquet(f"{state}/last/{number - 1}"))
+    found = H.reuse_matches_of(J.as_of_sequence(forwards, receipts, H.REUSE_KEYS, "block", ["tx"]), a_max, t_max)
+    found.select(*[x.split()[0] for x in MATCH.split(", ")]).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    near = receipts.where(F.col("block") >= F.lit(passed) - t_max).groupBy(*H.REUSE_KEYS).agg(F.max(F.struct("block", "tx", "user_address", "value")).alias("r"))
+    near.select(*H.REUSE_KEYS, "r.user_address", "r.value", "r.block", "r.tx").write.mode("overwrite").parquet(f"{state}/last/{number}")
+    spark.createDataFrame([(high, passed, live)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{state}/marks/{number}")
+    # what neither this micro-batch nor a later one reads
+    gone = {x.batch for x in before.live} - {k for k, _ in live}
+    remove(spark, *[f"{state}/rows/{k}" for k in gone], *[f"{state}/{name}/{number - 2}" for name in ("last", "marks")])
 
 
 def close_loads(spark: SparkSession, source: str, schema, block: int) -> None:
